@@ -545,3 +545,53 @@ SELECT CAST(count(*) AS BIGINT) AS total_alerts,
 FROM alerts""")
 def e9_alert_counters(spark, sf):
     return P.alert_counters(_policy(spark, sf, "alerts"), "2024-01-30 23:00:00")
+
+
+# ---------------------------------------------------------------- M3, M4, M10: forest (no SQL form)
+
+def _forest_input(spark, sf):
+    from ..operators import iforest as IF
+    v = vectors(spark, sf).withColumn("id", F.xxhash64("host", "ts"))
+    z = SC.standardize(v, SC.fit_baseline(v))
+    return z.select("id", "host", "ts",
+                    IF.feature_array([f"z_{f}" for f in S.FEATURE_NAMES]).alias("x"))
+
+
+@register("m3_fit_isolation_forest")
+def m3_fit_isolation_forest(spark, sf):
+    """Forest node table fitted on the standardized hourly vectors."""
+    from ..operators import iforest as IF
+    nodes, _ = IF.fit_isolation_forest(_forest_input(spark, sf))
+    return nodes
+
+
+@register("m4_isolation_score")
+def m4_isolation_score(spark, sf):
+    """Forest score in [0, 1] for every hourly vector and every embedding."""
+    from ..operators import iforest as IF
+    zx = _forest_input(spark, sf)
+    model = IF.fit_model(zx)
+    a = model.isolation_score(zx).select(F.lit("vectors").alias("input"), F.col("id"),
+                                         F.round("isolation_forest_score", 4).alias("score"))
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
+                                                      F.col("embedding").alias("x"))
+    emodel = IF.fit_model(emb)
+    b = emodel.isolation_score(emb).select(F.lit("embeddings").alias("input"), F.col("id"),
+                                           F.round("isolation_forest_score", 4).alias("score"))
+    return a.unionByName(b)
+
+
+@register("m10_save_load_model")
+def m10_save_load_model(spark, sf):
+    """Fit, save under the checkpoint folder, load through a search path, score."""
+    import os
+    import uuid
+    from ..operators import iforest as IF
+    from ..session import ensure_checkpoint_dir
+    zx = _forest_input(spark, sf)
+    model = IF.fit_model(zx)
+    path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex[:8]}")
+    model.save(path)
+    loaded = IF.IsolationForestModel.load(spark, [path + "-missing", path])
+    return loaded.isolation_score(zx).select("id", F.round("isolation_forest_score", 4)
+                                             .alias("isolation_forest_score"))
