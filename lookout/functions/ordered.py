@@ -178,3 +178,17 @@ def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
     sorted_df = d.repartition(*[F.col(c) for c in seg_keys]).sortWithinPartitions(
         *seg_keys, t, tie)
     return sorted_df.mapInPandas(run, out_schema)
+
+
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+                    bucket: Column, rank_col: str = "rank") -> DataFrame:
+    """Exact top ``k`` rows per key by ``order`` (descending columns allowed).
+
+    Two phases so a hot key is not ranked in one task: each (key, bucket)
+    keeps its own top ``k`` first (any global top-k row is in its bucket's
+    top-k), then the survivors - at most k per bucket - are ranked per key."""
+    keys = list(keys)
+    w1 = Window.partitionBy(*keys, bucket).orderBy(*order)
+    local = df.withColumn("__r1", F.row_number().over(w1)).filter(F.col("__r1") <= k).drop("__r1")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return local.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)

@@ -214,3 +214,29 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     svc = F.create_map(*[F.lit(x) for kv in _SERVICES.items() for x in kv])[F.col("event_type")]
     return b.select(svc.alias("service"), "ts")
+
+
+def counters(spark: SparkSession, sf_dir: str, per: str | None = None) -> DataFrame:
+    """Cumulative counters per host (``per`` adds a device key = event_type).
+
+    Running sums are computed with bucketed prefix sums, not one window per host."""
+    from ..functions.ordered import prefix_sums
+    b = base(spark, sf_dir)
+    k = F.col("k")
+    keys = ["host"] + ([per] if per else [])
+    if per:
+        b = b.withColumn(per, F.col("event_type"))
+    sums = {
+        "rx_bytes": F.floor(F.col("value") * 1000).cast("long"),
+        "tx_bytes": F.floor(F.col("value") * 300).cast("long"),
+        "user": k.cast("long"), "system": (k % 7).cast("long"),
+        "idle": (100 - k).cast("long"), "iowait": (k % 3).cast("long"),
+        "reads_completed": (k % 5).cast("long"), "sectors_read": F.floor(F.col("value") * 10).cast("long"),
+        "writes_completed": (k % 3).cast("long"),
+        "sectors_written": F.floor(F.col("value") * 3).cast("long"),
+        "io_time_ms": (k * 10).cast("long"),
+    }
+    day = F.floor(F.col("es") / 86400).cast("long")
+    d = prefix_sums(b.select(*keys, "ts", "event_id", "es", "value", "k"), keys, ["ts", "event_id"],
+                    sums, day)
+    return d.withColumnRenamed("event_id", "seq").drop("es", "value", "k")
