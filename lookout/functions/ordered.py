@@ -122,25 +122,26 @@ def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width:
 
 
 def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
-                    step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]],
+                    step: Callable[[dict, object], tuple[dict, object]],
                     out_schema: T.StructType, reset_gap: float | None = None,
                     bucket: Column | None = None) -> DataFrame:
     """Run ``step`` over each key's rows in ``(t, tie)`` order.
 
-    ``step(rows, state)`` gets consecutive rows of one fold segment (a pandas
-    frame, sorted) and the carried state (``None`` at a segment start) and
-    returns ``(output rows, new state)``. Rows are streamed in Arrow batches,
-    so memory holds one batch plus the state, never a whole key.
-
-    With ``reset_gap`` a key is cut into segments at rows that follow a gap
-    of at least ``reset_gap`` (in ``t`` units) after the key's previous row:
-    there the fold state is empty by definition, so segments are independent
-    and spread over tasks. ``bucket`` (a coarse time bucket of ``t``) keeps
+    ``step(cols, state)`` gets numpy arrays (one slice of consecutive rows of
+    one key, sorted) and the carried state (``None`` at the key's start) and
+    returns ``(output arrays, new state)``. Rows stream in Arrow batches, so
+    memory holds one batch plus the state, never a whole key.
+
+    With ``reset_gap`` a key is also cut into segments at rows that follow a
+    gap of at least ``reset_gap`` (in ``t`` units) after the key's previous
+    row. The caller guarantees that the fold state is empty by then, so
+    segments are independent and are hashed to different tasks; a segment
+    that shares a task with the key's previous segment may still carry the
+    (then irrelevant) state. ``bucket`` (a coarse time bucket of ``t``) keeps
     the gap computation itself split (see ``lag_values``).
     """
     keys = list(keys)
     d = df
-    seg_keys = list(keys)
     if reset_gap is not None:
         b = bucket if bucket is not None else F.floor(F.col(t) / 86400).cast("long")
         d = lag_values(d, keys, [t, tie], [t], b, prefix="__prev_")
@@ -149,35 +150,53 @@ def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
         ).otherwise(0))
         d = prefix_sums(d, keys, [t, tie], {"__seg": F.col("__reset").cast("long")}, b)
         d = d.drop(f"__prev_{t}", "__reset")
-        seg_keys = keys + ["__seg"]
     else:
         d = d.withColumn("__seg", F.lit(0).cast("long"))
-        seg_keys = keys + ["__seg"]
-    names = seg_keys
+    seg_keys = keys + ["__seg"]
+    passthrough = keys + [tie]
+    out_names = [f.name for f in out_schema.fields]
+    step_names = [n for n in out_names if n not in passthrough]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, state = None, None
+        import numpy as np
+        prev_key, state = None, None
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
-            kv = list(zip(*[pdf[c].tolist() for c in names]))
-            # split the batch at key changes
-            starts = [0] + [i for i in range(1, len(kv)) if kv[i] != kv[i - 1]]
-            ends = starts[1:] + [len(kv)]
-            outs = []
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+            karrs = [pdf[c].to_numpy() for c in keys]
+            for a in karrs:
+                change[1:] |= a[1:] != a[:-1]
+            first_key = tuple(a[0] for a in karrs)
+            if prev_key is not None and first_key == prev_key:
+                change[0] = False
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            starts = np.flatnonzero(change).tolist()
+            if not starts or starts[0] != 0:
+                starts = [0] + starts
+            ends = starts[1:] + [n]
+            outs: dict[str, list] = {c: [] for c in step_names}
             for s, e in zip(starts, ends):
-                if kv[s] != cur_key:
-                    cur_key, state = kv[s], None
-                part = pdf.iloc[s:e].reset_index(drop=True)
-                res, state = step(part, state)
-                if res is not None and len(res):
-                    outs.append(res)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)[[f.name for f in out_schema.fields]]
+                if change[s]:
+                    state = None
+                res, state = step({c: v[s:e] for c, v in cols.items()}, state)
+                for c in step_names:
+                    outs[c].append(np.asarray(res[c], dtype=object) if res[c] is None
+                                   else res[c])
+            prev_key = tuple(a[-1] for a in karrs)
+            out = pdf[passthrough].copy()
+            for c in step_names:
+                out[c] = np.concatenate(outs[c]) if len(outs[c]) > 1 else outs[c][0]
+            yield out[out_names]
 
     sorted_df = d.repartition(*[F.col(c) for c in seg_keys]).sortWithinPartitions(
         *seg_keys, t, tie)
-    return sorted_df.mapInPandas(run, out_schema)
+    # The fold is the expensive (Python) stage and its result is usually joined
+    # back and reused: materialise it once in the shared checkpoint folder,
+    # which also cuts the lineage so a lost executor does not replay the fold.
+    return sorted_df.mapInPandas(run, out_schema).checkpoint(eager=True)
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -36,8 +36,8 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
         + [T.StructField(tie, key_types[tie]), T.StructField("period_start", T.LongType()),
            T.StructField("opens", T.BooleanType())])
 
-    def step(rows: pd.DataFrame, state):
-        tv = rows[t].to_numpy(dtype=np.int64)
+    def step(cols: dict, state):
+        tv = cols[t].astype(np.int64)
         n = len(tv)
         starts = np.empty(n, dtype=np.int64)
         opens = np.zeros(n, dtype=bool)
@@ -50,14 +50,10 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
         while i < n:
             cur = int(tv[i])
             opens[i] = True
-            j = int(np.searchsorted(tv, cur + period, side="left"))
-            j = max(j, i + 1)
+            j = max(int(np.searchsorted(tv, cur + period, side="left")), i + 1)
             starts[i:j] = cur
             i = j
-        out = rows[keys + [tie]].copy()
-        out["period_start"] = starts
-        out["opens"] = opens
-        return out, cur
+        return {"period_start": starts, "opens": opens}, cur
 
     sel = df.select(*keys, t, tie)
     return sequential_fold(sel, keys, t, tie, step, schema, reset_gap=period,
@@ -74,17 +70,16 @@ def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, wi
         [T.StructField(k, key_types[k]) for k in keys]
         + [T.StructField(tie, key_types[tie]), T.StructField("allowed", T.BooleanType())])
 
-    def step(rows: pd.DataFrame, state):
-        tv = rows[t].to_numpy(dtype=np.int64)
+    def step(cols: dict, state):
+        tv = cols[t].astype(np.int64)
         n = len(tv)
         allowed = np.zeros(n, dtype=bool)
         hist = list(state) if state is not None else []
         i = 0
         while i < n:
             if len(hist) >= budget:
-                # blocked until the budget-th newest allowed row leaves the window
-                free_at = hist[-budget] + window
-                j = int(np.searchsorted(tv, free_at, side="left"))
+                # refused until the budget-th newest allowed row leaves the window
+                j = int(np.searchsorted(tv, hist[-budget] + window, side="left"))
                 if j > i:
                     i = j
                     continue
@@ -93,9 +88,7 @@ def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, wi
             if len(hist) > budget:
                 hist = hist[-budget:]
             i += 1
-        out = rows[keys + [tie]].copy()
-        out["allowed"] = allowed
-        return out, hist
+        return {"allowed": allowed}, hist
 
     sel = df.select(*keys, t, tie)
     return sequential_fold(sel, keys, t, tie, step, schema, reset_gap=window,
@@ -114,28 +107,26 @@ def block_state(df: DataFrame, keys: list[str], t: str, tie: str, action: str,
         + [T.StructField(tie, key_types[tie]), T.StructField("outcome", T.StringType()),
            T.StructField("blocked_until", T.LongType())])
 
-    def step(rows: pd.DataFrame, state):
-        tv = rows[t].to_numpy(dtype=np.int64)
-        acts = rows[action].tolist()
-        untils = rows[until].to_numpy(dtype=np.int64)
+    def step(cols: dict, state):
+        tv = cols[t].astype(np.int64)
+        acts = cols[action]
+        untils = cols[until].astype(np.int64)
         cur = state  # blocked-until or None
-        outcome, bu = [], []
+        outcome = np.empty(len(tv), dtype=object)
+        bu = np.empty(len(tv), dtype=object)
         for i in range(len(tv)):
             blocked = cur is not None and tv[i] < cur
             if acts[i] == "block_ip":
                 if blocked:
-                    outcome.append("already_blocked")
+                    outcome[i] = "already_blocked"
                 else:
                     cur = int(untils[i])
-                    outcome.append("blocked")
+                    outcome[i] = "blocked"
             else:
-                outcome.append("unblocked" if blocked else "not_blocked")
+                outcome[i] = "unblocked" if blocked else "not_blocked"
                 cur = None
-            bu.append(cur if cur is not None else None)
-        out = rows[keys + [tie]].copy()
-        out["outcome"] = outcome
-        out["blocked_until"] = pd.array(bu, dtype="Int64")
-        return out, cur
+            bu[i] = cur
+        return {"outcome": outcome, "blocked_until": bu}, cur
 
     sel = df.select(*keys, t, tie, action, until)
     return sequential_fold(sel, keys, t, tie, step, schema, reset_gap=max_duration,

@@ -97,7 +97,7 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
         d = d.withColumn("__pname", F.lit(None).cast("string"))
     dur = F.coalesce(F.col("duration_minutes"), F.lit(default_minutes))
     d = d.withColumn("__t", epoch_micros(F.col("ts"))).withColumn(
-        "__until", F.col("__t") + dur * 60 * MICROS)
+        "__until", F.col("__t") + dur * 60 * MICROS).checkpoint(eager=True)
     # block state over the requests that reach dispatch
     reach = F.col("rate_ok") & F.col("allowed")
     bs_in = d.filter(reach & (((a == "block_ip") & ~ip_protected(t)) | (a == "unblock_ip")))

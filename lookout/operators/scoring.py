@@ -94,7 +94,7 @@ def ema_score(df: DataFrame, value: str, keys=("host",), ts: str = "ts", tie: st
     keys = list(keys)
     order = [ts] if tie == ts else [ts, tie]
     bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 86400).cast("long")
-    d = row_numbers(df, keys, order, bucket, name="__rn")
+    d = row_numbers(df, keys, order, bucket, name="__rn").checkpoint(eager=True)
     d = rows_frame(d, keys, "__rn", n, F.col(value), "__last")
     return d.withColumn(out, ema_over(F.col("__last"))).drop("__rn", "__last")
 

@@ -55,7 +55,9 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return FE.feature_vectors(telemetry(spark, sf), WINDOW)
+    """Hourly feature vectors; checkpointed because every scoring step reads them
+    more than once (baseline, scaler, forest, EMA)."""
+    return FE.feature_vectors(telemetry(spark, sf), WINDOW).checkpoint(eager=True)
 
 
 def example_rules() -> list[dict]:
