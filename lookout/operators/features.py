@@ -50,15 +50,20 @@ def log_features() -> list[Column]:
     ]
 
 
-def network_features() -> list[Column]:
-    """bytes rate is a constant 0.0 (no byte counters are collected)."""
+def network_features(streaming: bool = False) -> list[Column]:
+    """bytes rate is a constant 0.0 (no byte counters are collected).
+
+    Streaming aggregations have no distinct aggregate, so there the unique-IP
+    count is ``size(collect_set(..))`` (exact; the set is bounded by the IPs
+    seen in one host-window)."""
     t = F.col("type")
     new_ip = F.when(_is("network", (t == "new_connection") & (F.coalesce(F.col("source_ip"),
                                                                           F.lit("")) != "")),
                     F.col("source_ip"))
     return [
         F.count_if(_is("network", t == "new_connection")).alias("net_new_connections"),
-        F.count_distinct(new_ip).alias("net_unique_ips"),
+        (F.size(F.collect_set(new_ip)) if streaming else F.count_distinct(new_ip))
+        .alias("net_unique_ips"),
         F.count_if(_is("network", t == "port_scan_candidate")).alias("net_port_scan_candidates"),
     ]
 
@@ -74,9 +79,10 @@ def process_features() -> list[Column]:
     ]
 
 
-def feature_vectors(telemetry: DataFrame, window_seconds: int = 5) -> DataFrame:
+def feature_vectors(telemetry: DataFrame, window_seconds: int = 5,
+                    streaming: bool = False) -> DataFrame:
     """one 12-feature row per (host, tumbling window) that has events."""
-    aggs = log_features() + network_features() + process_features()
+    aggs = log_features() + network_features(streaming) + process_features()
     g = telemetry.groupBy("host", F.window("ts", f"{int(window_seconds)} seconds").alias("w")) \
         .agg(*aggs)
     cols = [F.col(n).cast("long").alias(n) if n != "net_bytes_rate" else F.lit(0.0).alias(n)

@@ -23,4 +23,4 @@ def register(key: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_detect, q_respond, q_read  # noqa: F401
+    from . import q_detect, q_respond, q_read, q_stream  # noqa: F401
