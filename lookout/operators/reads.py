@@ -205,3 +205,24 @@ def liveness_overview(liveness: DataFrame) -> DataFrame:
                         F.count(F.lit(1)).alias("services_total")) \
         .withColumn("status", F.when(F.col("services_up") == F.col("services_total"), "healthy")
                     .otherwise("degraded"))
+
+
+def metric_bands(df: DataFrame, keys=("host", "ts")) -> DataFrame:
+    """One row per (keys, metric) with a success / warning / danger band
+    (strictly above the thresholds); risk score is danger above 0.7, and the
+    risk level is danger for critical or high."""
+    keys = list(keys)
+    rows = []
+    for metric, col in (("cpu", "cpu_percent"), ("memory", "memory_percent"),
+                        ("disk", "disk_percent"), ("load1", "load_1m")):
+        warn, danger = S.METRIC_BANDS[metric]
+        v = F.col(col).cast("double")
+        band = F.when(v > danger, "danger").when(v > warn, "warning").otherwise("success")
+        rows.append(F.struct(F.lit(col).alias("metric"), v.alias("value"), band.alias("status")))
+    risk = F.coalesce(F.col("risk_score").cast("double"), F.lit(0.0))
+    rows.append(F.struct(F.lit("risk_score").alias("metric"), risk.alias("value"),
+                         F.when(risk > S.RISK_BAND_DANGER, "danger").otherwise("success").alias("status")))
+    lvl = F.coalesce(F.col("risk_level"), F.lit("normal"))
+    rows.append(F.struct(F.lit("risk_level").alias("metric"), F.lit(None).cast("double").alias("value"),
+                         F.when(lvl.isin("critical", "high"), "danger").otherwise("success").alias("status")))
+    return df.select(*keys, F.explode(F.array(*rows)).alias("m")).select(*keys, "m.*")

@@ -573,3 +573,54 @@ def s11_append_audit(spark, sf):
     path = _scratch(spark, "audit")
     SK.append_audit(SK.audit_rows(alerts(spark, sf), actions(spark, sf)), path)
     return spark.read.parquet(path).select("event_type", "ref_id")
+
+
+@register("p15_metric_bands", with_views("base") + """
+, m AS (SELECT host, ts, least(100.0, value) AS cpu_percent, least(100.0, value / 4) AS memory_percent,
+          value % 100 AS disk_percent, value / 50 AS load_1m, round(least(1.0, value / 150.0), 4) AS risk_score FROM base),
+u AS (
+  SELECT host, ts, 'cpu_percent' AS metric, cpu_percent AS value,
+    CASE WHEN cpu_percent > 80 THEN 'danger' WHEN cpu_percent > 50 THEN 'warning' ELSE 'success' END AS status FROM m
+  UNION ALL SELECT host, ts, 'memory_percent', memory_percent,
+    CASE WHEN memory_percent > 85 THEN 'danger' WHEN memory_percent > 70 THEN 'warning' ELSE 'success' END FROM m
+  UNION ALL SELECT host, ts, 'disk_percent', disk_percent,
+    CASE WHEN disk_percent > 90 THEN 'danger' WHEN disk_percent > 75 THEN 'warning' ELSE 'success' END FROM m
+  UNION ALL SELECT host, ts, 'load_1m', load_1m,
+    CASE WHEN load_1m > 4 THEN 'danger' WHEN load_1m > 2 THEN 'warning' ELSE 'success' END FROM m
+  UNION ALL SELECT host, ts, 'risk_score', risk_score, CASE WHEN risk_score > 0.7 THEN 'danger' ELSE 'success' END FROM m
+  UNION ALL SELECT host, ts, 'risk_level', NULL,
+    CASE WHEN risk_score >= 0.8 THEN 'danger' ELSE 'success' END FROM m)
+SELECT host, ts, metric, round(value, 4) AS value, status FROM u""")
+def p15_metric_bands(spark, sf):
+    """Dashboard bands over per-event metrics derived from ``value``."""
+    from ..operators.scoring import risk_level_col
+    b = V.base(spark, sf)
+    v = F.col("value")
+    risk = F.round(F.least(F.lit(1.0), v / 150.0), 4)
+    m = b.select("host", "ts", F.least(F.lit(100.0), v).alias("cpu_percent"),
+                 F.least(F.lit(100.0), v / 4).alias("memory_percent"), (v % 100).alias("disk_percent"),
+                 (v / 50).alias("load_1m"), risk.alias("risk_score"),
+                 risk_level_col(risk).alias("risk_level"))
+    return Q.metric_bands(m).select("host", "ts", "metric", F.round("value", 4).alias("value"), "status")
+
+
+@register("s2_stream_log_files", with_views("raw_logs") + """
+SELECT source, CAST(count(*) AS BIGINT) AS lines FROM raw_logs WHERE length(trim(line)) > 0 GROUP BY source""")
+def s2_stream_log_files(spark, sf):
+    """raw_logs written as rotated text segments (one folder per log), tailed by a
+    file stream to completion; line counts per log."""
+    from ..streaming import jobs as Z
+    root = _scratch(spark, "taillogs")
+    rl = V.raw_logs(spark, sf)
+    for src in ("auth.log", "syslog", "kern.log", "access.log"):
+        part = rl.filter(F.col("source") == src).select("ts", F.col("line").alias("value"))
+        bounds = part.agg(F.min("ts"), F.max("ts")).first()
+        if bounds[0] is None:
+            continue
+        mid = bounds[0] + (bounds[1] - bounds[0]) / 2
+        for seg, cond in enumerate((F.col("ts") < F.lit(mid), F.col("ts") >= F.lit(mid))):
+            part.filter(cond).select("value").coalesce(1).write.mode("append") \
+                .text(os.path.join(root, src))
+    s = FI.stream_log_files(spark, root, max_files_per_trigger=2, source_from_parent=True)
+    out = Z.run_to_table(s, spark, "s2")
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))

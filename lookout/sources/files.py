@@ -45,11 +45,16 @@ def read_log_files(spark: SparkSession, root: str, patterns=S.LOG_PATTERNS,
     return out
 
 
-def stream_log_files(spark: SparkSession, directory: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """A continuous tail of a log folder. Progress lives in the query's
-    checkpoint, so a restart resumes where it stopped; a rotated segment is a
-    new file and is read from its start."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(directory) \
-        .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("file"),
-                F.trim("value").alias("line")) \
+def stream_log_files(spark: SparkSession, directory: str, max_files_per_trigger: int = 100,
+                     source_from_parent: bool = False) -> DataFrame:
+    """A continuous tail of a log folder (and its sub-folders). Progress lives
+    in the query's checkpoint, so a restart resumes where it stopped; a rotated
+    segment is a new file and is read from its start. ``source`` is the file's
+    base name, or its folder's name when segments are kept one folder per log."""
+    path = F.col("_metadata.file_path")
+    src = F.regexp_extract(path, r"([^/]+)/[^/]*$", 1) if source_from_parent \
+        else F.regexp_extract(path, r"([^/]*)$", 1)
+    return spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger) \
+        .option("recursiveFileLookup", "true").text(directory) \
+        .select(src.alias("source"), F.trim("value").alias("line")) \
         .filter(F.length("line") > 0)
