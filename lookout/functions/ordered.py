@@ -121,6 +121,19 @@ def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width:
     return res.drop("__b", "__own", "__upto", "__old")
 
 
+def _segment_table(d: DataFrame, keys: list[str], t: str, reset_gap) -> DataFrame:
+    """(keys, __b, __seg): the segment of each non-empty bucket. A bucket starts
+    a segment when its first row follows the previous bucket's last row by at
+    least ``reset_gap``; ``__seg`` is the bucket number of the segment start."""
+    per = d.groupBy(*keys, "__b").agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
+    w = Window.partitionBy(*keys).orderBy("__b")
+    prev_hi = F.lag("__hi").over(w)
+    starts = per.withColumn("__start", F.when(
+        prev_hi.isNull() | (F.col("__lo") - prev_hi >= reset_gap), F.col("__b")))
+    run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.select(*keys, "__b", F.max("__start").over(run).alias("__seg"))
+
+
 def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
                     step: Callable[[dict, object], tuple[dict, object]],
                     out_schema: T.StructType, reset_gap: float | None = None,
@@ -132,24 +145,21 @@ def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
     returns ``(output arrays, new state)``. Rows stream in Arrow batches, so
     memory holds one batch plus the state, never a whole key.
 
-    With ``reset_gap`` a key is also cut into segments at rows that follow a
-    gap of at least ``reset_gap`` (in ``t`` units) after the key's previous
-    row. The caller guarantees that the fold state is empty by then, so
-    segments are independent and are hashed to different tasks; a segment
-    that shares a task with the key's previous segment may still carry the
-    (then irrelevant) state. ``bucket`` (a coarse time bucket of ``t``) keeps
-    the gap computation itself split (see ``lag_values``).
+    With ``reset_gap`` a key is also cut into segments where a gap of at
+    least ``reset_gap`` (in ``t`` units) separates a row from the key's
+    previous row; the caller guarantees that the fold state is empty there,
+    so segments are independent and are hashed to different tasks (a segment
+    that shares a task with the key's previous segment may still carry the,
+    then irrelevant, state). Cuts are taken at ``bucket`` starts (a coarse
+    time bucket of ``t``): one aggregate per (key, bucket) and a running max
+    over that small table find them, so no full-table window is needed.
     """
     keys = list(keys)
     d = df
     if reset_gap is not None:
         b = bucket if bucket is not None else F.floor(F.col(t) / 86400).cast("long")
-        d = lag_values(d, keys, [t, tie], [t], b, prefix="__prev_")
-        d = d.withColumn("__reset", F.when(
-            F.col(f"__prev_{t}").isNull() | (F.col(t) - F.col(f"__prev_{t}") >= reset_gap), 1
-        ).otherwise(0))
-        d = prefix_sums(d, keys, [t, tie], {"__seg": F.col("__reset").cast("long")}, b)
-        d = d.drop(f"__prev_{t}", "__reset")
+        d = d.withColumn("__b", b)
+        d = d.join(_segment_table(d, keys, t, reset_gap), [*keys, "__b"], "left").drop("__b")
     else:
         d = d.withColumn("__seg", F.lit(0).cast("long"))
     seg_keys = keys + ["__seg"]
@@ -191,7 +201,10 @@ def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
                 out[c] = np.concatenate(outs[c]) if len(outs[c]) > 1 else outs[c][0]
             yield out[out_names]
 
-    sorted_df = d.repartition(*[F.col(c) for c in seg_keys]).sortWithinPartitions(
+    # An explicit partition count: the fold is CPU-bound Python, so AQE must
+    # not coalesce it into a few tasks just because the shuffled bytes are few.
+    n_parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_df = d.repartition(n_parts, *[F.col(c) for c in seg_keys]).sortWithinPartitions(
         *seg_keys, t, tie)
     # The fold is the expensive (Python) stage and its result is usually joined
     # back and reused: materialise it once in the shared checkpoint folder,

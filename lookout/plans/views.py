@@ -19,9 +19,18 @@ def _i(c) -> Column:
     return c.cast("string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than there are cores
+    (a single-row-group file); a no-op on a cluster-sized input, whose scan
+    already has thousands of splits. Filters and column pruning still reach
+    the parquet scan through the repartition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events + k, es (epoch seconds), host and ip."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = spread(read_table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
     uid = F.col("user_id")
     ip = F.when(
