@@ -2,11 +2,17 @@
 
 Cooldown (E5), one-per-interval notifications (Q14), the fixed 24 h
 anomaly period (M12), the per-target rate limit (R5) and the block state
-(R10) cannot be written as window functions. They run through
-``ordered.sequential_fold``: rows are hash-partitioned by key (and by a
-segment number that restarts wherever the state is provably empty), sorted
-inside the partition, and folded in Arrow batches with numpy jumps
-(``searchsorted``) so the Python loop runs once per *fired* row, not per row.
+(R10) cannot be written as window functions.
+
+* The three period folds run as the exact three-pass bucketed fold of
+  ``functions.periods``: buckets of a key are folded in parallel for every
+  possible entry, a scan over the small per-bucket summaries fixes each
+  bucket's true entry, and the buckets are folded again in parallel.
+* The rate limit and the block state run through ``ordered.sequential_fold``:
+  rows are hash-partitioned by key and by a segment number that restarts
+  wherever the state is provably empty, sorted inside the partition, and
+  folded in Arrow batches with numpy jumps (``searchsorted``), so the Python
+  loop runs once per *allowed* row, not once per row.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import sequential_fold
+from ..functions.periods import period_starts as _parallel_periods
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -29,36 +36,11 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
     """Greedy periods per key: a row opens a period when ``t >= start + period``
     (the first row opens the first). Returns ``(keys, tie, period_start, opens)``.
 
-    ``t`` is a long (e.g. epoch micros), ``period`` in the same unit."""
-    key_types = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType(
-        [T.StructField(k, key_types[k]) for k in keys]
-        + [T.StructField(tie, key_types[tie]), T.StructField("period_start", T.LongType()),
-           T.StructField("opens", T.BooleanType())])
-
-    def step(cols: dict, state):
-        tv = cols[t].astype(np.int64)
-        n = len(tv)
-        starts = np.empty(n, dtype=np.int64)
-        opens = np.zeros(n, dtype=bool)
-        i = 0
-        cur = state
-        if cur is not None:
-            j = int(np.searchsorted(tv, cur + period, side="left"))
-            starts[:j] = cur
-            i = j
-        while i < n:
-            cur = int(tv[i])
-            opens[i] = True
-            j = max(int(np.searchsorted(tv, cur + period, side="left")), i + 1)
-            starts[i:j] = cur
-            i = j
-        return {"period_start": starts, "opens": opens}, cur
-
-    sel = df.select(*keys, t, tie)
-    return sequential_fold(sel, keys, t, tie, step, schema, reset_gap=period,
-                           bucket=bucket if bucket is not None
-                           else F.floor(F.col(t) / 3_600_000_000).cast("long"))
+    ``t`` is a long (e.g. epoch micros), ``period`` in the same unit. Runs as
+    the three-pass bucketed fold of ``functions.periods``, so even a key with
+    continuous traffic is spread over tasks (``bucket`` is accepted for
+    signature compatibility; the bucket width is derived from ``period``)."""
+    return _parallel_periods(df, list(keys), t, tie, int(period))
 
 
 def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, window: int,

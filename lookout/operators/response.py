@@ -90,9 +90,13 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
     pid = F.trim(t).try_cast("long")
     d = d.withColumn("__pid", F.when(a == "kill_process", pid))
     if processes is not None:
+        # Only kill requests carry a pid: join those alone, so the (many) rows
+        # with a NULL key do not all hash into one partition of the join.
         names = processes.select(F.col("pid").cast("long").alias("__pid"),
                                  F.col("name").alias("__pname")).dropDuplicates(["__pid"])
-        d = d.join(names, "__pid", "left")
+        kills = d.filter(F.col("__pid").isNotNull()).join(names, "__pid", "left")
+        rest = d.filter(F.col("__pid").isNull()).withColumn("__pname", F.lit(None).cast("string"))
+        d = kills.unionByName(rest)
     else:
         d = d.withColumn("__pname", F.lit(None).cast("string"))
     dur = F.coalesce(F.col("duration_minutes"), F.lit(default_minutes))

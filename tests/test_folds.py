@@ -120,3 +120,20 @@ def test_top_k_per_group(spark):
     for k, g in pdf.groupby("key"):
         exp = g.sort_values(["t", "id"], ascending=False)["id"].head(5).tolist()
         assert got[got["key"] == k].sort_values("rank")["id"].tolist() == exp
+
+
+def test_parallel_periods_dense_hot_key(spark):
+    """A key with continuous traffic (no gap to split at) across many buckets."""
+    from lookout.functions.periods import period_starts
+    rnd = random.Random(11)
+    rows, t = [], 0
+    for i in range(2500):
+        t += rnd.choice([1, 2, 3, 5])
+        rows.append(("hot" if i % 5 else "cold", i, t))
+    df = spark.createDataFrame(rows, "key string, id long, t long")
+    for period in (7, 40):
+        got = {r["id"]: bool(r["opens"]) for r in period_starts(df, ["key"], "t", "id", period,
+                                                                factor=4).collect()}
+        pdf = pd.DataFrame(rows, columns=["key", "id", "t"]).sort_values(["key", "t", "id"])
+        for _, g in pdf.groupby("key"):
+            assert [got[i] for i in g["id"]] == _brute_periods(g["t"].tolist(), period)
