@@ -195,7 +195,8 @@ def service_liveness(heartbeats: DataFrame, as_of: str, ttls: dict[str, int]) ->
     last = heartbeats.groupBy("service").agg(F.max("ts").alias("last_seen"))
     now = F.lit(as_of).cast("timestamp_ntz")
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
-    j = F.broadcast(exp).join(last, "service", "left")
+    # the expected-service list is configuration-sized: it is the broadcast side
+    j = last.join(F.broadcast(exp), "service", "right")
     return j.select("service", "last_seen",
                     (F.col("last_seen").isNotNull() & (age < F.col("ttl_seconds"))).alias("active"))
 
