@@ -91,23 +91,38 @@ def block_state(df: DataFrame, keys: list[str], t: str, tie: str, action: str,
 
     def step(cols: dict, state):
         tv = cols[t].astype(np.int64)
-        acts = cols[action]
+        is_block = cols[action] == "block_ip"
         untils = cols[until].astype(np.int64)
+        n = len(tv)
+        # next block / unblock row at or after each index (n when none)
+        idx = np.arange(n)
+        nb = np.minimum.accumulate(np.where(is_block, idx, n)[::-1])[::-1]
+        nu = np.minimum.accumulate(np.where(~is_block, idx, n)[::-1])[::-1]
+        outcome = np.empty(n, dtype=object)
+        bu = np.empty(n, dtype=object)
         cur = state  # blocked-until or None
-        outcome = np.empty(len(tv), dtype=object)
-        bu = np.empty(len(tv), dtype=object)
-        for i in range(len(tv)):
-            blocked = cur is not None and tv[i] < cur
-            if acts[i] == "block_ip":
-                if blocked:
-                    outcome[i] = "already_blocked"
-                else:
-                    cur = int(untils[i])
-                    outcome[i] = "blocked"
+        i = 0
+        while i < n:
+            if cur is None:
+                j = int(nb[i])                  # unblocks until the next block are no-ops
+                outcome[i:j] = "not_blocked"
+                bu[i:j] = None
+                if j >= n:
+                    break
+                cur = int(untils[j])
+                outcome[j], bu[j] = "blocked", cur
+                i = j + 1
             else:
-                outcome[i] = "unblocked" if blocked else "not_blocked"
-                cur = None
-            bu[i] = cur
+                end = int(np.searchsorted(tv, cur, side="left"))  # first row no longer blocked
+                u = int(nu[i])
+                stop = min(end, u, n)
+                outcome[i:stop] = "already_blocked"  # blocks while blocked change nothing
+                bu[i:stop] = cur
+                if stop == u and u < end:
+                    outcome[u], bu[u] = "unblocked", None
+                    cur, i = None, u + 1
+                else:
+                    cur, i = None, stop
         return {"outcome": outcome, "blocked_until": bu}, cur
 
     sel = df.select(*keys, t, tie, action, until)

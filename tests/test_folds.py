@@ -137,3 +137,33 @@ def test_parallel_periods_dense_hot_key(spark):
         pdf = pd.DataFrame(rows, columns=["key", "id", "t"]).sort_values(["key", "t", "id"])
         for _, g in pdf.groupby("key"):
             assert [got[i] for i in g["id"]] == _brute_periods(g["t"].tolist(), period)
+
+
+def test_block_state_random_against_brute_force(spark):
+    def brute(rows):
+        cur, out = None, []
+        for t, a, u in rows:
+            blocked = cur is not None and t < cur
+            if a == "block_ip":
+                if blocked:
+                    out.append("already_blocked")
+                else:
+                    cur = u
+                    out.append("blocked")
+            else:
+                out.append("unblocked" if blocked else "not_blocked")
+                cur = None
+        return out
+    rnd = random.Random(21)
+    rows = []
+    for i in range(1500):
+        k = "hot" if rnd.random() < 0.6 else f"k{rnd.randrange(3)}"
+        t = rnd.randrange(20000)
+        rows.append((k, i, t, "block_ip" if rnd.random() < 0.7 else "unblock_ip",
+                     t + rnd.choice([50, 300, 1000])))
+    df = spark.createDataFrame(rows, "target string, id long, t long, action string, until long")
+    got = {r["id"]: r["outcome"] for r in
+           FO.block_state(df, ["target"], "t", "id", "action", "until", 1000).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "id", "t", "a", "u"]).sort_values(["k", "t", "id"])
+    for _, g in pdf.groupby("k"):
+        assert [got[i] for i in g["id"]] == brute(list(zip(g["t"], g["a"], g["u"])))
