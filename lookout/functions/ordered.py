@@ -203,7 +203,8 @@ def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
 
     # An explicit partition count: the fold is CPU-bound Python, so AQE must
     # not coalesce it into a few tasks just because the shuffled bytes are few.
-    n_parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from ..session import task_parallelism
+    n_parts = task_parallelism(d.sparkSession)
     sorted_df = d.repartition(n_parts, *[F.col(c) for c in seg_keys]).sortWithinPartitions(
         *seg_keys, t, tie)
     # The fold is the expensive (Python) stage and its result is usually joined

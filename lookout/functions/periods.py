@@ -46,7 +46,8 @@ def _groups(pdf: pd.DataFrame, cols: list[str]):
 
 
 def _n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from ..session import task_parallelism
+    return task_parallelism(df.sparkSession)
 
 
 def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,

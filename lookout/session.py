@@ -42,9 +42,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings every query relies on; safe to call on a driver-made session."""
+    """Settings every query relies on; safe to call on a driver-made session.
+
+    Python stages (forest, folds, HMAC, stateful streaming) import this package
+    inside the workers: its root is put on the PYTHONPATH that Spark hands to
+    them, so it need not be the driver's working directory. (On a cluster the
+    package is shipped with ``--py-files`` or installed on the executors.)"""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT] + paths)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -80,3 +92,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
         _SCHEMAS[path] = df.schema
         return df
     return spark.read.schema(schema).parquet(path)
+
+
+def task_parallelism(spark: SparkSession, per_core: int = 4) -> int:
+    """Partitions for CPU-bound Python stages: the configured shuffle
+    partitions, but no more than ``per_core`` tasks per core of the cluster
+    (so a default of 200 does not mean 200 near-empty Python tasks locally)."""
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(conf, per_core * spark.sparkContext.defaultParallelism))

@@ -62,13 +62,30 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+class _StatePartitions:
+    """State-store partitions are fixed by ``spark.sql.shuffle.partitions`` when a
+    query first starts; cap them at a few per core for the query's start."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        from ..session import task_parallelism
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(task_parallelism(self.spark, 2)))
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+
+
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available, into parquet; return it as a batch table."""
     out = scratch(spark, f"{name}-out")
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
-         .option("path", out).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _StatePartitions(spark):
+        q = (stream.writeStream.format("parquet").outputMode(mode)
+             .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
+             .option("path", out).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -241,8 +258,9 @@ def stream_snapshot_diff(conns: DataFrame) -> DataFrame:
 
 def stream_persist(stream: DataFrame, writer, spark: SparkSession, name: str) -> str:
     """Each micro-batch goes through an idempotent writer (``foreachBatch``)."""
-    q = (stream.writeStream.foreachBatch(lambda df, _epoch: writer(df))
-         .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _StatePartitions(spark):
+        q = (stream.writeStream.foreachBatch(lambda df, _epoch: writer(df))
+             .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return name
