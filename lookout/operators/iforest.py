@@ -119,6 +119,10 @@ def fit_isolation_forest(df: DataFrame, id_col: str = "id", x_col: str = "x",
     return nodes, m
 
 
+def forest_arrays(nodes: DataFrame):
+    return _forest_arrays(nodes.toPandas())
+
+
 def _forest_arrays(nodes_pdf: pd.DataFrame):
     out = []
     for _, g in nodes_pdf.sort_values(["tree", "node"]).groupby("tree"):
@@ -147,9 +151,13 @@ def _path_lengths(x: np.ndarray, forest) -> np.ndarray:
 
 
 def score_samples(df: DataFrame, nodes: DataFrame, sample_size: int, x_col: str = "x",
-                  out: str = "if_raw") -> DataFrame:
-    """-2^(-E[h(x)]/c(sample_size)) per row (sklearn's ``score_samples``)."""
-    forest = _forest_arrays(nodes.toPandas())
+                  out: str = "if_raw", forest=None) -> DataFrame:
+    """-2^(-E[h(x)]/c(sample_size)) per row (sklearn's ``score_samples``).
+
+    ``forest`` is the collected node table (``forest_arrays``); its size is
+    bounded by trees x (2 x max_samples - 1), whatever the data size."""
+    if forest is None:
+        forest = forest_arrays(nodes)
     cn = c_factor(sample_size)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
 
@@ -167,14 +175,22 @@ def score_samples(df: DataFrame, nodes: DataFrame, sample_size: int, x_col: str
 
 
 class IsolationForestModel:
-    def __init__(self, nodes: DataFrame, sample_size: int, offset: float, meta: dict | None = None):
+    def __init__(self, nodes: DataFrame, sample_size: int, offset: float, meta: dict | None = None,
+                 forest=None):
         self.nodes, self.sample_size, self.offset = nodes, sample_size, offset
         self.meta = meta or {}
+        self._forest = forest
+
+    @property
+    def forest(self):
+        if self._forest is None:
+            self._forest = forest_arrays(self.nodes)
+        return self._forest
 
     def isolation_score(self, df: DataFrame, x_col: str = "x",
                         out: str = "isolation_forest_score") -> DataFrame:
         """M4: clamp(0.5 - (score_samples - offset), 0, 1)."""
-        s = score_samples(df, self.nodes, self.sample_size, x_col, "__raw")
+        s = score_samples(df, self.nodes, self.sample_size, x_col, "__raw", self.forest)
         return s.withColumn(out, F.least(F.lit(1.0), F.greatest(
             F.lit(0.0), F.lit(0.5) - (F.col("__raw") - F.lit(self.offset))))).drop("__raw")
 
@@ -205,11 +221,13 @@ def fit_model(df: DataFrame, id_col: str = "id", x_col: str = "x",
     training scores, so that ``decision = score - offset`` is 0 at that quantile."""
     nodes, m = fit_isolation_forest(df, id_col, x_col, **kw)
     nodes = nodes.checkpoint(eager=True)  # cut lineage; lives in spark.checkpoint.dir
-    scored = score_samples(df.select(F.col(x_col).cast("array<double>").alias("x")), nodes, m, "x")
+    forest = forest_arrays(nodes)
+    scored = score_samples(df.select(F.col(x_col).cast("array<double>").alias("x")), nodes, m, "x",
+                           forest=forest)
     offset = scored.agg(F.percentile("if_raw", F.lit(contamination)).alias("p")).first()["p"]
     meta = {"model_version": "iforest_v1", "trees": kw.get("trees", S.IFOREST_TREES),
             "max_samples": kw.get("max_samples", S.IFOREST_MAX_SAMPLES), "n_features": None}
-    return IsolationForestModel(nodes, m, float(offset), meta)
+    return IsolationForestModel(nodes, m, float(offset), meta, forest)
 
 
 def feature_array(cols) -> Column:

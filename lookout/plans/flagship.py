@@ -19,8 +19,8 @@ from . import q_detect as QD
 
 
 def scored_vectors(spark: SparkSession, sf: str, with_forest: bool = True) -> DataFrame:
+    # QD.vectors is checkpointed: baseline, scaler, forest and scoring all reread it
     vec = QD.vectors(spark, sf).withColumn("id", F.xxhash64("host", "ts"))
-    vec = vec.checkpoint(eager=True)  # reused by baseline, forest and scoring
     base = SC.fit_baseline(vec)
     if_scores = None
     version = "unknown"

@@ -95,3 +95,13 @@ def test_default_rules_when_missing(tmp_path):
     rules = load_rules(str(tmp_path / "missing.yml"))
     assert [r["name"] for r in rules] == ["high_score_alert", "critical_score_alert"]
     assert len(load_rules(rules=list(S.EXAMPLE_RULES) + ["junk"])) == 6
+
+
+def test_repeat_count_expires_after_idle(spark):
+    """A 600 s window, but the key's occurrences expire after 300 s without a match."""
+    rules = load_rules(rules=[{"name": "slow", "conditions": {
+        "score_above": 0.5, "repeated_within_seconds": 600, "min_occurrences": 1}}])
+    s = _scores(spark, [(x, 0.9, "brute_force", "7.7.7.7") for x in [0, 100, 450, 500, 799]])
+    counted = {r["id"]: r["repeat_count"] for r in
+               P.evaluate_policies(spark, s, rules, "counted").collect()}
+    assert [counted[i] for i in range(5)] == [1, 2, 1, 2, 3]
