@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.ordered import lag_values
 
 
 def _children_map() -> Column:
@@ -53,14 +54,17 @@ def api_process_risk(df: DataFrame) -> DataFrame:
     return df.withColumn("risk_flag", reason.isNotNull()).withColumn("risk_reason", reason)
 
 
-def previous_snapshot(snaps: DataFrame, keys=("host",), snap: str = "snap") -> DataFrame:
+def previous_snapshot(snaps: DataFrame, keys=("host",), snap: str = "snap",
+                      bucket_size: int = 4096) -> DataFrame:
     """(keys, snap, prev_snap) over the distinct snapshot numbers.
 
-    Works on the distinct snapshot list, which is tiny next to the rows, so
-    the per-host window here is cheap."""
+    The snapshot list is small next to the rows but still grows with time
+    (a poll every few seconds), so the lag is bucketed by snapshot number
+    with the previous bucket's last snapshot carried in."""
     d = snaps.select(*keys, snap).distinct()
-    w = Window.partitionBy(*keys).orderBy(snap)
-    return d.withColumn("prev_snap", F.lag(snap).over(w))
+    bucket = F.floor(F.col(snap) / bucket_size).cast("long")
+    return lag_values(d, list(keys), [snap], [snap], bucket, prefix="__prev_") \
+        .withColumnRenamed(f"__prev_{snap}", "prev_snap")
 
 
 def new_processes(procs: DataFrame) -> DataFrame:
