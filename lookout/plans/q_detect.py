@@ -120,7 +120,7 @@ vec AS (
     count(DISTINCT CASE WHEN stream = 'network' AND type = 'new_connection'
                          AND coalesce(source_ip, '') <> '' THEN source_ip END) AS net_unique_ips,
     count(*) FILTER (WHERE stream = 'network' AND type = 'port_scan_candidate') AS net_port_scan_candidates,
-    0.0 AS net_bytes_rate,
+    CAST(0.0 AS DOUBLE) AS net_bytes_rate,
     count(*) FILTER (WHERE stream = 'processes' AND type = 'new_process') AS proc_new_spawns,
     count(*) FILTER (WHERE stream = 'processes' AND contains(coalesce(risk_reason, ''), 'High CPU')) AS proc_cpu_spikes,
     count(*) FILTER (WHERE stream = 'processes' AND contains(coalesce(risk_reason, ''), 'High memory')) AS proc_memory_spikes,
@@ -256,7 +256,7 @@ SELECT doc_id, length(regexp_replace(text, '(://[^:/@]*:)[^@]*@', '\1*****@', 'g
 FROM documents""")
 def p11_mask_url_secrets(spark, sf):
     d = read_table(spark, sf, "documents")
-    return d.select("doc_id", F.length(L.mask_url_secrets(F.col("text"))).alias("masked_chars"))
+    return d.select("doc_id", F.length(L.mask_url_secrets(F.col("text"))).cast("long").alias("masked_chars"))
 
 
 @register("p14_log_search", with_views("logs") + """
@@ -416,7 +416,7 @@ def m8_risk_level(spark, sf):
 
 @register("m9_score_record", _SCORED_SQL + """
 SELECT host, ts, round(final_score, 4) AS score, """ + RISK_SQL.format(x="final_score") + """ AS risk_level,
-  0.0 AS isolation_forest_score, round(zscore_score, 4) AS zscore_score, round(ema_score, 4) AS ema_score,
+  CAST(0.0 AS DOUBLE) AS isolation_forest_score, round(zscore_score, 4) AS zscore_score, round(ema_score, 4) AS ema_score,
   'unknown' AS model_version
 FROM scored""")
 def m9_score_record(spark, sf):
