@@ -82,8 +82,10 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
         for pdf in batches:
             if pdf.empty:
                 continue
+            gcols = [pdf[c].to_numpy() for c in gk]
+            tv_all = pdf[t].to_numpy(np.int64)
             for s, e in _groups(pdf, gk):
-                g = tuple(pdf[c].iat[s] for c in gk)
+                g = tuple(a[s] for a in gcols)
                 if cur is None or cur[0] != g:
                     if cur is not None:
                         flush(*cur)
@@ -92,7 +94,7 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
                                "entry_end": bstart + period, "sentinel": False})
                 st = cur[1]
                 heap, parent, L = st["heap"], st["parent"], st["L"]
-                for tv in pdf[t].to_numpy(np.int64)[s:e]:
+                for tv in tv_all[s:e]:
                     tv = int(tv)
                     firing = []
                     while heap and heap[0][0] + period <= tv:
@@ -131,14 +133,18 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
         for pdf in batches:
             if pdf.empty:
                 continue
+            kcols = [pdf[c].to_numpy() for c in keys]
+            b_all = pdf["__b"].to_numpy(np.int64)
+            cand_all = pdf["__cand"].to_numpy(np.int64)
+            exit_all = pdf["__exit"].to_numpy(np.int64)
             for s, e in _groups(pdf, gk):
-                kk = tuple(pdf[c].iat[s] for c in keys)
+                kk = tuple(a[s] for a in kcols)
                 if kk != prev_key:
                     prev_key, last = kk, None
-                b = int(pdf["__b"].iat[s])
+                b = int(b_all[s])
                 out.append((*kk, b, last))
-                cand = pdf["__cand"].to_numpy(np.int64)[s:e]
-                exits = pdf["__exit"].to_numpy(np.int64)[s:e]
+                cand = cand_all[s:e]
+                exits = exit_all[s:e]
                 if last is None:
                     last = int(exits[0])        # no entry: the first row opens
                 else:
@@ -164,10 +170,12 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
             tv_all = pdf[t].to_numpy(np.int64)
             starts = np.empty(len(pdf), dtype=np.int64)
             opens = np.zeros(len(pdf), dtype=bool)
+            gcols = [pdf[c].to_numpy() for c in gk]
+            ent_all = pdf["__entry"].to_numpy()
             for s, e in _groups(pdf, gk):
-                g = tuple(pdf[c].iat[s] for c in gk)
+                g = tuple(a[s] for a in gcols)
                 if g != cur_g:
-                    ent = pdf["__entry"].iat[s]
+                    ent = ent_all[s]
                     cur_g, state = g, (None if pd.isna(ent) else int(ent))
                 tv = tv_all[s:e]
                 i = 0
