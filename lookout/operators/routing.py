@@ -134,6 +134,15 @@ def delivery_outcomes(attempts: DataFrame, max_attempts: int = S.MAX_DELIVERY_AT
         F.when(F.col("first_ok").isNull(), F.col("last_error")).alias("last_error"), "ts")
 
 
+def undeliverable(routed: DataFrame) -> DataFrame:
+    """W7, the no-URL case: a routed webhook without a URL is an ``error`` with
+    0 attempts (nothing is sent)."""
+    bad = F.coalesce(F.trim(F.col("webhook_url")), F.lit("")) == ""
+    return routed.filter(bad).select(
+        "alert_id", "webhook_name", F.lit("error").alias("status"),
+        F.lit(0).alias("attempts"), F.lit("No URL configured").alias("last_error"))
+
+
 def delivery_dead_letters(outcomes: DataFrame, keep: int = S.DEAD_LETTER_KEEP,
                           page: int = S.DEAD_LETTER_PAGE) -> DataFrame:
     """Failed deliveries, newest first: the first ``page`` of the newest ``keep``."""

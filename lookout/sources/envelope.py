@@ -26,3 +26,13 @@ def split_dead_letters(df: DataFrame, source: str, data: str = "data", id_col: s
         F.substring(F.coalesce(F.col(data), F.lit("")), 1, 500).alias("data"),
         F.col(ts).alias("ts"))
     return good, dead
+
+
+def processing_dead_letters(failed: DataFrame, source: str, reason: str = "error",
+                            id_col: str = "id", ts: str = "ts") -> DataFrame:
+    """S4, processing-error variant: rows whose handling failed (``reason``
+    holds the error text) become dead letters with the reason cut to 200 chars."""
+    return failed.select(
+        F.lit(source).alias("source"), F.col(id_col).cast("string").alias("msg_id"),
+        F.substring(F.coalesce(F.col(reason).cast("string"), F.lit("")), 1, 200).alias("reason"),
+        F.col(ts).alias("ts"))

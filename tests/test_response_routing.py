@@ -92,3 +92,10 @@ def test_webhook_url_check(spark):
     got = [r["reason"] for r in W.webhook_url_check(df).collect()]
     assert got == [None, "invalid_scheme", "no_hostname", "blocked_address", "blocked_address",
                    "blocked_address", None]
+
+
+def test_undeliverable_without_url(spark):
+    df = spark.createDataFrame([("a1", "hook", ""), ("a2", "hook2", "https://x.example/h")],
+                               "alert_id string, webhook_name string, webhook_url string")
+    got = [tuple(r) for r in W.undeliverable(df).collect()]
+    assert got == [("a1", "hook", "error", 0, "No URL configured")]

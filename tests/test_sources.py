@@ -54,3 +54,9 @@ def test_envelope_and_dead_letters(spark):
     assert [r["id"] for r in good.collect()] == [1]
     d = dead.collect()[0]
     assert (d["source"], d["msg_id"], d["reason"], d["data"]) == ("ml", "2", "json_decode_error", "{bad")
+
+
+def test_processing_dead_letters(spark):
+    df = spark.createDataFrame([(7, dt.datetime(2024, 1, 1), "x" * 300)], "id long, ts timestamp_ntz, err string")
+    d = EN.processing_dead_letters(df, "actions", "err").collect()[0]
+    assert (d["source"], d["msg_id"], len(d["reason"])) == ("actions", "7", 200)
