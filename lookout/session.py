@@ -13,17 +13,43 @@ TABLES = (
 ).split()
 
 
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits and post-shuffle partitions target ``partition_bytes`` (a
+    size a 4-8 GB executor core sorts and aggregates without heavy spill).
+    The initial shuffle width is sized for the worst case of the input
+    being shuffled whole; AQE then coalesces it to the bytes actually
+    shuffled (most aggregates are partial, so usually far fewer) and
+    splits skewed join partitions."""
+    # capped: maps x reducers shuffle blocks (and their metadata) grow with it
+    parts = max(200, min(50_000, input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "lookout") -> SparkSession:
+                  app_name: str = "lookout", input_bytes: int | None = None) -> SparkSession:
     """A session configured the way the library expects: UTC, AQE on, UI off.
 
-    On a cluster call this without ``master`` so that spark-submit decides.
+    On a cluster call this without ``master`` so that spark-submit decides,
+    and pass ``input_bytes`` to size partitions (``cluster_conf``).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    elif input_bytes:
+        for k, v in cluster_conf(input_bytes).items():
+            builder = builder.config(k, v)
+    if master or not input_bytes:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
