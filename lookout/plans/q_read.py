@@ -619,7 +619,7 @@ def s2_stream_log_files(spark, sf):
             continue
         mid = bounds[0] + (bounds[1] - bounds[0]) / 2
         for seg, cond in enumerate((F.col("ts") < F.lit(mid), F.col("ts") >= F.lit(mid))):
-            part.filter(cond).select("value").coalesce(1).write.mode("append") \
+            part.filter(cond).select("value").write.mode("append") \
                 .text(os.path.join(root, src))
     s = FI.stream_log_files(spark, root, max_files_per_trigger=2, source_from_parent=True)
     out = Z.run_to_table(s, spark, "s2")

@@ -22,8 +22,8 @@ from .sqlviews import with_views
 
 def _stream_of(spark, df, name, ts="ts"):
     path = Z.scratch(spark, f"{name}-in")
-    Z.write_in_time_slices(df, path, ts)
-    return Z.read_stream(spark, path, spark.read.parquet(path).schema)
+    files = Z.write_in_time_slices(df, path, ts)
+    return Z.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=files)
 
 
 @register("z1_stream_features", _VEC_SQL + f"""

@@ -41,25 +41,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:10]}")
 
 
-def write_in_time_slices(df: DataFrame, path: str, ts: str = "ts", slices: int = 6) -> None:
-    """Write ``df`` as ``slices`` appends in time order (one file set per slice), so a
-    file source with ``maxFilesPerTrigger`` replays them in event-time order."""
-    bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    if bounds["lo"] is None:
+def write_in_time_slices(df: DataFrame, path: str, ts: str = "ts", slices: int = 6,
+                         rows_per_file: int = 5_000_000) -> int:
+    """Write ``df`` as ``slices`` appends in time order, so a file source replays
+    them in event-time order. Each slice is range-partitioned on ``ts`` into
+    enough files of at most ``rows_per_file`` rows (written in parallel, never
+    through one task). Returns the files per slice: read with that many files
+    per trigger, each micro-batch is one whole slice."""
+    st = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if st["lo"] is None:
         df.limit(0).write.mode("append").parquet(path)
-        return
-    lo, hi = bounds["lo"], bounds["hi"]
+        return 1
+    lo, hi, n = st["lo"], st["hi"], st["n"]
+    files = max(1, -(-n // (slices * rows_per_file)))
     step = (hi - lo) / slices
     for i in range(slices):
-        a = lo + step * i
-        cond = F.col(ts) >= F.lit(a)
+        cond = F.col(ts) >= F.lit(lo + step * i)
         if i < slices - 1:
             cond = cond & (F.col(ts) < F.lit(lo + step * (i + 1)))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        df.filter(cond).repartitionByRange(files, ts).write.mode("append").parquet(path)
+    return files
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType,
+                files_per_trigger: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger) \
+        .parquet(path)
 
 
 class _StatePartitions:
