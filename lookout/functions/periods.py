@@ -94,26 +94,42 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
                                "entry_end": bstart + period, "sentinel": False})
                 st = cur[1]
                 heap, parent, L = st["heap"], st["parent"], st["L"]
-                for tv in tv_all[s:e]:
-                    tv = int(tv)
+                tv = tv_all[s:e]
+                n_seg, i = e - s, 0
+                # rows up to the first one past the entry zone may start chains: per row
+                while i < n_seg and not st["sentinel"]:
+                    x = int(tv[i])
                     firing = []
-                    while heap and heap[0][0] + period <= tv:
+                    while heap and heap[0][0] + period <= x:
                         firing.append(heapq.heappop(heap)[1])
-                    is_cand = tv < st["entry_end"] or not st["sentinel"]
-                    if tv >= st["entry_end"]:
+                    if x >= st["entry_end"]:
                         st["sentinel"] = True
-                    if is_cand:
-                        cid = len(parent)
-                        parent.append(cid)
-                        L.append(tv)
-                        st["cands"].append((cid, tv))
-                        firing.append(cid)
-                    if firing:
-                        root = firing[0]
-                        for other in firing[1:]:
-                            parent[other] = root
-                        L[root] = tv
-                        heapq.heappush(heap, (tv, root))
+                    cid = len(parent)
+                    parent.append(cid)
+                    L.append(x)
+                    st["cands"].append((cid, x))
+                    firing.append(cid)
+                    root = firing[0]
+                    for other in firing[1:]:
+                        parent[other] = root
+                    L[root] = x
+                    heapq.heappush(heap, (x, root))
+                    i += 1
+                # afterwards only chains fire: jump to the row where the earliest one fires
+                while heap and i < n_seg:
+                    j = max(i, int(np.searchsorted(tv, heap[0][0] + period, side="left")))
+                    if j >= n_seg:
+                        break
+                    x = int(tv[j])
+                    firing = []
+                    while heap and heap[0][0] + period <= x:
+                        firing.append(heapq.heappop(heap)[1])
+                    root = firing[0]
+                    for other in firing[1:]:
+                        parent[other] = root
+                    L[root] = x
+                    heapq.heappush(heap, (x, root))
+                    i = j + 1
         if cur is not None:
             flush(*cur)
         if out:
