@@ -18,7 +18,6 @@ anomaly period (M12), the per-target rate limit (R5) and the block state
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
