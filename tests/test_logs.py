@@ -53,3 +53,22 @@ def test_log_search_regex_and_substring(spark):
     assert L.log_search(df, "/fail/").count() == 2
     assert L.log_search(df, "LOGIN").count() == 1
     assert L.log_search(df, "/fa(il/").count() == 0  # invalid regex -> substring 'fa(il'
+
+
+def test_keyset_paging_and_sources(spark):
+    import datetime as dt
+    from lookout.operators import reads as Q
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), ["auth.log", "syslog", ""][i % 3],
+             "warning" if i % 2 else "info", f"m{i}", "unknown" if i % 4 else "ssh_failure", None, None)
+            for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, source string, level string, message string, "
+                                     "type string, user string, source_ip string")
+    p1 = Q.query_logs(df, level="warning", limit=5)
+    ids = [r["id"] for r in p1.collect()]
+    assert ids == [29, 27, 25, 23, 21]
+    cur = Q.next_cursor(p1, 5)
+    assert cur == 21
+    assert [r["id"] for r in Q.query_logs(df, level="warning", after=cur, limit=5).collect()] == [19, 17, 15, 13, 11]
+    assert Q.next_cursor(Q.query_logs(df, level="warning", after=3, limit=5), 5) is None
+    assert [r["source"] for r in Q.log_sources(df, newest=2).collect()] == ["syslog"]
+    assert [r["source"] for r in Q.log_sources(df, newest=3).collect()] == ["auth.log", "syslog"]
