@@ -45,13 +45,16 @@ def next_cursor(page: DataFrame, limit: int, id_col: str = "id"):
 
 def query_alerts(alerts: DataFrame, severity: str | None = None, since=None, after=None,
                  limit: int = 50, order_col: str = "score_id") -> DataFrame:
-    """Q2: filters first, then the page (the all-time total is ``alerts.count()``)."""
+    """Q2: filters first, then the page; ``total`` is the all-time alert count
+    (one aggregate row, joined on a constant key)."""
     d = alerts
     if severity:
         d = d.filter(F.col("severity") == severity)
     if since is not None:
         d = d.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    return _page(d, order_col, after, limit, 1, 500)
+    page = _page(d, order_col, after, limit, 1, 500)
+    total = alerts.agg(F.count(F.lit(1)).alias("total")).withColumn("__one", F.lit(1))
+    return page.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").drop("__one")
 
 
 def query_actions(actions: DataFrame, triggered_by: str | None = None, action_id: str | None = None,

@@ -30,3 +30,30 @@ def retention_cleanup(tables: dict[str, DataFrame], as_of: str,
 def trim_stream(df: DataFrame, cap: int, ts: str = "ts", tie: str = "id") -> DataFrame:
     """The newest ``cap`` entries (exact; a bounded top-k, TakeOrderedAndProject)."""
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(int(cap))
+
+
+def drop_expired_partitions(spark, table_path: str, days: int, as_of: str,
+                            partition_col: str = "date") -> list[str]:
+    """T1 applied to a date-partitioned table: delete the ``partition_col=YYYY-MM-DD``
+    folders older than ``days`` at ``as_of``. Only folder names are listed on
+    the driver (no data is read); returns the deleted partition values."""
+    import datetime as dt
+    cutoff = (dt.datetime.fromisoformat(as_of) - dt.timedelta(days=int(days))).date()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    if not fs.exists(path):
+        return dropped
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if not st.isDirectory() or not name.startswith(partition_col + "="):
+            continue
+        try:
+            day = dt.date.fromisoformat(name.split("=", 1)[1][:10])
+        except ValueError:
+            continue
+        if day < cutoff:
+            fs.delete(st.getPath(), True)
+            dropped.append(str(day))
+    return sorted(dropped)

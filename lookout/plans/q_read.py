@@ -45,11 +45,11 @@ def q1_query_logs(spark, sf):
 
 
 @register("q2_query_alerts", _ALERT_SQL + """
-SELECT alert_id, score_id, ts, severity FROM alerts
+SELECT alert_id, score_id, ts, severity, (SELECT count(*) FROM alerts) AS total FROM alerts
 WHERE severity = 'high' AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY score_id DESC LIMIT 50""")
 def q2_query_alerts(spark, sf):
     return Q.query_alerts(alerts(spark, sf), severity="high", since="2024-01-10 00:00:00") \
-        .select("alert_id", "score_id", "ts", "severity")
+        .select("alert_id", "score_id", "ts", "severity", "total")
 
 
 @register("q3_query_actions", _R_SQL + """

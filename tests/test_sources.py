@@ -60,3 +60,14 @@ def test_processing_dead_letters(spark):
     df = spark.createDataFrame([(7, dt.datetime(2024, 1, 1), "x" * 300)], "id long, ts timestamp_ntz, err string")
     d = EN.processing_dead_letters(df, "actions", "err").collect()[0]
     assert (d["source"], d["msg_id"], len(d["reason"])) == ("actions", "7", 200)
+
+
+def test_drop_expired_partitions(spark, tmp_path):
+    from lookout.operators.retention import drop_expired_partitions
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, date date")
+    path = str(tmp_path / "logs")
+    df.write.partitionBy("date").parquet(path)
+    dropped = drop_expired_partitions(spark, path, 5, "2024-01-08 12:00:00")
+    assert dropped == ["2024-01-01", "2024-01-02"]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(2, 10))
