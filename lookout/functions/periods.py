@@ -144,7 +144,9 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
         T.StructField("__b", T.LongType()), T.StructField("__entry", T.LongType())])
 
     def pass2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev_key, last = None, None
+        # a bucket's candidates may span batches: the entry is emitted at its
+        # first chunk and the search for its candidate continues across chunks
+        prev_key, last, cur_b, pending, thr = None, None, None, False, None
         out = []
         for pdf in batches:
             if pdf.empty:
@@ -155,18 +157,22 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
             exit_all = pdf["__exit"].to_numpy(np.int64)
             for s, e in _groups(pdf, gk):
                 kk = tuple(a[s] for a in kcols)
-                if kk != prev_key:
-                    prev_key, last = kk, None
                 b = int(b_all[s])
-                out.append((*kk, b, last))
-                cand = cand_all[s:e]
-                exits = exit_all[s:e]
-                if last is None:
-                    last = int(exits[0])        # no entry: the first row opens
-                else:
-                    j = int(np.searchsorted(cand, last + period, side="left"))
-                    if j < len(cand):
-                        last = int(exits[j])
+                if (kk, b) != cur_b:
+                    if kk != prev_key:
+                        prev_key, last = kk, None
+                    cur_b = (kk, b)
+                    out.append((*kk, b, last))
+                    thr = None if last is None else last + period
+                    pending = True
+                if not pending:
+                    continue
+                if thr is None:                 # no entry: the bucket's first row opens
+                    last, pending = int(exit_all[s]), False
+                    continue
+                j = int(np.searchsorted(cand_all[s:e], thr, side="left"))
+                if j < e - s:
+                    last, pending = int(exit_all[s + j]), False
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in entry_schema.fields])
 

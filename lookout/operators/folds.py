@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordered import sequential_fold
+from ..functions.blocks import block_state as _parallel_blocks
 from ..functions.periods import period_starts as _parallel_periods
 
 
@@ -81,50 +82,9 @@ def block_state(df: DataFrame, keys: list[str], t: str, tie: str, action: str,
                 until: str, max_duration: int, bucket: Column | None = None) -> DataFrame:
     """Per target in time order, ``block`` while blocked -> already_blocked,
     else blocked until ``until``; ``unblock`` ends a block (``unblocked``) or is a
-    no-op (``not_blocked``). Returns ``(keys, tie, outcome, blocked_until)``."""
-    key_types = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType(
-        [T.StructField(k, key_types[k]) for k in keys]
-        + [T.StructField(tie, key_types[tie]), T.StructField("outcome", T.StringType()),
-           T.StructField("blocked_until", T.LongType())])
+    no-op (``not_blocked``). Returns ``(keys, tie, outcome, blocked_until)``.
 
-    def step(cols: dict, state):
-        tv = cols[t].astype(np.int64)
-        is_block = cols[action] == "block_ip"
-        untils = cols[until].astype(np.int64)
-        n = len(tv)
-        # next block / unblock row at or after each index (n when none)
-        idx = np.arange(n)
-        nb = np.minimum.accumulate(np.where(is_block, idx, n)[::-1])[::-1]
-        nu = np.minimum.accumulate(np.where(~is_block, idx, n)[::-1])[::-1]
-        outcome = np.empty(n, dtype=object)
-        bu = np.empty(n, dtype=object)
-        cur = state  # blocked-until or None
-        i = 0
-        while i < n:
-            if cur is None:
-                j = int(nb[i])                  # unblocks until the next block are no-ops
-                outcome[i:j] = "not_blocked"
-                bu[i:j] = None
-                if j >= n:
-                    break
-                cur = int(untils[j])
-                outcome[j], bu[j] = "blocked", cur
-                i = j + 1
-            else:
-                end = int(np.searchsorted(tv, cur, side="left"))  # first row no longer blocked
-                u = int(nu[i])
-                stop = min(end, u, n)
-                outcome[i:stop] = "already_blocked"  # blocks while blocked change nothing
-                bu[i:stop] = cur
-                if stop == u and u < end:
-                    outcome[u], bu[u] = "unblocked", None
-                    cur, i = None, u + 1
-                else:
-                    cur, i = None, stop
-        return {"outcome": outcome, "blocked_until": bu}, cur
-
-    sel = df.select(*keys, t, tie, action, until)
-    return sequential_fold(sel, keys, t, tie, step, schema, reset_gap=max_duration,
-                           bucket=bucket if bucket is not None
-                           else F.floor(F.col(t) / 3_600_000_000).cast("long"))
+    Runs as the three-pass bucketed fold of ``functions.blocks`` (buckets of
+    64 x ``max_duration``), so a target with continuous requests is spread
+    over tasks as well (``bucket`` is accepted for signature compatibility)."""
+    return _parallel_blocks(df, list(keys), t, tie, action, until, int(max_duration))

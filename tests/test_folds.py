@@ -167,3 +167,40 @@ def test_block_state_random_against_brute_force(spark):
     pdf = pd.DataFrame(rows, columns=["k", "id", "t", "a", "u"]).sort_values(["k", "t", "id"])
     for _, g in pdf.groupby("k"):
         assert [got[i] for i in g["id"]] == brute(list(zip(g["t"], g["a"], g["u"])))
+
+
+def test_folds_carry_state_across_arrow_batches(spark):
+    """Tiny Arrow batches: every key and bucket spans many batches."""
+    from lookout.functions.periods import period_starts
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        rnd = random.Random(5)
+        rows, t = [], 0
+        for i in range(1500):
+            t += rnd.choice([1, 2, 3])
+            rows.append(("hot" if i % 4 else "k1", i, t,
+                         "block_ip" if rnd.random() < 0.9 else "unblock_ip", t + rnd.choice([10, 40, 90])))
+        df = spark.createDataFrame(rows, "key string, id long, t long, action string, until long")
+        pdf = pd.DataFrame(rows, columns=["key", "id", "t", "a", "u"]).sort_values(["key", "t", "id"])
+        per = {r["id"]: bool(r["opens"]) for r in period_starts(df, ["key"], "t", "id", 25, factor=4).collect()}
+        rate = {r["id"]: bool(r["allowed"]) for r in FO.rate_limit(df, ["key"], "t", "id", 3, 20).collect()}
+        blk = {r["id"]: r["outcome"] for r in
+               FO.block_state(df, ["key"], "t", "id", "action", "until", 90).collect()}
+        for _, g in pdf.groupby("key"):
+            ids, ts = g["id"].tolist(), g["t"].tolist()
+            assert [per[i] for i in ids] == _brute_periods(ts, 25)
+            assert [rate[i] for i in ids] == _brute_rate(ts, 3, 20)
+            cur, exp = None, []
+            for x, a, u in zip(ts, g["a"], g["u"]):
+                blocked = cur is not None and x < cur
+                if a == "block_ip":
+                    exp.append("already_blocked" if blocked else "blocked")
+                    if not blocked:
+                        cur = u
+                else:
+                    exp.append("unblocked" if blocked else "not_blocked")
+                    cur = None
+            assert [blk[i] for i in ids] == exp
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
