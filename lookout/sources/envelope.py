@@ -14,6 +14,18 @@ def decode_envelope(df: DataFrame, schema: T.StructType, data: str = "data") ->
         *[c for c in df.columns], *[F.col(f"__d.{f.name}").alias(f.name) for f in schema.fields])
 
 
+def decode_flat(df: DataFrame, fields: list[str]) -> DataFrame:
+    """S3, flat form: each listed string field holds a JSON value or a plain
+    string; both become VARIANT columns (JSON parsed, anything else kept as a
+    JSON string)."""
+    out = df
+    for f in fields:
+        as_string = F.variant_get(F.parse_json(F.to_json(F.array(F.col(f)))), "$[0]", "variant")
+        out = out.withColumn(f, F.when(F.col(f).isNotNull(),
+                                       F.coalesce(F.try_parse_json(F.col(f)), as_string)))
+    return out
+
+
 def split_dead_letters(df: DataFrame, source: str, data: str = "data", id_col: str = "id",
                        ts: str = "ts") -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters). A row is dead when ``data`` is not a JSON

@@ -71,3 +71,12 @@ def test_drop_expired_partitions(spark, tmp_path):
     dropped = drop_expired_partitions(spark, path, 5, "2024-01-08 12:00:00")
     assert dropped == ["2024-01-01", "2024-01-02"]
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(2, 10))
+
+
+def test_decode_flat_entries(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([('{"a": 1}', "hello", "5", None)], "x string, y string, z string, w string")
+    d = EN.decode_flat(df, ["x", "y", "z", "w"])
+    r = d.select(F.variant_get("x", "$.a", "int").alias("a"), F.variant_get("y", "$", "string").alias("y"),
+                 F.variant_get("z", "$", "int").alias("z"), F.col("w").isNull().alias("w_null")).first()
+    assert (r["a"], r["y"], r["z"], r["w_null"]) == (1, "hello", 5, True)
