@@ -57,7 +57,9 @@ def z3_stream_rate_limit(spark, sf):
     return out.select("request_id", "rate_ok")
 
 
-@register("z4_stream_reversals")
+@register("z4_stream_reversals", _R_SQL + """
+SELECT action_id, target, 'unblock_ip' AS action, epoch_us(reversal_at) AS due_at FROM revs
+WHERE epoch_us(reversal_at) <= (CAST(floor(epoch_us((SELECT max(ts) FROM revs)) / 1000) AS BIGINT) - 600000) * 1000""")
 def z4_stream_reversals(spark, sf):
     """Blocked actions set event-time timers; unblock requests fire as the
     watermark passes each reversal time (timers still open at the end stay pending)."""
