@@ -298,7 +298,11 @@ def w5_sign_payloads(spark, sf):
     return W.sign_payloads(p, SECRET).select("alert_id", "webhook_name", "signature")
 
 
-@register("w6_verify_signatures")
+_SIGNING = ", ".join(f"'{h['name']}'" for h in S.EXAMPLE_WEBHOOKS if h.get("sign_payloads"))
+
+
+@register("w6_verify_signatures", _ROUTE_SQL + f"""
+SELECT alert_id, webhook_name, true AS valid FROM routed WHERE webhook_name IN ({_SIGNING})""")
 def w6_verify_signatures(spark, sf):
     """Signatures recomputed and compared (all must verify)."""
     p = W.sign_payloads(W.alert_payload(routed(spark, sf)).filter("sign_payloads"), SECRET)
