@@ -291,16 +291,56 @@ def w4_alert_payload(spark, sf):
                     body["embeds"][0]["color"].alias("color"))
 
 
-@register("w5_sign_payloads")
+_SIGNING = ", ".join(f"'{h['name']}'" for h in S.EXAMPLE_WEBHOOKS if h.get("sign_payloads"))
+
+
+def _hmac_pads(secret: str) -> tuple[str, str]:
+    """HMAC (RFC 2104) key pads for SHA-256 (64-byte block), as hex."""
+    key = secret.encode("utf-8").ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5c for b in key).hex()
+
+
+_IPAD, _OPAD = _hmac_pads(SECRET)
+
+RISK_SQL_SCORE = ("CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'suspicious' "
+                  "WHEN score >= 0.4 THEN 'elevated' ELSE 'normal' END")
+
+# the payload body written out in the field order and compact layout of JSON
+_PAYLOAD_SQL = f"""'{{"event_type":' || to_json(event_type)
+  || ',"alert_id":' || to_json(alert_id)
+  || ',"timestamp":' || to_json(CAST(ts AS VARCHAR))
+  || ',"severity":' || to_json(severity)
+  || ',"score":' || CAST(CAST(score AS DOUBLE) AS VARCHAR)
+  || ',"risk_level":' || to_json({RISK_SQL_SCORE})
+  || ',"policy_name":' || to_json(policy_name)
+  || ',"anomaly_type":' || to_json(anomaly_type)
+  || ',"source_ip":' || to_json(source_ip)
+  || ',"action":' || to_json(action)
+  || ',"message":' || to_json(message)
+  || ',"host":""'
+  || ',"text":' || to_json((CASE severity {_EMOJI} ELSE '{S.DEFAULT_EMOJI}' END) || ' *[' || upper(severity)
+       || ']* Lookout Alert on server' || chr(10) || 'Score: ' || printf('%.2f', round(score, 2))
+       || ' | Policy: ' || policy_name || chr(10) || message)
+  || ',"embeds":[{{"title":' || to_json((CASE severity {_EMOJI} ELSE '{S.DEFAULT_EMOJI}' END) || ' Lookout Alert')
+  || ',"description":' || to_json(message)
+  || ',"color":' || CAST(CASE severity {_COLORS} ELSE {S.DEFAULT_COLOR} END AS VARCHAR)
+  || ',"fields":[{{"name":"Severity","value":' || to_json(upper(severity)) || ',"inline":true}}'
+  || ',{{"name":"Score","value":' || to_json(printf('%.2f', round(score, 2))) || ',"inline":true}}'
+  || ',{{"name":"Policy","value":' || to_json(policy_name) || ',"inline":true}}'
+  || ',{{"name":"Host","value":"N/A","inline":true}}]'
+  || ',"timestamp":' || to_json(CAST(ts AS VARCHAR)) || '}}]}}'"""
+
+
+@register("w5_sign_payloads", _ROUTE_SQL + f"""
+SELECT alert_id, webhook_name,
+  'sha256=' || sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode({_PAYLOAD_SQL})))) AS signature
+FROM routed WHERE webhook_name IN ({_SIGNING})""")
 def w5_sign_payloads(spark, sf):
     """HMAC-SHA256 of every routed payload for webhooks that sign."""
     p = W.alert_payload(routed(spark, sf)).filter("sign_payloads")
     return W.sign_payloads(p, SECRET).select("alert_id", "webhook_name", "signature")
 
 
-_SIGNING = ", ".join(f"'{h['name']}'" for h in S.EXAMPLE_WEBHOOKS if h.get("sign_payloads"))
-
-
 @register("w6_verify_signatures", _ROUTE_SQL + f"""
 SELECT alert_id, webhook_name, true AS valid FROM routed WHERE webhook_name IN ({_SIGNING})""")
 def w6_verify_signatures(spark, sf):

@@ -53,8 +53,7 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_reason():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"m3_fit_isolation_forest", "m4_isolation_score", "m10_save_load_model",
-                               "w5_sign_payloads"}
+    assert set(q) - set(o) == {"m3_fit_isolation_forest", "m4_isolation_score", "m10_save_load_model"}
 
 
 KEYS = list(E.queries()) if os.environ.get("LOOKOUT_FULL_ORACLE") else FAST
