@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import mixing, quality, sharding
+from lookout.llm import decontaminate, mixing, quality, sharding
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,4 +40,10 @@ def op9_byte_shards(spark, sf_dir):
     return sharding.sharded(documents(spark, sf_dir))
 
 
+@register
+def op10_benchmark_leaks(spark, sf_dir):
+    """Operator 10 over all documents and all test items."""
+    return decontaminate.contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op7_mix_sources"] = mixing.ORACLE
