@@ -15,9 +15,11 @@ WORD_RE = re.compile(WORD)
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Session settings (worker import path, shared checkpoint folder) for a
-    frame whose session the caller made."""
+    """Session settings for a frame whose session the caller made: the workers'
+    import path, the shared checkpoint folder, and batches for Python workers
+    small enough for very long texts."""
     configure(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import decontaminate, linededup, mixing, quality, sharding
+from lookout.llm import decontaminate, linededup, mixing, neardup, quality, sharding
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def op2_line_chunks(spark, sf_dir):
     return linededup.digest(documents(spark, sf_dir))
 
 
+@register
+def op3_order_minhash(spark, sf_dir):
+    """Operator 3 over all documents."""
+    return neardup.classes(documents(spark, sf_dir))
+
+
 @register
 def op5_repetition_rules(spark, sf_dir):
     """Operator 5 over all documents: the contract's columns, then the shares."""
