@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import decontaminate, linededup, mixing, neardup, quality, sharding
+from lookout.llm import decontaminate, linededup, mixing, neardup, quality, sharding, toxicity
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op5_repetition_rules(spark, sf_dir):
     return quality.measured(documents(spark, sf_dir))
 
 
+@register
+def op6_toxicity(spark, sf_dir):
+    """Operator 6: trained on ``labels``, over all documents."""
+    return toxicity.toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 @register
 def op7_mix_sources(spark, sf_dir):
     """Operator 7 over all documents."""
