@@ -108,14 +108,15 @@ def _regression(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> tuple[np.
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The score above which labels are told best, halfway to the next row. F0.5
-    is the measure: a clean text taken as toxic counts more than a missed one."""
+    """The score above which labels are told best, nearer to the last toxic row than
+    to the next one. F0.5 is the measure: a clean text taken as toxic counts more
+    than a missed one."""
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(y[order])
     f_half = 1.25 * hit / (np.arange(1, len(z) + 1) + 0.25 * y.sum())
     k = int(np.argmax(f_half))
     below = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1
-    return float((z[order[k]] + below) / 2)
+    return float(0.75 * z[order[k]] + 0.25 * below)
 
 
 def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model:
