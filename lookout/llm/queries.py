@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import decontaminate, linededup, mixing, neardup, quality, sharding, toxicity
+from lookout.llm import decontaminate, linededup, mixing, neardup, quality, sharding, substrings, toxicity
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op3_order_minhash(spark, sf_dir):
     return neardup.classes(documents(spark, sf_dir))
 
 
+@register
+def op4_repeated_substrings(spark, sf_dir):
+    """Operator 4 over all documents."""
+    return substrings.digest(documents(spark, sf_dir))
+
+
 @register
 def op5_repetition_rules(spark, sf_dir):
     """Operator 5 over all documents: the contract's columns, then the shares."""
