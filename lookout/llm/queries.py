@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import decontaminate, linededup, mixing, neardup, quality, sharding, substrings, toxicity
+from lookout.llm import decontaminate, linededup, mixing, neardup, pii, quality, sharding, substrings, toxicity
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mixed(documents(spark, sf_dir))
 
 
+@register
+def op8_personal_data(spark, sf_dir):
+    """Operator 8 over all documents."""
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 @register
 def op9_byte_shards(spark, sf_dir):
     """Operator 9 over all documents."""
