@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import decontaminate, linededup, mixing, neardup, pii, quality, sharding, substrings, toxicity
+from lookout.llm import decontaminate, licenses, linededup, mixing, neardup, pii, quality, sharding, substrings, toxicity
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+@register
+def op1_license_scan(spark, sf_dir):
+    """Operator 1 over all documents."""
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 @register
 def op2_line_chunks(spark, sf_dir):
     """Operator 2 over all documents."""
