@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-IPV6_RE = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$"
+_V4_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
 def is_ipv4(c: Column) -> Column:
     return F.coalesce(c.rlike(IPV4_RE), F.lit(False))
 
 
+def ipv6_hex(c: Column) -> Column:
+    """IPv6 text in any spelling -> its 128 bits as 32 hex digits; NULL when it
+    isn't a valid address. A zone (``%eth0``) is left out, a dotted-quad tail
+    counts as two groups."""
+    low = F.lower(F.regexp_replace(c, r"%[^%/]+$", ""))
+    octet = [F.conv(F.regexp_extract(low, _V4_TAIL, k), 10, 16) for k in (2, 3, 4, 5)]
+    quad = F.concat(octet[0], F.lpad(octet[1], 2, "0"), F.lit(":"), octet[2], F.lpad(octet[3], 2, "0"))
+    low = F.when(low.rlike(_V4_TAIL), F.concat(F.regexp_extract(low, _V4_TAIL, 1), F.lower(quad))).otherwise(low)
+    sides = F.split(low, "::")
+
+    def groups(side: Column) -> Column:
+        return F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
+    given, gap = F.size(left) + F.size(right), F.size(sides) == 2
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
+    valid = (low.contains(":") & (F.size(sides) <= 2) & F.when(gap, given <= 7).otherwise(given == 8)
+             & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
+    return F.when(valid, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def is_ipv6(c: Column) -> Column:
-    return F.coalesce(c.rlike(IPV6_RE) & (F.size(F.split(c, ":")) <= 9)
-                      & (F.size(F.split(c, "::")) <= 2), F.lit(False))
+    return ipv6_hex(c).isNotNull()
 
 
 def ipv4_to_long(c: Column) -> Column:
@@ -49,19 +71,37 @@ def in_ipv4_ranges(ipnum: Column, cidrs) -> Column:
     return cond
 
 
-def ipv6_prefix_hit(ip: Column, cidrs) -> Column:
-    """IPv6 networks of the fixed lists: ::1/128 by equality, fc00::/7 and
-    fe80::/10 by their leading hex group."""
-    low = F.lower(ip)
+def in_ipv6_ranges(address: Column, cidrs) -> Column:
+    """OR over a fixed, small list: the leading bits of ``ipv6_hex`` text are those
+    of the network."""
     cond = F.lit(False)
     for cidr in cidrs:
-        net, _, bits = cidr.partition("/")
-        if ":" not in net:
+        if ":" not in cidr:
             continue
-        if bits == "128":
-            cond = cond | (low == net) | (low == "0:0:0:0:0:0:0:1")
-        elif net.startswith("fc00") and bits == "7":
-            cond = cond | low.rlike(r"^f[cd][0-9a-f]{2}:")
-        elif net.startswith("fe80") and bits == "10":
-            cond = cond | low.rlike(r"^fe[89ab][0-9a-f]:")
-    return cond
+        net = ipaddress.ip_network(cidr)
+        digits = f"{int(net.network_address):032x}"
+        whole, bits = divmod(net.prefixlen, 4)
+        hit = F.substring(address, 1, whole) == digits[:whole] if whole else F.lit(True)
+        if bits:
+            nibble = F.conv(F.substring(address, whole + 1, 1), 16, 10).cast("int")
+            hit = hit & (F.shiftright(nibble, 4 - bits) == int(digits[whole], 16) >> (4 - bits))
+        cond = cond | hit
+    return F.coalesce(cond, F.lit(False))
+
+
+def host_ipv4_to_long(c: Column) -> Column:
+    """IPv4 host of a URL as resolvers read it -> BIGINT: one to four numbers,
+    decimal, octal (0...) or hex (0x...), the last filling the bytes that are left;
+    NULL when it isn't one."""
+    parts = F.split(F.lower(c), r"\.")
+    number = F.transform(parts, lambda p: F.when(p.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substr(p, F.lit(3)), 16, 10))
+                         .when(p.rlike("^0[0-7]{1,11}$"), F.conv(p, 8, 10))
+                         .when(p.rlike("^(0|[1-9][0-9]{0,9})$"), p).cast("long"))
+    n = F.size(parts)
+    last = F.element_at(number, -1)
+    head = F.slice(number, 1, F.greatest(F.lit(0), n - 1))
+    room = F.when(n == 1, 1 << 32).when(n == 2, 1 << 24).when(n == 3, 1 << 16).otherwise(1 << 8)
+    fits = ((n <= 4) & F.forall(number, lambda x: x.isNotNull()) & F.forall(head, lambda x: x <= 255)
+            & (last < room))
+    lead = F.aggregate(head, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
+    return F.when(fits, lead * room + last)

@@ -101,7 +101,9 @@ def disk_io_rates(disks: DataFrame, ts: str = "ts") -> DataFrame:
     d = disks.filter(~F.col("device").rlike(r"^(sd[a-z]+|vd[a-z]+|xvd[a-z]+)[0-9]+$|^nvme[0-9]+n[0-9]+p[0-9]+$"))
     r = rates(d, ["host", "device"], ["sectors_read", "sectors_written", "reads_completed",
                                       "writes_completed", "io_time_ms"], ts)
-    return r.select("host", "device", ts,
+    keep = [c for c in d.columns if c not in ("host", "device", ts, "sectors_read", "sectors_written",
+                                              "reads_completed", "writes_completed", "io_time_ms")]
+    return r.select("host", "device", ts, *keep,
                     F.round(F.col("sectors_read_rate") * 512 / 1048576, 4).alias("read_mb_s"),
                     F.round(F.col("sectors_written_rate") * 512 / 1048576, 4).alias("write_mb_s"),
                     F.col("reads_completed_rate").alias("read_ops_s"),

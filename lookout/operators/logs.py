@@ -6,6 +6,9 @@ stays inside whole-stage codegen, no Python.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,15 +110,16 @@ def mask_url_secrets(c: Column) -> Column:
 
 def log_search(df: DataFrame, query: str, col: str = "message") -> DataFrame:
     """``/re/flags`` is a regex (flag i by default), anything else a
-    case-insensitive substring; an invalid regex falls back to substring."""
-    import re as _re
-    if len(query) > 2 and query.startswith("/") and query.rfind("/") > 0:
-        end = query.rfind("/")
-        pattern, flags = query[1:end], query[end + 1:] or "i"
-        try:
-            _re.compile(pattern)
-            prefix = "(?i)" if "i" in flags else ""
-            return df.filter(F.col(col).rlike(prefix + pattern))
-        except _re.error:
-            query = pattern
+    case-insensitive substring; an invalid regex is looked for as it is written."""
+    parts = re.fullmatch(r"/(.+)/([gimsuy]*)", query, re.DOTALL)
+    if parts:
+        pattern, flags = parts[1], parts[2] or "i"
+        inline = "".join(f for f in "ims" if f in flags)
+        if inline:
+            pattern = f"(?{inline}){pattern}"
+        try:  # the engine that will run the pattern decides whether it is one
+            df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+            return df.filter(F.col(col).rlike(pattern))
+        except IllegalArgumentException:
+            pass
     return df.filter(F.lower(F.col(col)).contains(query.lower()))

@@ -126,8 +126,8 @@ def top_features(features: Column, n: int = S.TOP_FEATURES_N) -> Column:
 
 
 def alert_id(rule: Column, key: Column, score_id: Column) -> Column:
-    return F.concat(F.lit("alert_"), F.substring(
-        F.sha2(F.concat_ws("|", rule, key, score_id.cast("string")), 256), 1, 12))
+    """The whole hash: sinks drop rows by this key, so it must not collide."""
+    return F.concat(F.lit("alert_"), F.sha2(F.concat_ws("|", rule, key, score_id.cast("string")), 256))
 
 
 def make_alerts(fired: DataFrame) -> DataFrame:

@@ -15,11 +15,19 @@ from ..functions.ordered import top_k_per_group
 from .folds import epoch_micros, period_starts
 
 
-def _page(df: DataFrame, order_col: str, after, limit: int, lo: int, hi: int) -> DataFrame:
+def _page(df: DataFrame, order_cols: str | tuple[str, ...], after, limit: int, lo: int, hi: int) -> DataFrame:
+    """The next rows in descending order of ``order_cols`` (together unique),
+    after the row with the values ``after``."""
     limit = max(lo, min(hi, int(limit)))
+    cols = (order_cols,) if isinstance(order_cols, str) else tuple(order_cols)
     if after is not None:
-        df = df.filter(F.col(order_col) < F.lit(after))
-    return df.orderBy(F.col(order_col).desc()).limit(limit)
+        values = after if isinstance(after, tuple) else (after,)
+        later, same = F.lit(False), F.lit(True)
+        for c, v in zip(cols, values):
+            v = F.lit(v).cast(df.schema[c].dataType)
+            later, same = later | (same & (F.col(c) < v)), same & (F.col(c) == v)
+        df = df.filter(F.col(cols[0]) <= F.lit(values[0]).cast(df.schema[cols[0]].dataType)).filter(later)
+    return df.orderBy(*[F.col(c).desc() for c in cols]).limit(limit)
 
 
 def query_logs(logs: DataFrame, level: str | None = None, source: str | None = None,
@@ -37,16 +45,38 @@ def query_logs(logs: DataFrame, level: str | None = None, source: str | None = N
     return _page(d, "id", after, limit, 1, 1000)
 
 
-def next_cursor(page: DataFrame, limit: int, id_col: str = "id"):
-    """Last id of a full page, else None (a bounded page, so collecting is fine)."""
-    rows = page.select(id_col).collect()
-    return rows[-1][0] if len(rows) >= limit else None
+def next_cursor(page: DataFrame, limit: int, id_col: str | tuple[str, ...] = "id"):
+    """Cursor of the last row of a full page, else None (a bounded page, so
+    collecting is fine)."""
+    cols = (id_col,) if isinstance(id_col, str) else id_col
+    rows = page.select(*cols).collect()
+    if len(rows) < limit:
+        return None
+    return tuple(rows[-1]) if len(cols) > 1 else rows[-1][0]
+
+
+def all_pages(rows: DataFrame, page, limit: int, cursor: str | tuple[str, ...]) -> DataFrame:
+    """Every row once, page by page: ``page(rows, after, limit)`` until a page
+    isn't full. Pages are bounded; only their cursors come to the driver."""
+    rows = rows.checkpoint(eager=True)
+    out, after = None, None
+    while True:
+        got = page(rows, after, limit).checkpoint(eager=True)
+        out = got if out is None else out.unionByName(got)
+        after = next_cursor(got, limit, cursor)
+        if after is None:
+            return out
+
+
+ALERT_CURSOR = ("score_id", "alert_id")
+ACTION_CURSOR = ("ts", "action_id")
 
 
 def query_alerts(alerts: DataFrame, severity: str | None = None, since=None, after=None,
-                 limit: int = 50, order_col: str = "score_id") -> DataFrame:
+                 limit: int = 50, order_col: str | tuple[str, ...] = ALERT_CURSOR) -> DataFrame:
     """Q2: filters first, then the page; ``total`` is the all-time alert count
-    (one aggregate row, joined on a constant key)."""
+    (one aggregate row, joined on a constant key). A score may raise several
+    alerts, so the cursor is (score_id, alert_id)."""
     d = alerts
     if severity:
         d = d.filter(F.col("severity") == severity)
@@ -58,8 +88,9 @@ def query_alerts(alerts: DataFrame, severity: str | None = None, since=None, aft
 
 
 def query_actions(actions: DataFrame, triggered_by: str | None = None, action_id: str | None = None,
-                  since=None, after=None, limit: int = 50, order_col: str = "seq") -> DataFrame:
-    """Q3."""
+                  since=None, after=None, limit: int = 50,
+                  order_col: str | tuple[str, ...] = ACTION_CURSOR) -> DataFrame:
+    """Q3; several actions may share a time, so the cursor is (ts, action_id)."""
     d = actions
     if triggered_by:
         d = d.filter(F.col("triggered_by") == triggered_by)

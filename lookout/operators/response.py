@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.ip import in_ipv4_ranges, ipv4_to_long, ipv6_prefix_hit, is_ipv4, is_ipv6
+from ..functions.ip import in_ipv4_ranges, in_ipv6_ranges, ipv4_to_long, ipv6_hex, is_ipv4
 from .folds import block_state, epoch_micros, rate_limit
 
 MICROS = 1_000_000
@@ -31,15 +31,13 @@ def action_requests(alerts: DataFrame, manual: DataFrame | None = None) -> DataF
 
 
 def ip_protected(target: Column, config_ips=S.CONFIG_PROTECTED_IPS) -> Column:
-    """R2: in a protected range or equal to a configured IP; unparsable -> protected."""
-    num = ipv4_to_long(target)
-    v4_hit = in_ipv4_ranges(num, S.PROTECTED_IP_RANGES)
-    cfg = F.lit(False)
-    for ip in config_ips:
-        cfg = cfg | (F.lower(target) == ip.lower())
-    v6_hit = ipv6_prefix_hit(target, S.PROTECTED_IP_RANGES)
-    return F.when(is_ipv4(target), v4_hit | cfg) \
-        .when(is_ipv6(target), v6_hit | cfg) \
+    """R2: in a protected range or equal to a configured IP, in any spelling;
+    unparsable -> protected."""
+    single = [f"{ip}/128" if ":" in ip else f"{ip}/32" for ip in config_ips]
+    networks = (*S.PROTECTED_IP_RANGES, *single)
+    six = ipv6_hex(target)
+    return F.when(is_ipv4(target), in_ipv4_ranges(ipv4_to_long(target), networks)) \
+        .when(six.isNotNull(), in_ipv6_ranges(six, networks)) \
         .otherwise(F.lit(True))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.ip import in_ipv4_ranges, ipv4_to_long, ipv6_prefix_hit, is_ipv4
+from ..functions.ip import host_ipv4_to_long, in_ipv4_ranges, in_ipv6_ranges, ipv6_hex
 
 
 def event_type(severity: Column, score: Column, action: Column) -> Column:
@@ -161,14 +161,14 @@ URL_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)"
 
 
 def webhook_url_check(df: DataFrame, url: str = "url") -> DataFrame:
-    """Scheme http/https, a host, and a literal-IP host outside the blocked
-    networks (host names are not resolved here)."""
+    """Scheme http/https, a host, and a literal-IP host, in any spelling that
+    resolvers take, outside the blocked networks (host names are not resolved here)."""
     u = F.col(url)
     scheme = F.lower(F.regexp_extract(u, URL_SCHEME_RE, 1))
     host = F.lower(F.regexp_replace(F.regexp_extract(u, URL_HOST_RE, 1), r"^\[|\]$", ""))
-    v4 = is_ipv4(host)
-    blocked = F.when(v4, in_ipv4_ranges(ipv4_to_long(host), S.BLOCKED_WEBHOOK_NETWORKS)) \
-        .otherwise(ipv6_prefix_hit(host, S.BLOCKED_WEBHOOK_NETWORKS))
+    four = host_ipv4_to_long(host)
+    blocked = F.when(four.isNotNull(), in_ipv4_ranges(four, S.BLOCKED_WEBHOOK_NETWORKS)) \
+        .otherwise(in_ipv6_ranges(ipv6_hex(host), S.BLOCKED_WEBHOOK_NETWORKS))
     reason = (F.when(~scheme.isin("http", "https"), F.lit("invalid_scheme"))
               .when(host == "", F.lit("no_hostname"))
               .when(blocked, F.lit("blocked_address")))

@@ -83,7 +83,7 @@ def ensemble_raw(if_score: Column, z_score: Column) -> Column:
 def ema_over(values: Column) -> Column:
     """M6: EMA over an oldest-first array, seeded with its first element; clamp 0..1."""
     seed = F.element_at(values, 1)
-    rest = F.slice(values, 2, 1 << 20)
+    rest = F.slice(values, 2, F.greatest(F.size(values), F.lit(1)))
     ema = F.aggregate(rest, seed, lambda a, x: S.EMA_ALPHA * x + (1 - S.EMA_ALPHA) * a)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), ema))
 

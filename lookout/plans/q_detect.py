@@ -494,7 +494,7 @@ def e5_cooldown(spark, sf):
 
 _ALERT_SQL = _POLICY_SQL.rstrip() + """,
 alerts AS (
-  SELECT 'alert_' || substr(sha256(policy_name || '|' || dedup_key || '|' || CAST(id AS VARCHAR)), 1, 12) AS alert_id,
+  SELECT 'alert_' || sha256(policy_name || '|' || dedup_key || '|' || CAST(id AS VARCHAR)) AS alert_id,
     id AS score_id, ts, host, policy_name, severity, round(score, 4) AS score,
     CASE WHEN coalesce(anomaly_type, '') = '' THEN 'unknown' ELSE anomaly_type END AS anomaly_type,
     coalesce(source_ip, '') AS source_ip, action, notify,

@@ -46,7 +46,7 @@ def q1_query_logs(spark, sf):
 
 @register("q2_query_alerts", _ALERT_SQL + """
 SELECT alert_id, score_id, ts, severity, (SELECT count(*) FROM alerts) AS total FROM alerts
-WHERE severity = 'high' AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY score_id DESC LIMIT 50""")
+WHERE severity = 'high' AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY score_id DESC, alert_id DESC LIMIT 50""")
 def q2_query_alerts(spark, sf):
     return Q.query_alerts(alerts(spark, sf), severity="high", since="2024-01-10 00:00:00") \
         .select("alert_id", "score_id", "ts", "severity", "total")
@@ -54,10 +54,24 @@ def q2_query_alerts(spark, sf):
 
 @register("q3_query_actions", _R_SQL + """
 SELECT action_id, ts, status FROM acts WHERE triggered_by = 'manual' AND ts >= TIMESTAMP '2024-01-05 00:00:00'
-ORDER BY ts DESC LIMIT 50""")
+ORDER BY ts DESC, action_id DESC LIMIT 50""")
 def q3_query_actions(spark, sf):
-    return Q.query_actions(actions(spark, sf), triggered_by="manual", since="2024-01-05 00:00:00",
-                           order_col="ts").select("action_id", "ts", "status")
+    return Q.query_actions(actions(spark, sf), triggered_by="manual", since="2024-01-05 00:00:00") \
+        .select("action_id", "ts", "status")
+
+
+@register("q2_all_alert_pages", _ALERT_SQL + "SELECT alert_id, score_id, severity FROM alerts")
+def q2_all_alert_pages(spark, sf):
+    """Paging through all alerts at the largest page size gives each one once."""
+    return Q.all_pages(alerts(spark, sf), lambda d, after, n: Q.query_alerts(d, after=after, limit=n),
+                       500, Q.ALERT_CURSOR).select("alert_id", "score_id", "severity")
+
+
+@register("q3_all_action_pages", _R_SQL + "SELECT action_id, status FROM acts")
+def q3_all_action_pages(spark, sf):
+    """Paging through all actions at the largest page size gives each one once."""
+    return Q.all_pages(actions(spark, sf), lambda d, after, n: Q.query_actions(d, after=after, limit=n),
+                       500, Q.ACTION_CURSOR).select("action_id", "status")
 
 
 @register("q4_query_scores", with_views("scores_raw") + """
@@ -354,8 +368,7 @@ FROM r""")
 def h6_disk_io_rates(spark, sf):
     m = F.create_map(*[F.lit(x) for kv in _DISK.items() for x in kv])
     c = V.counters(spark, sf, per="dev").withColumn("device", m[F.col("dev")])
-    return H.disk_io_rates(c).join(c.select("host", "device", "ts", "seq"), ["host", "device", "ts"]) \
-        .select("host", "device", "seq", "read_mb_s", "read_ops_s", "busy_percent")
+    return H.disk_io_rates(c).select("host", "device", "seq", "read_mb_s", "read_ops_s", "busy_percent")
 
 
 _DEVS = ["sda1", "sdb1", "loop0", "nvme0n1p1"]

@@ -17,7 +17,7 @@ from .registry import register
 from .sqlviews import REQUESTS, with_views
 
 AS_OF = "2024-01-30 23:59:00"
-SECRET = "change-this-to-a-secure-secret"
+SECRET = "a key for these queries only"
 
 
 # ---------------------------------------------------------------- inputs
@@ -55,7 +55,13 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- SQL pieces
 
 _IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
-_IPV6 = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$"
+# any spelling of an IPv6 address, by where its :: stands; and any spelling of ::1
+_H, _Q = "[0-9a-f]{1,4}", "[0-9]{1,3}(\\.[0-9]{1,3}){3}"
+_IPV6 = "^(" + "|".join(
+    [f"({_H}:){{7}}{_H}", f"({_H}:){{6}}{_Q}", "::"]
+    + [f"({_H}:){{{n}}}(:{_H}){{1,{7 - n}}}" for n in range(1, 7)] + [f"({_H}:){{1,7}}:", f":(:{_H}){{1,7}}"]
+    + [f"({_H}:){{{n}}}:({_H}:){{0,{5 - n}}}{_Q}" for n in range(1, 6)] + [f"::({_H}:){{0,5}}{_Q}"]) + ")$"
+_ONE = "^((0{1,4}:){7}0{0,3}1|((0{1,4}:){1,6}|:):(0{1,4}:){0,6}0{0,3}1|((0{1,4}:){1,5}|:):(0{1,4}:){0,4}0\\.0\\.0\\.1|(0{1,4}:){6}0\\.0\\.0\\.1)$"
 
 
 def _ipnum(x: str) -> str:
@@ -74,12 +80,26 @@ def _v4_in(x: str, cidrs) -> str:
 
 PROTECTED_SQL = f"""CASE
   WHEN regexp_matches(coalesce(target, ''), '{_IPV4}') THEN {_v4_in('target', S.PROTECTED_IP_RANGES)}
-       OR lower(target) IN ('127.0.0.1', '::1')
-  WHEN regexp_matches(coalesce(target, ''), '{_IPV6}') AND len(string_split(target, ':')) <= 9
-       AND len(string_split(target, '::')) <= 2
-    THEN lower(target) IN ('::1', '0:0:0:0:0:0:0:1', '127.0.0.1')
+  WHEN regexp_matches(lower(coalesce(target, '')), '{_IPV6}') THEN regexp_matches(lower(target), '{_ONE}')
   ELSE true END"""
 
+#: Spellings of addresses, good and bad, that no event has: the k-th event is
+#: given the k-th of them as its address.
+_SPELLINGS = ("::1", "::0001", "0:0:0:0:0:0:0:1", "0::0:1", "::0.0.0.1", "2001:db8::7", "2001:DB8:0:0:0:0:0:7", "1:2:3", ":::",
+              "12:34", "1::2::3", "fe80::1", "fd00::12", "fc00:1::", "febf::1", "::ffff:10.0.0.1", "::ffff:203.0.113.9",
+              "1:2:3:4:5:6:7:8:9", "12345::1", "203.0.113.300", "010.0.0.1", "2130706433", "0x7f000001", "127.1", "0177.0.0.1",
+              "3405803785", "203.0.28937", "1.2.3.4.5", "g::1", "::", "1:2:3:4:5:6:7::")
+
+
+def odd_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, address): one of ``_SPELLINGS`` for each event."""
+    some = F.array(*[F.lit(x) for x in _SPELLINGS])
+    return V.base(spark, sf).select(F.col("event_id").alias("id"), F.element_at(
+        some, (F.col("event_id") % len(_SPELLINGS) + 1).cast("int")).alias("address"))
+
+
+_ODD_SQL = f"""odd AS (SELECT event_id AS id, [{", ".join(f"'{x}'" for x in _SPELLINGS)}][event_id % {len(_SPELLINGS)} + 1] AS address FROM base)"""
+
 DISP_SQL = f"""
 names AS (SELECT pid, arg_max(name, (snap, ts)) AS name FROM processes GROUP BY pid),
 req AS (SELECT r.*, epoch_us(r.ts) AS t, {PROTECTED_SQL} AS protected,
@@ -179,11 +199,16 @@ def r1_action_requests(spark, sf):
     return r.select("request_id", "action", "target", "triggered_by")
 
 
-@register("r2_ip_protected", with_views("requests") + f"""
-SELECT request_id, target, {PROTECTED_SQL} AS protected FROM requests""")
+@register("r2_ip_protected", with_views("requests", "base") + f""",
+{_ODD_SQL},
+targets AS (SELECT CAST(request_id AS VARCHAR) AS request_id, target FROM requests
+            UNION ALL SELECT 'odd_' || CAST(id AS VARCHAR), address FROM odd)
+SELECT request_id, target, {PROTECTED_SQL} AS protected FROM targets""")
 def r2_ip_protected(spark, sf):
-    return requests(spark, sf).select("request_id", "target",
-                                      R.ip_protected(F.col("target")).alias("protected"))
+    odd = odd_addresses(spark, sf).select(F.concat(F.lit("odd_"), F.col("id").cast("string")).alias("request_id"),
+                                          F.col("address").alias("target"))
+    targets = requests(spark, sf).select(F.col("request_id").cast("string"), "target").unionByName(odd)
+    return targets.select("request_id", "target", R.ip_protected(F.col("target")).alias("protected"))
 
 
 @register("r3_action_validation", _R_SQL + """
@@ -390,14 +415,26 @@ def _urls(spark, sf):
     ips = V.base(spark, sf).select(F.concat(F.lit("ip_"), F.col("event_id").cast("string")).alias("src"),
                                    F.concat(F.when(F.col("k") % 3 == 0, "ftp").otherwise("http"),
                                             F.lit("://"), F.col("ip"), F.lit(":9000/hook")).alias("url"))
-    return pages.unionByName(ips)
+    address = F.col("address")
+    odd = odd_addresses(spark, sf).select(
+        F.concat(F.lit("odd_"), F.col("id").cast("string")).alias("src"),
+        F.concat(F.lit("http://"), F.when(address.contains(":"), F.concat(F.lit("["), address, F.lit("]"))).otherwise(address),
+                 F.lit("/hook")).alias("url"))
+    return pages.unionByName(ips).unionByName(odd)
+
 
+# addresses of the spellings that a resolver takes as loopback or private
+_ODD_BLOCKED = ("2130706433", "0x7f000001", "127.1", "0177.0.0.1")
 
-@register("w10_webhook_url_check", with_views("base") + rf"""
+
+@register("w10_webhook_url_check", with_views("base") + rf""",
+{_ODD_SQL}
 , urls AS (
   SELECT CAST(page_id AS VARCHAR) AS src, url FROM pages
   UNION ALL
-  SELECT 'ip_' || CAST(event_id AS VARCHAR), CASE WHEN k % 3 = 0 THEN 'ftp' ELSE 'http' END || '://' || ip || ':9000/hook' FROM base),
+  SELECT 'ip_' || CAST(event_id AS VARCHAR), CASE WHEN k % 3 = 0 THEN 'ftp' ELSE 'http' END || '://' || ip || ':9000/hook' FROM base
+  UNION ALL
+  SELECT 'odd_' || CAST(id AS VARCHAR), 'http://' || CASE WHEN contains(address, ':') THEN '[' || address || ']' ELSE address END || '/hook' FROM odd),
 parsed AS (
   SELECT src, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
     lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)', 1), '^\[|\]$', '', 'g')) AS host
@@ -406,7 +443,8 @@ SELECT src, valid, reason FROM (
   SELECT src, CASE WHEN scheme NOT IN ('http', 'https') THEN 'invalid_scheme'
       WHEN host = '' THEN 'no_hostname'
       WHEN regexp_matches(host, '{_IPV4}') AND {_v4_in('host', S.BLOCKED_WEBHOOK_NETWORKS)} THEN 'blocked_address'
-      WHEN NOT regexp_matches(host, '{_IPV4}') AND (host IN ('::1', '0:0:0:0:0:0:0:1')
+      WHEN host IN ({", ".join(f"'{x}'" for x in _ODD_BLOCKED)}) THEN 'blocked_address'
+      WHEN regexp_matches(host, '{_IPV6}') AND (regexp_matches(host, '{_ONE}')
            OR regexp_matches(host, '^f[cd][0-9a-f]{{2}}:') OR regexp_matches(host, '^fe[89ab][0-9a-f]:')) THEN 'blocked_address'
       END AS reason, reason IS NULL AS valid FROM parsed)""")
 def w10_webhook_url_check(spark, sf):

@@ -20,10 +20,8 @@ from .registry import register
 from .sqlviews import with_views
 
 
-def _stream_of(spark, df, name, ts="ts"):
-    path = Z.scratch(spark, f"{name}-in")
-    files = Z.write_in_time_slices(df, path, ts)
-    return Z.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=files)
+def _replay_of(spark, df, name, ts="ts"):
+    return Z.Replay(df, Z.scratch(spark, f"{name}-in"), ts)
 
 
 @register("z1_stream_features", _VEC_SQL + f"""
@@ -31,29 +29,29 @@ SELECT {_VEC_COLS} FROM vec
 WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tel) - INTERVAL 1 HOUR""")
 def z1_stream_features(spark, sf):
     """F2 on a stream with a 1 h watermark: windows closed by the watermark."""
-    s = _stream_of(spark, telemetry(spark, sf), "telemetry")
-    out = Z.run_to_table(Z.stream_features(s, 3600, "1 hour"), spark, "z1")
+    r = _replay_of(spark, telemetry(spark, sf), "telemetry")
+    out = Z.run_to_table(Z.stream_features(r.stream, 3600, "1 hour"), spark, "z1", replay=r)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("z2_stream_alerts", _POLICY_SQL + "SELECT id, policy_name FROM fired")
 def z2_stream_alerts(spark, sf):
     """E2-E5 on a stream: repeat counts and cooldown kept as state per dedup key."""
-    s = _stream_of(spark, V.scores_raw(spark, sf).drop("features"), "scores")
-    m = P.match_rules(s, rules_frame(spark, active_rules(example_rules())))
+    r = _replay_of(spark, V.scores_raw(spark, sf).drop("features"), "scores")
+    m = P.match_rules(r.stream, rules_frame(spark, active_rules(example_rules())))
     m = m.withColumn("dedup_key", P.dedup_key(F.col("policy_name"), F.col("anomaly_type"),
                                               F.col("source_ip"))) \
         .withColumn("__t", epoch_micros(F.col("ts")))
-    out = Z.run_to_table(Z.stream_alerts(m), spark, "z2")
+    out = Z.run_to_table(Z.stream_alerts(m), spark, "z2", replay=r)
     return out.filter("fired").select("id", "policy_name")
 
 
 @register("z3_stream_rate_limit", _R_SQL + "SELECT request_id, rate_ok FROM val")
 def z3_stream_rate_limit(spark, sf):
     """R5 on a stream with the last allowed times per target as state."""
-    s = _stream_of(spark, V.requests(spark, sf), "requests").withColumn(
-        "__t", epoch_micros(F.col("ts")))
-    out = Z.run_to_table(Z.stream_rate_limit(s), spark, "z3")
+    r = _replay_of(spark, V.requests(spark, sf), "requests")
+    s = r.stream.withColumn("__t", epoch_micros(F.col("ts")))
+    out = Z.run_to_table(Z.stream_rate_limit(s), spark, "z3", replay=r)
     return out.select("request_id", "rate_ok")
 
 
@@ -66,10 +64,10 @@ def z4_stream_reversals(spark, sf):
     from .q_respond import actions
     from ..operators import response as R
     rev = R.schedule_reversals(actions(spark, sf))
-    s = _stream_of(spark, rev, "reversals")
-    s = s.withColumn("__due", epoch_micros(F.col("reversal_at"))) \
+    r = _replay_of(spark, rev, "reversals")
+    s = r.stream.withColumn("__due", epoch_micros(F.col("reversal_at"))) \
         .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    return Z.run_to_table(Z.stream_reversals(s), spark, "z4")
+    return Z.run_to_table(Z.stream_reversals(s), spark, "z4", replay=r)
 
 
 @register("z5_stream_snapshot_diff", with_views("connections", extra=NEWCONN_SQL) + """
@@ -79,8 +77,8 @@ def z5_stream_snapshot_diff(spark, sf):
     """D1 on a stream with each host's previous key set as state."""
     c = connection_key(V.connections(spark, sf)).withColumn(
         "ts", F.timestamp_seconds(F.col("snap") * V.SNAP_SECONDS_CONN).cast("timestamp_ntz"))
-    s = _stream_of(spark, c, "conns")
-    out = Z.run_to_table(Z.stream_snapshot_diff(s), spark, "z5")
+    r = _replay_of(spark, c, "conns")
+    out = Z.run_to_table(Z.stream_snapshot_diff(r.stream), spark, "z5", replay=r)
     return out.select("host", "snap", "conn_key", "remote_ip", "local_port")
 
 
@@ -90,7 +88,7 @@ SELECT id, coalesce(source, 'unknown') AS source, coalesce(level, 'info') AS lev
 def z6_stream_persist(spark, sf):
     """Logs appended per micro-batch through the idempotent sink; one batch is replayed."""
     lg = logs(spark, sf).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    s = _stream_of(spark, lg, "logs")
+    r = _replay_of(spark, lg, "logs")
     path = Z.scratch(spark, "z6-table")
     seen = []
 
@@ -100,5 +98,5 @@ def z6_stream_persist(spark, sf):
             SK.append_logs(df, path, "2024-01-30 23:59:00")
             seen.append(1)
 
-    Z.stream_persist(s, writer, spark, "z6")
+    Z.stream_persist(r.stream, writer, spark, "z6", replay=r)
     return spark.read.parquet(path).select("id", "source", "level", "log_type")

@@ -17,20 +17,23 @@ def hex_ipv4(h: Column) -> Column:
 
 
 def hex_port(h: Column) -> Column:
-    return F.when(h.rlike(r"^[0-9A-Fa-f]+$"), F.conv(h, 16, 10).cast("int")).otherwise(F.lit(0))
+    """Hex port; text that isn't hex -> 0; NULL above FFFF, which is no port."""
+    return (F.when(h.rlike(r"^0*[0-9A-Fa-f]{1,4}$"), F.conv(F.right(h, F.lit(4)), 16, 10).cast("int"))
+            .when(~h.rlike(r"^[0-9A-Fa-f]+$"), F.lit(0)))
 
 
-def parse_connection_snapshot(lines: DataFrame, value: str = "value", line_no: str = "line_no"
-                              ) -> DataFrame:
-    """Skip the header, split on whitespace, need >= 4 fields, decode
-    ``hexip:hexport`` pairs and the state code; bad lines are skipped."""
+def parse_connection_snapshot(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Split on whitespace, need >= 4 fields, decode ``hexip:hexport`` pairs
+    and the state code. Bad lines are skipped, and so is the header, which has no
+    such pairs: a text reader gives no line numbers to tell it by."""
     parts = F.split(F.trim(F.col(value)), r"\s+")
     states = F.create_map(*[F.lit(x) for kv in S.TCP_STATES.items() for x in kv])
-    d = lines.filter(F.col(line_no) > 0).withColumn("__p", parts).filter(F.size("__p") >= 4)
+    d = lines.withColumn("__p", parts).filter(F.size("__p") >= 4)
     loc = F.split(F.get(F.col("__p"), 1), ":")
     rem = F.split(F.get(F.col("__p"), 2), ":")
-    d = d.filter((F.size(loc) == 2) & (F.size(rem) == 2))
-    keep = [c for c in lines.columns if c not in (value, line_no)]
+    d = d.filter((F.size(loc) == 2) & (F.size(rem) == 2)
+                 & hex_port(F.get(loc, 1)).isNotNull() & hex_port(F.get(rem, 1)).isNotNull())
+    keep = [c for c in lines.columns if c != value]
     return d.select(
         *keep,
         hex_ipv4(F.get(loc, 0)).alias("local_ip"), hex_port(F.get(loc, 1)).alias("local_port"),
@@ -54,9 +57,7 @@ def render_tcp_table(conns: DataFrame, snap_keys=("host", "snap")) -> DataFrame:
                     F.concat(hexip(F.col("local_ip")), F.lit(":"), F.lpad(F.upper(F.hex("local_port")), 4, "0")),
                     F.concat(hexip(F.col("remote_ip")), F.lit(":"), F.lpad(F.upper(F.hex("remote_port")), 4, "0")),
                     F.coalesce(st[F.col("state")], F.lit("00")), F.lit("00000000:00000000 00:00000000 00000000 0")
-                    ).alias("value"),
-        F.lit(1).alias("line_no"))
+                    ).alias("value"))
     header = conns.select(*snap_keys).distinct().select(
-        *snap_keys, F.lit("  sl  local_address rem_address   st tx_queue rx_queue").alias("value"),
-        F.lit(0).alias("line_no"))
+        *snap_keys, F.lit("  sl  local_address rem_address   st tx_queue rx_queue").alias("value"))
     return header.unionByName(body)

@@ -41,32 +41,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:10]}")
 
 
-def write_in_time_slices(df: DataFrame, path: str, ts: str = "ts", slices: int = 6,
-                         rows_per_file: int = 5_000_000) -> int:
-    """Write ``df`` as ``slices`` appends in time order, so a file source replays
-    them in event-time order. Each slice is range-partitioned on ``ts`` into
-    enough files of at most ``rows_per_file`` rows (written in parallel, never
-    through one task). Returns the files per slice: read with that many files
-    per trigger, each micro-batch is one whole slice."""
-    st = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if st["lo"] is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return 1
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    files = max(1, -(-n // (slices * rows_per_file)))
-    step = (hi - lo) / slices
-    for i in range(slices):
-        cond = F.col(ts) >= F.lit(lo + step * i)
-        if i < slices - 1:
-            cond = cond & (F.col(ts) < F.lit(lo + step * (i + 1)))
-        df.filter(cond).repartitionByRange(files, ts).write.mode("append").parquet(path)
-    return files
+class Replay:
+    """A table played back as a file stream in event-time order.
 
+    ``stream`` reads a landing folder. ``slices`` are the rows cut into equal time
+    ranges (rows without a time come with the first). Landing one slice and
+    letting the query run until everything available is processed, then the next,
+    makes each slice one micro-batch, however many files it has. The query's
+    state and watermark carry over in its checkpoint, as over any restart."""
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType,
-                files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger) \
-        .parquet(path)
+    def __init__(self, df: DataFrame, path: str, ts: str = "ts", slices: int = 6):
+        self.path = path
+        df.limit(0).write.mode("append").parquet(path)
+        self.stream = df.sparkSession.readStream.schema(df.schema).parquet(path)
+        st = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        if st["lo"] is None:
+            self.slices = [df]
+            return
+        edges = [st["lo"] + (st["hi"] - st["lo"]) / slices * i for i in range(1, slices)]
+        at = F.coalesce(sum((F.col(ts) >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0), F.lit(0))
+        self.slices = [df.filter(at == i) for i in range(slices)]
+
+    def through(self, start) -> None:
+        """``start()`` starts the query (same checkpoint each time) with an
+        available-now trigger."""
+        for rows in self.slices:
+            rows.write.mode("append").parquet(self.path)
+            start().awaitTermination()
 
 
 class _StatePartitions:
@@ -85,15 +86,22 @@ class _StatePartitions:
         self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
 
 
-def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over everything available, into parquet; return it as a batch table."""
-    out = scratch(spark, f"{name}-out")
+def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
+                 replay: Replay | None = None) -> DataFrame:
+    """Run a streaming query over everything available (slice by slice of
+    ``replay``), into parquet; return it as a batch table."""
+    out, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
+
+    def start():
+        return (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
+                .option("path", out).trigger(availableNow=True).start())
+
     with _StatePartitions(spark):
-        q = (stream.writeStream.format("parquet").outputMode(mode)
-             .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
-             .option("path", out).trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.parquet(out)
+        if replay:
+            replay.through(start)
+        else:
+            start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 # ---------------------------------------------------------------- Z1
@@ -132,6 +140,8 @@ def stream_alerts(matches: DataFrame, cooldown: int = S.ALERT_COOLDOWN_SECONDS,
         for t, w, mo in zip(pdf["__t"].to_numpy(np.int64), pdf["repeated_within_seconds"].to_numpy(),
                             pdf["min_occurrences"].to_numpy()):
             t, w = int(t), int(w)
+            if times and t - times[-1] >= idle_ttl * MICROS:
+                times = []  # occurrences expire without a match, also in a longer window
             times.append(t)
             if w > 0:
                 times = [x for x in times if x > t - w * MICROS]
@@ -263,11 +273,18 @@ def stream_snapshot_diff(conns: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Z6
 
-def stream_persist(stream: DataFrame, writer, spark: SparkSession, name: str) -> str:
+def stream_persist(stream: DataFrame, writer, spark: SparkSession, name: str,
+                   replay: Replay | None = None) -> str:
     """Each micro-batch goes through an idempotent writer (``foreachBatch``)."""
+    ckpt = scratch(spark, f"{name}-ckpt")
+
+    def start():
+        return (stream.writeStream.foreachBatch(lambda df, _epoch: writer(df))
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+
     with _StatePartitions(spark):
-        q = (stream.writeStream.foreachBatch(lambda df, _epoch: writer(df))
-             .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        if replay:
+            replay.through(start)
+        else:
+            start().awaitTermination()
     return name

@@ -6,10 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from lookout import schemas as S
+from lookout.plans import registry
 from lookout.session import TABLES
 
 SMOKE = "/root/testdata/sf0.001"
-FAST = ["p1_classify_log", "p7_process_risk", "d1_new_connections", "d2_closed_connections",
+FAST = ["p1_classify_log", "p14_log_search", "q2_all_alert_pages", "r2_ip_protected", "w10_webhook_url_check",
+        "h6_disk_io_rates", "z2_stream_alerts", "p7_process_risk", "d1_new_connections", "d2_closed_connections",
         "f2_feature_vectors", "m7_ensemble_score", "m12_anomaly_count_24h", "e5_cooldown",
         "e7_alert_message", "r6_action_disposition", "r10_block_state", "w3_route_alerts",
         "w7_delivery_outcomes", "q7_port_summary", "q15_series_tail", "h1_cpu_percent",
@@ -47,16 +50,24 @@ def con():
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["policy_name", "severity", "alerts", "max_score"]
-    assert len(df.collect()) >= 0
+    rows = df.collect()
+    rules = {r["name"]: r for r in S.EXAMPLE_RULES}
+    assert rows and {r["policy_name"] for r in rows} <= set(rules)
+    for r in rows:
+        rule = rules[r["policy_name"]]
+        assert r["severity"] == rule["severity"] and r["alerts"] > 0
+        assert rule["conditions"]["score_above"] <= r["max_score"] <= 1
 
 
 def test_every_query_has_oracle_or_reason():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
+    assert set(E.oracle_sql()) <= set(E.queries())
+    q, o = registry.QUERIES, registry.ORACLES  # the engine's own
+    assert set(q) <= set(E.queries())
     assert set(q) - set(o) == {"m3_fit_isolation_forest", "m4_isolation_score", "m10_save_load_model"}
 
 
-KEYS = list(E.queries()) if os.environ.get("LOOKOUT_FULL_ORACLE") else FAST
+E.queries()  # loads the registry
+KEYS = list(registry.QUERIES) if os.environ.get("LOOKOUT_FULL_ORACLE") else FAST
 
 
 @pytest.mark.parametrize("key", KEYS)

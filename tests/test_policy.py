@@ -81,7 +81,7 @@ def test_alert_message_and_top_features(spark):
     assert a["message"] == ("[HIGH] Policy 'p' triggered (score: 0.88) — Brute force attack detected "
                             "from 8.8.8.8 → Action: block_ip")
     assert a["top_features"] == "d,g,f,a,b"
-    assert a["alert_id"].startswith("alert_") and len(a["alert_id"]) == 18
+    assert a["alert_id"].startswith("alert_") and len(a["alert_id"]) == 6 + 64
 
 
 def test_dedup_key_matches_python(spark):

@@ -15,8 +15,9 @@ def test_parse_tcp_table(spark):
              ("h", 2, "   1: 0101A8C0:01BB 0F02000A:D431 01 0"),
              ("h", 3, "   2: ZZZZZZZZ:0050 0100007F:XYZ 99 0"),
              ("h", 4, "   3: 0100007F"),
-             ("h", 5, "   4: 00000000000000000000000001000000:0016 00000000000000000000000000000000:0000 0A")]
-    df = spark.createDataFrame(lines, "host string, line_no int, value string")
+             ("h", 5, "   4: 00000000000000000000000001000000:0016 00000000000000000000000000000000:0000 0A"),
+             ("h", 6, "   5: 0100007F:FFFFFFFFFFFFFFFFF 00000000:0000 0A")]  # no such port: skipped
+    df = spark.createDataFrame(lines, "host string, line_no int, value string").drop("line_no")
     got = [tuple(r) for r in TCP.parse_connection_snapshot(df).select(
         "local_ip", "local_port", "remote_ip", "remote_port", "state").collect()]
     assert got[0] == ("127.0.0.1", 22, "0.0.0.0", 0, "LISTEN")

@@ -18,11 +18,11 @@ def test_reversal_timers_fire_after_watermark(spark):
             ("act_3", "7.7.7.7", T0 + dt.timedelta(hours=2), T0 + dt.timedelta(hours=9))]
     df = spark.createDataFrame(rows, "action_id string, target string, ts timestamp_ntz, "
                                      "reversal_at timestamp_ntz")
-    Z.write_in_time_slices(df, path, slices=2)
-    s = Z.read_stream(spark, path, spark.read.parquet(path).schema)
+    replay = Z.Replay(df, path, slices=2)
+    s = replay.stream
     s = s.withColumn("__due", epoch_micros(F.col("reversal_at"))) \
         .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    out = Z.run_to_table(Z.stream_reversals(s), spark, "t-rev").collect()
+    out = Z.run_to_table(Z.stream_reversals(s), spark, "t-rev", replay=replay).collect()
     assert [(r["action_id"], r["target"], r["action"]) for r in out] == [("act_1", "8.8.8.8", "unblock_ip")]
 
 
@@ -31,9 +31,40 @@ def test_stream_features_drop_open_windows(spark):
     rows = [("h", T0 + dt.timedelta(minutes=m), "logs", "ssh_failure", None, None) for m in (1, 2, 70, 200)]
     df = spark.createDataFrame(rows, "host string, ts timestamp_ntz, stream string, type string, "
                                      "source_ip string, risk_reason string")
-    Z.write_in_time_slices(df, path, slices=2)
-    s = Z.read_stream(spark, path, spark.read.parquet(path).schema)
-    out = Z.run_to_table(Z.stream_features(s, 3600, "30 minutes"), spark, "t-feat")
+    replay = Z.Replay(df, path, slices=2)
+    s = replay.stream
+    out = Z.run_to_table(Z.stream_features(s, 3600, "30 minutes"), spark, "t-feat", replay=replay)
     got = sorted((r["ts"], r["log_auth_failures"]) for r in out.collect())
     # windows 00:00 and 01:00 close (watermark 03:20 - 0:30); 03:00 is still open
     assert [g[1] for g in got] == [2, 1]
+
+
+def test_repeat_counts_expire_in_a_long_window_as_in_batch(spark):
+    """A 600 s window: the count restarts after 300 s without a match."""
+    from lookout.operators import policy as P
+    from lookout.sources.config import load_rules, rules_frame
+    rules = load_rules(rules=[{"name": "slow", "conditions": {
+        "score_above": 0.5, "repeated_within_seconds": 600, "min_occurrences": 2}}])
+    rows = [(i, T0 + dt.timedelta(seconds=x), "h", 0.9, "high", "brute_force", "7.7.7.7")
+            for i, x in enumerate([0, 400, 800, 1200, 1250, 1600])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, host string, score double, risk_level string, "
+                                     "anomaly_type string, source_ip string")
+    batch = {r["id"]: r["repeat_count"] for r in P.evaluate_policies(
+        spark, df.withColumn("features", F.create_map(F.lit("f"), F.lit(1.0))), rules, "counted").collect()}
+    replay = Z.Replay(df, Z.scratch(spark, "t-long"), slices=3)
+    m = P.match_rules(replay.stream, rules_frame(spark, P.active_rules(rules)))
+    m = m.withColumn("dedup_key", P.dedup_key(F.col("policy_name"), F.col("anomaly_type"), F.col("source_ip"))) \
+        .withColumn("__t", epoch_micros(F.col("ts")))
+    got = {r["id"]: r["repeat_count"] for r in Z.run_to_table(Z.stream_alerts(m), spark, "t-long", replay=replay).collect()}
+    assert got == batch == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 1}
+
+
+def test_replay_keeps_rows_without_a_time_and_slices_whole(spark):
+    rows = [(i, None if i % 5 == 0 else T0 + dt.timedelta(minutes=i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz").repartition(7)
+    replay = Z.Replay(df, Z.scratch(spark, "t-replay"), slices=4)
+    batches = []
+    Z.stream_persist(replay.stream, lambda b: batches.append([r["id"] for r in b.collect()]), spark, "t-replay", replay=replay)
+    batches = [b for b in batches if b]
+    assert len(batches) == 4 and sorted(i for b in batches for i in b) == list(range(60))
+    assert all(i in batches[0] for i in range(0, 60, 5))
