@@ -252,11 +252,12 @@ def p10_flagged_or_new(spark, sf):
 
 
 @register("p11_mask_url_secrets", r"""
-SELECT doc_id, length(regexp_replace(text, '(://[^:/@]*:)[^@]*@', '\1*****@', 'g')) AS masked_chars
-FROM documents""")
+SELECT doc_id, length(masked) AS masked_chars, md5(masked) AS masked_md5
+FROM (SELECT doc_id, regexp_replace(text, '(://[^:/@]*:)[^@]*@', '\1*****@', 'g') AS masked FROM documents)""")
 def p11_mask_url_secrets(spark, sf):
     d = read_table(spark, sf, "documents")
-    return d.select("doc_id", F.length(L.mask_url_secrets(F.col("text"))).cast("long").alias("masked_chars"))
+    return d.select("doc_id", L.mask_url_secrets(F.col("text")).alias("masked")).select(
+        "doc_id", F.length("masked").cast("long").alias("masked_chars"), F.md5("masked").alias("masked_md5"))
 
 
 @register("p14_log_search", with_views("logs") + """

@@ -557,35 +557,37 @@ def s5_parse_connection_snapshot(spark, sf):
         "host", "snap", "local_ip", "local_port", "remote_ip", "remote_port", "state")
 
 
-@register("s9_append_alerts", _ALERT_SQL + "SELECT DISTINCT alert_id, policy_name FROM alerts")
+@register("s9_append_alerts", _ALERT_SQL + "SELECT DISTINCT alert_id, policy_name, score_id, ts, message FROM alerts")
 def s9_append_alerts(spark, sf):
     """Alerts appended twice (a replayed batch) keep one row per alert_id."""
     path = _scratch(spark, "alerts")
     a = alerts(spark, sf).checkpoint(eager=True)
     SK.append_alerts(a, path)
     SK.append_alerts(a, path)
-    return spark.read.parquet(path).select("alert_id", "policy_name")
+    return spark.read.parquet(path).select("alert_id", "policy_name", "score_id", "ts", "message")
 
 
 @register("s10_append_logs", with_views("logs") + """
-SELECT id, coalesce(source, 'unknown') AS source, coalesce(level, 'info') AS level, coalesce(type, 'unknown') AS log_type
+SELECT id, date_trunc('second', ts) AS ts, message, coalesce(source, 'unknown') AS source,
+  coalesce(level, 'info') AS level, coalesce(type, 'unknown') AS log_type
 FROM logs""")
 def s10_append_logs(spark, sf):
     path = _scratch(spark, "logs")
     lg = logs(spark, sf).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     SK.append_logs(lg, path, AS_OF)
-    return spark.read.parquet(path).select("id", "source", "level", "log_type")
+    return spark.read.parquet(path).select("id", "ts", "message", "source", "level", "log_type")
 
 
 @register("s11_append_audit", _R_SQL.rstrip() + """,
 """ + _ALERT_SQL[len("WITH RECURSIVE "):].replace("base AS (", "base2 AS (", 1).replace("FROM base)", "FROM base2)")
           .replace("scores_raw AS (", "scores_raw2 AS (").replace("FROM scores_raw s", "FROM scores_raw2 s").rstrip() + """
-SELECT 'alert_generated' AS event_type, alert_id AS ref_id FROM alerts
-UNION ALL SELECT 'action_executed', action_id FROM acts""")
+SELECT 'alert_generated' AS event_type, alert_id AS ref_id, action, source_ip AS target,
+  'policy_engine' AS triggered_by, 'generated' AS status FROM alerts
+UNION ALL SELECT 'action_executed', action_id, action, target, triggered_by, status FROM acts""")
 def s11_append_audit(spark, sf):
     path = _scratch(spark, "audit")
     SK.append_audit(SK.audit_rows(alerts(spark, sf), actions(spark, sf)), path)
-    return spark.read.parquet(path).select("event_type", "ref_id")
+    return spark.read.parquet(path).select("event_type", "ref_id", "action", "target", "triggered_by", "status")
 
 
 @register("p15_metric_bands", with_views("base") + """

@@ -22,8 +22,7 @@ def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str
     being shuffled whole; AQE then coalesces it to the bytes actually
     shuffled (most aggregates are partial, so usually far fewer) and
     splits skewed join partitions."""
-    # capped: maps x reducers shuffle blocks (and their metadata) grow with it
-    parts = max(200, min(50_000, input_bytes // partition_bytes))
+    parts = max(200, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
@@ -54,6 +53,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -90,8 +90,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we take a fresh scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``. In local mode, where one
+    machine is all there is, a scratch folder serves if it is unset; elsewhere
+    that is an error, as executors would not see a folder of the driver's.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -99,6 +100,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="lookout-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -121,8 +124,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def task_parallelism(spark: SparkSession, per_core: int = 4) -> int:
-    """Partitions for CPU-bound Python stages: the configured shuffle
-    partitions, but no more than ``per_core`` tasks per core of the cluster
-    (so a default of 200 does not mean 200 near-empty Python tasks locally)."""
+    """Partitions for CPU-bound Python stages: the configured shuffle partitions
+    (``cluster_conf`` sizes them by the input). Only in local mode at most
+    ``per_core`` for each core, so that a default of 200 doesn't mean 200
+    near-empty Python tasks."""
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.split("[")[0] != "local":
+        return conf
     return max(1, min(conf, per_core * spark.sparkContext.defaultParallelism))
