@@ -83,3 +83,4 @@ def op10_benchmark_leaks(spark, sf_dir):
 
 
 ORACLES["op7_mix_sources"] = mixing.ORACLE
+ORACLES["op9_byte_shards"] = sharding.ORACLE

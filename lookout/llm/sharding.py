@@ -58,3 +58,29 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     return shard_by_bytes(docs, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same shards in DuckDB SQL (ids unique). The checksum is computed from
+#: half-bytes, low one first, with a table of 16 entries made by rule.
+ORACLE = """
+WITH tab AS (
+  SELECT list_transform(range(16), lambda c: list_reduce([c::BIGINT, 0, 0, 0, 0],
+         lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+         list_transform(string_split(hex(encode(coalesce(text, ''))), ''),
+                        lambda c: instr('0123456789ABCDEF', c)::BIGINT - 1) AS nibbles
+  FROM documents),
+c AS (
+  SELECT doc_id, text, size, CASE WHEN size = 8 THEN 0 ELSE xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(len(nibbles)), lambda i: nibbles[xor(i, 1) + 1])),
+           lambda a, x: xor(tab.crc[(xor(a, x) & 15) + 1], a >> 4)), 4294967295) END AS text_crc32
+  FROM d, tab),
+o AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first_id, sum(size) OVER (PARTITION BY text) AS bytes,
+             (SELECT sum(size) FROM c) AS total FROM c),
+p AS (SELECT *, sum(size) OVER (ORDER BY first_id, doc_id) - size AS pos FROM o),
+s AS (SELECT *, least(23, CASE WHEN bytes * 24 <= total * 0.02 THEN min(pos) OVER (PARTITION BY text) ELSE pos END
+                      * 24 // total)::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY pos, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM s"""
