@@ -142,10 +142,12 @@ def recent_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
     return alerts.orderBy(F.col("ts").desc(), F.col("alert_id").desc()).limit(n)
 
 
-def action_lifecycle(actions: DataFrame, reversals: DataFrame, n: int = 100) -> DataFrame:
-    """Q9: newest ``n`` actions with their reversal columns."""
+def action_lifecycle(actions: DataFrame, reversals: DataFrame, as_of: str, n: int = 100) -> DataFrame:
+    """Q9: newest ``n`` actions with their reversal columns; ``reversed`` if the
+    reversal was due by ``as_of``."""
     r = reversals.select("action_id", "reversal_at")
-    a = actions.join(r, "action_id", "left").withColumn("reversed", F.lit(False))
+    due = F.coalesce(F.col("reversal_at") <= F.lit(as_of).cast("timestamp_ntz"), F.lit(False))
+    a = actions.join(r, "action_id", "left").withColumn("reversed", due)
     return a.orderBy(F.col("ts").desc(), F.col("action_id").desc()).limit(n)
 
 

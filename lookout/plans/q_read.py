@@ -123,11 +123,13 @@ def q8_recent_alerts(spark, sf):
 
 
 @register("q9_action_lifecycle", _R_SQL + """
-SELECT a.action_id, a.ts, a.status, r.reversal_at FROM acts a LEFT JOIN revs r ON r.action_id = a.action_id
+SELECT a.action_id, a.ts, a.status, r.reversal_at,
+  coalesce(r.reversal_at <= TIMESTAMP '2024-01-30 12:00:00', false) AS reversed FROM acts a LEFT JOIN revs r ON r.action_id = a.action_id
 ORDER BY a.ts DESC, a.action_id DESC LIMIT 100""")
 def q9_action_lifecycle(spark, sf):
     a = actions(spark, sf)
-    return Q.action_lifecycle(a, R.schedule_reversals(a)).select("action_id", "ts", "status", "reversal_at")
+    return Q.action_lifecycle(a, R.schedule_reversals(a), "2024-01-30 12:00:00").select(
+        "action_id", "ts", "status", "reversal_at", "reversed")
 
 
 @register("q10_filter_alerts", _ALERT_SQL + f"""
@@ -512,10 +514,17 @@ def t1_retention_cleanup(spark, sf):
     return T.retention_cleanup(tables, _T_AS_OF)
 
 
-@register("t2_trim_stream", with_views("raw_logs") + """
-SELECT id FROM raw_logs ORDER BY ts DESC, id DESC LIMIT 5000""")
+@register("t2_trim_stream", with_views("raw_logs", "scores_raw", "requests") + """
+SELECT 'logs' AS stream, id FROM (SELECT id FROM raw_logs ORDER BY ts DESC, id DESC LIMIT 50000)
+UNION ALL SELECT 'scores', id FROM (SELECT id FROM scores_raw ORDER BY ts DESC, id DESC LIMIT 10000)
+UNION ALL SELECT 'actions', request_id FROM (SELECT request_id FROM requests ORDER BY ts DESC, request_id DESC LIMIT 5000)""")
 def t2_trim_stream(spark, sf):
-    return T.trim_stream(V.raw_logs(spark, sf), 5000).select("id")
+    """Each stream keeps as many of its newest entries as its own cap says."""
+    streams = {"logs": V.raw_logs(spark, sf), "scores": V.scores_raw(spark, sf),
+               "actions": V.requests(spark, sf).withColumn("id", F.col("request_id"))}
+    parts = [T.trim_stream(d, S.STREAM_CAPS[name]).select(F.lit(name).alias("stream"), "id")
+             for name, d in streams.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---------------------------------------------------------------- S
