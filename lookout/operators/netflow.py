@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .processes import previous_snapshot
@@ -16,31 +16,37 @@ def connection_key(df: DataFrame) -> DataFrame:
         F.col("local_ip"), F.lit(":"), F.col("local_port").cast("string")))
 
 
+def _seen(later: bool) -> Column:
+    """The connection's nearest snapshot before (or after) the row's own."""
+    by_key = Window.partitionBy("host", "conn_key").orderBy("snap")
+    if later:
+        return F.min("snap").over(by_key.rangeBetween(1, Window.unboundedFollowing))
+    return F.max("snap").over(by_key.rangeBetween(Window.unboundedPreceding, -1))
+
+
 def new_connections(conns: DataFrame) -> DataFrame:
     """Connections whose key is absent from the host's previous snapshot.
 
-    The host's first snapshot is all new; remote 0.0.0.0 is dropped. The diff
-    is an anti join on (host, snapshot, key), which hashes by key, not host."""
+    The host's first snapshot is all new; remote 0.0.0.0 is dropped. One shuffle
+    on (host, key) tells when a key was last seen; that is compared to the host's
+    previous snapshot, of which there is one row per snapshot."""
     prev = previous_snapshot(conns)
-    cur = connection_key(conns).join(prev, ["host", "snap"])
-    before = connection_key(conns).select("host", F.col("snap").alias("prev_snap"),
-                                          "conn_key").distinct()
-    new = cur.join(before, ["host", "prev_snap", "conn_key"], "left_anti")
-    return new.filter(F.col("remote_ip") != "0.0.0.0") \
-        .withColumn("type", F.lit("new_connection"))
+    d = connection_key(conns.filter(F.col("remote_ip") != "0.0.0.0")).withColumn("__seen", _seen(later=False))
+    d = d.join(prev, ["host", "snap"])
+    fresh = F.col("__seen").isNull() | F.col("prev_snap").isNull() | (F.col("__seen") < F.col("prev_snap"))
+    return d.filter(fresh).drop("__seen").withColumn("type", F.lit("new_connection"))
 
 
 def closed_connections(conns: DataFrame) -> DataFrame:
     """Per snapshot, number of keys of the previous snapshot that are gone (>0 only)."""
-    prev = previous_snapshot(conns).filter(F.col("prev_snap").isNotNull())
-    keys = connection_key(conns).select("host", "snap", "conn_key").distinct()
-    earlier = keys.join(prev.select("host", F.col("prev_snap").alias("snap"),
-                                    F.col("snap").alias("next_snap")), ["host", "snap"])
-    gone = earlier.join(keys.select("host", F.col("snap").alias("next_snap"), "conn_key"),
-                        ["host", "next_snap", "conn_key"], "left_anti")
+    after = previous_snapshot(conns).filter(F.col("prev_snap").isNotNull()) \
+        .select("host", F.col("prev_snap").alias("snap"), F.col("snap").alias("next_snap"))
+    keys = connection_key(conns).select("host", "snap", "conn_key").distinct() \
+        .withColumn("__seen", _seen(later=True))
+    gone = keys.join(after, ["host", "snap"]) \
+        .filter(F.col("__seen").isNull() | (F.col("__seen") > F.col("next_snap")))
     return gone.groupBy("host", F.col("next_snap").alias("snap")) \
-        .agg(F.count(F.lit(1)).alias("closed")) \
-        .filter(F.col("closed") > 0)
+        .agg(F.count(F.lit(1)).alias("closed"))
 
 
 def port_scan_candidates(new_conns: DataFrame, window: str = "30 seconds",
