@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        size = 1 << max(16, int(n).bit_length())
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        _POWERS[base] = have
+    return have[:n]
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """Session settings for a frame whose session the caller made: the workers'
-    import path, the shared checkpoint folder, and batches for Python workers
-    small enough for very long texts."""
+    import path, the shared checkpoint folder, batches for Python workers small
+    enough for very long texts, and the removal of an execution's shuffle files
+    at its end (what outlives it is in the checkpoint folder)."""
     configure(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return df
 
 
@@ -35,6 +53,17 @@ def packed(docs: DataFrame, *extra: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *extra)
 
 
+def hash_sample(rows: DataFrame, n: int, *cols: str) -> DataFrame:
+    """At most ``n`` rows: those with the least hashes of ``cols``, which should
+    tell rows apart. A first cut at a hash below which about twice as many lie
+    leaves few rows to order, however many partitions there are."""
+    total = rows.count()
+    h = F.xxhash64(F.lit(11), *cols)
+    if total > 4 * n:
+        rows = rows.filter(F.shiftrightunsigned(h, 11) < int(2 * n / total * (1 << 53)))
+    return rows.orderBy(h, *cols).limit(n)
+
+
 def global_prefix(rows: DataFrame, order: list[str], measures: list[str]) -> DataFrame:
     """``rows`` plus, for each measure m, ``p_m``: the sum of m over all rows
     before this one in ``order`` (which must be a total order up to rows that

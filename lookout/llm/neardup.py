@@ -15,19 +15,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookout.llm.common import WORD_RE, fingerprint, packed, prepared
+from lookout.llm.common import WORD_RE, fingerprint, packed, powers, prepared
 from lookout.llm.components import components
 
 _U = np.uint64
-
+_B = 0x9E3779B97F4A7C15
+_B_INV = pow(_B, -1, 1 << 64)
 
 @dataclass(frozen=True)
 class Settings:
-    """``words``: words of a shingle; ``sketches`` of ``picks`` shingles each;
-    ``similarity``: least share of words that an alignment leaves unedited."""
+    """``words``: words of a shingle; ``sketches`` of ``picks`` shingles each, of
+    which the first ``leading`` are compared first; ``similarity``: least share of
+    words that an alignment leaves unedited. ``near``: sketches of a text are
+    paired with so many that follow where one isn't telling enough."""
     words: int = 5
-    sketches: int = 24
-    picks: int = 2
+    sketches: int = 32
+    picks: int = 3
+    leading: int = 8
+    near: int = 8
     similarity: float = 0.8
     seed: int = 3
 
@@ -47,16 +52,29 @@ def words_of(text: str | None) -> list[str]:
     return WORD_RE.findall((text or "").lower())
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each of ``words_of``, from running sums over the bytes of
+    the whole text: the sum over a word, scaled by where it begins."""
+    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    np.greater((raw - np.uint8(9)), 4, out=inside[1:-1])  # bytes 9 to 13 and 32 are blanks
+    inside[1:-1] &= raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + _U(1)) * powers(_B_INV, len(raw)), out=sums[1:])
+    return _mix((sums[end] - sums[start]) * powers(_B, len(raw) + 1)[start])
+
+
 def sketch(text: str | None, s: Settings = Settings()) -> np.ndarray | None:
     """The ``s.sketches`` order-MinHash values of a text; None without words. A
     text of fewer than ``s.words`` words is one shingle."""
-    words = words_of(text)
-    if not words:
+    hashed = word_hashes(text)
+    if not len(hashed):
         return None
-    hashed = pd.util.hash_array(np.array(words, dtype=object), categorize=len(words) > 50)
-    n = max(1, len(words) - s.words + 1)
+    n = max(1, len(hashed) - s.words + 1)
     shingles = np.zeros(n, np.uint64)
-    for k in range(min(s.words, len(words))):
+    for k in range(min(s.words, len(hashed))):
         shingles = shingles * _U(0x9E3779B97F4A7C15) + hashed[k:k + n]
     # the k-th occurrence of a shingle is a shingle of its own
     order = np.argsort(shingles, kind="stable")
@@ -71,7 +89,11 @@ def sketch(text: str | None, s: Settings = Settings()) -> np.ndarray | None:
     xor, times = _constants(s)
     ranks = (shingles[None, :] ^ xor) * times
     picks = min(s.picks, n)
-    least = np.argpartition(ranks, picks - 1, axis=1)[:, :picks] if n > picks else np.tile(np.arange(n), (s.sketches, 1))
+    least = np.empty((s.sketches, picks), np.int64)
+    each = np.arange(s.sketches)
+    for k in range(picks):  # the least, the least of the others, and so on
+        least[:, k] = ranks.argmin(axis=1)
+        ranks[each, least[:, k]] = np.iinfo(np.uint64).max
     least.sort(axis=1)  # text order
     out = np.zeros(s.sketches, np.uint64)
     for k in range(picks):
@@ -158,23 +180,39 @@ def _verified(edges: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             .select("a", "b", _similar_udf(s)("text_a", "text_b").alias("same")).filter("same").select("a", "b"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return (docs.select(_node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+            .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): pairs of different texts (by digest) that alignment found similar.
 
     Texts that share a sketch meet in a bucket, in which every text is compared
-    to the least one, so a bucket of n texts gives n - 1 pairs. Texts that turn
-    out to be no duplicates of the least one meet again in buckets of two shared
+    to the least one, so a bucket of n texts gives n - 1 pairs. The leading
+    sketches come first; by the others, the components found so far are compared,
+    each by its least text in the bucket, so that large groups count once. Texts
+    found unlike the least one of a bucket meet again in buckets of two shared
     sketches, which tell apart texts that have no more than a passage in common."""
     sketched = (docs.select(_node(F.col("text")).alias("node"), "text")
                 .select("node", _sketch_udf(s)("text").alias("sketch")).filter("sketch IS NOT NULL")
                 .groupBy("node").agg(F.first("sketch").alias("sketch"))).checkpoint()
     each = sketched.select("node", F.posexplode("sketch").alias("band", "value"))
-    buckets = each.select("node", F.xxhash64("band", "value").alias("bucket"))
-    pairs = _stars(buckets).checkpoint()
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = (docs.select(_node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-             .join(wanted, "node", "left_semi").dropDuplicates(["node"])).checkpoint()
-    good = _verified(pairs, texts, s).checkpoint()
+    buckets = each.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+
+    pairs = _stars(buckets.filter(F.col("band") < s.leading)).checkpoint()
+    good = _verified(pairs, _texts_of(docs, _ends(pairs)), s).checkpoint()
+
+    roots = components(good).checkpoint()
+    apart = (buckets.filter(F.col("band") >= s.leading).join(roots, "node", "left")
+             .groupBy("bucket", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node")))
+    more = _stars(apart).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    good = good.unionByName(_verified(more, _texts_of(docs, _ends(more)), s)).checkpoint()
+    pairs = pairs.unionByName(more)
 
     # who isn't in the component of the least text of one of its buckets
     roots = components(good).checkpoint()
@@ -182,11 +220,11 @@ def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                   .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
                   .filter("ra IS NULL OR rb IS NULL OR ra != rb").select(F.col("b").alias("node")).distinct())
     both = (sketched.join(open_nodes, "node")
-            .select("node", F.posexplode("sketch").alias("i", "v"), "sketch")
-            .select("node", "i", "v", F.posexplode("sketch").alias("j", "w")).filter("i < j")
+            .select("node", F.posexplode("sketch").alias("i", "v"), F.concat("sketch", "sketch").alias("twice"))
+            .select("node", "i", "v", F.posexplode(F.slice("twice", F.col("i") + 2, s.near)).alias("j", "w"))
             .select("node", F.xxhash64("i", "v", "j", "w").alias("bucket")))
-    again = _stars(both).join(pairs, ["a", "b"], "left_anti")
-    return good.unionByName(_verified(again, texts, s)).checkpoint()
+    again = _stars(both).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    return good.unionByName(_verified(again, _texts_of(docs, _ends(again)), s)).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -197,8 +235,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     class: the least by (doc_id, nulls first, then k1, k2); of rows equal in
     every column each says the same. k1, k2 is the fingerprint of all columns.
 
-    Texts with the same 5-word shingles to 0.8 and more meet with a probability
-    above 1 - 1e-9, to 0.5 above 0.99; only those that an alignment leaves at
+    Texts with the same 5-word shingles to 0.8 and more meet in a bucket with a
+    probability above 1 - 1e-9, to 0.5 above 0.98; only those that an alignment leaves at
     least ``similarity`` alike are linked. Null texts count as empty; texts
     without words are one class; an empty table gives no rows."""
     prepared(docs)

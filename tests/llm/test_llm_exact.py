@@ -134,7 +134,7 @@ def copied_texts(seed, n=40):
 
 @pytest.mark.parametrize("settings", [
     substrings.Settings(window=100, grams=(16, 50, 80, 100)),
-    substrings.Settings(window=100, grams=(16, 50, 80, 100), crowd=1, shard_bytes=3000, segment_windows=40),
+    substrings.Settings(window=100, grams=(16, 50, 80, 100), crowd=1, shard_bytes=3000),
     substrings.Settings(window=100, grams=(100,)),
 ])
 def test_substrings_against_brute_force(spark, settings):
