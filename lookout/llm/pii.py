@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookout.llm.common import prepared
+from lookout.llm.common import hash_sample, prepared
 from lookout.llm.tagger import Tagger, best_path
 
 KINDS = ("email", "ip", "card", "phone")  # in the contract's order
@@ -78,8 +78,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 @dataclass(frozen=True)
 class Settings:
     """``window``: characters the tagger sees at a time, ``stride`` apart.
-    ``train_texts``: bound of the training sample, the texts with a trigger
-    character with the least hashes; ``train_spots``: windows from one text.
+    ``train_texts``: bound of the training sample, the rows with a trigger
+    character with the least hashes of (doc_id, text); ``train_spots``: windows from one text.
     ``accept``: least probability of the first and mean probability of all
     characters of a span."""
     window: int = 64
@@ -170,10 +170,9 @@ def training_windows(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarr
         return pd.Series([[(c, [x for span in spans for x in span]) for c, spans in examples(t, s)]
                           for t in texts], dtype=object)
 
-    rows = (docs.select("text").filter(F.col("text").rlike(TRIGGER))
-            .select(F.xxhash64("text").alias("h"),
-                    F.pandas_udf(cut, "array<struct<context: string, spans: array<int>>>")("text").alias("w"))
-            .orderBy("h", F.to_json("w")).limit(s.train_texts).collect())
+    drawn = hash_sample(docs.select("doc_id", "text").filter(F.col("text").rlike(TRIGGER)), s.train_texts,
+                        "doc_id", "text").checkpoint()
+    rows = drawn.select(F.pandas_udf(cut, "array<struct<context: string, spans: array<int>>>")("text").alias("w")).collect()
     symbols, tags = [], []
     for r in rows:
         for context, flat in r.w:
