@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookout.llm.common import prepared
+from lookout.llm.common import hash_sample, prepared
 
 _U = np.uint64
 
@@ -23,8 +23,8 @@ _U = np.uint64
 class Settings:
     """``grams``: lengths of the n-grams; ``bits``: log2 of the number of hashed
     features. The training sample is bounded: at most ``toxic_rows`` rows marked
-    toxic and ``clean_rows`` others, those with the least hashes of the text, and
-    of a text longer than ``train_chars`` as many characters from a hashed place.
+    toxic and ``clean_rows`` others, those with the least hashes of the id, and of a
+    text longer than ``train_chars`` as many characters from a hashed place.
     ``smooth``: added to feature counts; ``penalty``: of the squared weights;
     ``accept``: the score from which a text is taken as toxic."""
     grams: tuple[int, ...] = (3, 4, 5, 6)
@@ -143,18 +143,27 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model
 
 def training_rows(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The bounded sample (text, toxic): labelled rows whose crc32(doc_id as
-    text) leaves no remainder 1 by 3. Labels other than 0 and 1 are left out."""
-    rows = (docs.select(F.col("doc_id").alias("id"), "text")
-            .join(labels.select(F.col("doc_id").alias("id"), "toxic"), "id")
-            .filter((F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")) % 3 != 1) & F.col("toxic").isin(0, 1))
-            .select("toxic", F.coalesce("text", F.lit("")).alias("text")))
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("at", F.pmod("h", F.greatest(
-        F.lit(1), F.length("text") - s.train_chars)).cast("int"))
-    rows = rows.select("toxic", "h", F.when(F.length("text") > s.train_chars, F.substr(
-        "text", F.col("at") + 1, F.lit(s.train_chars))).otherwise(F.col("text")).alias("text"))
-    return (rows.filter("toxic = 1").orderBy("h", "text").limit(s.toxic_rows)
-            .unionByName(rows.filter("toxic = 0").orderBy("h", "text").limit(s.clean_rows))
-            .select("text", F.col("toxic").cast("int").alias("toxic")))
+    text) leaves no remainder 1 by 3, of either label those with the least hashes
+    of the id. Labels other than 0 and 1 are left out; of several labels of an id
+    the greatest counts.
+
+    The sample is drawn from ids alone; only its bounded list of ids meets the
+    texts, so that these aren't shuffled."""
+    marked = (labels.select(F.col("doc_id").alias("id"), "toxic").filter(F.col("toxic").isin(0, 1))
+              .filter(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")) % 3 != 1)
+              .groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+              .join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi"))
+    marked = marked.checkpoint()
+    drawn = (hash_sample(marked.filter("toxic = 1"), s.toxic_rows, "id")
+             .unionByName(hash_sample(marked.filter("toxic = 0"), s.clean_rows, "id")))
+    rows = (docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+            .join(F.broadcast(drawn), "id")  # at most toxic_rows + clean_rows ids
+            .withColumn("h", F.xxhash64("text")))
+    at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - s.train_chars)).cast("int")
+    part = F.when(F.length("text") > s.train_chars, F.substr("text", at + 1, F.lit(s.train_chars))).otherwise(F.col("text"))
+    # an id may stand for many rows; the bound holds for texts
+    return (rows.select(part.alias("text"), "toxic", "h").orderBy("h", "text", "toxic")
+            .limit(s.toxic_rows + s.clean_rows).select("text", "toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
