@@ -1,8 +1,8 @@
 """Operator 10: benchmark decontamination.
 
-Word trigrams of the test items are counted over all documents; each item's
-rarer trigrams are its seeds. A passage with seeds of an item is aligned to it
-by Smith-Waterman, so edited and paraphrased copies are scored too.
+All word trigrams of a test item are its seeds, however common. A passage with
+several seeds of an item nearby, and words enough of it to reach the least score,
+is aligned to it by Smith-Waterman, so edited and paraphrased copies are scored too.
 """
 
 from __future__ import annotations
@@ -24,16 +24,12 @@ MATCHES = "array<struct<item_id: bigint, score: double, first_word: int, last_wo
 
 @dataclass(frozen=True)
 class Settings:
-    """``gram``: words of a seed. A trigram is a seed of an item if it is in at
-    most ``common_share`` of the documents, or in at most ``common_times`` as
-    many as the median of the item's trigrams that occur at all. ``min_seeds``
-    different seeds must lie in a passage, fewer if the item has fewer than
-    three times as many trigrams. ``accept``: least alignment score as a share
-    of the score of an unchanged copy. ``block_words``: the benchmark is worked
-    through in blocks of about this many words, each sent to all tasks."""
+    """``gram``: words of a seed. ``min_seeds`` different seeds must lie in a
+    passage, fewer if the item has fewer than three times as many trigrams.
+    ``accept``: least alignment score as a share of the score of an unchanged
+    copy. ``block_words``: the benchmark is worked through in blocks of about this
+    many words, each sent to all tasks."""
     gram: int = 3
-    common_share: float = 1e-4
-    common_times: float = 2.0
     min_seeds: int = 2
     match: int = 2
     mismatch: int = -1
@@ -58,6 +54,8 @@ class Items:
             if len(words) >= gram:
                 self.ids.append(item_id)
                 self.words.append(np.array(words, np.int32))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         places = [(code, k, at) for k, words in enumerate(self.words) for at, code in enumerate(self.codes(words))]
         places.sort()
         self.item = np.array([p[1] for p in places], np.int64)
@@ -74,6 +72,13 @@ class Items:
             out = out * np.uint64(len(self.vocab)) + words[k:len(words) - self.gram + 1 + k]
         return out
 
+    def shared(self, k: int, passage: np.ndarray) -> int:
+        """The words of item ``k``, as often as they are, that ``passage`` has too."""
+        words, times = self.bags[k]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        have = np.bincount(at[words[at] == passage], minlength=len(words))
+        return int(np.minimum(times, have).sum())
+
     def number(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, words, [-1] * len(words)), np.int32, len(words))
 
@@ -113,12 +118,10 @@ def align(item: np.ndarray, passage: np.ndarray, s: Settings) -> tuple[int, int]
     return best, end
 
 
-def search(items: Items, seeds: np.ndarray, words: np.ndarray, s: Settings) -> list[tuple]:
+def search(items: Items, words: np.ndarray, s: Settings) -> list[tuple]:
     """The items of which ``words`` holds a copy: (item_id, score, first word,
     last word, seeds), the best passage for each item."""
     at, gram = items.hits(words)
-    keep = seeds[gram]
-    at, gram = at[keep], gram[keep]
     if not len(at):
         return []
     # every place of a seed in the items, and where the item would then begin
@@ -128,10 +131,13 @@ def search(items: Items, seeds: np.ndarray, words: np.ndarray, s: Settings) -> l
     gram = np.repeat(gram, times)
     order = np.lexsort((start, item))
     item, start, gram = item[order], start[order], gram[order]
-    lengths = np.array([len(w) for w in items.words])
+    lengths = items.lengths
     breaks = np.flatnonzero((np.diff(item) != 0) | (np.diff(start) > np.maximum(2, lengths[item[1:]] // 2))) + 1
     out: dict[int, tuple] = {}
-    for lo, hi in zip(np.append(0, breaks), np.append(breaks, len(item))):
+    lows, highs = np.append(0, breaks), np.append(breaks, len(item))
+    least = np.minimum(s.min_seeds, np.maximum(1, (lengths[item[lows]] - items.gram + 1) // 3))
+    some = highs - lows >= least
+    for lo, hi in zip(lows[some], highs[some]):
         k = int(item[lo])
         target = items.words[k]
         n_seeds = len(np.unique(gram[lo:hi]))
@@ -140,6 +146,9 @@ def search(items: Items, seeds: np.ndarray, words: np.ndarray, s: Settings) -> l
         slack = len(target) // 2 + 2
         first = max(0, int(start[lo]) - slack)
         passage = words[first:int(start[hi - 1]) + len(target) + slack]
+        # every matched word adds ``match`` at most, and no word of the passage serves twice
+        if s.match * items.shared(k, passage) < s.accept * s.match * len(target):
+            continue
         score, end = align(target, passage, s)
         share = score / (s.match * len(target))
         if share >= s.accept and (k not in out or share > out[k][1]):
@@ -158,45 +167,10 @@ def _blocks(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, str]]
         yield sorted((r.item_id if r.item_id is not None else -1, r.text) for r in block.collect())
 
 
-def _document_counts(docs: DataFrame, items: Items, broadcast) -> tuple[np.ndarray, int]:
-    """For each trigram of the block, the documents that hold it; the number of
-    documents. Every task adds up its own documents first."""
-    def count(frames):
-        block = broadcast.value
-        counts, n = np.zeros(len(block.grams), np.int64), 0
-        for frame in frames:
-            n += len(frame)
-            for text in frame["text"]:
-                _, gram = block.hits(block.number(tokens(text)))
-                if len(gram):
-                    counts[np.unique(gram)] += 1
-        some = np.flatnonzero(counts)
-        yield pd.DataFrame({"gram": np.append(some, -1), "n": np.append(counts[some], n)})
-
-    totals = np.zeros(len(items.grams) + 1, np.int64)
-    for r in docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(
-            F.sum("n").alias("n")).collect():  # at most one row for each trigram of the block
-        totals[r.gram] = r.n
-    return totals[:-1], int(totals[-1])
-
-
-def rare_seeds(items: Items, counts: np.ndarray, n_docs: int, s: Settings) -> np.ndarray:
-    """Marks the trigrams that serve as seeds (of any item)."""
-    gram = np.repeat(np.arange(len(items.grams)), items.count)
-    seeds = np.zeros(len(items.grams), bool)
-    order = np.argsort(items.item, kind="stable")
-    for group in np.split(gram[order], np.flatnonzero(np.diff(items.item[order])) + 1):
-        n = counts[group]
-        if n.any():
-            most = max(s.common_share * n_docs, s.common_times * float(np.median(n[n > 0])))
-            seeds[group[(n > 0) & (n <= most)]] = True
-    return seeds
-
-
-def _search_udf(block, seeds, s: Settings):
+def _search_udf(block, s: Settings):
     def found(texts: pd.Series) -> pd.Series:
         items = block.value
-        return pd.Series([search(items, seeds.value, items.number(tokens(t)), s) for t in texts], dtype=object)
+        return pd.Series([search(items, items.number(tokens(t)), s) for t in texts], dtype=object)
 
     return F.pandas_udf(found, MATCHES)
 
@@ -206,12 +180,8 @@ def _searches(docs: DataFrame, benchmark: DataFrame, s: Settings):
     sc = docs.sparkSession.sparkContext
     for rows in _blocks(benchmark, s):
         items = Items(rows, s.gram)
-        if not items.ids:
-            continue
-        block = sc.broadcast(items)
-        seeds = sc.broadcast(rare_seeds(items, *_document_counts(docs, items, block), s))
-
-        yield _search_udf(block, seeds, s)
+        if items.ids:
+            yield _search_udf(sc.broadcast(items), s)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

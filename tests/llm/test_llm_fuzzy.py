@@ -222,6 +222,18 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {i for i, _ in planted}
 
 
+def test_leaks_in_a_hot_group_of_equal_edited_copies(spark):
+    words = prose(77, 40, words=4000).split()
+    copy = [w if k % 4 != 3 else f"zz{k}" for k, w in enumerate(words)]
+    docs = [(i, prose(2000 + i, 40) + " " + " ".join(copy) + " " + prose(3000 + i, 40), "en", "a", 0) for i in range(60)]
+    # every other trigram of the item stands somewhere by chance
+    docs += [(100 + k, " ".join([prose(4000 + k, 30), *words[k:k + 3], prose(5000 + k, 30)]), "en", "a", 0) for k in range(38)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, prose(78, 30))], "item_id long, text string")
+    got = decontaminate.contaminated(table(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 1) for i in range(60)}
+    assert {r.doc_id for r in decontaminate.clean_documents(table(spark, docs), bench).collect()} == set(range(100, 138))
+
+
 def test_leaks_awkward(spark):
     item = awkward()[0][1][:200]
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "one"), (None, awkward()[3][1])],
