@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,13 @@ _B_INV = pow(_B, -1, 1 << 64)
 class Settings:
     """``words``: words of a shingle; ``sketches`` of ``picks`` shingles each, of
     which the first ``leading`` are compared first; ``similarity``: least share of
-    words that an alignment leaves unedited. ``near``: sketches of a text are
-    paired with so many that follow where one isn't telling enough."""
+    words that an alignment leaves unedited. ``bins``: words are counted by hash in
+    so many classes, whose counts bound an alignment from below."""
     words: int = 5
     sketches: int = 32
     picks: int = 3
     leading: int = 8
-    near: int = 8
+    bins: int = 32
     similarity: float = 0.8
     seed: int = 3
 
@@ -69,7 +71,10 @@ def word_hashes(text: str | None) -> np.ndarray:
 def sketch(text: str | None, s: Settings = Settings()) -> np.ndarray | None:
     """The ``s.sketches`` order-MinHash values of a text; None without words. A
     text of fewer than ``s.words`` words is one shingle."""
-    hashed = word_hashes(text)
+    return _sketch(word_hashes(text), s)
+
+
+def _sketch(hashed: np.ndarray, s: Settings) -> np.ndarray | None:
     if not len(hashed):
         return None
     n = max(1, len(hashed) - s.words + 1)
@@ -149,9 +154,16 @@ def similar(a: str, b: str, s: Settings = Settings()) -> bool:
 
 
 def _sketch_udf(s: Settings):
-    def sketched(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if (v := sketch(t, s)) is None else v.view(np.int64) for t in texts], dtype=object)
-    return F.pandas_udf(sketched, "array<bigint>")
+    """text -> its sketch (null without words), its words, and these by class."""
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            hashed = word_hashes(text)
+            v = _sketch(hashed, s)
+            bag = np.bincount((hashed % _U(s.bins)).astype(np.int64), minlength=s.bins).astype(np.int32)
+            rows.append((None if v is None else v.view(np.int64), len(hashed), bag))
+        return pd.DataFrame(rows, columns=["sketch", "n", "bag"])
+    return F.pandas_udf(sketched, "sketch array<bigint>, n int, bag array<int>")
 
 
 def _similar_udf(s: Settings):
@@ -173,6 +185,26 @@ def _stars(buckets: DataFrame) -> DataFrame:
             .select("a", F.col("node").alias("b")).distinct())
 
 
+def _may_be_similar(s: Settings):
+    """Of a member (n, bag) and a pivot (p_n, p_bag): false only if the words that
+    either has more of, class by class, are edits enough to tell them apart."""
+    more = reduce(add, [F.greatest(F.get("bag", F.lit(i)) - F.get("p_bag", F.lit(i)), F.lit(0)) for i in range(s.bins)])
+    most = F.floor((1 - s.similarity) * F.greatest("n", "p_n") + 1e-9)
+    return (F.abs(F.col("n") - F.col("p_n")) <= most) & (F.greatest(more, more - F.col("n") + F.col("p_n")) <= most)
+
+
+def _standing(members: DataFrame, good: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets in which different components meet, with ``root`` and the
+    number of their links."""
+    linked = good.select(F.col("a").alias("node")).unionAll(good.select(F.col("b").alias("node")))
+    linked = linked.groupBy("node").agg(F.count(F.lit(1)).alias("linked")).join(roots, "node")
+    members = (members.join(linked, "node", "left")
+               .withColumns({"root": F.coalesce("root", "node"), "linked": F.coalesce("linked", F.lit(0))}))
+    mixed = (members.select("bucket", F.xxhash64("root").alias("r")).groupBy("bucket")
+             .agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo != hi").select("bucket"))
+    return members.join(mixed, "bucket", "left_semi")
+
+
 def _verified(edges: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -192,39 +224,49 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): pairs of different texts (by digest) that alignment found similar.
 
-    Texts that share a sketch meet in a bucket, in which every text is compared
-    to the least one, so a bucket of n texts gives n - 1 pairs. The leading
-    sketches come first; by the others, the components found so far are compared,
-    each by its least text in the bucket, so that large groups count once. Texts
-    found unlike the least one of a bucket meet again in buckets of two shared
-    sketches, which tell apart texts that have no more than a passage in common."""
+    Texts that share a sketch meet in a bucket. By the leading sketches every text
+    is compared to the least one of its bucket. Then, as long as a bucket holds
+    different components, some of its texts are pivots: all others of other
+    components are compared to them, but for those whose word counts rule it out,
+    and the pivots leave the bucket. Texts with the most links come first, so an
+    original to which many unlike copies belong is a pivot soon; the number of
+    pivots, drawn by hash, doubles each round. In the end each pair that shares a
+    bucket has been verified, is in one component, or can't be similar."""
     sketched = (docs.select(_node(F.col("text")).alias("node"), "text")
-                .select("node", _sketch_udf(s)("text").alias("sketch")).filter("sketch IS NOT NULL")
-                .groupBy("node").agg(F.first("sketch").alias("sketch"))).checkpoint()
+                .select("node", _sketch_udf(s)("text").alias("s")).filter("s.sketch IS NOT NULL")
+                .groupBy("node").agg(F.first("s").alias("s")).select("node", "s.*")).checkpoint()
     each = sketched.select("node", F.posexplode("sketch").alias("band", "value"))
     buckets = each.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
 
-    pairs = _stars(buckets.filter(F.col("band") < s.leading)).checkpoint()
-    good = _verified(pairs, _texts_of(docs, _ends(pairs)), s).checkpoint()
-
-    roots = components(good).checkpoint()
-    apart = (buckets.filter(F.col("band") >= s.leading).join(roots, "node", "left")
-             .groupBy("bucket", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node")))
-    more = _stars(apart).join(pairs, ["a", "b"], "left_anti").checkpoint()
-    good = good.unionByName(_verified(more, _texts_of(docs, _ends(more)), s)).checkpoint()
-    pairs = pairs.unionByName(more)
+    tried = _stars(buckets.filter(F.col("band") < s.leading)).checkpoint()
+    good = _verified(tried, _texts_of(docs, _ends(tried)), s).checkpoint()
 
-    # who isn't in the component of the least text of one of its buckets
     roots = components(good).checkpoint()
-    open_nodes = (pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-                  .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                  .filter("ra IS NULL OR rb IS NULL OR ra != rb").select(F.col("b").alias("node")).distinct())
-    both = (sketched.join(open_nodes, "node")
-            .select("node", F.posexplode("sketch").alias("i", "v"), F.concat("sketch", "sketch").alias("twice"))
-            .select("node", "i", "v", F.posexplode(F.slice("twice", F.col("i") + 2, s.near)).alias("j", "w"))
-            .select("node", F.xxhash64("i", "v", "j", "w").alias("bucket")))
-    again = _stars(both).join(pairs, ["a", "b"], "left_anti").checkpoint()
-    return good.unionByName(_verified(again, _texts_of(docs, _ends(again)), s)).checkpoint()
+    members = _standing(buckets.select("bucket", "node"), good, roots).checkpoint()
+    bags = sketched.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "bag")
+    members = members.join(bags, "node").checkpoint()
+    texts = _texts_of(docs, members.select("node").distinct()).checkpoint()
+    pivots_each = 1
+    while not members.isEmpty():
+        salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
+        chosen = (members.groupBy("bucket", salt.alias("salt"))
+                  .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node")).alias("p"))
+                  .select("bucket", F.col("p.node").alias("node")))
+        pivots = members.join(chosen, ["bucket", "node"], "left_semi").checkpoint()
+        others = pivots.select(F.col("bucket").alias("p_bucket"), *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")])
+        fresh = (members.join(others, (F.col("bucket") == F.col("p_bucket")) & (F.col("root") != F.col("p_root"))
+                              & _may_be_similar(s))
+                 .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+                 .join(tried, ["a", "b"], "left_anti")).checkpoint()
+        found = _verified(fresh, texts, s).checkpoint()
+        tried = tried.unionByName(fresh)
+        if not found.isEmpty():
+            good = good.unionByName(found)
+            roots = components(good).checkpoint()
+        left = members.join(pivots, ["bucket", "node"], "left_anti").select("bucket", "node", "n", "bag")
+        members = _standing(left, good, roots).checkpoint()
+        pivots_each *= 2
+    return good
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

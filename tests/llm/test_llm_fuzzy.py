@@ -117,6 +117,20 @@ def test_one_large_group(spark):
     assert collections.Counter(r.class_id for r in got).most_common(1)[0][1] >= 695
 
 
+def test_copies_that_only_their_original_is_like(spark):
+    rng = random.Random(21)
+    original = prose(70, 400, words=4000).split()
+    rows = [(0, " ".join(original), "en", "a", 0)]
+    for i in range(1, 61):
+        at = rng.randrange(401)
+        rows.append((i, " ".join([*original[:at], *prose(7000 + i, 84).split(), *original[at:]]), "en", "a", 0))
+    # others share a third of the original with them, but aren't like any
+    rows += [(100 + i, " ".join([*prose(8000 + i, 250).split(), *original[:150]]), "en", "a", 0) for i in range(30)]
+    assert all(neardup.similar(rows[0][1], r[1]) for r in rows[1:61])
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.classes(table(spark, rows)).collect()}
+    assert got == {i: (0, 61) for i in range(61)} | {i: (i, 1) for i in range(100, 130)}
+
+
 def test_near_duplicates_awkward(spark):
     docs = table(spark, awkward())
     got = neardup.near_duplicates(docs).collect()
