@@ -2,7 +2,9 @@
 
 A text is cut into units: the whole text, its paragraphs and its lines. A
 normalised unit is compared to the licence templates whose sizes leave the Dice
-coefficient a chance to reach the limit; the others are passed over.
+coefficient a chance to reach the limit; the others are passed over. Passages of
+the whole text, across lines and within them, are compared to the templates of
+which it holds enough bigrams.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +136,55 @@ class Library:
         self.least = int(self.sets[0][0] * limit / (2 - limit)) if self.sets else 0
         self.most = self.sets[-1][0] * (2 - limit) / limit if self.sets else 0
 
+        self.vocab = {w: k for k, w in enumerate(sorted(self.words))}
+        size = len(self.vocab)
+        code = {p: self.vocab[p[0]] * size + self.vocab[p[1]] for p in self.pairs}
+        self.codes = np.array(sorted(code.values()), np.int64)
+        #: how often each template has each pair of ``codes``, and how many a passage must share
+        self.counts = np.zeros((len(self.sets), len(self.codes)), np.int64)
+        for t, (_, _, template) in enumerate(self.sets):
+            for pair, times in template.items():
+                self.counts[t, np.searchsorted(self.codes, code[pair])] = times
+        self.need = np.array([m * limit / (2 - limit) for m, _, _ in self.sets]) - 1e-9
+
+    def passages(self, words: list[str]) -> list[tuple[float, str, int, int]]:
+        """(Dice, template, first word, past the last), best first: for every place
+        where a template may begin, the run of words most like it, if it reaches the
+        limit. A run has at least ``need`` pairs in common with its template, and its
+        first and last pairs are the template's, as others only lower Dice."""
+        if len(words) < 2 or not len(self.codes):
+            return []
+        number = np.fromiter(map(self.vocab.get, words, [-1] * len(words)), np.int64, len(words))
+        at = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
+        code = number[at] * len(self.vocab) + number[at + 1]
+        pair = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        same = self.codes[pair] == code
+        at, pair = at[same], pair[same]
+        if len(at) < self.need.min():
+            return []
+        have = np.minimum(self.counts, np.bincount(pair, minlength=len(self.codes))).sum(axis=1)
+        out = []
+        for t in np.flatnonzero(have >= self.need):
+            m, name, _ = self.sets[t]
+            mine = self.counts[t, pair] > 0
+            place, kind = at[mine], pair[mine]
+            most = int(m * (2 - self.limit) / self.limit + 1e-9)
+            past = np.searchsorted(place, place + most)
+            for lo in np.flatnonzero(past - np.arange(len(place)) >= self.need[t]):
+                left, common, top = {}, 0, None
+                first = int(place[lo])
+                for q, k in zip(place[lo:past[lo]].tolist(), kind[lo:past[lo]].tolist()):
+                    rest = left[k] if k in left else int(self.counts[t, k])
+                    left[k] = rest - 1
+                    if rest > 0:
+                        common += 1
+                        score = 2 * common / (q - first + 1 + m)
+                        if score >= self.limit and (top is None or score > top[0]):
+                            top = (score, name, first, q + 2)
+                if top:
+                    out.append(top)
+        return sorted(out, key=lambda x: (-x[0], *x[1:]))
+
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """The template most like a unit, if it reaches the limit; of equal ones
         the first by name. With n bigrams in one and m in the other, Dice is at
@@ -154,7 +206,9 @@ class Library:
         return top
 
     def scan(self, text: str | None) -> tuple[str | None, float, int, list[str]]:
-        """(best licence, its Dice, units that match, all licences found)."""
+        """(best licence, its Dice, units that match, all licences found). A passage
+        counts as a unit if most of its words aren't in units and better passages
+        that match."""
         found: dict[str, float] = {}
         units = 0
         lines = [normalised(line) for line in (text or "").split("\n")]
@@ -173,12 +227,20 @@ class Library:
         sizes = [0]
         for words in lines:
             sizes.append(sizes[-1] + len(words))
+        every = [w for words in lines for w in words]
+        covered = np.zeros(len(every), bool)
         for a, b in sorted(spans):
             if self.least < sizes[b] - sizes[a] <= self.most + 1:
                 top = self.best([w for words in lines[a:b] for w in words])
                 if top:
                     units += 1
                     found[top[1]] = max(found.get(top[1], 0.0), top[0])
+                    covered[sizes[a]:sizes[b]] = True
+        for score, name, first, past in self.passages(every):
+            if 2 * int(covered[first:past].sum()) < past - first:
+                units += 1
+                found[name] = max(found.get(name, 0.0), score)
+                covered[first:past] = True
         best = min(found, key=lambda name: (-found[name], name), default=None)
         return best, found.get(best, 0.0), units, sorted(found)
 

@@ -57,6 +57,28 @@ def test_licence_size_bounds_lose_nothing():
         assert (got is None) == (best is None) and (got is None or got == (-best[0], best[1]))
 
 
+def test_licences_of_several_paragraphs_within_other_text():
+    library = licenses.Library(licenses.TEMPLATES, 0.8)
+    parts = {"MIT": ("The above copyright", "THE SOFTWARE IS"),
+             "BSD-2-Clause": ("1. Redist", "2. Redist", "THIS SOFTWARE"),
+             "Zlib": ("Permission", "1. The", "2. Altered", "3. This"),
+             "Apache-2.0 notice": ("You may obtain", "http:", "Unless", "See the"),
+             "GPL-3.0 notice": ("This program is distributed", "You should")}
+    for name, starts in parts.items():
+        notice = licenses.TEMPLATES[name]
+        for start in starts:
+            notice = notice.replace(start, "\n\n" + start)
+        for mark in ("", " * ", "# "):
+            lines = "\n".join((mark + line).rstrip() for line in notice.split("\n"))
+            text = prose(5, 900) + "\n" + lines + "\n" + prose(6, 900)
+            best, score, _, found = library.scan(text)
+            assert name in found and (best == name or score >= 0.99), (name, mark, best, found)
+    assert library.scan(prose(7, 50) + " released under the MIT License. " + prose(8, 50))[3] == ["MIT line"]
+    assert library.scan(prose(9, 3000)) == (None, 0.0, 0, [])
+    # a notice that stands as one paragraph still counts once
+    assert library.scan(prose(5, 90) + "\n\n" + licenses.TEMPLATES["MIT"] + "\n\n" + prose(6, 90))[2] == 1
+
+
 def test_licences_awkward(spark):
     rows = both(spark, licenses.scan_licenses)
     assert len(rows) == 15 and all(r.license is None for r in rows)
