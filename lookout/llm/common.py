@@ -15,6 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 
+class Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -37,6 +45,7 @@ def prepared(df: DataFrame) -> DataFrame:
     at its end (what outlives it is in the checkpoint folder)."""
     configure(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return df
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookout.llm import decontaminate, licenses, linededup, mixing, neardup, pii, quality, sharding, substrings, toxicity
+from lookout.llm import (audit, bpe, decontaminate, licenses, linededup, mixing, neardup, periodic, pii, quality,
+                         sharding, substrings, toxicity)
 from lookout.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,5 +83,27 @@ def op10_benchmark_leaks(spark, sf_dir):
     return decontaminate.contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op11_periodic_runs(spark, sf_dir):
+    """Operator 11 over all documents, with the contract's runs planted."""
+    return periodic.digest(documents(spark, sf_dir))
+
+
+@register
+def op12_filter_audit(spark, sf_dir):
+    """Operator 12 over all documents and labels."""
+    return audit.audited(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+@register
+def op13_byte_bpe(spark, sf_dir):
+    """Operator 13 over all documents, with the public 50k byte-level vocabulary."""
+    import public_tokenizers  # only this query needs its files
+
+    return bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                      public_tokenizers.PATTERN)
+
+
 ORACLES["op7_mix_sources"] = mixing.ORACLE
 ORACLES["op9_byte_shards"] = sharding.ORACLE
+ORACLES["op12_filter_audit"] = audit.ORACLE
