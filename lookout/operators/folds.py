@@ -43,6 +43,25 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
     return _parallel_periods(df, list(keys), t, tie, int(period))
 
 
+def allowed_rows(times: np.ndarray, before: list[int], budget: int, window: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the sorted ``times`` are allowed after the allowed times ``before``,
+    and the last ``budget`` allowed times then. The loop runs once per allowed row."""
+    allowed = np.zeros(len(times), dtype=bool)
+    hist = list(before)
+    i = 0
+    while i < len(times):
+        if len(hist) >= budget:
+            # refused until the budget-th newest allowed row leaves the window
+            j = int(np.searchsorted(times, hist[-budget] + window, side="left"))
+            if j > i:
+                i = j
+                continue
+        allowed[i] = True
+        hist = [*hist, int(times[i])][-budget:]
+        i += 1
+    return allowed, hist
+
+
 def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, window: int,
                bucket: Column | None = None) -> DataFrame:
     """Allow a row when fewer than ``budget`` *allowed* rows of its key lie in
@@ -53,23 +72,7 @@ def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, wi
         + [T.StructField(tie, key_types[tie]), T.StructField("allowed", T.BooleanType())])
 
     def step(cols: dict, state):
-        tv = cols[t].astype(np.int64)
-        n = len(tv)
-        allowed = np.zeros(n, dtype=bool)
-        hist = list(state) if state is not None else []
-        i = 0
-        while i < n:
-            if len(hist) >= budget:
-                # refused until the budget-th newest allowed row leaves the window
-                j = int(np.searchsorted(tv, hist[-budget] + window, side="left"))
-                if j > i:
-                    i = j
-                    continue
-            allowed[i] = True
-            hist.append(int(tv[i]))
-            if len(hist) > budget:
-                hist = hist[-budget:]
-            i += 1
+        allowed, hist = allowed_rows(cols[t].astype(np.int64), state or [], budget, window)
         return {"allowed": allowed}, hist
 
     sel = df.select(*keys, t, tie)

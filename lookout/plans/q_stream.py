@@ -24,6 +24,11 @@ def _replay_of(spark, df, name, ts="ts"):
     return Z.Replay(df, Z.scratch(spark, f"{name}-in"), ts)
 
 
+def _marked(stream, late: str = "10 minutes"):
+    """``stream`` with a watermark on its event time."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 @register("z1_stream_features", _VEC_SQL + f"""
 SELECT {_VEC_COLS} FROM vec
 WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tel) - INTERVAL 1 HOUR""")
@@ -38,10 +43,10 @@ def z1_stream_features(spark, sf):
 def z2_stream_alerts(spark, sf):
     """E2-E5 on a stream: repeat counts and cooldown kept as state per dedup key."""
     r = _replay_of(spark, V.scores_raw(spark, sf).drop("features"), "scores")
-    m = P.match_rules(r.stream, rules_frame(spark, active_rules(example_rules())))
+    m = P.match_rules(_marked(r.stream), rules_frame(spark, active_rules(example_rules())))
     m = m.withColumn("dedup_key", P.dedup_key(F.col("policy_name"), F.col("anomaly_type"),
                                               F.col("source_ip"))) \
-        .withColumn("__t", epoch_micros(F.col("ts")))
+        .withColumn("t_us", epoch_micros(F.col("ts")))
     out = Z.run_to_table(Z.stream_alerts(m), spark, "z2", replay=r)
     return out.filter("fired").select("id", "policy_name")
 
@@ -50,7 +55,7 @@ def z2_stream_alerts(spark, sf):
 def z3_stream_rate_limit(spark, sf):
     """R5 on a stream with the last allowed times per target as state."""
     r = _replay_of(spark, V.requests(spark, sf), "requests")
-    s = r.stream.withColumn("__t", epoch_micros(F.col("ts")))
+    s = _marked(r.stream).withColumn("t_us", epoch_micros(F.col("ts")))
     out = Z.run_to_table(Z.stream_rate_limit(s), spark, "z3", replay=r)
     return out.select("request_id", "rate_ok")
 
@@ -65,8 +70,7 @@ def z4_stream_reversals(spark, sf):
     from ..operators import response as R
     rev = R.schedule_reversals(actions(spark, sf))
     r = _replay_of(spark, rev, "reversals")
-    s = r.stream.withColumn("__due", epoch_micros(F.col("reversal_at"))) \
-        .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    s = _marked(r.stream).withColumn("due_us", epoch_micros(F.col("reversal_at")))
     return Z.run_to_table(Z.stream_reversals(s), spark, "z4", replay=r)
 
 
@@ -74,11 +78,11 @@ def z4_stream_reversals(spark, sf):
 SELECT host, snap, remote_ip || ':' || CAST(remote_port AS VARCHAR) || '->' || local_ip || ':'
   || CAST(local_port AS VARCHAR) AS conn_key, remote_ip, local_port FROM newconn""")
 def z5_stream_snapshot_diff(spark, sf):
-    """D1 on a stream with each host's previous key set as state."""
+    """D1 on a stream: a state per connection of a host and one for the host's snapshots."""
     c = connection_key(V.connections(spark, sf)).withColumn(
         "ts", F.timestamp_seconds(F.col("snap") * V.SNAP_SECONDS_CONN).cast("timestamp_ntz"))
     r = _replay_of(spark, c, "conns")
-    out = Z.run_to_table(Z.stream_snapshot_diff(r.stream), spark, "z5", replay=r)
+    out = Z.run_to_table(Z.stream_snapshot_diff(_marked(r.stream)), spark, "z5", replay=r)
     return out.select("host", "snap", "conn_key", "remote_ip", "local_port")
 
 

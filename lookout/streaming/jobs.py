@@ -6,10 +6,12 @@ Each job is the batch operator's logic on a streaming DataFrame:
   (late rows behind the watermark are dropped, open windows are emitted once
   the watermark passes them);
 * Z2 alerts, Z3 rate limit, Z5 snapshot diff: keyed state with
-  ``applyInPandasWithState`` (state per dedup key / target / host; rows of a
-  key inside a micro-batch are processed in time order);
-* Z4 reversals: event-time timers (``EventTimeTimeout``) that fire an
-  ``unblock_ip`` request when the watermark passes ``reversal_at``;
+  ``transformWithState`` in the RocksDB store (list and value state per dedup
+  key / target / connection of a host; rows of a key inside a micro-batch are
+  processed in time order). State that can't matter any more is removed by an
+  event-time timer;
+* Z4 reversals: one key and one event-time timer per (target, action) that fires
+  an ``unblock_ip`` request when the watermark passes ``reversal_at``;
 * Z6 persistence: ``foreachBatch`` with the idempotent sinks, so a replayed
   micro-batch adds nothing twice.
 
@@ -28,13 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas as S
 from ..operators import features as FE
+from ..operators.folds import allowed_rows
 from ..session import ensure_checkpoint_dir
 
 MICROS = 1_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -79,18 +83,23 @@ class _StatePartitions:
 
     def __enter__(self):
         from ..session import task_parallelism
-        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(task_parallelism(self.spark, 2)))
+        conf = {"spark.sql.shuffle.partitions": str(task_parallelism(self.spark, 2)),
+                "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+        self.old = {k: self.spark.conf.get(k) for k in conf}
+        for k, v in conf.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        for k, v in self.old.items():
+            self.spark.conf.set(k, v)
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
-                 replay: Replay | None = None) -> DataFrame:
+                 replay: Replay | None = None, ckpt: str | None = None) -> DataFrame:
     """Run a streaming query over everything available (slice by slice of
-    ``replay``), into parquet; return it as a batch table."""
-    out, ckpt = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-ckpt")
+    ``replay``), into parquet; return it as a batch table. ``ckpt``: the query's
+    checkpoint folder, by default a new one."""
+    out, ckpt = scratch(spark, f"{name}-out"), ckpt or scratch(spark, f"{name}-ckpt")
 
     def start():
         return (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
@@ -114,161 +123,232 @@ def stream_features(telemetry: DataFrame, window_seconds: int, watermark: str) -
 
 # ---------------------------------------------------------------- Z2
 
-ALERT_STATE = T.StructType([
-    T.StructField("times", T.ArrayType(T.LongType())),
-    T.StructField("last_fired", T.LongType()),
-])
-
-
-def stream_alerts(matches: DataFrame, cooldown: int = S.ALERT_COOLDOWN_SECONDS,
-                  idle_ttl: int = S.DEDUP_IDLE_TTL_SECONDS) -> DataFrame:
-    """E4 + E5 with state per dedup key: the match times still inside the
-    repeat window and the last fired time. ``matches`` are E2/E3 rows with
-    ``dedup_key``, ``__t`` (epoch micros), ``id`` and the rule columns."""
-    out_schema = T.StructType([
-        T.StructField("dedup_key", T.StringType()), T.StructField("policy_name", T.StringType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("repeat_count", T.LongType()), T.StructField("fired", T.BooleanType())])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["__t", "id"], kind="mergesort")
-        if state.exists:
-            times, last = list(state.get[0] or []), state.get[1]
+def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="mergesort")
+
+
+class _Expiring(StatefulProcessor):
+    """State that one event-time timer per key removes. ``_expire_at`` moves the
+    timer; when the watermark passes it, all of the key's state goes. A timer
+    rather than a TTL, as TTLs count the cluster's time: a replay or a backlog
+    would keep or lose state by the speed at which it is read."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
+        self.states = [self.timer]
+
+    def _expire_at(self, micros: int) -> None:
+        at = -(-micros // 1000)
+        if self.timer.exists():
+            old = self.timer.get()[0]
+            if old == at:
+                return
+            self.handle.deleteTimer(old)
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in self.states:
+            state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def counted_matches(times: np.ndarray, window: np.ndarray, idle: int) -> np.ndarray:
+    """For each of the sorted ``times``, how many lie in (t - window, t] up to it;
+    a gap of ``idle`` restarts the count."""
+    n = len(times)
+    at = np.arange(n)
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.diff(times) >= idle
+    since = np.maximum.accumulate(np.where(fresh, at, 0))
+    return at - np.maximum(since, np.searchsorted(times, times - window, side="right")) + 1
+
+
+class AlertState(_Expiring):
+    """E4 and E5 per dedup key: the match times inside the window and the last
+    fired time."""
+
+    def __init__(self, cooldown: int, idle: int):
+        self.cooldown, self.idle = cooldown, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.times = handle.getListState("times", "t long")
+        self.fired = handle.getValueState("fired", "t long")
+        self.states += [self.times, self.fired]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, "t_us", "id")
+        new = pdf["t_us"].to_numpy(np.int64)
+        old = np.array([r[0] for r in self.times.get()], np.int64) if self.times.exists() else new[:0]
+        last = self.fired.get()[0] if self.fired.exists() else None
+        windows = pdf["repeated_within_seconds"].to_numpy(np.int64) * MICROS
+        times = np.concatenate((old, new))
+        # old times count towards new ones; a rule without a window counts nothing
+        width = np.concatenate((np.full(len(old), windows[0]), windows))
+        counts = counted_matches(times, width, self.idle)[len(old):]
+        enough = (counts >= pdf["min_occurrences"].to_numpy()) | (windows == 0)
+        ok = np.zeros(len(new), bool)
+        i = 0
+        while i < len(new):  # once per fired row of a rule with a window
+            if windows[i] == 0:
+                ok[i] = True
+            elif enough[i] and (last is None or new[i] - last >= self.cooldown):
+                ok[i] = True
+            if ok[i]:
+                last = int(new[i])
+            step = np.flatnonzero(enough[i + 1:])
+            if not len(step):
+                break
+            i += 1 + int(step[0])
+            if windows[i] > 0 and last is not None and new[i] - last < self.cooldown:
+                i = max(i, int(np.searchsorted(new, last + self.cooldown, side="left")))
+        kept = times[times > times[-1] - max(int(windows.max()), 0)]
+        gap = np.flatnonzero(np.diff(kept) >= self.idle)
+        kept = kept[gap[-1] + 1:] if len(gap) else kept
+        if len(kept):
+            self.times.put([(int(t),) for t in kept])
         else:
-            times, last = [], None
-        out_c, out_f = [], []
-        for t, w, mo in zip(pdf["__t"].to_numpy(np.int64), pdf["repeated_within_seconds"].to_numpy(),
-                            pdf["min_occurrences"].to_numpy()):
-            t, w = int(t), int(w)
-            if times and t - times[-1] >= idle_ttl * MICROS:
-                times = []  # occurrences expire without a match, also in a longer window
-            times.append(t)
-            if w > 0:
-                times = [x for x in times if x > t - w * MICROS]
-                c = len(times)
-                ok = c >= mo and (last is None or t - last >= cooldown * MICROS)
-            else:
-                times = [x for x in times if x > t - idle_ttl * MICROS]
-                c, ok = None, True
-            if ok:
-                last = t
-            out_c.append(c)
-            out_f.append(ok)
-        state.update((times, last))
+            self.times.clear()
+        if last is not None:
+            self.fired.update((last,))
+        self._expire_at(int(times[-1]) + max(self.idle, self.cooldown))
         yield pd.DataFrame({"dedup_key": key[0], "policy_name": pdf["policy_name"].to_numpy(),
                             "id": pdf["id"].to_numpy(),
-                            "repeat_count": pd.array(out_c, dtype="Int64"), "fired": out_f})
+                            "repeat_count": pd.Series(counts).astype("Int64").mask(windows == 0), "fired": ok})
 
-    return matches.groupBy("dedup_key").applyInPandasWithState(
-        fn, out_schema, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def stream_alerts(matches: DataFrame, cooldown: int = S.ALERT_COOLDOWN_SECONDS,
+                  idle_ttl: int = S.DEDUP_IDLE_TTL_SECONDS) -> DataFrame:
+    """E4 + E5 with state per dedup key. ``matches`` are E2/E3 rows with
+    ``dedup_key``, ``t_us`` (epoch micros), ``id``, the rule columns and a
+    watermark; a key's state goes once the watermark is ``idle_ttl`` past its
+    last match."""
+    return matches.groupBy("dedup_key").transformWithStateInPandas(
+        AlertState(cooldown * MICROS, idle_ttl * MICROS),
+        "dedup_key string, policy_name string, id long, repeat_count long, fired boolean", "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- Z3
 
-RATE_STATE = T.StructType([T.StructField("allowed_times", T.ArrayType(T.LongType()))])
+class RateState(_Expiring):
+    """R5 per target: the last ``budget`` allowed times."""
+
+    def __init__(self, budget: int, window: int):
+        self.budget, self.window = budget, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.allowed = handle.getListState("allowed", "t long")
+        self.states.append(self.allowed)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, "t_us", "request_id")
+        before = [r[0] for r in self.allowed.get()] if self.allowed.exists() else []
+        ok, after = allowed_rows(pdf["t_us"].to_numpy(np.int64), before, self.budget, self.window)
+        if after != before:
+            self.allowed.put([(t,) for t in after])
+            self._expire_at(after[-1] + self.window)
+        yield pd.DataFrame({"target": key[0], "request_id": pdf["request_id"].to_numpy(), "rate_ok": ok})
 
 
 def stream_rate_limit(requests: DataFrame, budget: int = S.ACTIONS_PER_MINUTE,
                       window: int = S.RATE_WINDOW_SECONDS) -> DataFrame:
-    """Z3: R5 with the last ``budget`` allowed times per target as state."""
-    out_schema = T.StructType([T.StructField("target", T.StringType()),
-                               T.StructField("request_id", T.LongType()),
-                               T.StructField("rate_ok", T.BooleanType())])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["__t", "request_id"],
-                                                                   kind="mergesort")
-        hist = list(state.get[0]) if state.exists else []
-        ok = []
-        for t in pdf["__t"].to_numpy(np.int64):
-            t = int(t)
-            live = [x for x in hist if x > t - window * MICROS]
-            if len(live) < budget:
-                live.append(t)
-                ok.append(True)
-            else:
-                ok.append(False)
-            hist = live[-budget:]
-        state.update((hist,))
-        yield pd.DataFrame({"target": key[0], "request_id": pdf["request_id"].to_numpy(),
-                            "rate_ok": ok})
-
-    return requests.groupBy("target").applyInPandasWithState(
-        fn, out_schema, RATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    """Z3: R5 with the last ``budget`` allowed times per target as state, which goes
+    once the watermark is ``window`` past the last of them. ``requests`` carry a
+    watermark and ``t_us`` (epoch micros)."""
+    return requests.groupBy("target").transformWithStateInPandas(
+        RateState(budget, window * MICROS), "target string, request_id long, rate_ok boolean", "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- Z4
 
-REV_STATE = T.StructType([T.StructField("pending", T.ArrayType(T.StructType([
-    T.StructField("action_id", T.StringType()), T.StructField("due", T.LongType())])))])
+class ReversalTimer(StatefulProcessor):
+    """One pending reversal: its due time, and the timer that fires it."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at long")
 
-def stream_reversals(blocked: DataFrame) -> DataFrame:
-    """Timers per target. ``blocked`` rows (action_id, target, ts, reversal_at)
-    arrive with a watermark on ``ts``; when the watermark passes a pending
-    ``reversal_at`` an ``unblock_ip`` request is emitted. Timers live in the
-    checkpointed state, so pending reversals survive a restart."""
-    out_schema = T.StructType([T.StructField("action_id", T.StringType()),
-                               T.StructField("target", T.StringType()),
-                               T.StructField("action", T.StringType()),
-                               T.StructField("due_at", T.LongType())])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pending = [tuple(x) for x in state.get[0]] if state.exists else []
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() * 1000
-        else:
-            for pdf in pdfs:
-                for aid, due in zip(pdf["action_id"], pdf["__due"].to_numpy(np.int64)):
-                    pending.append((aid, int(due)))
-            now = state.getCurrentWatermarkMs() * 1000
-        fire = [p for p in pending if p[1] <= now]
-        keep = [p for p in pending if p[1] > now]
-        if keep:
-            state.update((keep,))
-            state.setTimeoutTimestamp(int(min(p[1] for p in keep) // 1000))
-        else:
-            state.remove()
-        if fire:
-            yield pd.DataFrame({"action_id": [p[0] for p in fire], "target": key[0],
-                                "action": "unblock_ip", "due_at": [p[1] for p in fire]})
+    @staticmethod
+    def _unblock(key, due: int) -> pd.DataFrame:
+        return pd.DataFrame({"action_id": [key[1]], "target": [key[0]], "action": ["unblock_ip"], "due_at": [due]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for due in pd.concat(list(rows))["due_us"].astype(int):
+            if due // 1000 <= now:
+                yield self._unblock(key, due)
+            elif not self.due.exists():
+                self.due.update((due,))
+                self.handle.registerTimer(-(-due // 1000))
 
-    return blocked.groupBy("target").applyInPandasWithState(
-        fn, out_schema, REV_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.due.get()[0]
+        self.due.clear()
+        yield self._unblock(key, due)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reversals(blocked: DataFrame) -> DataFrame:
+    """A timer per (target, action), so that a target with many blocks is
+    spread over tasks. ``blocked`` rows (action_id, target, ts, due_us) arrive with
+    a watermark on ``ts``; when it passes a pending due time an ``unblock_ip``
+    request is emitted. Timers live in the checkpointed state, so pending
+    reversals survive a restart."""
+    return blocked.groupBy("target", "action_id").transformWithStateInPandas(
+        ReversalTimer(), "action_id string, target string, action string, due_at long", "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- Z5
 
-SNAP_STATE = T.StructType([T.StructField("snap", T.LongType()),
-                           T.StructField("keys", T.ArrayType(T.StringType()))])
-
-
-def stream_snapshot_diff(conns: DataFrame) -> DataFrame:
-    """D1 with the host's previous key set as state (snapshots arrive whole)."""
-    out_schema = T.StructType([T.StructField("host", T.StringType()),
-                               T.StructField("snap", T.LongType()),
-                               T.StructField("conn_key", T.StringType()),
-                               T.StructField("remote_ip", T.StringType()),
-                               T.StructField("local_port", T.IntegerType())])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        prev = set(state.get[1]) if state.exists else None
-        outs = []
-        last_snap = state.get[0] if state.exists else None
-        for snap, g in pdf.groupby("snap", sort=True):
-            new = g if prev is None else g[~g["conn_key"].isin(prev)]
-            new = new[new["remote_ip"] != "0.0.0.0"]
-            outs.append(new[["snap", "conn_key", "remote_ip", "local_port"]])
-            prev, last_snap = set(g["conn_key"]), int(snap)
-        state.update((last_snap, sorted(prev)))
-        res = pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(
-            columns=["snap", "conn_key", "remote_ip", "local_port"])
-        res.insert(0, "host", key[0])
-        yield res[["host", "snap", "conn_key", "remote_ip", "local_port"]]
-
-    return conns.groupBy("host").applyInPandasWithState(
-        fn, out_schema, SNAP_STATE, "append", GroupStateTimeout.NoTimeout)
+class LastSeen(_Expiring):
+    """The snapshot in which a key was last seen, told to its next sighting."""
+
+    def __init__(self, columns: list[str], forget: int):
+        self.columns, self.forget = columns, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.snap = handle.getValueState("snap", "n long")
+        self.states.append(self.snap)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, "snap")
+        snaps = sorted(set(pdf["snap"].tolist()))
+        before = dict(zip(snaps, [self.snap.get()[0] if self.snap.exists() else None, *snaps[:-1]]))
+        self.snap.update((snaps[-1],))
+        seen = pd.Series([before[n] for n in pdf["snap"]], index=pdf.index, dtype="Int64")
+        self._expire_at(int(pdf["ts"].max().value // 1000) + self.forget)
+        yield pdf[self.columns].assign(before=seen)
+
+
+def stream_snapshot_diff(conns: DataFrame, forget_seconds: int = 30 * 86400) -> DataFrame:
+    """D1 with a key per connection of a host, so that one host is spread over
+    tasks; a second, small state per host numbers its snapshots. Both are joined
+    on (host, snapshot): a connection is new if it was last seen before the
+    host's previous snapshot. ``conns`` carry a watermark on ``ts``, one time per
+    snapshot. State of a key that isn't seen for ``forget_seconds`` goes; a host
+    that is silent for longer starts anew."""
+    forget = forget_seconds * MICROS
+    keyed = "host string, conn_key string, snap long, ts timestamp, remote_ip string, local_port int"
+    columns = [f.split()[0] for f in keyed.split(", ")]
+    seen = conns.select(*columns).groupBy("host", "conn_key").transformWithStateInPandas(
+        LastSeen(columns, forget), keyed + ", before long", "Append", "EventTime", eventTimeColumnName="ts")
+    snaps = (conns.select("host", "snap", "ts").dropDuplicatesWithinWatermark(["host", "snap"])
+             .groupBy("host").transformWithStateInPandas(
+                 LastSeen(["host", "snap", "ts"], forget), "host string, snap long, ts timestamp, before long",
+                 "Append", "EventTime", eventTimeColumnName="ts")
+             .withColumnRenamed("before", "prev_snap"))
+    fresh = F.col("before").isNull() | F.col("prev_snap").isNull() | (F.col("before") < F.col("prev_snap"))
+    return (seen.join(snaps, ["host", "snap", "ts"]).filter(fresh & (F.col("remote_ip") != "0.0.0.0"))
+            .select("host", "snap", "conn_key", "remote_ip", "local_port"))
 
 
 # ---------------------------------------------------------------- Z6

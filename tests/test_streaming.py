@@ -10,20 +10,33 @@ from lookout.streaming import jobs as Z
 T0 = dt.datetime(2024, 1, 1)
 
 
+def marked(stream, late="10 minutes"):
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def state_keys(spark, ckpt, state):
+    """The keys that hold ``state`` in the checkpoint's newest version."""
+    rows = spark.read.format("statestore").option("path", ckpt).option("stateVarName", state).load()
+    return sorted({tuple(r["key"]) for r in rows.collect()})
+
+
 def test_reversal_timers_fire_after_watermark(spark):
     path = Z.scratch(spark, "t-rev")
     rows = [("act_1", "8.8.8.8", T0, T0 + dt.timedelta(minutes=30)),
             ("act_2", "9.9.9.9", T0 + dt.timedelta(minutes=5), T0 + dt.timedelta(hours=5)),
+            ("act_4", "9.9.9.9", T0 + dt.timedelta(minutes=6), T0 + dt.timedelta(hours=6)),
             # later traffic moves the watermark past act_1's reversal time only
             ("act_3", "7.7.7.7", T0 + dt.timedelta(hours=2), T0 + dt.timedelta(hours=9))]
     df = spark.createDataFrame(rows, "action_id string, target string, ts timestamp_ntz, "
                                      "reversal_at timestamp_ntz")
     replay = Z.Replay(df, path, slices=2)
     s = replay.stream
-    s = s.withColumn("__due", epoch_micros(F.col("reversal_at"))) \
-        .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    out = Z.run_to_table(Z.stream_reversals(s), spark, "t-rev", replay=replay).collect()
+    s = marked(s).withColumn("due_us", epoch_micros(F.col("reversal_at")))
+    ckpt = Z.scratch(spark, "t-rev-ckpt")
+    out = Z.run_to_table(Z.stream_reversals(s), spark, "t-rev", replay=replay, ckpt=ckpt).collect()
     assert [(r["action_id"], r["target"], r["action"]) for r in out] == [("act_1", "8.8.8.8", "unblock_ip")]
+    # pending reversals have a key each, also those of one target
+    assert state_keys(spark, ckpt, "due") == [("7.7.7.7", "act_3"), ("9.9.9.9", "act_2"), ("9.9.9.9", "act_4")]
 
 
 def test_stream_features_drop_open_windows(spark):
@@ -52,9 +65,9 @@ def test_repeat_counts_expire_in_a_long_window_as_in_batch(spark):
     batch = {r["id"]: r["repeat_count"] for r in P.evaluate_policies(
         spark, df.withColumn("features", F.create_map(F.lit("f"), F.lit(1.0))), rules, "counted").collect()}
     replay = Z.Replay(df, Z.scratch(spark, "t-long"), slices=3)
-    m = P.match_rules(replay.stream, rules_frame(spark, P.active_rules(rules)))
+    m = P.match_rules(marked(replay.stream, "10 seconds"), rules_frame(spark, P.active_rules(rules)))
     m = m.withColumn("dedup_key", P.dedup_key(F.col("policy_name"), F.col("anomaly_type"), F.col("source_ip"))) \
-        .withColumn("__t", epoch_micros(F.col("ts")))
+        .withColumn("t_us", epoch_micros(F.col("ts")))
     got = {r["id"]: r["repeat_count"] for r in Z.run_to_table(Z.stream_alerts(m), spark, "t-long", replay=replay).collect()}
     assert got == batch == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 1}
 
@@ -68,3 +81,65 @@ def test_replay_keeps_rows_without_a_time_and_slices_whole(spark):
     batches = [b for b in batches if b]
     assert len(batches) == 4 and sorted(i for b in batches for i in b) == list(range(60))
     assert all(i in batches[0] for i in range(0, 60, 5))
+
+
+def test_alert_state_equals_a_row_by_row_fold_and_goes_when_idle(spark):
+    """Random matches of a few keys over several restarts; then only the key
+    with a match in the last 300 s of event time still has state."""
+    import random
+    rng = random.Random(5)
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice((1, 1, 5, 20, 90, 310)) if i < 399 else 4000
+        rows.append((i, T0 + dt.timedelta(seconds=t), f"k{rng.randrange(3)}" if i < 399 else "k9"))
+    rule = {"k0": (60, 2), "k1": (600, 3), "k2": (0, 9), "k9": (60, 1)}
+    rows = [(*r, "p", *rule[r[2]]) for r in rows]
+    expected, times, last, newest = {}, {}, {}, {}
+    for i, ts, k, _, w, least in rows:
+        s = (ts - T0).total_seconds()
+        if s - newest.get(k, s) >= 300:
+            times[k], last[k] = [], None
+        newest[k] = s
+        times[k] = [x for x in times.get(k, []) if x > s - w] + [s]
+        fires = not w or (len(times[k]) >= least and (last.get(k) is None or s - last[k] >= 60))
+        if fires:
+            last[k] = s
+        expected[i] = (len(times[k]) if w else None, fires)
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, dedup_key string, policy_name string, "
+                                     "repeated_within_seconds long, min_occurrences long")
+    replay, ckpt = Z.Replay(df, Z.scratch(spark, "t-alert"), slices=4), Z.scratch(spark, "t-alert-ckpt")
+    m = marked(replay.stream, "1 second").withColumn("t_us", epoch_micros(F.col("ts")))
+    out = Z.run_to_table(Z.stream_alerts(m), spark, "t-alert", replay=replay, ckpt=ckpt)
+    assert {r["id"]: (r["repeat_count"], r["fired"]) for r in out.collect()} == expected
+    for state in ("times", "fired", "timer"):
+        assert state_keys(spark, ckpt, state) == [("k9",)]
+
+
+def test_rate_state_goes_after_its_window(spark):
+    rows = [(i, T0 + dt.timedelta(seconds=i), "t") for i in range(100)] + [(100, T0 + dt.timedelta(seconds=900), "u")]
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp_ntz, target string")
+    replay, ckpt = Z.Replay(df, Z.scratch(spark, "t-rate"), slices=3), Z.scratch(spark, "t-rate-ckpt")
+    s = marked(replay.stream, "1 second").withColumn("t_us", epoch_micros(F.col("ts")))
+    out = Z.run_to_table(Z.stream_rate_limit(s), spark, "t-rate", replay=replay, ckpt=ckpt)
+    assert sorted(r["request_id"] for r in out.filter("rate_ok").collect()) == [0, 1, 2, 3, 4, 60, 61, 62, 63, 64, 100]
+    assert state_keys(spark, ckpt, "allowed") == [("u",)]
+
+
+def test_snapshot_diff_keeps_a_state_per_connection(spark):
+    """Equal to the batch diff over snapshots with gaps; connections not seen for long go."""
+    import random
+    from lookout.operators import netflow as N
+    rng, rows = random.Random(3), []
+    for host in ("a", "b"):
+        for snap in sorted(rng.sample(range(30), 12)):
+            for port in rng.sample(range(8), 5):
+                ip = "0.0.0.0" if port == 7 else "9.9.9.9"
+                rows.append((host, snap, T0 + dt.timedelta(hours=snap), ip, 1, "1.1.1.1", port, "LISTEN"))
+    rows.append(("c", 400, T0 + dt.timedelta(hours=400), "9.9.9.9", 1, "1.1.1.1", 0, "LISTEN"))
+    df = N.connection_key(spark.createDataFrame(rows, (
+        "host string, snap long, ts timestamp_ntz, remote_ip string, remote_port int, local_ip string, "
+        "local_port int, state string")))
+    batch = sorted((r["host"], r["snap"], r["conn_key"]) for r in N.new_connections(df).collect())
+    replay, ckpt = Z.Replay(df, Z.scratch(spark, "t-snap"), slices=3), Z.scratch(spark, "t-snap-ckpt")
+    out = Z.run_to_table(Z.stream_snapshot_diff(marked(replay.stream), 3 * 86400), spark, "t-snap", replay=replay, ckpt=ckpt)
+    assert sorted((r["host"], r["snap"], r["conn_key"]) for r in out.collect()) == batch
