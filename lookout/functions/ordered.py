@@ -13,22 +13,15 @@ it, through a small pre-aggregated table:
 * ``rows_frame``    last ``n`` rows per key as an array, exact, with rows near
                     a chunk edge copied into the next chunk;
 * ``count_in_range`` count of rows of the same key in ``(t - w, t]`` up to the
-                    current row (ties broken by id);
-* ``sequential_fold`` a per-key fold whose result depends on earlier results
-                    (cooldowns, rate limits); it runs as a sorted, streaming
-                    ``mapInPandas`` that keeps only the fold state, split at
-                    rows where the state is provably empty (a gap of at least
-                    ``reset_gap`` since the key's previous row).
+                    current row (ties broken by id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _B = "__bucket"
 
@@ -121,98 +114,6 @@ def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width:
     return res.drop("__b", "__own", "__upto", "__old")
 
 
-def _segment_table(d: DataFrame, keys: list[str], t: str, reset_gap) -> DataFrame:
-    """(keys, __b, __seg): the segment of each non-empty bucket. A bucket starts
-    a segment when its first row follows the previous bucket's last row by at
-    least ``reset_gap``; ``__seg`` is the bucket number of the segment start."""
-    per = d.groupBy(*keys, "__b").agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-    w = Window.partitionBy(*keys).orderBy("__b")
-    prev_hi = F.lag("__hi").over(w)
-    starts = per.withColumn("__start", F.when(
-        prev_hi.isNull() | (F.col("__lo") - prev_hi >= reset_gap), F.col("__b")))
-    run = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.select(*keys, "__b", F.max("__start").over(run).alias("__seg"))
-
-
-def sequential_fold(df: DataFrame, keys: Sequence[str], t: str, tie: str,
-                    step: Callable[[dict, object], tuple[dict, object]],
-                    out_schema: T.StructType, reset_gap: float | None = None,
-                    bucket: Column | None = None) -> DataFrame:
-    """Run ``step`` over each key's rows in ``(t, tie)`` order.
-
-    ``step(cols, state)`` gets numpy arrays (one slice of consecutive rows of
-    one key, sorted) and the carried state (``None`` at the key's start) and
-    returns ``(output arrays, new state)``. Rows stream in Arrow batches, so
-    memory holds one batch plus the state, never a whole key.
-
-    With ``reset_gap`` a key is also cut into segments where a gap of at
-    least ``reset_gap`` (in ``t`` units) separates a row from the key's
-    previous row; the caller guarantees that the fold state is empty there,
-    so segments are independent and are hashed to different tasks (a segment
-    that shares a task with the key's previous segment may still carry the,
-    then irrelevant, state). Cuts are taken at ``bucket`` starts (a coarse
-    time bucket of ``t``): one aggregate per (key, bucket) and a running max
-    over that small table find them, so no full-table window is needed.
-    """
-    keys = list(keys)
-    d = df
-    if reset_gap is not None:
-        b = bucket if bucket is not None else F.floor(F.col(t) / 86400).cast("long")
-        d = d.withColumn("__b", b)
-        d = d.join(_segment_table(d, keys, t, reset_gap), [*keys, "__b"], "left").drop("__b")
-    else:
-        d = d.withColumn("__seg", F.lit(0).cast("long"))
-    seg_keys = keys + ["__seg"]
-    passthrough = keys + [tie]
-    out_names = [f.name for f in out_schema.fields]
-    step_names = [n for n in out_names if n not in passthrough]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        prev_key, state = None, None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            change = np.zeros(n, dtype=bool)
-            change[0] = True
-            karrs = [pdf[c].to_numpy() for c in keys]
-            for a in karrs:
-                change[1:] |= a[1:] != a[:-1]
-            first_key = tuple(a[0] for a in karrs)
-            if prev_key is not None and first_key == prev_key:
-                change[0] = False
-            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-            starts = np.flatnonzero(change).tolist()
-            if not starts or starts[0] != 0:
-                starts = [0] + starts
-            ends = starts[1:] + [n]
-            outs: dict[str, list] = {c: [] for c in step_names}
-            for s, e in zip(starts, ends):
-                if change[s]:
-                    state = None
-                res, state = step({c: v[s:e] for c, v in cols.items()}, state)
-                for c in step_names:
-                    outs[c].append(np.asarray(res[c], dtype=object) if res[c] is None
-                                   else res[c])
-            prev_key = tuple(a[-1] for a in karrs)
-            out = pdf[passthrough].copy()
-            for c in step_names:
-                out[c] = np.concatenate(outs[c]) if len(outs[c]) > 1 else outs[c][0]
-            yield out[out_names]
-
-    # An explicit partition count: the fold is CPU-bound Python, so AQE must
-    # not coalesce it into a few tasks just because the shuffled bytes are few.
-    from ..session import task_parallelism
-    n_parts = task_parallelism(d.sparkSession)
-    sorted_df = d.repartition(n_parts, *[F.col(c) for c in seg_keys]).sortWithinPartitions(
-        *seg_keys, t, tie)
-    # The fold is the expensive (Python) stage and its result is usually joined
-    # back and reused: materialise it once in the shared checkpoint folder,
-    # which also cuts the lineage so a lost executor does not replay the fold.
-    return sorted_df.mapInPandas(run, out_schema).checkpoint(eager=True)
-
-
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                     bucket: Column, rank_col: str = "rank") -> DataFrame:
     """Exact top ``k`` rows per key by ``order`` (descending columns allowed).

@@ -4,27 +4,20 @@ Cooldown (E5), one-per-interval notifications (Q14), the fixed 24 h
 anomaly period (M12), the per-target rate limit (R5) and the block state
 (R10) cannot be written as window functions.
 
-* The three period folds run as the exact three-pass bucketed fold of
-  ``functions.periods``: buckets of a key are folded in parallel for every
-  possible entry, a scan over the small per-bucket summaries fixes each
-  bucket's true entry, and the buckets are folded again in parallel.
-* The rate limit and the block state run through ``ordered.sequential_fold``:
-  rows are hash-partitioned by key and by a segment number that restarts
-  wherever the state is provably empty, sorted inside the partition, and
-  folded in Arrow batches with numpy jumps (``searchsorted``), so the Python
-  loop runs once per *allowed* row, not once per row.
+They run as the exact three-pass bucketed folds of ``functions.periods``,
+``functions.rates`` and ``functions.blocks``: buckets of a key are folded in
+parallel for every possible entry, a scan over the small per-bucket summaries
+fixes each bucket's true entry, and the buckets are folded again in parallel.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.ordered import sequential_fold
 from ..functions.blocks import block_state as _parallel_blocks
 from ..functions.periods import period_starts as _parallel_periods
+from ..functions.rates import rate_limit as _parallel_rates
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -43,42 +36,13 @@ def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
     return _parallel_periods(df, list(keys), t, tie, int(period))
 
 
-def allowed_rows(times: np.ndarray, before: list[int], budget: int, window: int) -> tuple[np.ndarray, list[int]]:
-    """Which of the sorted ``times`` are allowed after the allowed times ``before``,
-    and the last ``budget`` allowed times then. The loop runs once per allowed row."""
-    allowed = np.zeros(len(times), dtype=bool)
-    hist = list(before)
-    i = 0
-    while i < len(times):
-        if len(hist) >= budget:
-            # refused until the budget-th newest allowed row leaves the window
-            j = int(np.searchsorted(times, hist[-budget] + window, side="left"))
-            if j > i:
-                i = j
-                continue
-        allowed[i] = True
-        hist = [*hist, int(times[i])][-budget:]
-        i += 1
-    return allowed, hist
-
-
-def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, window: int,
-               bucket: Column | None = None) -> DataFrame:
+def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, window: int) -> DataFrame:
     """Allow a row when fewer than ``budget`` *allowed* rows of its key lie in
-    ``(t - window, t]``; refused rows do not count. Returns ``(keys, tie, allowed)``."""
-    key_types = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType(
-        [T.StructField(k, key_types[k]) for k in keys]
-        + [T.StructField(tie, key_types[tie]), T.StructField("allowed", T.BooleanType())])
-
-    def step(cols: dict, state):
-        allowed, hist = allowed_rows(cols[t].astype(np.int64), state or [], budget, window)
-        return {"allowed": allowed}, hist
-
-    sel = df.select(*keys, t, tie)
-    return sequential_fold(sel, keys, t, tie, step, schema, reset_gap=window,
-                           bucket=bucket if bucket is not None
-                           else F.floor(F.col(t) / 3_600_000_000).cast("long"))
+    ``(t - window, t]``; refused rows do not count. Returns ``(keys, tie, allowed)``.
+
+    Runs as the three-pass bucketed fold of ``functions.rates``, so a key that is
+    never idle is spread over tasks too."""
+    return _parallel_rates(df, list(keys), t, tie, int(budget), int(window))
 
 
 def block_state(df: DataFrame, keys: list[str], t: str, tie: str, action: str,

@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas as S
+from ..functions.rates import allowed_rows
 from ..operators import features as FE
-from ..operators.folds import allowed_rows
 from ..session import ensure_checkpoint_dir
 
 MICROS = 1_000_000

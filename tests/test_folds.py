@@ -204,3 +204,80 @@ def test_folds_carry_state_across_arrow_batches(spark):
             assert [blk[i] for i in ids] == exp
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def _traffic(rng, n):
+    """Times of one key: dense, bursty or sparse stretches after each other, with ties."""
+    t, out = 0, []
+    while len(out) < n:
+        step = rng.choice([(0, 1), (0, 0, 1, 2), (3, 9), (1,), (40, 7, 1)])
+        for _ in range(rng.randint(1, 60)):
+            t += rng.choice(step)
+            out.append(t)
+    return out[:n]
+
+
+def test_rate_tables_give_the_exit_for_every_entry():
+    """Bucket by bucket: the exit read off a bucket's table, or known whatever
+    the entry, is the plain fold's."""
+    import numpy as np
+    from lookout.functions import rates as RT
+    rng, tables, known = random.Random(2), 0, 0
+    for _ in range(400):
+        budget, window, factor = rng.randint(1, 5), rng.randint(3, 40), rng.randint(2, 6)
+        times = np.array(_traffic(rng, rng.randint(1, 400)), np.int64)
+        hist, got = [], []
+        for b in np.unique(times // (window * factor)).tolist():
+            t, start = times[times // (window * factor) == b], b * window * factor
+            allowed, after = RT.allowed_rows(t, hist, budget, window)
+            got += allowed.tolist()
+            exit_ = RT.known_exit(t, start, budget, window)
+            if exit_ is None:
+                entries, table = RT.exit_table(t, start, budget, window)
+                leaves = [-1] * (budget - len(hist)) + [x + window for x in hist]
+                rows = [table[int(np.searchsorted(entries, x))] for x in leaves]
+                ends = [max(int(r[k * budget + j]) for j, r in enumerate(rows)) for k in range(2 * budget)]
+                exit_ = (hist + sorted(v for v in ends if v != RT.NEVER))[-budget:]
+                assert exit_ == after
+                tables += 1
+            known += 1
+            # only times that may still be inside the window matter
+            assert [x for x in exit_ if x > t[-1] - window] == [x for x in after if x > t[-1] - window]
+            hist = exit_
+        assert got == _brute_rate(times.tolist(), budget, window)
+    assert tables > 300 and known > tables + 100
+
+
+def test_rate_limit_of_keys_without_a_gap(spark):
+    """Ties, null keys, string ids and buckets over many Arrow batches."""
+    from lookout.functions.rates import rate_limit
+    rng, rows = random.Random(6), []
+    for key, n in (("hot", 3000), (None, 700), ("k2", 300), ("k3", 2)):
+        rows += [(key, f"{key}-{i:05d}", t) for i, t in enumerate(_traffic(rng, n))]
+    df = spark.createDataFrame(rows, "key string, id string, t long").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r["id"]: r["allowed"] for r in rate_limit(df, ["key"], "t", "id", 3, 25, factor=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows)
+    for key in ("hot", None, "k2", "k3"):
+        mine = [r for r in rows if r[0] == key]
+        assert [got[r[1]] for r in mine] == _brute_rate([r[2] for r in mine], 3, 25)
+
+
+def test_rate_limit_spreads_a_target_that_never_pauses(spark):
+    """A request each second for 30 days: no cut, a phase that never converges. The
+    result is the plain fold's, in buckets that no task has many of."""
+    import numpy as np
+    from lookout.functions import rates as RT
+    n = 30 * 86_400
+    df = spark.range(n).select(F.lit("target").alias("key"), "id", (F.col("id") * 1_000_000).alias("t"))
+    out = RT.rate_limit(df, ["key"], "t", "id", 5, 60_000_000)
+    expected = RT.allowed_rows(np.arange(n) * 1_000_000, [], 5, 60_000_000)[0]
+    allowed = np.zeros(n, bool)
+    allowed[[r["id"] for r in out.filter("allowed").select("id").collect()]] = True
+    assert out.count() == n and (allowed == expected).all()
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) >= 4 and max(per_task) < 2 * n / len(per_task)
