@@ -25,15 +25,15 @@ def epoch_micros(ts: Column) -> Column:
 
 
 def period_starts(df: DataFrame, keys: list[str], t: str, tie: str, period: int,
-                  bucket: Column | None = None) -> DataFrame:
+                  levels: tuple[int, ...] = (64, 64)) -> DataFrame:
     """Greedy periods per key: a row opens a period when ``t >= start + period``
     (the first row opens the first). Returns ``(keys, tie, period_start, opens)``.
 
-    ``t`` is a long (e.g. epoch micros), ``period`` in the same unit. Runs as
-    the three-pass bucketed fold of ``functions.periods``, so even a key with
-    continuous traffic is spread over tasks (``bucket`` is accepted for
-    signature compatibility; the bucket width is derived from ``period``)."""
-    return _parallel_periods(df, list(keys), t, tie, int(period))
+    ``t`` is a long (e.g. epoch micros), ``period`` in the same unit. Runs on the
+    tree of buckets of ``functions.periods`` (``levels``: periods per bucket,
+    buckets per group, ...), so even a key with continuous traffic is spread
+    over tasks."""
+    return _parallel_periods(df, list(keys), t, tie, int(period), levels)
 
 
 def rate_limit(df: DataFrame, keys: list[str], t: str, tie: str, budget: int, window: int) -> DataFrame:

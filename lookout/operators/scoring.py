@@ -156,7 +156,8 @@ def anomaly_periods(scores: DataFrame, keys=("host",), ts: str = "ts", tie: str
     keys = list(keys)
     a = scores.filter(F.round("score", 4) > threshold) \
         .withColumn("__t", epoch_micros(F.col(ts)))
-    p = period_starts(a, keys, "__t", tie, period_seconds * 1_000_000)
+    # periods are long here: two to a bucket, so that a busy host is cut finely
+    p = period_starts(a, keys, "__t", tie, period_seconds * 1_000_000, levels=(2, 4, 4, 4))
     return p.groupBy(*keys, "period_start").agg(F.count(F.lit(1)).alias("anomalies")) \
         .select(*keys, F.timestamp_micros("period_start").cast("timestamp_ntz").alias("period_start"),
                 F.col("anomalies").cast("long").alias("anomalies"))

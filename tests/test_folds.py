@@ -133,7 +133,7 @@ def test_parallel_periods_dense_hot_key(spark):
     df = spark.createDataFrame(rows, "key string, id long, t long")
     for period in (7, 40):
         got = {r["id"]: bool(r["opens"]) for r in period_starts(df, ["key"], "t", "id", period,
-                                                                factor=4).collect()}
+                                                                levels=(4,)).collect()}
         pdf = pd.DataFrame(rows, columns=["key", "id", "t"]).sort_values(["key", "t", "id"])
         for _, g in pdf.groupby("key"):
             assert [got[i] for i in g["id"]] == _brute_periods(g["t"].tolist(), period)
@@ -183,7 +183,7 @@ def test_folds_carry_state_across_arrow_batches(spark):
                          "block_ip" if rnd.random() < 0.9 else "unblock_ip", t + rnd.choice([10, 40, 90])))
         df = spark.createDataFrame(rows, "key string, id long, t long, action string, until long")
         pdf = pd.DataFrame(rows, columns=["key", "id", "t", "a", "u"]).sort_values(["key", "t", "id"])
-        per = {r["id"]: bool(r["opens"]) for r in period_starts(df, ["key"], "t", "id", 25, factor=4).collect()}
+        per = {r["id"]: bool(r["opens"]) for r in period_starts(df, ["key"], "t", "id", 25, levels=(4, 2, 3)).collect()}
         rate = {r["id"]: bool(r["allowed"]) for r in FO.rate_limit(df, ["key"], "t", "id", 3, 20).collect()}
         blk = {r["id"]: r["outcome"] for r in
                FO.block_state(df, ["key"], "t", "id", "action", "until", 90).collect()}
@@ -281,3 +281,42 @@ def test_rate_limit_spreads_a_target_that_never_pauses(spark):
     assert out.count() == n and (allowed == expected).all()
     per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per_task) >= 4 and max(per_task) < 2 * n / len(per_task)
+
+
+def test_period_tree_of_any_shape(spark):
+    """Dense, bursty and sparse keys, one of them null, over trees of several depths."""
+    from lookout.functions.periods import period_starts
+    rng, rows = random.Random(12), []
+    for key, n in (("hot", 2500), (None, 600), ("k2", 200), ("k3", 1)):
+        rows += [(key, f"{key}-{i:05d}", 3 * t if key == "k2" else t - 500) for i, t in enumerate(_traffic(rng, n))]
+    df = spark.createDataFrame(rows, "key string, id string, t long").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        for period, levels in ((20, (1, 2, 2, 2)), (7, (2, 4, 4)), (33, (64, 64)), (5, (3,))):
+            got = {r["id"]: (r["opens"], r["period_start"])
+                   for r in period_starts(df, ["key"], "t", "id", period, levels).collect()}
+            assert len(got) == len(rows)
+            for key in ("hot", None, "k2", "k3"):
+                mine, start = [r for r in rows if r[0] == key], None
+                for (_, i, t), opens in zip(mine, _brute_periods([r[2] for r in mine], period)):
+                    start = t if opens else start
+                    assert got[i] == (opens, start)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_long_periods_of_a_busy_host_spread(spark):
+    """30 days of 24 h periods, a third of the rows on one host: no task of the fold
+    has more than three times the median."""
+    from lookout.functions.periods import period_starts
+    day = 86_400
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, "busy").otherwise(F.concat(F.lit("h"), F.col("id") % 97)).alias("host"),
+        "id", (F.col("id") * 30 * day / 300_000).cast("long").alias("t"))
+    out = period_starts(df, ["host"], "t", "id", day, levels=(2, 4, 4, 4))
+    times = [i * 30 * day // 300_000 for i in range(0, 300_000, 3)]
+    starts = [r[0] for r in out.filter("host = 'busy' AND opens").orderBy("period_start").select("period_start").collect()]
+    assert starts == [t for t, opens in zip(times, _brute_periods(times, day)) if opens]
+    tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
