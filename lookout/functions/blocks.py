@@ -209,29 +209,26 @@ def block_state(df: DataFrame, keys: list[str], t: str, tie: str, action: str, u
         T.StructField("blocked_until", T.LongType())])
 
     def pass3(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_g, c = None, None
+        state = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            gcols = [pdf[col].to_numpy() for col in gk]
-            ent_all = pdf["__entry"].to_numpy()
-            tv_all = pdf[t].to_numpy(np.int64)
-            blk_all = pdf["__blk"].to_numpy()
-            u_all = pdf[until].to_numpy(np.int64)
+            times = pdf[t].to_numpy(np.int64)
+            block = pdf["__blk"].to_numpy().astype(bool)
+            ends = pdf[until].to_numpy(np.int64)
             outcome = np.empty(len(pdf), dtype=object)
-            bu = np.empty(len(pdf), dtype=object)
-            for s, e in _groups(pdf, gk):
-                g = tuple(a[s] for a in gcols)
-                if g != cur_g:
-                    ent = ent_all[s]
-                    cur_g, c = g, (None if pd.isna(ent) else int(ent))
-                o, b_, c = block_fold(tv_all[s:e], blk_all[s:e].astype(bool), u_all[s:e], c)
-                outcome[s:e], bu[s:e] = o, b_
-            res = pdf[keys + [tie]].copy()
-            res["outcome"] = outcome
-            res["blocked_until"] = pd.array(list(bu), dtype="Int64")
-            yield res
-
-    joined = rows.join(entries, gk, "left")
-    return joined.repartition(n, *gk).sortWithinPartitions(*gk, t, tie) \
+            blocked = np.empty(len(pdf), dtype=object)
+            heads = np.flatnonzero(times == -INF)  # a bucket's entry, as the row before its first
+            for s, e in zip([-1, *heads], [*heads, len(pdf)]):
+                if s >= 0:
+                    state = None if ends[s] == -INF else int(ends[s])
+                s += 1
+                outcome[s:e], blocked[s:e], state = block_fold(times[s:e], block[s:e], ends[s:e], state)
+            res = pdf[keys + [tie]].assign(outcome=outcome, blocked_until=pd.array(list(blocked), dtype="Int64"))
+            yield res.drop(index=heads)
+
+    # the entries travel with the rows, so these are shuffled once
+    heads = entries.select(*keys, F.lit(-INF).alias(t), F.lit("0").cast(types[tie]).alias(tie),
+                           F.lit(False).alias("__blk"), F.coalesce("__entry", F.lit(-INF)).alias(until), "__b")
+    return rows.unionByName(heads).repartition(n, *gk).sortWithinPartitions(*gk, t, tie) \
         .mapInPandas(pass3, out_schema).checkpoint(eager=True)

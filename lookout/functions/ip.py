@@ -34,7 +34,8 @@ def ipv6_hex(c: Column) -> Column:
     whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
     valid = (low.contains(":") & (F.size(sides) <= 2) & F.when(gap, given <= 7).otherwise(given == 8)
              & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
-    return F.when(valid, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    digits = F.when(valid, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.when(c.contains(":"), digits)  # anything else needs no parsing
 
 
 def is_ipv6(c: Column) -> Column:

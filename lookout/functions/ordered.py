@@ -93,25 +93,43 @@ def rows_frame(df: DataFrame, keys: Sequence[str], rn: str, n: int, value: Colum
     return res.drop("__val", "__chunk", "__own")
 
 
-def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width: int,
-                   out: str, bucket_width: int | None = None) -> DataFrame:
+def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width: int | Column,
+                   out: str, idle: int | None = None) -> DataFrame:
     """Add ``out`` = number of rows of the same key with time in
     ``(t - width, t]`` ordered at or before the current row by ``(t, tie)``.
-    ``t`` is a numeric time column in the same unit as ``width``; width > 0."""
+    ``t`` is a long; ``width``, in its unit, may be a column that is the same in
+    all rows of a key (not above 0: NULL). With ``idle`` a row that follows the
+    key's last one by ``idle`` or more starts the count anew.
+
+    One pass over the input and one shuffle, whatever the number of widths: a key
+    is cut into buckets as wide as its width. A row is an event of its own bucket;
+    to the next bucket it sends a copy, which counts there, and at t + width its
+    expiry. The running numbers of rows and of expiries give the count."""
     keys = list(keys)
-    bw = max(int(bucket_width or width), int(width))
-    d = df.withColumn("__b", F.floor(F.col(t) / bw).cast("long"))
-    copies = d.filter(F.col(t) > (F.col("__b") + 1) * bw - width).select(
-        *keys, t, tie, (F.col("__b") + 1).alias("__b"))
-    both = d.withColumn("__own", F.lit(True)).unionByName(
-        copies.withColumn("__own", F.lit(False)), allowMissingColumns=True)
-    w_rows = Window.partitionBy(*keys, "__b").orderBy(t, tie)
-    w_old = Window.partitionBy(*keys, "__b").orderBy(t).rangeBetween(
-        Window.unboundedPreceding, -width)
-    res = both.withColumn("__upto", F.row_number().over(w_rows)) \
-              .withColumn("__old", F.count(F.lit(1)).over(w_old))
-    res = res.filter("__own").withColumn(out, (F.col("__upto") - F.col("__old")).cast("long"))
-    return res.drop("__b", "__own", "__upto", "__old")
+    width = F.lit(width) if isinstance(width, int) else width
+    d = df.select(F.struct("*").alias("__row"), *keys, F.col(t).alias("__at"), F.col(tie).alias("__tie"),
+                  width.cast("long").alias("__w"))
+    counted = F.col("__w") > 0
+    b = F.floor(F.col("__at") / F.when(counted, F.col("__w")).otherwise(3_600_000_000)).cast("long")
+
+    def event(row: Column, bucket: Column, at: Column, kind: int) -> Column:
+        # kind: an expiry (0) comes before the rows (1: copy, 2: own) of its time
+        return F.struct(row.alias("row"), bucket.alias("b"), at.alias("at"), F.lit(kind).alias("kind"))
+
+    nothing = F.lit(None).cast(d.schema["__row"].dataType)
+    own = event(F.col("__row"), b, F.col("__at"), 2)
+    sent = [event(nothing, b + 1, F.col("__at"), 1), event(nothing, b + 1, F.col("__at") + F.col("__w"), 0)]
+    d = d.select(*keys, "__tie", "__w", F.explode(F.when(counted, F.array(own, *sent)).otherwise(F.array(own))).alias("e"))
+    w = Window.partitionBy(*keys, "e.b").orderBy("e.at", F.least("e.kind", F.lit(1)), "__tie")
+    is_row = F.col("e.kind") > 0
+    d = d.withColumn("__upto", F.sum(is_row.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+         .withColumn("__old", F.sum((~is_row).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if idle is not None:
+        last = F.last(F.when(is_row, F.col("e.at")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("__fresh", F.when(is_row & (F.col("e.at") - last >= idle), F.col("__upto") - 1)) \
+             .withColumn("__old", F.greatest("__old", F.max("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return d.filter("e.kind = 2").select(
+        "e.row.*", F.when(F.col("__w") > 0, F.col("__upto") - F.col("__old")).alias(out))
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.ordered import count_in_range, lag_values, prefix_sums
+from ..functions.ordered import count_in_range
 from ..sources.config import active_rules, rules_frame
 from .folds import epoch_micros, period_starts
 
@@ -53,38 +53,14 @@ def dedup_key(rule: Column, anomaly_type: Column, source_ip: Column) -> Column:
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
-def _idle_sessions(df: DataFrame, t: str, tie: str, idle: int) -> DataFrame:
-    """Session number per dedup key: a match after ``idle`` seconds without one
-    starts afresh (the key's occurrence list has expired by then)."""
-    bucket = F.floor(F.col(t) / (3600 * MICROS)).cast("long")
-    d = lag_values(df, ["dedup_key"], [t, tie], [t], bucket, prefix="__p_")
-    d = d.withColumn("__new", F.when(F.col(f"__p_{t}").isNull()
-                                     | (F.col(t) - F.col(f"__p_{t}") >= idle * MICROS), 1).otherwise(0))
-    d = prefix_sums(d, ["dedup_key"], [t, tie], {"__session": F.col("__new").cast("long")}, bucket)
-    return d.drop(f"__p_{t}", "__new")
-
-
-def repeat_counts(matches: DataFrame, windows: list[int], t: str = "__t", tie: str = "id",
+def repeat_counts(matches: DataFrame, t: str = "__t", tie: str = "id",
                   idle: int = S.DEDUP_IDLE_TTL_SECONDS) -> DataFrame:
     """For rules with a repeat window w > 0, the number of matches of the
     same dedup key in (t - w, t] (suppressed ones included). Each key belongs
-    to one rule, so one range count per distinct w covers all rules. A key's
-    occurrences expire after ``idle`` seconds without a match, which matters
-    only for windows longer than ``idle``: there the count runs per session."""
-    parts = [matches.filter(F.col("repeated_within_seconds") <= 0)
-             .withColumn("repeat_count", F.lit(None).cast("long"))]
-    for w in sorted(set(windows)):
-        sub = matches.filter(F.col("repeated_within_seconds") == w)
-        if w > idle:
-            sub = _idle_sessions(sub, t, tie, idle)
-            parts.append(count_in_range(sub, ["dedup_key", "__session"], t, tie, w * MICROS,
-                                        "repeat_count").drop("__session"))
-        else:
-            parts.append(count_in_range(sub, ["dedup_key"], t, tie, w * MICROS, "repeat_count"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    to one rule, so w is a column of the one count for all rules. A key's
+    occurrences expire after ``idle`` seconds without a match."""
+    return count_in_range(matches, ["dedup_key"], t, tie, F.col("repeated_within_seconds") * MICROS,
+                          "repeat_count", idle=idle * MICROS)
 
 
 def apply_cooldown(passing: DataFrame, cooldown: int = S.ALERT_COOLDOWN_SECONDS,
@@ -163,15 +139,15 @@ def evaluate_policies(spark: SparkSession, scores: DataFrame, rules: list[dict],
         .withColumn("__t", epoch_micros(F.col("ts")))
     if stage == "matches":
         return m.drop("__t")
-    windows = [r["repeated_within_seconds"] for r in act if r["repeated_within_seconds"] > 0]
-    c = repeat_counts(m, windows)
+    c = repeat_counts(m)
     if stage == "counted":
         return c.drop("__t")
     passing = c.filter((F.col("repeated_within_seconds") <= 0)
                        | (F.col("repeat_count") >= F.col("min_occurrences")))
     if stage == "passing":
         return passing.drop("__t")
-    fired = apply_cooldown(passing)
+    # read three times: twice by the fold, then to keep what fired
+    fired = apply_cooldown(passing.checkpoint())
     if stage == "fired":
         return fired.drop("__t")
     return make_alerts(fired)

@@ -49,12 +49,14 @@ def _protected_process(name: Column) -> Column:
     return F.coalesce(F.lower(name).isin(*S.PROTECTED_PROCESSES), F.lit(False))
 
 
-def validate(df: DataFrame, action: str = "action", target: str = "target") -> DataFrame:
-    """(allowed, reason)."""
+def validate(df: DataFrame, action: str = "action", target: str = "target",
+             protected: Column | None = None) -> DataFrame:
+    """(allowed, reason). ``protected``: R2 of the targets, where it is known."""
     a, t = F.col(action), F.coalesce(F.col(target), F.lit(""))
+    protected = ip_protected(t) if protected is None else protected
     reason = (
         F.when(_forbidden(a), F.format_string("Action '%s' is permanently forbidden", a))
-        .when((a == "block_ip") & ip_protected(t),
+        .when((a == "block_ip") & protected,
               F.format_string("IP %s is protected and cannot be blocked", t))
         .when((a == "kill_process") & _protected_process(t),
               F.format_string("Process '%s' is protected and cannot be killed", t))
@@ -83,8 +85,10 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
     if not enabled:
         return requests.withColumn("status", F.lit("disabled")).withColumn(
             "message", F.lit("Actions are disabled in configuration"))
-    d = validate(rate_limited(requests, tie=tie))
     a, t = F.col("action"), F.coalesce(F.col("target"), F.lit(""))
+    protected = F.col("__protected")
+    d = rate_limited(requests, tie=tie).withColumn("__protected", (a == "block_ip") & ip_protected(t))
+    d = validate(d, protected=protected)
     pid = F.trim(t).try_cast("long")
     d = d.withColumn("__pid", F.when(a == "kill_process", pid))
     if processes is not None:
@@ -102,7 +106,7 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
         "__until", F.col("__t") + dur * 60 * MICROS).checkpoint(eager=True)
     # block state over the requests that reach dispatch
     reach = F.col("rate_ok") & F.col("allowed")
-    bs_in = d.filter(reach & (((a == "block_ip") & ~ip_protected(t)) | (a == "unblock_ip")))
+    bs_in = d.filter(reach & (((a == "block_ip") & ~protected) | (a == "unblock_ip")))
     # exact reset gap: no block outlives the longest requested duration
     longest = bs_in.agg(F.max(F.col("__until") - F.col("__t"))).first()[0] or 1
     bs = block_state(bs_in.select("target", "__t", tie, "action", "__until"), ["target"], "__t",
@@ -112,7 +116,7 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
     status = (
         F.when(~F.col("rate_ok"), "rate_limited")
         .when(~F.col("allowed"), "rejected")
-        .when((a == "block_ip") & ip_protected(t), "rejected")
+        .when((a == "block_ip") & protected, "rejected")
         .when(a == "block_ip", F.col("outcome"))
         .when(a == "unblock_ip", F.lit("unblocked"))
         .when((a == "kill_process") & F.col("__pid").isNull(), "failed")
@@ -127,7 +131,7 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
         F.when(~F.col("rate_ok"), F.format_string("Rate limit exceeded for %s (%d/min)", t,
                                                   F.lit(S.ACTIONS_PER_MINUTE)))
         .when(~F.col("allowed"), F.col("reason"))
-        .when((a == "block_ip") & ip_protected(t),
+        .when((a == "block_ip") & protected,
               F.format_string("IP %s is protected (whitelist)", t))
         .when((a == "block_ip") & (F.col("outcome") == "already_blocked"),
               F.format_string("IP %s is already blocked", t))
@@ -147,7 +151,7 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
     )
     return d.withColumn("status", status).withColumn("message", message) \
         .withColumn("block_minutes", F.when(status == "blocked", dur)) \
-        .drop("__pid", "__pname", "__t", "__until", "outcome")
+        .drop("__pid", "__pname", "__t", "__until", "__protected", "outcome")
 
 
 def action_records(disp: DataFrame, tie: str = "request_id") -> DataFrame:

@@ -320,3 +320,22 @@ def test_long_periods_of_a_busy_host_spread(spark):
     assert starts == [t for t, opens in zip(times, _brute_periods(times, day)) if opens]
     tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
     assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
+
+
+def test_range_count_with_a_width_per_key_and_idle_gaps(spark):
+    rng, rows, n = random.Random(4), [], 0
+    widths = {"a": 7, "b": 60, "c": 0, None: 25, "d": 400}
+    for key, w in widths.items():
+        for t in _traffic(rng, 500):
+            n += 1
+            rows.append((key, w, n, t - 90))
+    df = spark.createDataFrame(rows, "key string, w long, id long, t long").repartition(5)
+    got = {r["id"]: r["c"] for r in O.count_in_range(df, ["key"], "t", "id", F.col("w"), "c", idle=15).collect()}
+    for key, w in widths.items():
+        times, last = [], None
+        for _, _, i, t in [r for r in rows if r[0] == key]:
+            if last is not None and t - last >= 15:
+                times = []
+            last = t
+            times = [x for x in times if x > t - w] + [t]
+            assert got[i] == (len(times) if w > 0 else None)
