@@ -2,95 +2,106 @@
 
 A plain ``Window.partitionBy(host).orderBy(ts)`` sends every row of a host
 to one task; with a host holding a third of the data that task is the job.
-The helpers here split each key into buckets (a time bucket, or a chunk of
-row numbers) and carry the few values a bucket needs from the one before
-it, through a small pre-aggregated table:
-
-* ``prefix_sums``   running sums per key (per-bucket totals, then offsets);
-* ``row_numbers``   exact 1-based row numbers per key (a prefix count);
-* ``lag_values``    previous row's values per key (last row of the previous
-                    non-empty bucket is carried in);
-* ``rows_frame``    last ``n`` rows per key as an array, exact, with rows near
-                    a chunk edge copied into the next chunk;
+``ordered_parts`` range-partitions rows by (key, order) instead: even
+partitions whatever the keys hold, each a contiguous stretch of the global
+order. Windows then run within a partition, and what a key needs from the
+partition before is carried over its edge through a table of one row per
+partition:
+
+* ``prefix_sums``   running sums per key;
+* ``lag_values``    previous row's values per key;
+* ``rows_frame``    last ``n`` rows per key as an array;
 * ``count_in_range`` count of rows of the same key in ``(t - w, t]`` up to the
-                    current row (ties broken by id).
+                    current row (ties broken by id), over buckets of width w.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "__bucket"
+PART = "__part"
 
 
-def _cols(xs):
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+def ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned by (keys, order), with the number of each row's
+    partition as ``PART``; written to the checkpoint folder, so that edges and
+    rows see the same partitions. A frame that has ``PART`` already, from an
+    earlier step over the same keys and order, is used as it is."""
+    if PART in df.columns:
+        return df
+    return df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()).checkpoint()
+
+
+def _same(keys: Sequence[str], other: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}.{k}")) for k in keys])
+
+
+def _with_edges(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` has one row per partition, whatever the data: broadcast."""
+    return parts.join(F.broadcast(edges), PART, "left")
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
-                bucket: Column) -> DataFrame:
-    """Add running (inclusive) sums per key in ``order``; ``bucket`` must be
-    non-decreasing in ``order`` within a key (e.g. an hour number)."""
+                keep_parts: bool = False) -> DataFrame:
+    """Add running (inclusive) sums per key in ``order``. ``keep_parts`` keeps
+    ``PART`` for a next step over the same keys and order."""
     keys = list(keys)
-    d = df.withColumn(_B, bucket)
-    for name, expr in sums.items():
-        d = d.withColumn(f"__v_{name}", expr)
-    part = d.groupBy(*keys, _B).agg(*[F.sum(f"__v_{n}").alias(f"__p_{n}") for n in sums])
-    w_b = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offs = part.select(*keys, _B, *[
-        F.coalesce(F.sum(f"__p_{n}").over(w_b), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    j = d.join(offs, on=[*keys, _B], how="left")
-    w_in = Window.partitionBy(*keys, _B).orderBy(*_cols(order)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = j
-    for n in sums:
-        out = out.withColumn(n, F.sum(f"__v_{n}").over(w_in) + F.col(f"__o_{n}"))
-    return out.drop(_B, *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
-
-
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                name: str = "rn") -> DataFrame:
-    return prefix_sums(df, keys, order, {name: F.lit(1).cast("long")}, bucket)
+    parts = ordered_parts(df, keys, order)
+    key = F.struct(*keys)
+    totals = parts.groupBy(PART, *keys).agg(F.struct(*[F.sum(e).alias(n) for n, e in sums.items()]).alias("__t"))
+    ends = totals.groupBy(PART).agg(F.min(key).alias("__head"), F.max(key).alias("__tail"),
+                                    F.max_by("__t", key).alias("__t"))
+    so_far = Window.partitionBy("__tail").orderBy(PART).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(PART)
+    ends = ends.withColumn("__t", F.struct(*[F.sum(f"__t.{n}").over(so_far).alias(n) for n in sums]))
+    offsets = ends.select(PART, "__head", F.when(F.col("__head").eqNullSafe(F.lag("__tail").over(before)),
+                                                 F.lag("__t").over(before)).alias("__o"))
+    w = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _with_edges(parts, offsets).select(*parts.columns, *[
+        (F.sum(e).over(w) + F.when(_same(keys, "__head"), F.coalesce(f"__o.{n}", F.lit(0))).otherwise(F.lit(0))).alias(n)
+        for n, e in sums.items()])
+    return out if keep_parts else out.drop(PART)
 
 
 def lag_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-               bucket: Column, prefix: str = "prev_") -> DataFrame:
+               prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the key's previous row in ``order``."""
     keys, cols = list(keys), list(cols)
-    d = df.withColumn(_B, bucket)
-    last = d.groupBy(*keys, _B).agg(
-        F.max_by(F.struct(*cols), F.struct(*_cols(order))).alias("__last"))
-    w_b = Window.partitionBy(*keys).orderBy(_B)
-    carry = last.select(*keys, _B, F.lag("__last").over(w_b).alias("__carry"))
-    j = d.join(carry, on=[*keys, _B], how="left")
-    w_in = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
-    j = j.withColumn("__prev", F.lag(F.struct(*cols)).over(w_in)) \
-         .withColumn("__first", F.row_number().over(w_in) == 1)
-    for c in cols:
-        j = j.withColumn(prefix + c, F.when(F.col("__first"), F.col(f"__carry.{c}"))
-                         .otherwise(F.col(f"__prev.{c}")))
-    return j.drop(_B, "__last", "__carry", "__prev", "__first")
-
-
-def rows_frame(df: DataFrame, keys: Sequence[str], rn: str, n: int, value: Column,
-               out: str, chunk: int = 8192) -> DataFrame:
-    """Add ``out`` = array of ``value`` over the key's rows ``rn-n+1 .. rn``
-    (oldest first). ``rn`` are exact 1-based row numbers per key."""
-    assert chunk >= n
+    parts = ordered_parts(df, keys, order)
+    last = parts.groupBy(PART).agg(F.max_by(F.struct(F.struct(*keys).alias("key"), F.struct(*cols).alias("row")),
+                                            F.struct(*keys, *order)).alias("__last"))
+    carried = last.select(PART, F.lag("__last").over(Window.orderBy(PART)).alias("__carry"))
+    w = Window.partitionBy(PART, *keys).orderBy(*order)
+    prev = F.coalesce(F.lag(F.struct(*cols)).over(w), F.when(_same(keys, "__carry.key"), F.col("__carry.row")))
+    return (_with_edges(parts, carried).withColumn("__prev", prev)
+            .select(*[c for c in parts.columns if c != PART], *[F.col(f"__prev.{c}").alias(prefix + c) for c in cols]))
+
+
+def rows_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, value: Column, out: str) -> DataFrame:
+    """Add ``out`` = array of ``value`` over the key's last ``n`` rows up to the row
+    itself, oldest first."""
     keys = list(keys)
-    d = df.withColumn("__val", value).withColumn(
-        "__chunk", F.floor((F.col(rn) - 1) / chunk).cast("long"))
-    pos = (F.col(rn) - 1) % chunk
-    copies = d.filter(pos >= chunk - (n - 1)).select(
-        *keys, F.col(rn), "__val", (F.col("__chunk") + 1).alias("__chunk"))
-    own = d.withColumn("__own", F.lit(True))
-    both = own.unionByName(copies.withColumn("__own", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "__chunk").orderBy(rn).rowsBetween(-(n - 1), 0)
-    res = both.withColumn(out, F.collect_list("__val").over(w)).filter("__own")
-    return res.drop("__val", "__chunk", "__own")
+    parts = ordered_parts(df, keys, order)
+    w = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(1 - n, 0)
+    framed = parts.withColumn("__own", F.collect_list(value).over(w))
+    key = F.struct(*keys)
+    ends = framed.groupBy(PART).agg(F.min(key).alias("__head"), F.max(key).alias("__tail"),
+                                    F.max_by("__own", F.struct(*keys, *order)).alias("__own"))
+    # every partition of a key has a row of it, so n of them hold its last n rows
+    so_far = Window.partitionBy("__tail").orderBy(PART).rowsBetween(1 - n, 0)
+    before = Window.orderBy(PART)
+    ends = ends.withColumn("__own", F.flatten(F.collect_list("__own").over(so_far)))
+    carried = ends.select(PART, "__head", F.when(F.col("__head").eqNullSafe(F.lag("__tail").over(before)),
+                                                 F.lag("__own").over(before)).alias("__carry"))
+    whole = F.concat(F.when(_same(keys, "__head"), F.coalesce("__carry", F.array())).otherwise(F.array()), F.col("__own"))
+    newest = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - (n - 1)), n)
+    return _with_edges(framed, carried).select(
+        *[c for c in parts.columns if c != PART],
+        F.when(F.size("__own") == n, F.col("__own")).otherwise(newest).alias(out))
 
 
 def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width: int | Column,

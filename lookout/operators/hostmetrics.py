@@ -1,8 +1,8 @@
 """Host metrics over sampled counters.
 
-Rates come from the previous sample of the same (host, device); ``lag`` is
-computed with ``functions.ordered.lag_values`` (day buckets + carry-in), so
-a host with a third of all samples still spreads over many tasks.
+Rates come from the previous sample of the same (host, device);
+``functions.ordered.lag_values`` takes it from even range partitions, so a
+host with a third of all samples spreads over a third of the tasks.
 """
 
 from __future__ import annotations
@@ -17,13 +17,9 @@ CPU_FIELDS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "ste
 SKIP_IFACE_PREFIXES = ("veth", "br-", "docker", "lxcbr")
 
 
-def _day(ts: str = "ts") -> Column:
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 86400).cast("long")
-
-
 def _with_prev(df: DataFrame, keys, cols, ts: str = "ts", tie: str = "seq") -> DataFrame:
     order = [ts, tie] if tie in df.columns else [ts]
-    return lag_values(df, keys, order, list(cols) + [ts], _day(ts))
+    return lag_values(df, keys, order, list(cols) + [ts])
 
 
 def cpu_percent(counters: DataFrame, keys=("host",), ts: str = "ts") -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.ordered import lag_values
 
 
 def _children_map() -> Column:
@@ -61,10 +60,13 @@ def previous_snapshot(snaps: DataFrame, keys=("host",), snap: str = "snap",
     The snapshot list is small next to the rows but still grows with time
     (a poll every few seconds), so the lag is bucketed by snapshot number
     with the previous bucket's last snapshot carried in."""
-    d = snaps.select(*keys, snap).distinct()
-    bucket = F.floor(F.col(snap) / bucket_size).cast("long")
-    return lag_values(d, list(keys), [snap], [snap], bucket, prefix="__prev_") \
-        .withColumnRenamed(f"__prev_{snap}", "prev_snap")
+    keys = list(keys)
+    d = snaps.select(*keys, snap).distinct().withColumn("__b", F.floor(F.col(snap) / bucket_size))
+    by_bucket = Window.partitionBy(*keys).orderBy("__b")
+    carry = d.groupBy(*keys, "__b").agg(F.max(snap).alias("__last")) \
+        .select(*keys, "__b", F.lag("__last").over(by_bucket).alias("__carry"))
+    prev = F.lag(snap).over(Window.partitionBy(*keys, "__b").orderBy(snap))
+    return d.join(carry, [*keys, "__b"]).select(*keys, snap, F.coalesce(prev, F.col("__carry")).alias("prev_snap"))
 
 
 def new_processes(procs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.ordered import row_numbers, rows_frame
+from ..functions.ordered import rows_frame
 from .folds import epoch_micros, period_starts
 
 
@@ -93,10 +93,8 @@ def ema_score(df: DataFrame, value: str, keys=("host",), ts: str = "ts", tie: st
     """M6 per key over the last ``n`` values (incl. the current row)."""
     keys = list(keys)
     order = [ts] if tie == ts else [ts, tie]
-    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 86400).cast("long")
-    d = row_numbers(df, keys, order, bucket, name="__rn").checkpoint(eager=True)
-    d = rows_frame(d, keys, "__rn", n, F.col(value), "__last")
-    return d.withColumn(out, ema_over(F.col("__last"))).drop("__rn", "__last")
+    d = rows_frame(df, keys, order, n, F.col(value), "__last")
+    return d.withColumn(out, ema_over(F.col("__last"))).drop("__last")
 
 
 def risk_level_col(score: Column) -> Column:

@@ -259,7 +259,7 @@ FROM (SELECT host, arg_max(cpu_percent, (ts, seq)) AS cpu_percent FROM cpu_pct G
 LEFT JOIN (SELECT host, arg_max(score, (ts, id)) AS score FROM scores_raw GROUP BY host) s ON s.host = c.host
 LEFT JOIN cur_period p ON p.host = c.host""")
 def q18_metrics_snapshot(spark, sf):
-    cpu = H.cpu_percent(V.counters(spark, sf))
+    cpu = H.cpu_percent(V.counters(spark, sf, parts=True))
     newest = cpu.groupBy("host").agg(F.max_by("cpu_percent", F.struct("ts", "seq")).alias("cpu_percent"))
     sc = V.scores_raw(spark, sf)
     latest = SC.latest_score(sc).select("host", F.col("score").alias("latest_score"))
@@ -277,7 +277,7 @@ def q18_metrics_snapshot(spark, sf):
 @register("h1_cpu_percent", with_views("base") + _COUNTER_SQL + """
 SELECT host, seq, cpu_percent FROM cpu_pct""")
 def h1_cpu_percent(spark, sf):
-    return H.cpu_percent(V.counters(spark, sf)).select("host", "seq", "cpu_percent")
+    return H.cpu_percent(V.counters(spark, sf, parts=True)).select("host", "seq", "cpu_percent")
 
 
 _PER_SQL = """
@@ -299,7 +299,7 @@ SELECT host, dev AS core, seq, round(CASE WHEN p IS NULL OR ("user" + system + i
        / (("user" + system + idle + iowait) - (p."user" + p.system + p.idle + p.iowait)) * 100.0 END, 1) AS cpu_percent
 FROM prev""")
 def h2_cpu_percent_per_core(spark, sf):
-    c = V.counters(spark, sf, per="core")
+    c = V.counters(spark, sf, per="core", parts=True)
     return H.cpu_percent(c, keys=("host", "core")).select("host", "core", "seq", "cpu_percent")
 
 

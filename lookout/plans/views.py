@@ -216,10 +216,11 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(svc.alias("service"), "ts")
 
 
-def counters(spark: SparkSession, sf_dir: str, per: str | None = None) -> DataFrame:
+def counters(spark: SparkSession, sf_dir: str, per: str | None = None, parts: bool = False) -> DataFrame:
     """Cumulative counters per host (``per`` adds a device key = event_type).
 
-    Running sums are computed with bucketed prefix sums, not one window per host."""
+    Running sums are carried over the edges of even range partitions. ``parts``
+    keeps these for an operator that reads the same keys in the same order."""
     from ..functions.ordered import prefix_sums
     b = base(spark, sf_dir)
     k = F.col("k")
@@ -236,7 +237,5 @@ def counters(spark: SparkSession, sf_dir: str, per: str | None = None) -> DataFr
         "sectors_written": F.floor(F.col("value") * 3).cast("long"),
         "io_time_ms": (k * 10).cast("long"),
     }
-    day = F.floor(F.col("es") / 86400).cast("long")
-    d = prefix_sums(b.select(*keys, "ts", "event_id", "es", "value", "k"), keys, ["ts", "event_id"],
-                    sums, day)
-    return d.withColumnRenamed("event_id", "seq").drop("es", "value", "k")
+    d = prefix_sums(b.select(*keys, "ts", "event_id", "value", "k"), keys, ["ts", "event_id"], sums, parts)
+    return d.withColumnRenamed("event_id", "seq").drop("value", "k")

@@ -25,9 +25,8 @@ def _df(spark, rows):
 def test_prefix_sums_and_lag(spark):
     rows = _data(1)
     df = _df(spark, rows)
-    b = F.floor(F.col("t") / 700)
-    got = O.prefix_sums(df, ["key"], ["t", "id"], {"s": F.col("v")}, b).toPandas()
-    lag = O.lag_values(df, ["key"], ["t", "id"], ["v"], b).toPandas().set_index("id")
+    got = O.prefix_sums(df, ["key"], ["t", "id"], {"s": F.col("v")}).toPandas()
+    lag = O.lag_values(df, ["key"], ["t", "id"], ["v"]).toPandas().set_index("id")
     pdf = pd.DataFrame(rows, columns=["key", "id", "t", "v"]).sort_values(["key", "t", "id"])
     pdf["s"] = pdf.groupby("key")["v"].cumsum()
     pdf["prev"] = pdf.groupby("key")["v"].shift(1)
@@ -42,8 +41,7 @@ def test_prefix_sums_and_lag(spark):
 def test_rows_frame_and_range_count(spark):
     rows = _data(2)
     df = _df(spark, rows)
-    d = O.row_numbers(df, ["key"], ["t", "id"], F.floor(F.col("t") / 900), "rn")
-    fr = O.rows_frame(d, ["key"], "rn", 7, F.col("v"), "last", chunk=16).toPandas().set_index("id")
+    fr = O.rows_frame(df, ["key"], ["t", "id"], 7, F.col("v"), "last").toPandas().set_index("id")
     rc = O.count_in_range(df, ["key"], "t", "id", 300, "c").toPandas().set_index("id")
     pdf = pd.DataFrame(rows, columns=["key", "id", "t", "v"]).sort_values(["key", "t", "id"])
     for _, g in pdf.groupby("key"):
@@ -339,3 +337,41 @@ def test_range_count_with_a_width_per_key_and_idle_gaps(spark):
             last = t
             times = [x for x in times if x > t - w] + [t]
             assert got[i] == (len(times) if w > 0 else None)
+
+
+def test_ordered_scans_carry_over_partition_edges(spark):
+    """Keys over many partitions, partitions shorter than the frame and keys that
+    fit into one, null keys and values; one partition per task and key edge."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else rng.choice(["a", "b", None, "zz"]), i, rng.randrange(90),
+             None if i % 11 == 0 else rng.randrange(-5, 50)) for i in range(300)]
+    df = _df(spark, rows).repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # nothing coalesced
+    try:
+        for parts in (1, 7, 60, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            sums = O.prefix_sums(df, ["key"], ["t", "id"], {"s": F.coalesce("v", F.lit(0)), "n": F.lit(1)}, keep_parts=True)
+            got = {r["id"]: r for r in O.lag_values(sums, ["key"], ["t", "id"], ["v", "s", "t"]).collect()}
+            frames = {r["id"]: r["last"] for r in O.rows_frame(
+                df, ["key"], ["t", "id"], 12, F.coalesce("v", F.lit(0)), "last").collect()}
+            assert len(got) == len(frames) == len(rows)
+            for key in {r[0] for r in rows}:
+                mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1]))
+                values = [r[3] or 0 for r in mine]
+                for j, (_, i, t, v) in enumerate(mine):
+                    r = got[i]
+                    assert (r["s"], r["n"]) == (sum(values[:j + 1]), j + 1)
+                    before = (mine[j - 1][3], sum(values[:j]), mine[j - 1][2]) if j else (None, None, None)
+                    assert (r["prev_v"], r["prev_s"], r["prev_t"]) == before
+                    assert frames[i] == values[max(0, j - 11):j + 1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ordered_parts_are_even_whatever_the_keys(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("key"),
+                                    "id", (F.col("id") * 7 % 60_000).alias("t"))
+    sizes = [r["count"] for r in O.ordered_parts(df, ["key"], ["t", "id"]).groupBy(O.PART).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1.5 * min(sizes)
