@@ -11,6 +11,7 @@ partition:
 * ``prefix_sums``   running sums per key;
 * ``lag_values``    previous row's values per key;
 * ``rows_frame``    last ``n`` rows per key as an array;
+* ``exact_quantile`` a quantile of all rows;
 * ``count_in_range`` count of rows of the same key in ``(t - w, t]`` up to the
                     current row (ties broken by id), over buckets of width w.
 """
@@ -143,6 +144,23 @@ def count_in_range(df: DataFrame, keys: Sequence[str], t: str, tie: str, width:
         "e.row.*", F.when(F.col("__w") > 0, F.col("__upto") - F.col("__old")).alias(out))
 
 
+def exact_quantile(df: DataFrame, col: str, share: float) -> float | None:
+    """The ``share`` quantile of ``col`` with linear interpolation, nulls left out.
+
+    Equal values are counted first, so a common one is one row; running counts
+    over even range partitions then tell which values have the two ranks."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n")) \
+        .withColumn("__all", F.lit(0))
+    ranked = prefix_sums(counts, ["__all"], [col], {"__upto": F.col("__n")}).checkpoint()
+    total = ranked.agg(F.max("__upto")).first()[0]
+    if not total:
+        return None
+    at = share * (total - 1)
+    low = int(at)
+    values = [ranked.filter(F.col("__upto") > k).agg(F.min(col)).first()[0] for k in (low, min(low + 1, total - 1))]
+    return values[0] + (values[1] - values[0]) * (at - low)
+
+
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                     bucket: Column, rank_col: str = "rank") -> DataFrame:
     """Exact top ``k`` rows per key by ``order`` (descending columns allowed).

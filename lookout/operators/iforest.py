@@ -2,21 +2,25 @@
 
 Liu, Ting and Zhou, "Isolation Forest" (ICDM 2008). Spark plan:
 
-* sampling: tree ``t`` takes the ``min(256, n)`` rows with the smallest
-  ``xxhash64(id, t)``. Rows are first thinned by a hash threshold sized for
-  ~4x the sample, so only ~100 x 1024 (row, tree) pairs are ever exploded;
-  if a tree comes up short the threshold is raised and the pass repeated,
-  so the sample is exact;
-* building: ``groupBy(tree).applyInPandas`` - one small group per tree, numpy,
-  seed 42 + tree; the output is a node table (bounded by trees x 511 rows);
+* sampling: the ``trees x 256`` rows with the least ``md5(id)`` are the pool, and
+  tree ``t`` takes those of its ``min(256, n)`` rows with the least
+  ``md5(id:t)``. (row, tree) pairs are first thinned by a hash bound; if a tree
+  comes up short the bound is raised, so the sample is exact;
+* building: ``groupBy(tree).applyInPandas`` - one small group per tree, numpy. A
+  node's feature and split point come from ``md5(seed:tree:node)``, so that any
+  engine grows the same forest from the same rows; nodes are numbered as in a
+  heap (root 1, children 2i and 2i + 1); the output is a node table (bounded by
+  trees x 511 rows);
 * scoring: the node table is collected (its size is bounded by the
   parameters, not the data) and traversed with numpy inside
   ``mapInPandas`` - one vectorised pass per tree per Arrow batch;
-* offset: exact 5 % percentile (linear interpolation) of the training scores.
+* offset: exact 5 % quantile (linear interpolation) of the training scores, found
+  by running counts over range partitions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import os
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.ordered import exact_quantile
+from ..session import task_parallelism
 
 EULER = 0.5772156649
 
@@ -53,70 +59,73 @@ def c_factor(n: float) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-def _build_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int, tree: int) -> list[tuple]:
-    nodes: list[list] = []
+def _draw(seed: int, tree: int, node: int) -> tuple[float, int]:
+    """A number in [0, 1) and an integer for a node: the first 52 bits of its hash
+    and the 32 after them."""
+    h = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    return int(h[:13], 16) / 2.0 ** 52, int(h[13:21], 16)
 
-    def grow(idx: np.ndarray, depth: int) -> int:
-        nid = len(nodes)
-        nodes.append([tree, nid, -1, 0.0, -1, -1, depth, int(len(idx))])
-        if depth >= max_depth or len(idx) <= 1:
-            return nid
-        sub = x[idx]
+
+def _build_tree(x: np.ndarray, seed: int, max_depth: int, tree: int) -> list[tuple]:
+    nodes: list[tuple] = []
+    todo = [(1, 0, np.arange(len(x)))]
+    while todo:
+        node, depth, rows = todo.pop()
+        leaf = (tree, node, -1, 0.0, -1, -1, depth, len(rows))
+        sub = x[rows]
         lo, hi = sub.min(axis=0), sub.max(axis=0)
         usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            return nid
-        f = int(usable[rng.integers(usable.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] < thr
-        if go_left.all() or (~go_left).all():
-            return nid
-        nodes[nid][2], nodes[nid][3] = f, thr
-        left = grow(idx[go_left], depth + 1)
-        right = grow(idx[~go_left], depth + 1)
-        nodes[nid][4], nodes[nid][5] = left, right
-        return nid
-
-    grow(np.arange(len(x)), 0)
-    return [tuple(n) for n in nodes]
-
-
-def _sample_pairs(df: DataFrame, id_col: str, trees: int, thr: float) -> DataFrame:
-    """(tree, h, x) for rows whose hash for that tree falls under ``thr``."""
-    cand = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.struct(t.alias("tree"),
-                                       (F.xxhash64(F.col(id_col), t) / F.lit(2.0 ** 63)).alias("h"))),
-        lambda s: F.abs(s["h"]) < F.lit(thr))
-    return df.select("x", F.explode(cand).alias("s")).select("s.tree", F.abs("s.h").alias("h"), "x")
+        if depth >= max_depth or not len(usable):
+            nodes.append(leaf)
+            continue
+        share, pick = _draw(seed, tree, node)
+        f = int(usable[pick % len(usable)])
+        cut = float(lo[f] + share * (hi[f] - lo[f]))
+        if cut <= lo[f]:
+            nodes.append(leaf)
+            continue
+        nodes.append((tree, node, f, cut, 2 * node, 2 * node + 1, depth, len(rows)))
+        low = sub[:, f] < cut
+        todo += [(2 * node, depth + 1, rows[low]), (2 * node + 1, depth + 1, rows[~low])]
+    return nodes
+
+
+def _sample_pairs(pool: DataFrame, trees: int, share: float) -> DataFrame:
+    """(tree, h, x) for the rows whose hash for a tree lies in the least ``share``."""
+    h = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.md5(F.concat_ws(":", "id", t.cast("string"))).alias("h")))
+    if share < 1.0:
+        bound = f"{int(share * 16 ** 8):08x}"
+        h = F.filter(h, lambda s: F.substring(s["h"], 1, 8) < bound)
+    return pool.select("id", "x", F.explode(h).alias("s")).select("s.tree", "s.h", "id", "x")
 
 
 def fit_isolation_forest(df: DataFrame, id_col: str = "id", x_col: str = "x",
                          trees: int = S.IFOREST_TREES, max_samples: int = S.IFOREST_MAX_SAMPLES,
                          seed: int = S.IFOREST_SEED) -> tuple[DataFrame, int]:
-    """M3: returns (node table, sample size). ``x_col`` is array<double>."""
-    d = df.select(F.col(id_col), F.col(x_col).cast("array<double>").alias("x"))
+    """M3: returns (node table, sample size). ``x_col`` is array<double>; ids are
+    compared as text."""
+    d = df.select(F.col(id_col).cast("string").alias("id"), F.col(x_col).cast("array<double>").alias("x"))
     n = d.count()
     m = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(m, 2))))
-    frac = min(1.0, 4.0 * m / max(n, 1))
+    size = trees * max_samples
+    pool = d.orderBy(F.md5("id"), "id").limit(size) if n > size else d
+    pool = pool.repartition(task_parallelism(d.sparkSession)).checkpoint()
+    share = 4.0 * m / max(min(n, size), 1)
     while True:
-        pairs = _sample_pairs(d, id_col, trees, frac)
-        short = pairs.groupBy("tree").count().filter(F.col("count") >= m).count() < trees
-        if not short or frac >= 1.0:
+        pairs = _sample_pairs(pool, trees, share)
+        if share >= 1.0 or pairs.groupBy("tree").count().filter(F.col("count") >= m).count() == trees:
             break
-        frac = min(1.0, frac * 4)
+        share *= 4
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("h", kind="mergesort").head(m)
+        pdf = pdf.sort_values(["h", "id"]).head(m)
         x = np.array(pdf["x"].tolist(), dtype=np.float64)
-        rng = np.random.default_rng(seed + tree)
-        rows = _build_tree(x, rng, max_depth, tree)
+        rows = _build_tree(x, seed, max_depth, int(pdf["tree"].iloc[0]))
         return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
 
-    nodes = pairs.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
-    return nodes, m
+    return pairs.groupBy("tree").applyInPandas(build, NODE_SCHEMA), m
 
 
 def forest_arrays(nodes: DataFrame):
@@ -124,19 +133,24 @@ def forest_arrays(nodes: DataFrame):
 
 
 def _forest_arrays(nodes_pdf: pd.DataFrame):
+    """Per tree the node table as arrays, by heap number."""
     out = []
-    for _, g in nodes_pdf.sort_values(["tree", "node"]).groupby("tree"):
-        adj = np.array([c_factor(s) for s in g["size"].to_numpy()])
-        out.append((g["feature"].to_numpy(np.int64), g["threshold"].to_numpy(np.float64),
-                    g["left"].to_numpy(np.int64), g["right"].to_numpy(np.int64),
-                    g["depth"].to_numpy(np.float64) + adj))
+    for _, g in nodes_pdf.groupby("tree"):
+        at, size = g["node"].to_numpy(np.int64), int(g["node"].max()) + 1
+        arrays = []
+        for values, empty in ((g["feature"], -1), (g["threshold"], 0.0), (g["left"], 0), (g["right"], 0),
+                              (g["depth"] + g["size"].map(c_factor), 0.0)):
+            a = np.full(size, empty, np.int64 if isinstance(empty, int) else np.float64)
+            a[at] = values.to_numpy()
+            arrays.append(a)
+        out.append(tuple(arrays))
     return out
 
 
 def _path_lengths(x: np.ndarray, forest) -> np.ndarray:
     total = np.zeros(len(x))
     for feat, thr, left, right, leaf_h in forest:
-        cur = np.zeros(len(x), dtype=np.int64)
+        cur = np.ones(len(x), dtype=np.int64)
         while True:
             f = feat[cur]
             inner = f >= 0
@@ -224,7 +238,7 @@ def fit_model(df: DataFrame, id_col: str = "id", x_col: str = "x",
     forest = forest_arrays(nodes)
     scored = score_samples(df.select(F.col(x_col).cast("array<double>").alias("x")), nodes, m, "x",
                            forest=forest)
-    offset = scored.agg(F.percentile("if_raw", F.lit(contamination)).alias("p")).first()["p"]
+    offset = exact_quantile(scored, "if_raw", contamination)
     meta = {"model_version": "iforest_v1", "trees": kw.get("trees", S.IFOREST_TREES),
             "max_samples": kw.get("max_samples", S.IFOREST_MAX_SAMPLES), "n_features": None}
     return IsolationForestModel(nodes, m, float(offset), meta, forest)

@@ -15,6 +15,7 @@ from ..operators import scoring as SC
 from ..sources.config import load_rules
 from ..session import read_table
 from . import views as V
+from .forestsql import forest
 from .registry import register
 from .sqlviews import with_views
 
@@ -141,11 +142,11 @@ def _z_expr(f: str) -> str:
             f"ELSE abs({f} - {m}) / greatest({s}, 0.5) END")
 
 
-ZSCORE_SQL = """
+_ZSCORE_SQL = """
 zs AS (
   SELECT *, least(1.0, list_sum(list_sort([""" + ", ".join(_z_expr(f) for f in FEATS) + """], 'DESC')[1:3]) / 3 / 6.0) AS zscore_score
   FROM vec),
-ens AS (SELECT *, 0.5 * 0.0 + 0.3 * zscore_score + 0.2 * greatest(0.0, zscore_score) AS raw_score FROM zs),
+ens AS (SELECT *, 0.5 * isof + 0.3 * zscore_score + 0.2 * greatest(isof, zscore_score) AS raw_score FROM {scored_by}),
 emas AS (
   SELECT *, least(1.0, greatest(0.0, list_reduce(
     list(raw_score) OVER (PARTITION BY host ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
@@ -154,6 +155,11 @@ emas AS (
 scored AS (
   SELECT *, least(1.0, greatest(0.0, 0.7 * raw_score + 0.3 * ema_score)) AS final_score FROM emas)"""
 
+ZSCORE_SQL = _ZSCORE_SQL.replace("{scored_by}", "(SELECT *, 0.0 AS isof FROM zs)")
+_X_SQL = """xs AS (SELECT host || '|' || CAST(ts AS VARCHAR) AS id, [""" + ", ".join(
+    f"({f} - (SELECT mean FROM baseline WHERE feature = '{f}')) / (SELECT CASE WHEN std = 0 THEN 1.0 ELSE std END "
+    f"FROM baseline WHERE feature = '{f}')" for f in FEATS) + "]::DOUBLE[] AS x FROM vec)"
+
 RISK_SQL = ("CASE WHEN {x} >= 0.8 THEN 'critical' WHEN {x} >= 0.6 THEN 'suspicious' "
             "WHEN {x} >= 0.4 THEN 'elevated' ELSE 'normal' END")
 
@@ -364,11 +370,29 @@ _SCORED_SQL = with_views("logs", "connections", "processes",
                          + BASELINE_SQL + "," + ZSCORE_SQL)
 
 
+_VEC_FOREST_SQL = with_views("logs", "connections", "processes",
+                             extra=NEWCONN_SQL + "," + PROC_SQL + "," + TEL_SQL + ",\n"
+                             + BASELINE_SQL + "," + _X_SQL + "," + forest("vf", "xs"))
+_FOREST_SCORED_SQL = _VEC_FOREST_SQL.rstrip() + "," + _ZSCORE_SQL.replace(
+    "{scored_by}", "(SELECT zs.*, s.score AS isof FROM zs JOIN vf_scores s ON s.id = host || '|' || CAST(ts AS VARCHAR))")
+
+
 def _scored(spark, sf):
     v = vectors(spark, sf)
     return SC.score_vectors(v, SC.fit_baseline(v))
 
 
+def _scored_with_forest(spark, sf):
+    """``_scored`` with a forest fitted on the vectors themselves."""
+    from ..operators import iforest as IF
+    v = vectors(spark, sf)
+    base = SC.fit_baseline(v)
+    zx = _standardized(v, base)
+    model = IF.fit_model(zx)
+    return SC.score_vectors(v, base, model.isolation_score(zx).select("host", "ts", "isolation_forest_score"),
+                            model.meta["model_version"])
+
+
 @register("m1_fit_baseline", _SCORED_SQL + """
 SELECT feature, round(mean, 4) AS mean, round(std, 4) AS std FROM baseline""")
 def m1_fit_baseline(spark, sf):
@@ -404,9 +428,9 @@ def m6_ema_score(spark, sf):
     return _scored(spark, sf).select("host", "ts", "ema_score")
 
 
-@register("m7_ensemble_score", _SCORED_SQL + "SELECT host, ts, round(final_score, 4) AS score FROM scored")
+@register("m7_ensemble_score", _FOREST_SCORED_SQL + "SELECT host, ts, round(final_score, 4) AS score FROM scored")
 def m7_ensemble_score(spark, sf):
-    return _scored(spark, sf).select("host", "ts", "score")
+    return _scored_with_forest(spark, sf).select("host", "ts", "score")
 
 
 @register("m8_risk_level", _SCORED_SQL + "SELECT host, ts, " + RISK_SQL.format(x="final_score")
@@ -415,14 +439,14 @@ def m8_risk_level(spark, sf):
     return _scored(spark, sf).select("host", "ts", "risk_level")
 
 
-@register("m9_score_record", _SCORED_SQL + """
+@register("m9_score_record", _FOREST_SCORED_SQL + """
 SELECT host, ts, round(final_score, 4) AS score, """ + RISK_SQL.format(x="final_score") + """ AS risk_level,
-  CAST(0.0 AS DOUBLE) AS isolation_forest_score, round(zscore_score, 4) AS zscore_score, round(ema_score, 4) AS ema_score,
-  'unknown' AS model_version
+  round(isof, 4) AS isolation_forest_score, round(zscore_score, 4) AS zscore_score, round(ema_score, 4) AS ema_score,
+  'iforest_v1' AS model_version
 FROM scored""")
 def m9_score_record(spark, sf):
-    return _scored(spark, sf).select("host", "ts", "score", "risk_level", "isolation_forest_score",
-                                     "zscore_score", "ema_score", "model_version")
+    return _scored_with_forest(spark, sf).select("host", "ts", "score", "risk_level", "isolation_forest_score",
+                                                 "zscore_score", "ema_score", "model_version")
 
 
 @register("m11_latest_score", with_views("scores_raw") + """
@@ -550,41 +574,49 @@ def e9_alert_counters(spark, sf):
     return P.alert_counters(_policy(spark, sf, "alerts"), "2024-01-30 23:00:00")
 
 
-# ---------------------------------------------------------------- M3, M4, M10: forest (no SQL form)
+# ---------------------------------------------------------------- M3, M4, M10: forest
 
-def _forest_input(spark, sf):
+def _standardized(v: DataFrame, base: DataFrame) -> DataFrame:
+    """(id, host, ts, x): the vectors as the forest reads them."""
     from ..operators import iforest as IF
-    v = vectors(spark, sf).withColumn("id", F.xxhash64("host", "ts"))
-    z = SC.standardize(v, SC.fit_baseline(v))
-    return z.select("id", "host", "ts",
+    z = SC.standardize(v, base)
+    return z.select(F.concat_ws("|", "host", F.col("ts").cast("string")).alias("id"), "host", "ts",
                     IF.feature_array([f"z_{f}" for f in S.FEATURE_NAMES]).alias("x"))
 
 
-@register("m3_fit_isolation_forest")
+def _forest_input(spark, sf):
+    v = vectors(spark, sf)
+    return _standardized(v, SC.fit_baseline(v))
+
+
+@register("m3_fit_isolation_forest", _VEC_FOREST_SQL + """
+SELECT tree::INTEGER AS tree, node::INTEGER AS node, feature::INTEGER AS feature, round(threshold, 6) AS threshold,
+  "left"::INTEGER AS "left", "right"::INTEGER AS "right", depth::INTEGER AS depth, size::INTEGER AS size FROM vf_nodes""")
 def m3_fit_isolation_forest(spark, sf):
     """Forest node table fitted on the standardized hourly vectors."""
     from ..operators import iforest as IF
     nodes, _ = IF.fit_isolation_forest(_forest_input(spark, sf))
-    return nodes
+    return nodes.withColumn("threshold", F.round("threshold", 6))
 
 
-@register("m4_isolation_score")
+@register("m4_isolation_score", _VEC_FOREST_SQL.rstrip() + """,
+ex AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS x FROM embeddings),""" + forest("ef", "ex") + """
+SELECT 'vectors' AS input, id, round(score, 4) AS score FROM vf_scores
+UNION ALL SELECT 'embeddings', id, round(score, 4) FROM ef_scores""")
 def m4_isolation_score(spark, sf):
     """Forest score in [0, 1] for every hourly vector and every embedding."""
     from ..operators import iforest as IF
     zx = _forest_input(spark, sf)
-    model = IF.fit_model(zx)
-    a = model.isolation_score(zx).select(F.lit("vectors").alias("input"), F.col("id"),
-                                         F.round("isolation_forest_score", 4).alias("score"))
-    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
-                                                      F.col("embedding").alias("x"))
-    emodel = IF.fit_model(emb)
-    b = emodel.isolation_score(emb).select(F.lit("embeddings").alias("input"), F.col("id"),
-                                           F.round("isolation_forest_score", 4).alias("score"))
-    return a.unionByName(b)
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
+                                                     F.col("embedding").cast("array<double>").alias("x"))
+    parts = [IF.fit_model(rows).isolation_score(rows).select(
+        F.lit(name).alias("input"), "id", F.round("isolation_forest_score", 4).alias("score"))
+        for name, rows in (("vectors", zx), ("embeddings", emb))]
+    return parts[0].unionByName(parts[1])
 
 
-@register("m10_save_load_model")
+@register("m10_save_load_model", _VEC_FOREST_SQL + """
+SELECT id, round(score, 4) AS isolation_forest_score FROM vf_scores""")
 def m10_save_load_model(spark, sf):
     """Fit, save under the checkpoint folder, load through a search path, score."""
     import os
