@@ -17,8 +17,9 @@ TELEMETRY_COLS = ("host", "ts", "stream", "type", "source_ip", "risk_reason")
 
 
 def union_telemetry(logs: DataFrame | None = None, network: DataFrame | None = None,
-                    processes: DataFrame | None = None) -> DataFrame:
-    """fan-in of the three event streams, tagged by stream."""
+                    processes: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """fan-in of the three event streams, tagged by stream. ``extra``: further
+    columns to keep, null where a stream lacks them."""
     parts = []
     for name, df in (("logs", logs), ("network", network), ("processes", processes)):
         if df is None:
@@ -27,10 +28,10 @@ def union_telemetry(logs: DataFrame | None = None, network: DataFrame | None = N
         for c in TELEMETRY_COLS:
             if c not in d.columns:
                 d = d.withColumn(c, F.lit(None).cast("string"))
-        parts.append(d.select(*TELEMETRY_COLS))
+        parts.append(d.select(*TELEMETRY_COLS, *[c for c in extra if c in d.columns]))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 

@@ -40,17 +40,36 @@ def cpu_percent(counters: DataFrame, keys=("host",), ts: str = "ts") -> DataFram
         "__total", "__idle", "prev___total", "prev___idle", f"prev_{ts}")
 
 
+#: Fixed: field of H3 -> key of the kernel's memory table.
+MEMORY_FIELDS = {
+    "total_mb": "MemTotal", "available_mb": "MemAvailable", "cached_mb": "Cached", "buffers_mb": "Buffers",
+    "active_mb": "Active", "inactive_mb": "Inactive", "swap_total_mb": "SwapTotal", "swap_free_mb": "SwapFree",
+    "dirty_mb": "Dirty", "writeback_mb": "Writeback", "slab_mb": "Slab", "page_tables_mb": "PageTables",
+    "committed_mb": "Committed_AS", "commit_limit_mb": "CommitLimit", "mapped_mb": "Mapped", "shared_mb": "Shmem",
+}
+
+
 def memory_usage(mem: DataFrame) -> DataFrame:
-    """H3: rows (host, ts, key, kb) pivoted; used = total - available."""
-    keys = ["MemTotal", "MemAvailable", "MemFree", "Buffers", "Cached", "SwapTotal", "SwapFree"]
-    p = mem.filter(F.col("key").isin(*keys)).groupBy("host", "ts").pivot("key", keys).agg(F.sum("kb"))
-    total, avail = F.col("MemTotal"), F.col("MemAvailable")
+    """H3: rows (host, ts, key, kb) pivoted to the 20 fields. A key that isn't
+    listed counts 0; used = total - available; shares of nothing are 0."""
+    p = mem.filter(F.col("key").isin(*MEMORY_FIELDS.values())).groupBy("host", "ts") \
+        .pivot("key", list(MEMORY_FIELDS.values())).agg(F.sum("kb"))
+
+    def kb(key: str) -> Column:
+        return F.coalesce(F.col(key), F.lit(0))
+
+    def mb(value: Column) -> Column:
+        return F.round(value / 1024, 1)
+
+    def percent(part: Column, whole: Column) -> Column:
+        return F.when(whole > 0, F.round(part / whole * 100, 1)).otherwise(F.lit(0.0))
+
+    used, swapped = kb("MemTotal") - kb("MemAvailable"), kb("SwapTotal") - kb("SwapFree")
     return p.select(
-        "host", "ts",
-        F.round(total / 1024, 1).alias("total_mb"),
-        F.round((total - avail) / 1024, 1).alias("used_mb"),
-        F.round(F.when(total > 0, (total - avail) / total * 100).otherwise(0.0), 1).alias("percent"),
-        F.round((F.col("SwapTotal") - F.col("SwapFree")) / 1024, 1).alias("swap_used_mb"))
+        "host", "ts", *[mb(kb(key)).alias(field) for field, key in MEMORY_FIELDS.items()],
+        mb(used).alias("used_mb"), percent(used, kb("MemTotal")).alias("percent"),
+        F.round(mb(kb("SwapTotal")) - mb(kb("SwapFree")), 1).alias("swap_used_mb"),
+        percent(swapped, kb("SwapTotal")).alias("swap_percent"))
 
 
 def rates(df: DataFrame, keys, value_cols, ts: str = "ts", clamp: bool = True,

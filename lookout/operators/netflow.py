@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .processes import previous_snapshot
@@ -16,12 +16,8 @@ def connection_key(df: DataFrame) -> DataFrame:
         F.col("local_ip"), F.lit(":"), F.col("local_port").cast("string")))
 
 
-def _seen(later: bool) -> Column:
-    """The connection's nearest snapshot before (or after) the row's own."""
-    by_key = Window.partitionBy("host", "conn_key").orderBy("snap")
-    if later:
-        return F.min("snap").over(by_key.rangeBetween(1, Window.unboundedFollowing))
-    return F.max("snap").over(by_key.rangeBetween(Window.unboundedPreceding, -1))
+def _by_key() -> WindowSpec:
+    return Window.partitionBy("host", "conn_key").orderBy("snap")
 
 
 def new_connections(conns: DataFrame) -> DataFrame:
@@ -31,7 +27,8 @@ def new_connections(conns: DataFrame) -> DataFrame:
     on (host, key) tells when a key was last seen; that is compared to the host's
     previous snapshot, of which there is one row per snapshot."""
     prev = previous_snapshot(conns)
-    d = connection_key(conns.filter(F.col("remote_ip") != "0.0.0.0")).withColumn("__seen", _seen(later=False))
+    d = connection_key(conns.filter(F.col("remote_ip") != "0.0.0.0")).withColumn(
+        "__seen", F.max("snap").over(_by_key().rangeBetween(Window.unboundedPreceding, -1)))
     d = d.join(prev, ["host", "snap"])
     fresh = F.col("__seen").isNull() | F.col("prev_snap").isNull() | (F.col("__seen") < F.col("prev_snap"))
     return d.filter(fresh).drop("__seen").withColumn("type", F.lit("new_connection"))
@@ -42,7 +39,7 @@ def closed_connections(conns: DataFrame) -> DataFrame:
     after = previous_snapshot(conns).filter(F.col("prev_snap").isNotNull()) \
         .select("host", F.col("prev_snap").alias("snap"), F.col("snap").alias("next_snap"))
     keys = connection_key(conns).select("host", "snap", "conn_key").distinct() \
-        .withColumn("__seen", _seen(later=True))
+        .withColumn("__seen", F.lead("snap").over(_by_key()))
     gone = keys.join(after, ["host", "snap"]) \
         .filter(F.col("__seen").isNull() | (F.col("__seen") > F.col("next_snap")))
     return gone.groupBy("host", F.col("next_snap").alias("snap")) \

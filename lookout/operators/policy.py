@@ -95,10 +95,11 @@ def alert_message(severity: Column, name: Column, score: Column, anomaly_type: C
 
 
 def top_features(features: Column, n: int = S.TOP_FEATURES_N) -> Column:
-    """Names of the ``n`` largest positive features, largest first (ties by name)."""
+    """The ``n`` largest positive features as (name, value), largest first (ties
+    by name)."""
     pos = F.filter(F.map_entries(features), lambda e: e["value"] > 0)
     keyed = F.transform(pos, lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))
-    return F.slice(F.transform(F.sort_array(keyed), lambda e: e["k"]), 1, n)
+    return F.slice(F.transform(F.sort_array(keyed), lambda e: F.struct(e["k"].alias("name"), (-e["v"]).alias("value"))), 1, n)
 
 
 def alert_id(rule: Column, key: Column, score_id: Column) -> Column:
@@ -108,6 +109,7 @@ def alert_id(rule: Column, key: Column, score_id: Column) -> Column:
 
 def make_alerts(fired: DataFrame) -> DataFrame:
     """Alert rows."""
+    top = top_features(F.col("features"))
     conds = F.to_json(F.struct(
         F.col("score_above"), F.col("rule_anomaly_type").alias("anomaly_type"),
         F.col("repeated_within_seconds"), F.col("min_occurrences")))
@@ -121,7 +123,8 @@ def make_alerts(fired: DataFrame) -> DataFrame:
         "action", "notify",
         alert_message(F.col("severity"), F.col("policy_name"), F.col("score"),
                       F.col("anomaly_type"), F.col("source_ip"), F.col("action")).alias("message"),
-        F.array_join(top_features(F.col("features")), ",").alias("top_features"),
+        F.array_join(F.transform(top, lambda e: e["name"]), ",").alias("top_features"),
+        F.map_from_entries(top).alias("contributing_features"),
         conds.alias("rule_conditions"), "dedup_key",
     )
 

@@ -7,11 +7,11 @@ group tails use the two-phase top-k of ``functions.ordered``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.ordered import top_k_per_group
+from ..functions.ordered import ordered_parts, prefix_sums, top_k_per_group
 from .folds import epoch_micros, period_starts
 
 
@@ -55,17 +55,20 @@ def next_cursor(page: DataFrame, limit: int, id_col: str | tuple[str, ...] = "id
     return tuple(rows[-1]) if len(cols) > 1 else rows[-1][0]
 
 
-def all_pages(rows: DataFrame, page, limit: int, cursor: str | tuple[str, ...]) -> DataFrame:
-    """Every row once, page by page: ``page(rows, after, limit)`` until a page
-    isn't full. Pages are bounded; only their cursors come to the driver."""
-    rows = rows.checkpoint(eager=True)
-    out, after = None, None
-    while True:
-        got = page(rows, after, limit).checkpoint(eager=True)
-        out = got if out is None else out.unionByName(got)
-        after = next_cursor(got, limit, cursor)
-        if after is None:
-            return out
+def all_pages(rows: DataFrame, limit: int, cursor: tuple[str, ...]) -> DataFrame:
+    """Every row with the ``page`` (from 0) that walking all cursors, newest first,
+    would find it on, and ``next_cursor``, which that page gives (JSON; null if
+    the page isn't full).
+
+    One pass: rows are range-sorted by the cursor and numbered by running counts
+    over the partitions; no page is fetched by itself."""
+    parts = ordered_parts(rows.withColumn("__all", F.lit(0)), ["__all"], list(cursor))
+    total = parts.agg(F.count(F.lit(1)).alias("__total")).withColumn("__all", F.lit(0))
+    paged = prefix_sums(parts, ["__all"], list(cursor), {"__upto": F.lit(1).cast("long")}).join(F.broadcast(total), "__all").withColumn(
+        "page", F.floor((F.col("__total") - F.col("__upto")) / limit))
+    in_page = Window.partitionBy("page")
+    last = F.when(F.count(F.lit(1)).over(in_page) == limit, F.to_json(F.min(F.struct(*cursor)).over(in_page)))
+    return paged.withColumn("next_cursor", last).select(*rows.columns, "page", "next_cursor")
 
 
 ALERT_CURSOR = ("score_id", "alert_id")
@@ -224,7 +227,7 @@ def event_rate(df: DataFrame, ts: str = "ts", seconds: int = 1) -> DataFrame:
                     F.round(F.col("n") / F.lit(seconds)).cast("long").alias("rate"))
 
 
-def service_liveness(heartbeats: DataFrame, as_of: str, ttls: dict[str, int]) -> DataFrame:
+def service_liveness(heartbeats: DataFrame, as_of: str, ttls: dict[str, int] = S.SERVICE_TTLS) -> DataFrame:
     """Q17: a service is active when its newest heartbeat is younger than its TTL."""
     spark = heartbeats.sparkSession
     exp = spark.createDataFrame(list(ttls.items()), "service string, ttl_seconds int")
@@ -233,11 +236,12 @@ def service_liveness(heartbeats: DataFrame, as_of: str, ttls: dict[str, int]) ->
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
     # the expected-service list is configuration-sized: it is the broadcast side
     j = last.join(F.broadcast(exp), "service", "right")
-    return j.select("service", "last_seen",
-                    (F.col("last_seen").isNotNull() & (age < F.col("ttl_seconds"))).alias("active"))
+    return j.select("service", "ttl_seconds", "last_seen",
+                    F.coalesce(age < F.col("ttl_seconds"), F.lit(False)).alias("active"))
 
 
 def liveness_overview(liveness: DataFrame) -> DataFrame:
+    """Q17: services up, of how many, and the overall status."""
     return liveness.agg(F.count_if("active").alias("services_up"),
                         F.count(F.lit(1)).alias("services_total")) \
         .withColumn("status", F.when(F.col("services_up") == F.col("services_total"), "healthy")

@@ -19,15 +19,16 @@ MICROS = 1_000_000
 
 
 def action_requests(alerts: DataFrame, manual: DataFrame | None = None) -> DataFrame:
-    """One request per alert whose action is not alert_only; manual ones union in."""
+    """One request per alert whose action is not alert_only, with the policy and
+    its severity; manual ones, with their reason and duration, union in."""
     auto = alerts.filter(F.col("action") != "alert_only").select(
         F.col("alert_id").alias("request_id"), "ts", "action",
         F.coalesce(F.col("source_ip"), F.lit("")).alias("target"),
-        F.lit("policy").alias("triggered_by"), "alert_id",
-        F.lit(None).cast("long").alias("duration_minutes"))
+        F.lit("policy").alias("triggered_by"), "alert_id", "policy_name", "severity",
+        F.lit(None).cast("string").alias("reason"), F.lit(None).cast("long").alias("duration_minutes"))
     if manual is None:
         return auto
-    return auto.unionByName(manual.select(*auto.columns))
+    return auto.unionByName(manual.select(*[c for c in auto.columns if c in manual.columns]), allowMissingColumns=True)
 
 
 def ip_protected(target: Column, config_ips=S.CONFIG_PROTECTED_IPS) -> Column:

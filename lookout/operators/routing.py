@@ -113,25 +113,37 @@ def verify_signatures(df: DataFrame, secret: str, body: str = "payload", sig: st
     return df.withColumn(out, _hmac_hex(secret)(F.col(body)) == F.col(sig))
 
 
-def delivery_outcomes(attempts: DataFrame, max_attempts: int = S.MAX_DELIVERY_ATTEMPTS) -> DataFrame:
+def delivery_outcomes(attempts: DataFrame, urls: DataFrame | None = None,
+                      max_attempts: int = S.MAX_DELIVERY_ATTEMPTS) -> DataFrame:
     """Per delivery, the first 2xx attempt (delivered) or the last error (failed).
+    With ``urls`` (webhook_name, url; configuration-sized), a delivery to a webhook
+    without a URL is an ``error`` with 0 attempts: nothing is sent.
 
     A grouped partial aggregate (min / max_by / count), so a busy webhook
-    combines map-side."""
+    combines map-side. A ``payload`` column, one per delivery, is kept."""
     a = attempts.filter(F.col("attempt") <= max_attempts)
     ok = (F.col("http_status") >= 200) & (F.col("http_status") < 300)
     err = F.when(F.col("http_status").isNotNull(), F.format_string("HTTP %d", F.col("http_status"))) \
         .otherwise(F.coalesce(F.col("error"), F.lit("Request timed out")))
+    kept = [F.max("payload").alias("payload")] if "payload" in a.columns else []
     g = a.groupBy("delivery_id", "webhook_name").agg(
         F.min(F.when(ok, F.col("attempt"))).alias("first_ok"),
         F.max("attempt").alias("last_attempt"),
         F.max_by(err, F.col("attempt")).alias("last_error"),
-        F.max("ts").alias("ts"))
-    return g.select(
+        F.max("ts").alias("ts"), *kept)
+    d = g.select(
         "delivery_id", "webhook_name",
         F.when(F.col("first_ok").isNotNull(), "delivered").otherwise("failed").alias("status"),
         F.coalesce(F.col("first_ok"), F.col("last_attempt")).cast("int").alias("attempts"),
-        F.when(F.col("first_ok").isNull(), F.col("last_error")).alias("last_error"), "ts")
+        F.when(F.col("first_ok").isNull(), F.col("last_error")).alias("last_error"), "ts",
+        *(["payload"] if kept else []))
+    if urls is None:
+        return d
+    d = d.join(F.broadcast(urls.select("webhook_name", "url")), "webhook_name", "left")
+    none = F.coalesce(F.trim(F.col("url")), F.lit("")) == ""
+    return d.withColumns({"status": F.when(none, "error").otherwise(F.col("status")),
+                          "attempts": F.when(none, 0).otherwise(F.col("attempts")),
+                          "last_error": F.when(none, "No URL configured").otherwise(F.col("last_error"))})
 
 
 def undeliverable(routed: DataFrame) -> DataFrame:
@@ -145,10 +157,13 @@ def undeliverable(routed: DataFrame) -> DataFrame:
 
 def delivery_dead_letters(outcomes: DataFrame, keep: int = S.DEAD_LETTER_KEEP,
                           page: int = S.DEAD_LETTER_PAGE) -> DataFrame:
-    """Failed deliveries, newest first: the first ``page`` of the newest ``keep``."""
+    """Failed deliveries, newest first: the first ``page`` of the newest ``keep``,
+    as entries (webhook, url, payload, error, attempts, time of failure)."""
     failed = outcomes.filter(F.col("status") == "failed")
     newest = failed.orderBy(F.col("ts").desc(), F.col("delivery_id").desc()).limit(keep)
-    return newest.orderBy(F.col("ts").desc(), F.col("delivery_id").desc()).limit(page)
+    first = newest.orderBy(F.col("ts").desc(), F.col("delivery_id").desc()).limit(page)
+    return first.select("delivery_id", "webhook_name", "url", "payload", F.col("last_error").alias("error"), "attempts",
+                        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("failed_at"))
 
 
 def delivery_stats(outcomes: DataFrame) -> DataFrame:

@@ -324,10 +324,36 @@ _VEC_SQL = with_views("logs", "connections", "processes",
 _VEC_COLS = ", ".join(["host", "ts", "window_seconds"] + FEATS)
 
 
-@register("f1_union_telemetry", _VEC_SQL + """
-SELECT stream, type, CAST(count(*) AS BIGINT) AS n FROM tel GROUP BY stream, type""")
+@register("f1_union_telemetry", _VEC_SQL.rstrip() + """,
+ckeys AS (SELECT DISTINCT host, snap, remote_ip, remote_port, local_ip, local_port FROM connections),
+closed AS (
+  SELECT s.host, s.snap, count(*) AS n FROM csnaps s JOIN ckeys p ON p.host = s.host AND p.snap = s.prev_snap
+  WHERE NOT EXISTS (SELECT 1 FROM ckeys c WHERE c.host = s.host AND c.snap = s.snap AND c.remote_ip = p.remote_ip
+    AND c.remote_port = p.remote_port AND c.local_ip = p.local_ip AND c.local_port = p.local_port)
+  GROUP BY s.host, s.snap),
+whole AS (
+  SELECT host, ts, stream, type, source_ip, 1 AS n FROM tel
+  UNION ALL SELECT host, make_timestamp(snap * 21600 * 1000000), 'network', 'connections_closed', 'summary', n FROM closed
+  UNION ALL SELECT host, make_timestamp(snap * 86400 * 1000000), 'processes', 'process_summary', '', count(*) FROM processes
+            GROUP BY host, snap)
+SELECT host, date_trunc('day', ts) AS day, stream, type, CAST(count(*) AS BIGINT) AS events,
+  CAST(count(DISTINCT CASE WHEN stream = 'network' THEN source_ip END) AS BIGINT) AS sources, CAST(sum(n) AS BIGINT) AS n
+FROM whole GROUP BY ALL""")
 def f1_union_telemetry(spark, sf):
-    return telemetry(spark, sf).groupBy("stream", "type").agg(F.count(F.lit(1)).alias("n"))
+    """The whole fan-in, closed connections and process summaries with their counts
+    included, by host, day and type."""
+    none = F.lit(None).cast("string")
+    closed = N.closed_connections(V.connections(spark, sf)).select(
+        "host", F.timestamp_seconds(F.col("snap") * V.SNAP_SECONDS_CONN).cast("timestamp_ntz").alias("ts"),
+        F.lit("connections_closed").alias("type"), F.lit("summary").alias("source_ip"), F.col("closed").alias("n"))
+    summary = PR.process_summary(V.processes(spark, sf)).select(
+        "host", F.timestamp_seconds(F.col("snap") * V.SNAP_SECONDS_PROC).cast("timestamp_ntz").alias("ts"),
+        F.lit("process_summary").alias("type"), none.alias("risk_reason"), F.col("total").alias("n"))
+    whole = FE.union_telemetry(logs(spark, sf), network_events(spark, sf).unionByName(closed, allowMissingColumns=True),
+                               process_events(spark, sf).unionByName(summary, allowMissingColumns=True), extra=("n",))
+    return whole.groupBy("host", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "stream", "type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct(F.when(F.col("stream") == "network", F.col("source_ip"))).alias("sources"),
+        F.sum(F.coalesce("n", F.lit(1))).alias("n"))
 
 
 @register("f2_feature_vectors", _VEC_SQL + f"SELECT {_VEC_COLS} FROM vec")
@@ -552,16 +578,20 @@ def e7_alert_message(spark, sf):
 
 
 # scores_raw features: fixed per-k values (see views.scores_raw)
-@register("e8_top_features", _ALERT_SQL + """
-SELECT alert_id, array_to_string(list_transform(list_sort(list_filter([
+@register("e8_top_features", _ALERT_SQL.rstrip() + """,
+top AS (SELECT alert_id, list_sort(list_filter([
     {'v': -CAST(k % 13 AS DOUBLE), 'k': 'log_total_events'},
     {'v': -CAST(k % 7 AS DOUBLE), 'k': 'log_auth_failures'},
     {'v': -CAST(k % 11 AS DOUBLE), 'k': 'net_new_connections'},
     {'v': -CAST(k % 3 AS DOUBLE), 'k': 'proc_new_spawns'},
-    {'v': -3600.0, 'k': 'window_seconds'}], lambda e: e.v < 0)), lambda e: e.k)[1:5], ',') AS top_features
-FROM alerts""")
+    {'v': -3600.0, 'k': 'window_seconds'}], lambda e: e.v < 0))[1:5] AS t FROM alerts)
+SELECT alert_id, array_to_string(list_transform(t, lambda e: e.k), ',') AS top_features,
+  array_to_string(list_transform(t, lambda e: e.k || '=' || CAST(-e.v AS VARCHAR)), ',') AS contributing_features FROM top""")
 def e8_top_features(spark, sf):
-    return _policy(spark, sf, "alerts").select("alert_id", "top_features")
+    values = F.transform(F.map_entries("contributing_features"),
+                         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return _policy(spark, sf, "alerts").select("alert_id", "top_features",
+                                               F.array_join(values, ",").alias("contributing_features"))
 
 
 @register("e9_alert_counters", _ALERT_SQL + """

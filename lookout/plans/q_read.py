@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
@@ -20,8 +21,9 @@ from ..sources import files as FI
 from ..sources import sinks as SK
 from ..sources import tcp_table as TCP
 from . import views as V
-from .q_detect import _ALERT_SQL, logs
-from .q_respond import _R_SQL, actions, alerts
+from .q_detect import (_ALERT_SQL, _POLICY_SQL, MATCH_SQL, NEWCONN_SQL, PROC_SQL, RISK_SQL, RULES_SQL, TEL_SQL, logs,
+                       network_events, process_events, vectors)
+from .q_respond import _OUT_SQL, _R_SQL, DISP_SQL, actions, alerts, outcomes
 from .registry import register
 from .sqlviews import with_views
 
@@ -60,18 +62,29 @@ def q3_query_actions(spark, sf):
         .select("action_id", "ts", "status")
 
 
-@register("q2_all_alert_pages", _ALERT_SQL + "SELECT alert_id, score_id, severity FROM alerts")
+@register("q2_all_alert_pages", _ALERT_SQL.rstrip() + """,
+paged AS (SELECT *, (row_number() OVER (ORDER BY score_id DESC, alert_id DESC) - 1) // 500 AS page FROM alerts)
+SELECT alert_id, score_id, severity, page, CASE WHEN count(*) OVER (PARTITION BY page) = 500 THEN
+  last_value('{"score_id":' || score_id || ',"alert_id":"' || alert_id || '"}') OVER (
+    PARTITION BY page ORDER BY score_id DESC, alert_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_cursor
+FROM paged""")
 def q2_all_alert_pages(spark, sf):
-    """Paging through all alerts at the largest page size gives each one once."""
-    return Q.all_pages(alerts(spark, sf), lambda d, after, n: Q.query_alerts(d, after=after, limit=n),
-                       500, Q.ALERT_CURSOR).select("alert_id", "score_id", "severity")
+    """Every alert with its page at the largest page size and that page's cursor."""
+    return Q.all_pages(alerts(spark, sf), 500, Q.ALERT_CURSOR).select(
+        "alert_id", "score_id", "severity", "page", "next_cursor")
 
 
-@register("q3_all_action_pages", _R_SQL + "SELECT action_id, status FROM acts")
+@register("q3_all_action_pages", _R_SQL.rstrip() + """,
+paged AS (SELECT *, (row_number() OVER (ORDER BY ts DESC, action_id DESC) - 1) // 500 AS page FROM acts)
+SELECT action_id, status, page, CASE WHEN count(*) OVER (PARTITION BY page) = 500 THEN
+  last_value(action_id) OVER (PARTITION BY page ORDER BY ts DESC, action_id DESC
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_action_id
+FROM paged""")
 def q3_all_action_pages(spark, sf):
-    """Paging through all actions at the largest page size gives each one once."""
-    return Q.all_pages(actions(spark, sf), lambda d, after, n: Q.query_actions(d, after=after, limit=n),
-                       500, Q.ACTION_CURSOR).select("action_id", "status")
+    """Every action with its page at the largest page size and the action that its
+    cursor ends at."""
+    return Q.all_pages(actions(spark, sf), 500, Q.ACTION_CURSOR).select(
+        "action_id", "status", "page", F.get_json_object("next_cursor", "$.action_id").alias("next_action_id"))
 
 
 @register("q4_query_scores", with_views("scores_raw") + """
@@ -168,13 +181,25 @@ def _feed_parts(spark, sf):
 pr AS (SELECT p.*, (p.cpu_percent > 80 OR p.memory_mb > 500 OR EXISTS (
           SELECT 1 FROM (VALUES """ + ", ".join(f"('{p}', '{c}')" for p, kids in S.SUSPICIOUS_CHILDREN.items() for c in kids) + """) cp(parent, child)
           WHERE cp.parent = p.parent_name AND cp.child = p.name)) AS risk_flag FROM processes p)
-SELECT 'scores' AS type, CAST(id AS VARCHAR) AS id, ts FROM scores_raw
-UNION ALL SELECT 'logs', CAST(id AS VARCHAR), ts FROM logs
-UNION ALL SELECT 'alerts', alert_id, ts FROM alerts
+SELECT 'scores' AS type, CAST(id AS VARCHAR) AS id, ts, CAST(CAST(round(score * 10000) AS BIGINT) AS VARCHAR) AS what, """ + RISK_SQL.format(x="score") + """ AS detail FROM scores_raw
+UNION ALL SELECT 'logs', CAST(id AS VARCHAR), ts, type, message FROM logs
+UNION ALL SELECT 'alerts', alert_id, ts, policy_name, NULL FROM alerts
 UNION ALL SELECT 'processes', host || ':' || CAST(snap AS VARCHAR) || ':' || CAST(pid AS VARCHAR),
-  make_timestamp(snap * 86400 * 1000000) FROM pr WHERE risk_flag""")
+  make_timestamp(snap * 86400 * 1000000),
+  CASE WHEN EXISTS (SELECT 1 FROM (VALUES """ + ", ".join(f"('{p}', '{c}')" for p, kids in S.SUSPICIOUS_CHILDREN.items() for c in kids) + """) cp(parent, child)
+                    WHERE cp.parent = parent_name AND cp.child = name) THEN 'Unusual child: ' || parent_name || ' → ' || name
+       WHEN memory_mb > 500 THEN printf('High memory: %.0fMB', round(memory_mb, 0))
+       ELSE printf('High CPU: %.1f%%', round(cpu_percent, 1)) END, NULL FROM pr WHERE risk_flag""")
 def q12_live_feed(spark, sf):
-    return Q.live_feed(_feed_parts(spark, sf)).select("type", "id", "ts")
+    """The feed, with what its JSON says read back from it."""
+    def said(*fields):
+        return F.coalesce(*[F.get_json_object("data", f"$.{f}") for f in fields])
+
+    return Q.live_feed(_feed_parts(spark, sf)).select(
+        F.col("type"), "id", "ts",
+        F.coalesce(F.round(said("score").cast("double") * 10000).cast("long").cast("string"),
+                   said("type", "policy_name", "risk_reason")).alias("what"),
+        said("risk_level", "message").alias("detail"))
 
 
 @register("q13_replay", _ALERT_SQL.rstrip() + """,
@@ -217,18 +242,23 @@ def q16_event_rate(spark, sf):
     return Q.event_rate(V.raw_logs(spark, sf))
 
 
-_TTL = 6 * 3600
-_SERVICES = ["collectors", "ml", "policy_engine", "action_engine", "webhook_service", "api"]
+_BEAT_SCALE = 180  # the driver's events are minutes apart, heartbeats seconds
 
 
 @register("q17_service_liveness", with_views("heartbeats") + f"""
-, expected(service) AS (VALUES {", ".join(f"('{s}')" for s in _SERVICES)})
-SELECT e.service, max(h.ts) AS last_seen,
-  coalesce(max(h.ts) IS NOT NULL AND epoch(TIMESTAMP '{AS_OF}') - epoch(max(h.ts)) < {_TTL}, false) AS active
-FROM expected e LEFT JOIN heartbeats h ON h.service = e.service GROUP BY e.service""")
+, expected(service, ttl) AS (VALUES ('collectors', 20), ('ml', 20), ('policy_engine', 60), ('action_engine', 60),
+                                    ('webhook_service', 60), ('api', 60)),
+live AS (
+  SELECT e.service, CAST(ttl * {_BEAT_SCALE} AS INTEGER) AS ttl_seconds, max(h.ts) AS last_seen,
+    coalesce(epoch(TIMESTAMP '{AS_OF}') - epoch(max(h.ts)) < ttl * {_BEAT_SCALE}, false) AS active
+  FROM expected e LEFT JOIN heartbeats h ON h.service = e.service GROUP BY e.service, ttl)
+SELECT *, count(*) FILTER (active) OVER () AS services_up, count(*) OVER () AS services_total,
+  CASE WHEN bool_and(active) OVER () THEN 'healthy' ELSE 'degraded' END AS status FROM live""")
 def q17_service_liveness(spark, sf):
-    return Q.service_liveness(V.heartbeats(spark, sf), AS_OF, {s: _TTL for s in _SERVICES}) \
-        .select("service", "last_seen", F.coalesce(F.col("active"), F.lit(False)).alias("active"))
+    """Each service by its own TTL, beside the overview (one row)."""
+    live = Q.service_liveness(V.heartbeats(spark, sf), AS_OF, {s: t * _BEAT_SCALE for s, t in S.SERVICE_TTLS.items()})
+    return live.join(F.broadcast(Q.liveness_overview(live).withColumn("__one", F.lit(1))),
+                     F.col("__one") == 1).drop("__one")
 
 
 _COUNTER_SQL = """
@@ -306,20 +336,36 @@ def h2_cpu_percent_per_core(spark, sf):
 _MEM_SQL = """
 , mem AS (
   SELECT host, ts, 16384000 AS mem_total, 16384000 - CAST(floor(value * 20000) AS BIGINT) AS mem_avail,
-         2097152 AS swap_total, 2097152 - k * 1000 AS swap_free FROM base)"""
+         2097152 AS swap_total, 2097152 - k * 1000 AS swap_free, k FROM base)"""
+
+
+# fixed: field -> /proc/meminfo key, beside total, available and swap
+_MEM_FIELDS = {"cached_mb": "Cached", "buffers_mb": "Buffers", "active_mb": "Active", "inactive_mb": "Inactive",
+               "dirty_mb": "Dirty", "writeback_mb": "Writeback", "slab_mb": "Slab", "page_tables_mb": "PageTables",
+               "committed_mb": "Committed_AS", "commit_limit_mb": "CommitLimit", "mapped_mb": "Mapped"}
 
 
 def _mem_rows(spark, sf):
+    """(host, ts, key, kb) as the kernel lists them; no Shmem, every 9th sample without swap."""
     b = V.base(spark, sf)
+    more = ", ".join(f"'{key}', cast({i + 1} * 1500 * k + {i} as bigint)" for i, key in enumerate(_MEM_FIELDS.values()))
     return b.select("host", "ts", F.expr(
-        "stack(4, 'MemTotal', 16384000L, 'MemAvailable', 16384000L - cast(floor(value * 20000) as bigint), "
-        "'SwapTotal', 2097152L, 'SwapFree', 2097152L - k * 1000L) as (key, kb)"))
+        f"stack({4 + len(_MEM_FIELDS)}, 'MemTotal', 16384000L, 'MemAvailable', 16384000L - cast(floor(value * 20000) as bigint), "
+        f"'SwapTotal', if(k % 9 = 0, 0L, 2097152L), 'SwapFree', if(k % 9 = 0, 0L, 2097152L - k * 1000L), {more}) as (key, kb)"))
 
 
 @register("h3_memory_usage", with_views("base") + _MEM_SQL + """
+, kb AS (SELECT * REPLACE (CASE WHEN k % 9 = 0 THEN 0 ELSE swap_total END AS swap_total,
+                           CASE WHEN k % 9 = 0 THEN 0 ELSE swap_free END AS swap_free) FROM mem)
 SELECT host, ts, round(mem_total / 1024, 1) AS total_mb, round((mem_total - mem_avail) / 1024, 1) AS used_mb,
+  round(mem_avail / 1024, 1) AS available_mb,
+  """ + ", ".join(f"round(({i + 1} * 1500 * k + {i}) / 1024, 1) AS {field}" for i, field in enumerate(_MEM_FIELDS)) + """,
+  0.0::DOUBLE AS shared_mb,
   round((mem_total - mem_avail) / mem_total * 100, 1) AS percent,
-  round((swap_total - swap_free) / 1024, 1) AS swap_used_mb FROM mem""")
+  round(swap_total / 1024, 1) AS swap_total_mb, round(swap_free / 1024, 1) AS swap_free_mb,
+  round(round(swap_total / 1024, 1) - round(swap_free / 1024, 1), 1) AS swap_used_mb,
+  CASE WHEN swap_total > 0 THEN round((swap_total - swap_free) / swap_total * 100, 1) ELSE 0.0 END AS swap_percent
+FROM kb""")
 def h3_memory_usage(spark, sf):
     return H.memory_usage(_mem_rows(spark, sf))
 
@@ -497,21 +543,74 @@ def h13_cpu_topology(spark, sf):
 
 # ---------------------------------------------------------------- T
 
-_T_AS_OF = "2024-02-15 00:00:00"
-
-
-@register("t1_retention_cleanup", _R_SQL.rstrip() + """,
-""" + ",\n".join(x for x in [with_views("raw_logs", "scores_raw", "attempts")[len("WITH "):]
-                            .replace("base AS (", "base2 AS (", 1).replace("FROM base)", "FROM base2)")
-                            .replace("scores_raw AS (", "scores_raw2 AS (")]).rstrip() + f"""
-SELECT 'logs' AS "table", count(*) AS rows_deleted FROM raw_logs WHERE ts < TIMESTAMP '{_T_AS_OF}' - INTERVAL 30 DAY
-UNION ALL SELECT 'scores', count(*) FROM scores_raw2 WHERE ts < TIMESTAMP '{_T_AS_OF}' - INTERVAL 30 DAY
-UNION ALL SELECT 'webhook_deliveries', count(*) FROM attempts WHERE ts < TIMESTAMP '{_T_AS_OF}' - INTERVAL 90 DAY
-UNION ALL SELECT 'actions', count(*) FROM acts WHERE ts < TIMESTAMP '{_T_AS_OF}' - INTERVAL 180 DAY""")
+_T_CUT = "2024-01-16 06:30:00"  # each table's as_of is its retention after this
+
+
+def _table_rows(spark, sf) -> dict:
+    """Every table and stream of the system as (key, ts)."""
+    def keyed(df, *key, ts="ts"):
+        return df.select(F.concat_ws(":", *[F.col(k).cast("string") for k in key]).alias("key"), F.col(ts).alias("ts"))
+
+    al, ac = alerts(spark, sf).checkpoint(), actions(spark, sf).checkpoint()
+    out = outcomes(spark, sf)
+    return {
+        "logs": keyed(V.raw_logs(spark, sf), "id"),
+        "network": keyed(network_events(spark, sf), "host", "type", "source_ip", "ts"),
+        "processes": keyed(process_events(spark, sf), "host", "pid", "snap"),
+        "features": keyed(vectors(spark, sf), "host", "ts"),
+        "scores": keyed(V.scores_raw(spark, sf), "id"),
+        "alerts": keyed(al, "alert_id"),
+        "actions": keyed(ac, "action_id"),
+        "audit": keyed(al, "alert_id").unionByName(keyed(ac, "action_id")),
+        "dead_letter": keyed(out.filter("status = 'failed'"), "delivery_id"),
+        "webhook_deliveries": keyed(out, "delivery_id"),
+        "host_metrics": keyed(V.base(spark, sf), "host", "event_id"),
+    }
+
+
+_TABLE_SQL = with_views("raw_logs", "logs", "connections", "processes", "scores_raw", "requests", "attempts", recursive=True, extra=(
+    NEWCONN_SQL.strip() + "," + PROC_SQL.strip() + "," + TEL_SQL.strip() + ",\n" + RULES_SQL + "," + MATCH_SQL.strip()
+    + _ALERT_SQL[len(_POLICY_SQL.rstrip()):].rstrip() + "," + DISP_SQL.strip()
+    + ",\n" + _OUT_SQL[_OUT_SQL.index("urls(webhook_name, url)"):].strip() + """,
+rows_of AS (
+  SELECT 'logs' AS "table", CAST(id AS VARCHAR) AS key, ts FROM raw_logs
+  UNION ALL SELECT 'network', host || ':' || type || ':' || source_ip || ':' || CAST(ts AS VARCHAR), ts FROM tel WHERE stream = 'network'
+  UNION ALL SELECT 'processes', host || ':' || pid || ':' || snap, make_timestamp(snap * 86400 * 1000000) FROM pev WHERE is_new OR risk_flag
+  UNION ALL SELECT 'features', host || ':' || CAST(ts AS VARCHAR), ts FROM vec
+  UNION ALL SELECT 'scores', CAST(id AS VARCHAR), ts FROM scores_raw
+  UNION ALL SELECT 'alerts', alert_id, ts FROM alerts
+  UNION ALL SELECT 'actions', action_id, ts FROM acts
+  UNION ALL SELECT 'audit', alert_id, ts FROM alerts
+  UNION ALL SELECT 'audit', action_id, ts FROM acts
+  UNION ALL SELECT 'dead_letter', CAST(delivery_id AS VARCHAR), ts FROM outcomes WHERE status = 'failed'
+  UNION ALL SELECT 'webhook_deliveries', CAST(delivery_id AS VARCHAR), ts FROM outcomes
+  UNION ALL SELECT 'host_metrics', host || ':' || event_id, ts FROM base)
+"""))
+
+
+@register("t1_retention_cleanup", _TABLE_SQL + f"""
+SELECT CASE "table" WHEN 'audit' THEN 'audit_log' ELSE "table" END AS "table",
+  count(*) FILTER (ts < TIMESTAMP '{_T_CUT}') AS rows_deleted, 0::BIGINT AS rows_deleted_again,
+  count(*) FILTER (ts >= TIMESTAMP '{_T_CUT}') AS rows_kept, min(ts) FILTER (ts >= TIMESTAMP '{_T_CUT}') AS oldest_kept,
+  sum(('0x' || substr(md5(key), 1, 8))::BIGINT) FILTER (ts >= TIMESTAMP '{_T_CUT}')::BIGINT AS kept_keys
+FROM rows_of WHERE "table" IN ('logs', 'scores', 'host_metrics', 'webhook_deliveries', 'audit', 'alerts', 'actions') GROUP BY "table\"""")
 def t1_retention_cleanup(spark, sf):
-    tables = {"logs": V.raw_logs(spark, sf), "scores": V.scores_raw(spark, sf),
-              "webhook_deliveries": V.attempts(spark, sf), "actions": actions(spark, sf)}
-    return T.retention_cleanup(tables, _T_AS_OF)
+    """Retention run twice on tables stored by day; what is left is read back."""
+    rows = _table_rows(spark, sf)
+    rows["audit_log"] = rows["audit"]
+    out = None
+    for name, days in S.RETENTION_DAYS.items():
+        path = _scratch(spark, f"retention-{name}")
+        SK.append_once(rows[name], path, "key")
+        as_of = (dt.datetime.fromisoformat(_T_CUT) + dt.timedelta(days=days)).isoformat(sep=" ")
+        gone, again = T.enforce_retention(spark, path, days, as_of), T.enforce_retention(spark, path, days, as_of)
+        left = spark.read.parquet(path).agg(
+            F.lit(name).alias("table"), F.lit(gone).cast("long").alias("rows_deleted"),
+            F.lit(again).cast("long").alias("rows_deleted_again"),
+            F.count(F.lit(1)).alias("rows_kept"), F.min("ts").alias("oldest_kept"),
+            F.sum(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long")).alias("kept_keys"))
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
 @register("t2_trim_stream", with_views("raw_logs", "scores_raw", "requests") + """
@@ -519,7 +618,7 @@ SELECT 'logs' AS stream, id FROM (SELECT id FROM raw_logs ORDER BY ts DESC, id D
 UNION ALL SELECT 'scores', id FROM (SELECT id FROM scores_raw ORDER BY ts DESC, id DESC LIMIT 10000)
 UNION ALL SELECT 'actions', request_id FROM (SELECT request_id FROM requests ORDER BY ts DESC, request_id DESC LIMIT 5000)""")
 def t2_trim_stream(spark, sf):
-    """Each stream keeps as many of its newest entries as its own cap says."""
+    """The three streams of raw events, each by its own cap."""
     streams = {"logs": V.raw_logs(spark, sf), "scores": V.scores_raw(spark, sf),
                "actions": V.requests(spark, sf).withColumn("id", F.col("request_id"))}
     parts = [T.trim_stream(d, S.STREAM_CAPS[name]).select(F.lit(name).alias("stream"), "id")
@@ -527,6 +626,19 @@ def t2_trim_stream(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register("t2_trim_all_streams", _TABLE_SQL + " UNION ALL ".join(
+    f"""(SELECT "table" AS stream, key FROM rows_of WHERE "table" = '{name}' ORDER BY ts DESC, key DESC LIMIT {cap})"""
+    for name, cap in (("logs", 50000), ("network", 50000), ("processes", 50000), ("features", 10000), ("scores", 10000),
+                      ("alerts", 10000), ("actions", 5000), ("audit", 100000), ("dead_letter", 1000))))
+def t2_trim_all_streams(spark, sf):
+    """Each of the nine streams keeps as many of its newest entries as its own cap says."""
+    rows, out = _table_rows(spark, sf), None
+    for name, cap in S.STREAM_CAPS.items():
+        kept = T.trim_stream(rows[name], cap, tie="key").select(F.lit(name).alias("stream"), "key")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 # ---------------------------------------------------------------- S
 
 @register("s1_read_log_files", with_views("raw_logs") + """

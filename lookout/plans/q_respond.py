@@ -186,17 +186,19 @@ _R_SQL = with_views("requests", "processes", extra=DISP_SQL, recursive=True)
 # ---------------------------------------------------------------- R
 
 @register("r1_action_requests", _ALERT_SQL.rstrip() + """,
-auto AS (SELECT alert_id AS request_id, action, source_ip AS target, 'policy' AS triggered_by
+auto AS (SELECT alert_id AS request_id, ts, action, source_ip AS target, 'policy' AS triggered_by, alert_id,
+                policy_name, severity, NULL AS reason, NULL::BIGINT AS duration_minutes
          FROM alerts WHERE action <> 'alert_only'),
 """ + REQUESTS.strip() + """
 SELECT * FROM auto
 UNION ALL
-SELECT CAST(request_id AS VARCHAR), action, target, triggered_by FROM requests WHERE triggered_by = 'manual'""")
+SELECT CAST(request_id AS VARCHAR), ts, action, target, triggered_by, alert_id, NULL, NULL,
+  'asked for by u' || request_id % 7, duration_minutes FROM requests WHERE triggered_by = 'manual'""")
 def r1_action_requests(spark, sf):
     manual = requests(spark, sf).filter(F.col("triggered_by") == "manual") \
+        .withColumn("reason", F.concat(F.lit("asked for by u"), (F.col("request_id") % 7).cast("string"))) \
         .withColumn("request_id", F.col("request_id").cast("string"))
-    r = R.action_requests(alerts(spark, sf), manual)
-    return r.select("request_id", "action", "target", "triggered_by")
+    return R.action_requests(alerts(spark, sf), manual)
 
 
 @register("r2_ip_protected", with_views("requests", "base") + f""",
@@ -374,34 +376,47 @@ def w6_verify_signatures(spark, sf):
     return W.verify_signatures(p, SECRET).select("alert_id", "webhook_name", "valid")
 
 
+# the url of a webhook is configuration; one has none
+_HOOK_URLS = {"slack": "https://hooks.example.com/slack", "discord": "https://hooks.example.com/discord",
+              "siem": "https://siem.example.com/in", "mail": ""}
 _OUT_SQL = with_views("attempts", extra="""
-outcomes AS (
+urls(webhook_name, url) AS (VALUES ('slack', 'https://hooks.example.com/slack'), ('discord', 'https://hooks.example.com/discord'),
+                                   ('siem', 'https://siem.example.com/in'), ('mail', '')),
+sent AS (
   SELECT delivery_id, webhook_name,
     CASE WHEN min(attempt) FILTER (WHERE http_status BETWEEN 200 AND 299) IS NOT NULL THEN 'delivered' ELSE 'failed' END AS status,
     CAST(coalesce(min(attempt) FILTER (WHERE http_status BETWEEN 200 AND 299), max(attempt)) AS INTEGER) AS attempts,
     CASE WHEN min(attempt) FILTER (WHERE http_status BETWEEN 200 AND 299) IS NULL THEN
       arg_max(CASE WHEN http_status IS NOT NULL THEN 'HTTP ' || CAST(http_status AS VARCHAR)
                    ELSE coalesce(error, 'Request timed out') END, attempt) END AS last_error,
-    max(ts) AS ts
-  FROM attempts WHERE attempt <= 5 GROUP BY delivery_id, webhook_name)""")
+    max(ts) AS ts, '{"delivery":' || delivery_id || '}' AS payload
+  FROM attempts WHERE attempt <= 5 GROUP BY delivery_id, webhook_name),
+outcomes AS (
+  SELECT delivery_id, webhook_name, url, payload, ts,
+    CASE WHEN url = '' THEN 'error' ELSE status END AS status,
+    CASE WHEN url = '' THEN 0 ELSE attempts END AS attempts,
+    CASE WHEN url = '' THEN 'No URL configured' ELSE last_error END AS last_error
+  FROM sent JOIN urls USING (webhook_name))""")
 
 
 def outcomes(spark, sf):
-    return W.delivery_outcomes(V.attempts(spark, sf))
+    a = V.attempts(spark, sf).withColumn("payload", F.to_json(F.struct(F.col("delivery_id").alias("delivery"))))
+    urls = spark.createDataFrame(list(_HOOK_URLS.items()), "webhook_name string, url string")
+    return W.delivery_outcomes(a, urls)
 
 
-@register("w7_delivery_outcomes", _OUT_SQL + "SELECT delivery_id, webhook_name, status, attempts, last_error FROM outcomes")
+@register("w7_delivery_outcomes", _OUT_SQL + "SELECT delivery_id, webhook_name, url, status, attempts, last_error FROM outcomes")
 def w7_delivery_outcomes(spark, sf):
-    return outcomes(spark, sf).select("delivery_id", "webhook_name", "status", "attempts", "last_error")
+    return outcomes(spark, sf).select("delivery_id", "webhook_name", "url", "status", "attempts", "last_error")
 
 
 @register("w8_delivery_dead_letters", _OUT_SQL + """
-SELECT delivery_id, webhook_name, last_error, ts FROM (
+SELECT delivery_id, webhook_name, url, payload, last_error AS error, attempts,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS failed_at FROM (
   SELECT * FROM outcomes WHERE status = 'failed' ORDER BY ts DESC, delivery_id DESC LIMIT 1000)
 ORDER BY ts DESC, delivery_id DESC LIMIT 50""")
 def w8_delivery_dead_letters(spark, sf):
-    return W.delivery_dead_letters(outcomes(spark, sf)).select("delivery_id", "webhook_name",
-                                                               "last_error", "ts")
+    return W.delivery_dead_letters(outcomes(spark, sf))
 
 
 @register("w9_delivery_stats", _OUT_SQL + """

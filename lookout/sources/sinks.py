@@ -18,16 +18,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
 
-def append_once(df: DataFrame, path: str, key: str, ts: str = "ts") -> None:
+def append_once(df: DataFrame, path: str, key: str, ts: str = "ts", timed: str | None = None) -> None:
     """Append rows whose ``key`` is not in the table yet (first copy wins). A key
     belongs to one time, so only the partitions of the new rows' days are read;
-    the list of these days is all that is broadcast."""
+    the list of these days is all that is broadcast. ``timed``: a column (not
+    written) that tells rows with a time of their own from those whose ``ts``
+    was filled in and may be another one on replay; the latter have one day."""
     spark = df.sparkSession
-    day = F.coalesce(F.to_date(ts), F.lit(NO_DAY).cast("date"))
-    new = df.dropDuplicates([key]).withColumn("day", day)
+    own = F.when(F.col(timed), F.to_date(ts)) if timed else F.to_date(ts)
+    df = df.withColumn("day", F.coalesce(own, F.lit(NO_DAY).cast("date")))
+    new = df.dropDuplicates([key]).drop(*([timed] if timed else []))
     if _exists(spark, path):
         old = spark.read.parquet(path).select(key, "day").join(
-            F.broadcast(df.select(day.alias("day")).distinct()), "day", "left_semi")
+            F.broadcast(df.select("day").distinct()), "day", "left_semi")
         new = new.join(old.select(key), key, "left_anti")
     new.write.mode("append").partitionBy("day").parquet(path)
 
@@ -39,10 +42,9 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
 
 def prepare_logs(logs: DataFrame, as_of: str) -> DataFrame:
     """ISO time parse falling back to ``as_of``; field defaults."""
-    ts = F.coalesce(F.try_to_timestamp(F.col("timestamp").cast("string")).cast("timestamp_ntz"),
-                    F.lit(as_of).cast("timestamp_ntz"))
+    own = F.try_to_timestamp(F.col("timestamp").cast("string")).cast("timestamp_ntz")
     return logs.select(
-        ts.alias("ts"),
+        F.coalesce(own, F.lit(as_of).cast("timestamp_ntz")).alias("ts"), own.isNotNull().alias("timed"),
         F.coalesce(F.col("source"), F.lit("unknown")).alias("source"),
         F.coalesce(F.col("level"), F.lit("info")).alias("level"),
         F.coalesce(F.col("type"), F.lit("unknown")).alias("log_type"),
@@ -51,7 +53,7 @@ def prepare_logs(logs: DataFrame, as_of: str) -> DataFrame:
 
 
 def append_logs(logs: DataFrame, path: str, as_of: str) -> None:
-    append_once(prepare_logs(logs, as_of), path, "id")
+    append_once(prepare_logs(logs, as_of), path, "id", timed="timed")
 
 
 def audit_rows(alerts: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:

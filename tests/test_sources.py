@@ -81,3 +81,56 @@ def test_decode_flat_entries(spark):
     r = d.select(F.variant_get("x", "$.a", "int").alias("a"), F.variant_get("y", "$", "string").alias("y"),
                  F.variant_get("z", "$", "int").alias("z"), F.col("w").isNull().alias("w_null")).first()
     assert (r["a"], r["y"], r["z"], r["w_null"]) == (1, "hello", 5, True)
+
+
+def _day_table(spark, path):
+    from lookout.sources.sinks import append_once
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"k{i}", t0 + dt.timedelta(hours=5 * i)) for i in range(60)] + [("none", None), ("stamped", dt.datetime(2024, 1, 9))]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz").withColumn("timed", F.col("key") != "stamped")
+    append_once(df, path, "key", timed="timed")
+    return dict(rows)
+
+
+def _left(spark, path):
+    return {r["key"] for r in spark.read.parquet(path).collect()}
+
+
+def test_retention_of_a_day_table(spark, tmp_path):
+    from lookout.operators.retention import enforce_retention
+    path = str(tmp_path / "t")
+    rows = _day_table(spark, path)
+    cut = dt.datetime(2024, 1, 5, 7)
+    kept = {k for k, t in rows.items() if t is not None and t >= cut}
+    assert enforce_retention(spark, path, 30, "2024-02-04 07:00:00") == len(rows) - len(kept)
+    assert _left(spark, path) == kept
+    assert enforce_retention(spark, path, 30, "2024-02-04 07:00:00") == 0 and _left(spark, path) == kept
+    assert enforce_retention(spark, path, 30, "2024-02-05 07:00:00") == 5
+    assert enforce_retention(spark, str(tmp_path / "absent"), 30, "2024-02-05 07:00:00") == 0
+
+
+def test_retention_goes_on_where_a_run_broke_off(spark, tmp_path):
+    """The old day is deleted, the new one not yet in its place."""
+    import shutil
+    from lookout.operators.retention import enforce_retention
+    path, cut = tmp_path / "t", dt.datetime(2024, 1, 5, 7)
+    rows = _day_table(spark, str(path))
+    enforce_retention(spark, str(path), 30, "2024-02-04 07:00:00")
+    name = cut.strftime("%Y%m%dT%H%M%S%f")
+    (path / "_retention" / name).unlink()
+    shutil.move(path / "day=2024-01-05", path / "_retention" / f"{name}-2024-01-05")
+    enforce_retention(spark, str(path), 30, "2024-02-04 07:00:00")
+    assert _left(spark, str(path)) == {k for k, t in rows.items() if t is not None and t >= cut}
+
+
+def test_logs_without_a_time_are_added_once_whenever_they_are_replayed(spark, tmp_path):
+    from lookout.sources.sinks import append_logs
+    path = str(tmp_path / "logs")
+    logs = spark.createDataFrame([(1, None, "a"), (2, "not a time", "b"), (3, "2024-01-03T10:00:00Z", "c")],
+                                 "id long, timestamp string, message string")
+    for c in ("source", "level", "type", "source_ip", "user"):
+        logs = logs.withColumn(c, F.lit(None).cast("string"))
+    append_logs(logs, path, "2024-01-30 23:59:00")
+    append_logs(logs, path, "2024-02-02 08:00:00")
+    got = spark.read.parquet(path)
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 3] and "timed" not in got.columns
