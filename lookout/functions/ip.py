@@ -50,6 +50,22 @@ def ipv4_to_long(c: Column) -> Column:
     return F.when(is_ipv4(c), n)
 
 
+def address_hex(c: Column) -> Column:
+    """An address as hex digits: 8 for IPv4, 32 for IPv6; NULL for anything else."""
+    return F.coalesce(F.lower(F.lpad(F.hex(ipv4_to_long(c)), 8, "0")), ipv6_hex(c))
+
+
+def prefix_key(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of ``address_hex`` text, as a key that tells families
+    and lengths apart."""
+    whole = F.floor(bits / 4).cast("int")
+    rest = (bits % 4).cast("int")
+    nibble = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.when(rest > 0, F.call_function("shiftright", nibble, 4 - rest))
+    return F.concat_ws("/", F.length(digits).cast("string"), bits.cast("string"),
+                       F.substring(digits, F.lit(1), whole), part.cast("string"))
+
+
 def cidr_bounds(cidr: str) -> tuple[int, int] | None:
     """IPv4 CIDR -> (lo, hi) as integers; None for IPv6 networks."""
     net, _, bits = cidr.partition("/")

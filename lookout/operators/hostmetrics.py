@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ip import ipv4_to_long
+from ..functions.ip import address_hex, prefix_key
 from ..functions.ordered import lag_values
 
 CPU_FIELDS = ("user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal")
@@ -142,17 +142,25 @@ def active_connections(conns: DataFrame) -> DataFrame:
 
 
 def ip_to_interface(local_ips: DataFrame, routes: DataFrame) -> DataFrame:
-    """H9: first interface (by route order) whose network contains the IP;
-    default routes and 127/8 are skipped. Routes are per host and few, so the
-    join is an equi-join on host with a range condition."""
-    r = routes.filter((F.col("mask_bits") > 0) & ~F.col("network").startswith("127.")) \
-        .withColumn("__net", ipv4_to_long(F.col("network"))) \
-        .withColumn("__size", F.expr("shiftleft(1L, 32 - mask_bits)"))
-    ips = local_ips.withColumn("__ip", ipv4_to_long(F.col("ip")))
-    j = ips.join(r.select("host", "interface", "route_order", "__net", "__size"), "host") \
-        .filter((F.col("__ip") >= F.col("__net")) & (F.col("__ip") < F.col("__net") + F.col("__size")))
-    g = j.groupBy("host", "ip").agg(F.min_by("interface", "route_order").alias("interface"))
-    return g
+    """H9: first interface (by route order) whose network contains the IP, IPv4 or
+    IPv6; default routes and loopback networks are skipped.
+
+    A prefix join: an address is expanded to its prefixes of the lengths that
+    routes have (at most 32 + 128; these come to the driver) and meets the routes
+    by (host, prefix), so the addresses of one host needn't meet in one task."""
+    digits = address_hex(F.col("network"))
+    r = routes.select("host", "interface", "route_order", F.col("mask_bits").cast("int").alias("__bits"),
+                      digits.alias("__net"), F.length(digits).alias("__family"))
+    loopback = (F.substring("__net", 1, 2) == "7f") & (F.col("__family") == 8) | (F.col("__net") == "0" * 31 + "1")
+    r = r.filter((F.col("__bits") > 0) & ~loopback)
+    lengths = [tuple(x) for x in r.select("__family", "__bits").distinct().collect() if x[0]]
+    ips = local_ips.select("host", "ip", address_hex(F.col("ip")).alias("__hex"))
+    used = F.filter(F.lit([f"{f}/{b}" for f, b in lengths]).cast("array<string>"),
+                    lambda x: F.split_part(x, F.lit("/"), F.lit(1)) == F.length("__hex").cast("string"))
+    ips = ips.withColumn("__bits", F.explode(F.transform(used, lambda x: F.split_part(x, F.lit("/"), F.lit(2)).cast("int"))))
+    ips = ips.withColumn("__key", prefix_key(F.col("__hex"), F.col("__bits")))
+    r = r.withColumn("__key", prefix_key(F.col("__net"), F.col("__bits"))).select("host", "__key", "interface", "route_order")
+    return ips.join(r, ["host", "__key"]).groupBy("host", "ip").agg(F.min_by("interface", "route_order").alias("interface"))
 
 
 def container_usage(stats: DataFrame) -> DataFrame:

@@ -454,9 +454,13 @@ _ROUTES = {"click": ("10.0.0.0", 24, "eth0", 1), "view": ("203.0.113.0", 25, "wl
            "error": ("127.0.0.0", 8, "lo", 5)}
 
 
+# IPv6 routes beside them, one not on a digit's edge
+_ROUTES6 = {"click": ("2001:db8::", 32, "wg1", 7), "view": ("2001:db8:0:4::", 62, "eth2", 6), "error": ("::1", 128, "lo", 8)}
+
+
 def _routes(spark, sf):
     b = V.base(spark, sf).select("host", "event_type").distinct()
-    rows = [(k, *v) for k, v in _ROUTES.items()]
+    rows = [(k, *v) for routes in (_ROUTES, _ROUTES6) for k, v in routes.items()]
     spec = spark.createDataFrame(rows, "event_type string, network string, mask_bits int, interface string, route_order int")
     return b.join(F.broadcast(spec), "event_type").drop("event_type")
 
@@ -471,11 +475,18 @@ num AS (SELECT *, CAST(string_split(ip, '.')[1] AS BIGINT) * 16777216 + CAST(str
                 + CAST(string_split(ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(ip, '.')[4] AS BIGINT) AS n FROM ips),
 rnum AS (SELECT *, CAST(string_split(network, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(network, '.')[2] AS BIGINT) * 65536
                 + CAST(string_split(network, '.')[3] AS BIGINT) * 256 + CAST(string_split(network, '.')[4] AS BIGINT) AS net FROM hr)
+SELECT DISTINCT host, '2001:DB8::' || to_hex(k % 16) || ':0:0:0:' || to_hex(user_id % 200 + 1) AS ip,
+  CASE WHEN k % 16 BETWEEN 4 AND 7 AND v THEN 'eth2' ELSE 'wg1' END AS interface
+FROM (SELECT *, bool_or(event_type = 'click') OVER (PARTITION BY host) AS c, bool_or(event_type = 'view') OVER (PARTITION BY host) AS v
+      FROM base) WHERE c OR (v AND k % 16 BETWEEN 4 AND 7)
+UNION ALL
 SELECT n.host, n.ip, arg_min(r.interface, r.route_order) AS interface
 FROM num n JOIN rnum r ON r.host = n.host AND n.n >= r.net AND n.n < r.net + (1::BIGINT << (32 - r.mask_bits))
 GROUP BY n.host, n.ip""")
 def h9_ip_to_interface(spark, sf):
-    ips = V.base(spark, sf).select("host", "ip").distinct()
+    b = V.base(spark, sf)
+    six = F.concat(F.lit("2001:DB8::"), F.hex(F.col("k") % 16), F.lit(":0:0:0:"), F.hex(F.col("user_id") % 200 + 1))
+    ips = b.select("host", F.explode(F.array("ip", six)).alias("ip")).distinct()
     return H.ip_to_interface(ips, _routes(spark, sf))
 
 
@@ -657,17 +668,47 @@ def s1_read_log_files(spark, sf):
 
 
 @register("s3_decode_envelope", with_views("envelope") + """
-SELECT id, CASE WHEN json_valid(data) THEN TRY_CAST(json_extract_string(data, '$.k') AS BIGINT) END AS k FROM envelope""")
+SELECT id, CASE WHEN json_valid(data) THEN TRY_CAST(json_extract_string(data, '$.k') AS BIGINT) END AS k,
+  'env' AS form, NULL AS word, NULL::BIGINT AS list_size FROM envelope
+UNION ALL SELECT id, CASE WHEN json_valid(data) THEN TRY_CAST(json_extract_string(data, '$.k') AS BIGINT) END, 'flat',
+  CASE WHEN id % 3 = 0 THEN 'plain ' || id % 7 ELSE 'quoted ' || id % 7 END, CASE WHEN id % 4 > 0 THEN id % 4 END FROM envelope""")
 def s3_decode_envelope(spark, sf):
-    return EN.decode_envelope(V.envelope(spark, sf), S.ENVELOPE_DATA).select("id", "k")
+    """Both forms: one JSON document per entry, and fields that each hold JSON or text."""
+    env = V.envelope(spark, sf)
+    whole = EN.decode_envelope(env, S.ENVELOPE_DATA).select(
+        "id", "k", F.lit("env").alias("form"), F.lit(None).cast("string").alias("word"),
+        F.lit(None).cast("long").alias("list_size"))
+    n = F.col("id") % 7
+    flat = EN.decode_flat(env.select(
+        "id", "data", F.when(F.col("id") % 3 == 0, F.concat(F.lit("plain "), n.cast("string")))
+        .otherwise(F.concat(F.lit('"quoted '), n.cast("string"), F.lit('"'))).alias("word"),
+        F.to_json(F.sequence(F.lit(1), (F.col("id") % 4).cast("int"), F.lit(1))).alias("list"))
+        .withColumn("list", F.when(F.col("id") % 4 > 0, F.col("list"))), ["data", "word", "list"])
+    return whole.unionByName(flat.select(
+        "id", F.try_variant_get("data", "$.k", "bigint").alias("k"), F.lit("flat").alias("form"),
+        F.try_variant_get("word", "$", "string").alias("word"),
+        F.size(F.try_variant_get("list", "$", "array<bigint>")).cast("long").alias("list_size")))
 
 
 @register("s4_split_dead_letters", with_views("envelope") + """
 SELECT 'ml' AS source, CAST(id AS VARCHAR) AS msg_id, 'json_decode_error' AS reason, substr(data, 1, 500) AS data
-FROM envelope WHERE NOT json_valid(data)""")
+FROM envelope WHERE NOT json_valid(data)
+UNION ALL
+SELECT 'actions', CAST(id AS VARCHAR), 'ValueError: no budget for k = ' || json_extract_string(data, '$.k'), NULL
+FROM envelope WHERE json_valid(data) AND TRY_CAST(json_extract_string(data, '$.k') AS BIGINT) % 10 = 0""")
 def s4_split_dead_letters(spark, sf):
-    _, dead = EN.split_dead_letters(V.envelope(spark, sf), "ml")
-    return dead.select("source", "msg_id", "reason", "data")
+    """Entries that don't parse, and entries whose handling fails row by row."""
+    good, dead = EN.split_dead_letters(V.envelope(spark, sf), "ml")
+
+    def budget(k: str) -> int:
+        if int(k) % 10 == 0:
+            raise ValueError(f"no budget for k = {k}")
+        return 100 // int(k)
+
+    _, failed = EN.handled(EN.decode_envelope(good, S.ENVELOPE_DATA), budget, [F.col("k").cast("string")], "long")
+    errors = EN.processing_dead_letters(failed, "actions").withColumn("data", F.lit(None).cast("string"))
+    cols = ["source", "msg_id", "reason", "data"]
+    return dead.select(*cols).unionByName(errors.select(*cols))
 
 
 @register("s5_parse_connection_snapshot", with_views("connections") + """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,24 @@ def split_dead_letters(df: DataFrame, source: str, data: str = "data", id_col: s
     return good, dead
 
 
+def handled(df: DataFrame, handler: Callable, args: list[Column], returns: str) -> tuple[DataFrame, DataFrame]:
+    """(done, failed). ``handler`` is called with ``args`` of each row; ``done``
+    has its ``value``, ``failed`` the ``error`` that it raised. One row's error
+    stops neither the others nor the job; rows are handled in Arrow batches."""
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(*columns):
+            try:
+                out.append((handler(*row), None))
+            except Exception as exc:  # noqa: BLE001 - whatever the handler raises is the row's error
+                out.append((None, f"{type(exc).__name__}: {exc}"))
+        return pd.DataFrame(out, columns=["value", "error"])
+
+    d = df.withColumn("__h", F.pandas_udf(run, f"value {returns}, error string")(*args))
+    failed = F.col("__h.error").isNotNull()
+    return (d.filter(~failed).select(*df.columns, "__h.value"), d.filter(failed).select(*df.columns, "__h.error"))
+
+
 def processing_dead_letters(failed: DataFrame, source: str, reason: str = "error",
                             id_col: str = "id", ts: str = "ts") -> DataFrame:
     """S4, processing-error variant: rows whose handling failed (``reason``

@@ -99,3 +99,30 @@ def test_undeliverable_without_url(spark):
                                "alert_id string, webhook_name string, webhook_url string")
     got = [tuple(r) for r in W.undeliverable(df).collect()]
     assert got == [("a1", "hook", "error", 0, "No URL configured")]
+
+
+def test_ip_to_interface_of_both_families(spark):
+    import ipaddress
+    import random
+    from lookout.operators import hostmetrics as H
+    rng = random.Random(2)
+    routes = [("h", "10.0.0.0", 8, "a", 5), ("h", "10.1.0.0", 15, "b", 2), ("h", "10.1.2.0", 25, "c", 1), ("h", "0.0.0.0", 0, "d", 0),
+              ("h", "127.0.0.0", 8, "lo", 0), ("h", "2001:db8::", 33, "e", 3), ("h", "2001:db8:8000::", 35, "f", 4),
+              ("h", "::1", 128, "lo", 0), ("g", "10.0.0.0", 9, "x", 1)]
+    ips = ["10.1.2.3", "10.1.2.200", "10.200.0.1", "127.0.0.1", "::1", "8.8.8.8", "2001:DB8::7", "2001:db8:9fff::1",
+           "2001:db8:a000::", "not an address", "::ffff:10.1.2.3"]
+    ips += [f"10.{rng.randrange(4)}.{rng.randrange(4)}.{rng.randrange(256)}" for _ in range(60)]
+    rows = [(h, ip) for h in ("h", "g") for ip in sorted(set(ips))]
+    expected = {}
+    for h, ip in rows:
+        try:
+            address = ipaddress.ip_address(ip)
+        except ValueError:
+            continue
+        found = [(order, name) for host, net, bits, name, order in routes if host == h and bits and name != "lo"
+                 and address in ipaddress.ip_network(f"{net}/{bits}", strict=False)]
+        if found:
+            expected[h, ip] = min(found)[1]
+    got = H.ip_to_interface(spark.createDataFrame(rows, "host string, ip string"), spark.createDataFrame(
+        routes, "host string, network string, mask_bits int, interface string, route_order int"))
+    assert {(r["host"], r["ip"]): r["interface"] for r in got.collect()} == expected

@@ -134,3 +134,12 @@ def test_logs_without_a_time_are_added_once_whenever_they_are_replayed(spark, tm
     append_logs(logs, path, "2024-02-02 08:00:00")
     got = spark.read.parquet(path)
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 3] and "timed" not in got.columns
+
+
+def test_handler_errors_are_kept_row_by_row(spark):
+    df = spark.createDataFrame([(1, "4"), (2, "0"), (3, None), (4, "x")], "id long, n string") \
+        .withColumn("ts", F.lit(dt.datetime(2024, 1, 1)))
+    done, failed = EN.handled(df, lambda n: 8 // int(n), [F.col("n")], "long")
+    assert [(r["id"], r["value"]) for r in done.collect()] == [(1, 2)]
+    errors = {r["msg_id"]: r["reason"] for r in EN.processing_dead_letters(failed, "actions").collect()}
+    assert set(errors) == {"2", "3", "4"} and errors["2"].startswith("ZeroDivisionError")
