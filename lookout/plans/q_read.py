@@ -652,8 +652,18 @@ def t2_trim_all_streams(spark, sf):
 
 # ---------------------------------------------------------------- S
 
-@register("s1_read_log_files", with_views("raw_logs") + """
-SELECT source, CAST(count(*) AS BIGINT) AS lines FROM raw_logs WHERE length(trim(line)) > 0 GROUP BY source""")
+_LINES_SQL = with_views("raw_logs") + """
+SELECT source, CAST(count(*) AS BIGINT) AS lines, sum(('0x' || substr(md5(trim(line)), 1, 8))::BIGINT)::BIGINT AS text
+FROM raw_logs WHERE length(trim(line)) > 0 AND source IN ('auth.log', 'syslog', 'kern.log', 'access.log') GROUP BY source"""
+
+
+def _lines(rows):
+    """Per log the number of lines and a checksum of their text."""
+    digits = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum(digits).alias("text"))
+
+
+@register("s1_read_log_files", _LINES_SQL)
 def s1_read_log_files(spark, sf):
     """raw_logs written as text files per log name under a shared folder, then read back."""
     root = _scratch(spark, "hostlogs")
@@ -663,8 +673,7 @@ def s1_read_log_files(spark, sf):
     for src, rel in layout.items():
         rl.filter(F.col("source") == src).select(F.col("line").alias("value")) \
             .write.mode("overwrite").text(os.path.join(root, rel))
-    got = FI.read_log_files(spark, root)
-    return got.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
+    return _lines(FI.read_log_files(spark, root))
 
 
 @register("s3_decode_envelope", with_views("envelope") + """
@@ -781,23 +790,28 @@ def p15_metric_bands(spark, sf):
     return Q.metric_bands(m).select("host", "ts", "metric", F.round("value", 4).alias("value"), "status")
 
 
-@register("s2_stream_log_files", with_views("raw_logs") + """
-SELECT source, CAST(count(*) AS BIGINT) AS lines FROM raw_logs WHERE length(trim(line)) > 0 GROUP BY source""")
+@register("s2_stream_log_files", _LINES_SQL)
 def s2_stream_log_files(spark, sf):
-    """raw_logs written as rotated text segments (one folder per log), tailed by a
-    file stream to completion; line counts per log."""
+    """raw_logs tailed over a rotation: each log's older lines are a first segment,
+    read to its end; the query stops, a second segment comes, and the query goes
+    on from its checkpoint."""
     from ..streaming import jobs as Z
     root = _scratch(spark, "taillogs")
     rl = V.raw_logs(spark, sf)
-    for src in ("auth.log", "syslog", "kern.log", "access.log"):
-        part = rl.filter(F.col("source") == src).select("ts", F.col("line").alias("value"))
-        bounds = part.agg(F.min("ts"), F.max("ts")).first()
-        if bounds[0] is None:
-            continue
-        mid = bounds[0] + (bounds[1] - bounds[0]) / 2
-        for seg, cond in enumerate((F.col("ts") < F.lit(mid), F.col("ts") >= F.lit(mid))):
-            part.filter(cond).select("value").write.mode("append") \
-                .text(os.path.join(root, src))
+    middle = rl.agg((F.unix_micros(F.min("ts").cast("timestamp")) / 2
+                     + F.unix_micros(F.max("ts").cast("timestamp")) / 2).alias("m")).first()[0] or 0
+    late = F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(middle)
+    logs_of = ("auth.log", "syslog", "kern.log", "access.log")
+    for src in logs_of:
+        rl.limit(0).select(F.col("line").alias("value")).write.text(os.path.join(root, src))
+
+    class Rotation:
+        def through(self, start):
+            for segment in (~late, late):
+                for src in logs_of:
+                    rl.filter((F.col("source") == src) & segment).select(F.col("line").alias("value")) \
+                        .write.mode("append").text(os.path.join(root, src))
+                start().awaitTermination()
+
     s = FI.stream_log_files(spark, root, max_files_per_trigger=2, source_from_parent=True)
-    out = Z.run_to_table(s, spark, "s2")
-    return out.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
+    return _lines(Z.run_to_table(s, spark, "s2", replay=Rotation()))

@@ -143,3 +143,27 @@ def test_handler_errors_are_kept_row_by_row(spark):
     assert [(r["id"], r["value"]) for r in done.collect()] == [(1, 2)]
     errors = {r["msg_id"]: r["reason"] for r in EN.processing_dead_letters(failed, "actions").collect()}
     assert set(errors) == {"2", "3", "4"} and errors["2"].startswith("ZeroDivisionError")
+
+
+def test_tail_goes_on_after_a_rotation(spark, tmp_path):
+    """The query stops, a log is rotated (its lines go on in a new segment, the old
+    one is deleted), the query restarts from its checkpoint: each line once."""
+    from lookout.streaming import jobs as Z
+    folder = tmp_path / "a.log"
+    folder.mkdir()
+    (folder / "1").write_text("one\ntwo\n")
+
+    class Rotation:
+        def through(self, start):
+            start().awaitTermination()
+            (folder / "1").unlink()
+            (folder / "2").write_text("three\n\n four \n")
+            (tmp_path / "b.log").mkdir()
+            (tmp_path / "b.log" / "1").write_text("five\n")
+            start().awaitTermination()
+            start().awaitTermination()  # nothing new
+
+    tail = FI.stream_log_files(spark, str(tmp_path), source_from_parent=True)
+    out = Z.run_to_table(tail, spark, "t-tail", replay=Rotation())
+    got = sorted((r["source"], r["line"]) for r in out.collect())
+    assert got == [("a.log", "four"), ("a.log", "one"), ("a.log", "three"), ("a.log", "two"), ("b.log", "five")]
