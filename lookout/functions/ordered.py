@@ -151,14 +151,16 @@ def exact_quantile(df: DataFrame, col: str, share: float) -> float | None:
     over even range partitions then tell which values have the two ranks."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n")) \
         .withColumn("__all", F.lit(0))
-    ranked = prefix_sums(counts, ["__all"], [col], {"__upto": F.col("__n")}).checkpoint()
-    total = ranked.agg(F.max("__upto")).first()[0]
+    parts = ordered_parts(counts, ["__all"], [col])
+    total = parts.agg(F.sum("__n")).first()[0]
     if not total:
         return None
     at = share * (total - 1)
     low = int(at)
-    values = [ranked.filter(F.col("__upto") > k).agg(F.min(col)).first()[0] for k in (low, min(low + 1, total - 1))]
-    return values[0] + (values[1] - values[0]) * (at - low)
+    ranked = prefix_sums(parts, ["__all"], [col], {"__upto": F.col("__n")})
+    below, above = ranked.agg(*[F.min(F.when(F.col("__upto") > k, F.col(col)))
+                                for k in (low, min(low + 1, total - 1))]).first()
+    return below + (above - below) * (at - low)
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -21,13 +21,13 @@ from . import q_detect as QD
 def scored_vectors(spark: SparkSession, sf: str, with_forest: bool = True) -> DataFrame:
     # QD.vectors is checkpointed: baseline, scaler, forest and scoring all reread it
     vec = QD.vectors(spark, sf).withColumn("id", F.xxhash64("host", "ts"))
-    base = SC.fit_baseline(vec)
+    base = SC.fit_baseline(vec).checkpoint()
     if_scores = None
     version = "unknown"
     if with_forest:
         z = SC.standardize(vec, base)
         zx = z.select("id", "host", "ts",
-                      IF.feature_array([f"z_{f}" for f in S.FEATURE_NAMES]).alias("x"))
+                      IF.feature_array([f"z_{f}" for f in S.FEATURE_NAMES]).alias("x")).checkpoint()
         model = IF.fit_model(zx)
         if_scores = model.isolation_score(zx).select("host", "ts", "isolation_forest_score")
         version = model.meta.get("model_version", "unknown")

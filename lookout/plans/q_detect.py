@@ -412,8 +412,8 @@ def _scored_with_forest(spark, sf):
     """``_scored`` with a forest fitted on the vectors themselves."""
     from ..operators import iforest as IF
     v = vectors(spark, sf)
-    base = SC.fit_baseline(v)
-    zx = _standardized(v, base)
+    base = SC.fit_baseline(v).checkpoint()  # both are read several times
+    zx = _standardized(v, base).checkpoint()
     model = IF.fit_model(zx)
     return SC.score_vectors(v, base, model.isolation_score(zx).select("host", "ts", "isolation_forest_score"),
                             model.meta["model_version"])
@@ -616,7 +616,7 @@ def _standardized(v: DataFrame, base: DataFrame) -> DataFrame:
 
 def _forest_input(spark, sf):
     v = vectors(spark, sf)
-    return _standardized(v, SC.fit_baseline(v))
+    return _standardized(v, SC.fit_baseline(v)).checkpoint()
 
 
 @register("m3_fit_isolation_forest", _VEC_FOREST_SQL + """
