@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lookout.llm.tables import Tables
+
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     """(a, b, m): for each directed edge, the least node among a and a's neighbours."""
@@ -12,14 +14,15 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(least, edges.a == least.u).select("a", "b", "m")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): ``root`` is the least node
     of the component.
 
     Each round joins larger neighbours to the least one, then smaller ones, until
     the edges form stars; rounds grow with the logarithm of the nodes. A node's
     neighbours are reduced to their least before the shuffle and never meet in
-    one task; the result of each round is written to the shared checkpoint folder."""
+    one task; the result of each round is written to ``tables`` in place of the one
+    before. The result reads the last one, until the next call with ``tables``."""
     stars = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     seen = None
     while True:
@@ -27,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = (_least_neighbour(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .filter("a != b").distinct())
         small = _least_neighbour(large)  # here b < a in every row
-        stars = (small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(small.select("a", F.col("m").alias("b")))
-                 .filter("a != b").distinct()).checkpoint()
+        stars = tables.put("stars", small.select(F.col("b").alias("a"), F.col("m").alias("b"))
+                           .unionByName(small.select("a", F.col("m").alias("b")))
+                           .filter("a != b").distinct())
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -7,6 +7,7 @@ an alignment within a band decides.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from lookout.llm.common import WORD_RE, fingerprint, packed, powers, prepared
 from lookout.llm.components import components
+from lookout.llm.tables import Tables
 
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
+_BLOCK = 1 << 16  # shingles that are ranked at once
 
 @dataclass(frozen=True)
 class Settings:
@@ -91,21 +94,33 @@ def _sketch(hashed: np.ndarray, s: Settings) -> np.ndarray | None:
         nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
         shingles = shingles + nth * _U(0xD6E8FEB86659FD93)
     shingles = _mix(shingles)
-    xor, times = _constants(s)
-    ranks = (shingles[None, :] ^ xor) * times
-    picks = min(s.picks, n)
-    least = np.empty((s.sketches, picks), np.int64)
-    each = np.arange(s.sketches)
-    for k in range(picks):  # the least, the least of the others, and so on
-        least[:, k] = ranks.argmin(axis=1)
-        ranks[each, least[:, k]] = np.iinfo(np.uint64).max
+    least = _least(shingles, s)
     least.sort(axis=1)  # text order
     out = np.zeros(s.sketches, np.uint64)
-    for k in range(picks):
+    for k in range(least.shape[1]):
         out = _mix(out * _U(3) + shingles[least[:, k]])
     return out
 
 
+def _least(shingles: np.ndarray, s: Settings) -> np.ndarray:
+    """Of each sketch, the places of the ``s.picks`` shingles that it ranks lowest,
+    lowest first. The ranks are made block by block, whatever the text's length."""
+    xor, times = _constants(s)
+    each = np.arange(s.sketches)
+    best = np.empty((s.sketches, 0), np.uint64)
+    places = np.empty((s.sketches, 0), np.int64)
+    for lo in range(0, len(shingles), _BLOCK):
+        ranks = (shingles[None, lo:lo + _BLOCK] ^ xor) * times
+        for _ in range(min(s.picks, ranks.shape[1])):  # the least, the least of the others, and so on
+            at = ranks.argmin(axis=1)
+            best = np.column_stack([best, ranks[each, at]])
+            places = np.column_stack([places, at + lo])
+            ranks[each, at] = np.iinfo(np.uint64).max
+        order = np.argsort(best, axis=1, kind="stable")[:, :s.picks]
+        best, places = np.take_along_axis(best, order, 1), np.take_along_axis(places, order, 1)
+    return places
+
+
 def aligned_distance(a: list, b: list, most: int) -> int | None:
     """Edit distance of two sequences by furthest reaching points on the diagonals
     of a band of width ``most`` to both sides; None if it is above ``most``."""
@@ -193,16 +208,22 @@ def _may_be_similar(s: Settings):
     return (F.abs(F.col("n") - F.col("p_n")) <= most) & (F.greatest(more, more - F.col("n") + F.col("p_n")) <= most)
 
 
-def _standing(members: DataFrame, good: DataFrame, roots: DataFrame) -> DataFrame:
+def _length_class(s: Settings):
+    """Similar texts are of the same class of lengths or of neighbouring ones."""
+    step = -math.log(min(1.0, max(s.similarity, 1e-9))) + 1e-6
+    return F.floor(F.log(F.greatest("n", F.lit(1))) / step)
+
+
+def _standing(members: DataFrame, good: DataFrame, roots: DataFrame, tables: Tables) -> DataFrame:
     """Members of buckets in which different components meet, with ``root`` and the
     number of their links."""
     linked = good.select(F.col("a").alias("node")).unionAll(good.select(F.col("b").alias("node")))
     linked = linked.groupBy("node").agg(F.count(F.lit(1)).alias("linked")).join(roots, "node")
-    members = (members.join(linked, "node", "left")
-               .withColumns({"root": F.coalesce("root", "node"), "linked": F.coalesce("linked", F.lit(0))}))
-    mixed = (members.select("bucket", F.xxhash64("root").alias("r")).groupBy("bucket")
+    labelled = tables.put("labelled", members.join(linked, "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")))
+    mixed = (labelled.select("bucket", F.xxhash64("root").alias("r")).groupBy("bucket")
              .agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo != hi").select("bucket"))
-    return members.join(mixed, "bucket", "left_semi")
+    return tables.put("members", labelled.join(mixed, "bucket", "left_semi"))
 
 
 def _verified(edges: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -221,17 +242,17 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, found: DataFrame, tables: Tables) -> DataFrame:
     """``roots`` after the links ``found``: only components that these touch meet."""
     of = roots.select("node", F.col("root").alias("r"))
-    ends = (found.join(of.withColumnsRenamed({"node": "a", "r": "ra"}), "a", "left")
-            .join(of.withColumnsRenamed({"node": "b", "r": "rb"}), "b", "left")
-            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).checkpoint()
-    joined = components(ends)
+    ends = tables.put("ends", found.join(of.withColumnsRenamed({"node": "a", "r": "ra"}), "a", "left")
+                      .join(of.withColumnsRenamed({"node": "b", "r": "rb"}), "b", "left")
+                      .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    joined = components(ends, tables)
     every = roots.unionByName(joined.select("node", F.col("node").alias("root"))
                               .join(roots.select("node"), "node", "left_anti"))
-    return (every.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-            .select("node", F.coalesce("new", "root").alias("root")))
+    return tables.put("roots", every.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+                      .select("node", F.coalesce("new", "root").alias("root")))
 
 
 def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -240,46 +261,59 @@ def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Texts that share a sketch meet in a bucket. By the leading sketches every text
     is compared to the least one of its bucket. Then, as long as a bucket holds
     different components, some of its texts are pivots: all others of other
-    components are compared to them, but for those whose word counts rule it out,
-    and the pivots leave the bucket. Texts with the most links come first, so an
+    components are compared to them, but for those whose lengths or word counts rule
+    it out, and the pivots leave the bucket. Texts with the most links come first, so an
     original to which many unlike copies belong is a pivot soon; the number of
     pivots, drawn by hash, grows fourfold each round. In the end each pair that shares a
     bucket has been verified, is in one component, or can't be similar."""
-    sketched = (docs.select(_node(F.col("text")).alias("node"), "text")
-                .select("node", _sketch_udf(s)("text").alias("s")).filter("s.sketch IS NOT NULL")
-                .groupBy("node").agg(F.first("s").alias("s")).select("node", "s.*")).checkpoint()
-    each = sketched.select("node", F.posexplode("sketch").alias("band", "value"))
-    buckets = each.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    return _linked(docs, s, Tables(docs.sparkSession))[0]
 
-    tried = _stars(buckets.filter(F.col("band") < s.leading)).checkpoint()
-    good = _verified(tried, _texts_of(docs, _ends(tried)), s).checkpoint()
 
-    roots = components(good).checkpoint()
-    members = _standing(buckets.select("bucket", "node"), good, roots).checkpoint()
-    bags = (sketched.join(members.select("node").distinct(), "node", "left_semi")
-            .select("node", "n", "bag")).checkpoint()
-    texts = _texts_of(docs, members.select("node").distinct()).checkpoint()
-    pivots_each = 1
+def _linked(docs: DataFrame, s: Settings, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """``links`` and (node, root) of the components that they make."""
+    sketched = tables.put("sketched", docs.select(_node(F.col("text")).alias("node"), "text")
+                          .select("node", _sketch_udf(s)("text").alias("s")).filter("s.sketch IS NOT NULL")
+                          .groupBy("node").agg(F.first("s").alias("s")).select("node", "s.*"))
+    each = sketched.select("node", F.posexplode("sketch").alias("band", "value"))
+    each = each.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    # a text that is alone in its bucket meets no other
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    buckets = tables.put("buckets", each.join(shared, "bucket", "left_semi"))
+
+    tried = tables.put("tried", _stars(buckets.filter(F.col("band") < s.leading)))
+    good = tables.put("good", _verified(tried, tables.put("texts", _texts_of(docs, _ends(tried))), s))
+    roots = tables.put("roots", components(good, tables))
+
+    members = _standing(buckets.select("bucket", "node"), good, roots, tables)
+    nodes = tables.put("nodes", members.select("node").distinct())
+    bags = tables.put("bags", sketched.join(nodes, "node", "left_semi")
+                      .select("node", "n", "bag", _length_class(s).alias("class")))
+    texts = tables.put("texts", _texts_of(docs, nodes))
+    tables.drop("sketched", "buckets", "nodes")
+    pivots_each, rounds = 1, 0
     while not members.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        chosen = (members.groupBy("bucket", salt.alias("salt"))
-                  .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node")).alias("p"))
-                  .select("bucket", F.col("p.node").alias("node")))
-        pivots = (members.join(chosen, ["bucket", "node"], "left_semi").select("bucket", "node", "root")).checkpoint()
-        others = pivots.join(bags, "node").select(F.col("bucket").alias("p_bucket"), *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")])
-        fresh = (members.join(bags, "node").join(others, (F.col("bucket") == F.col("p_bucket")) & (F.col("root") != F.col("p_root"))
-                              & _may_be_similar(s))
-                 .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-                 .join(tried, ["a", "b"], "left_anti")).checkpoint()
-        found = _verified(fresh, texts, s).checkpoint()
+        pivots = tables.put("pivots", members.groupBy("bucket", salt.alias("salt"))
+                            .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node", "root")).alias("p"))
+                            .select("bucket", "p.node", "p.root"))
+        others = (pivots.join(bags, "node")
+                  .select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")],
+                          F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class")))
+        fresh = (members.join(bags, "node").alias("m").join(others.alias("p"), (
+                    F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.class") == F.col("p.class"))
+                    & (F.col("root") != F.col("p_root")) & _may_be_similar(s))
+                 .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct())
+        fresh = tables.put(f"tried{rounds}", fresh.join(tried, ["a", "b"], "left_anti"))
+        found = tables.put(f"good{rounds}", _verified(fresh, texts, s))
         tried = tried.unionByName(fresh)
         if not found.isEmpty():
             good = good.unionByName(found)
-            roots = _merged(roots, found).checkpoint()
+            roots = _merged(roots, found, tables)
         left = members.join(pivots, ["bucket", "node"], "left_anti").select("bucket", "node")
-        members = _standing(left, good, roots).checkpoint()
+        members = _standing(left, good, roots, tables)
         pivots_each *= 4
-    return good
+        rounds += 1
+    return good, roots
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -297,9 +331,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     prepared(docs)
     rows = docs.select("doc_id", _node(F.col("text")).alias("node"),
                        *fingerprint(*[F.col(f"`{c}`") for c in docs.columns]))
-    roots = components(links(docs, s))
-    classed = (rows.join(roots, "node", "left")
-               .select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("root"))).checkpoint()
+    tables = Tables(docs.sparkSession)
+    _, roots = _linked(docs, s, tables)
+    classed = tables.put("classed", rows.join(roots, "node", "left")
+                         .select("doc_id", "k1", "k2", F.coalesce("root", "node").alias("root")))
+    tables.keep_only("classed")
     per_class = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
                                             F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
     return (classed.join(per_class, "root")

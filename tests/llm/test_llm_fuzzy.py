@@ -2,11 +2,13 @@
 
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from helpers_llm import awkward, key, prose, table
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lookout.llm import decontaminate, mixing, neardup, quality, sharding, toxicity
@@ -109,6 +111,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_sketches_block_by_block(monkeypatch):
+    words = prose(31, 700).split()
+    texts = [" ".join(words[:k]) for k in (1, 4, 5, 6, 63, 64, 65, 700)] + [" ".join(words[:9] * 40)]
+    whole = [neardup.sketch(t) for t in texts]
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(neardup, "_BLOCK", block)
+        assert all((neardup.sketch(t) == w).all() for t, w in zip(texts, whole))
+
+
+def test_sketch_of_a_very_long_text_needs_little_memory():
+    text = " ".join(f"word{i * 7919 % 99991}" for i in range(2_000_000))  # about 18 MB
+    tracemalloc.start()
+    assert len(neardup.sketch(text)) == neardup.Settings().sketches
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)
+
+
+def test_length_classes_part_no_similar_lengths(spark):
+    s = neardup.Settings()
+    rows = spark.range(1, 3000).select(F.col("id").alias("n")).select("n", neardup._length_class(s).alias("c")).collect()
+    of = {r.n: r.c for r in rows}
+    for n in of:
+        least = next(m for m in range(max(1, int(0.7 * n)), n + 1) if n - m <= int((1 - s.similarity) * n + 1e-9))
+        assert of[n] - of[least] <= 1
+
+
 def test_one_large_group(spark):
     rng = random.Random(5)
     base = prose(3, 150)
