@@ -120,13 +120,13 @@ def test_sketches_block_by_block(monkeypatch):
         assert all((neardup.sketch(t) == w).all() for t, w in zip(texts, whole))
 
 
-def test_sketch_of_a_very_long_text_needs_little_memory():
-    text = " ".join(f"word{i * 7919 % 99991}" for i in range(2_000_000))  # about 18 MB
+def test_ranking_a_very_long_text_needs_little_memory():
+    hashed = neardup.word_hashes(" ".join(f"word{i * 7919 % 99991}" for i in range(2_000_000)))  # about 20 MB of text
     tracemalloc.start()
-    assert len(neardup.sketch(text)) == neardup.Settings().sketches
+    assert len(neardup._sketch(hashed, neardup.Settings())) == neardup.Settings().sketches
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 40 * len(text)
+    assert peak < 16 * hashed.nbytes  # with all ranks at once: 32 sketches of that size
 
 
 def test_length_classes_part_no_similar_lengths(spark):
