@@ -14,6 +14,14 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(least, edges.a == least.u).select("a", "b", "m")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is either a centre (b) or on one edge only (as a)."""
+    sides = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionAll(
+        edges.select("b", F.lit(0), F.lit(1)))
+    roles = sides.groupBy("node").agg(F.sum("leaf").alias("edges"), F.max("centre").alias("centre"))
+    return roles.filter("edges > 1 OR edges > 0 AND centre > 0").isEmpty()
+
+
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): ``root`` is the least node
     of the component.
@@ -23,9 +31,9 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     neighbours are reduced to their least before the shuffle and never meet in
     one task; the result of each round is written to ``tables`` in place of the one
     before. The result reads the last one, until the next call with ``tables``."""
-    stars = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    seen = None
-    while True:
+    stars = tables.put("stars", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                       .filter("a != b").distinct())
+    while not _are_stars(stars):  # in each edge b < a, so a star's centre is its least node
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (_least_neighbour(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .filter("a != b").distinct())
@@ -33,9 +41,5 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         stars = tables.put("stars", small.select(F.col("b").alias("a"), F.col("m").alias("b"))
                            .unionByName(small.select("a", F.col("m").alias("b")))
                            .filter("a != b").distinct())
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -26,6 +26,7 @@ _U = np.uint64
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 _BLOCK = 1 << 16  # shingles that are ranked at once
+_KNOWN_CHARS = 1 << 21  # a task keeps the words of texts of about so many characters
 
 @dataclass(frozen=True)
 class Settings:
@@ -163,9 +164,15 @@ def aligned_distance(a: list, b: list, most: int) -> int | None:
 
 def similar(a: str, b: str, s: Settings = Settings()) -> bool:
     x, y = words_of(a), words_of(b)
+    return _alike(x, Counter(x), y, Counter(y), s)
+
+
+def _alike(x: list[str], x_counts: Counter, y: list[str], y_counts: Counter, s: Settings) -> bool:
     longer = max(len(x), len(y))
     most = int((1 - s.similarity) * longer + 1e-9)
-    return abs(len(x) - len(y)) <= most and aligned_distance(x, y, most) is not None
+    if abs(len(x) - len(y)) > most or longer - (x_counts & y_counts).total() > most:
+        return False  # words that the other side lacks can't be matched
+    return aligned_distance(x, y, most) is not None
 
 
 def _sketch_udf(s: Settings):
@@ -183,7 +190,20 @@ def _sketch_udf(s: Settings):
 
 def _similar_udf(s: Settings):
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, s) for x, y in zip(a, b)], dtype=bool)
+        known: dict[str, tuple[list[str], Counter]] = {}  # a text stands in many pairs
+        chars = 0
+        same = []
+        for pair in zip(a, b):
+            if chars > _KNOWN_CHARS:
+                known.clear()
+                chars = 0
+            for text in pair:
+                if text not in known:
+                    words = words_of(text)
+                    known[text] = words, Counter(words)
+                    chars += len(text)
+            same.append(_alike(*known[pair[0]], *known[pair[1]], s))
+        return pd.Series(same, dtype=bool)
     return F.pandas_udf(verified, "boolean")
 
 

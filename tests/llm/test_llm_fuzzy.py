@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lookout.llm import decontaminate, mixing, neardup, quality, sharding, toxicity
+from lookout.llm.components import components
+from lookout.llm.tables import Tables
 
 
 def edited(text, rng, share):
@@ -138,6 +140,23 @@ def test_length_classes_part_no_similar_lengths(spark):
         assert of[n] - of[least] <= 1
 
 
+def test_components_of_paths_stars_and_cycles(spark):
+    rng = random.Random(8)
+    path = [(k, k + 1) for k in range(40)]
+    cycle = [(100 + k, 100 + (k * 7 + 7) % 30) for k in range(30)]
+    star = [(200, 200 + k) for k in range(1, 20)]
+    tree = [(300 + k, 300 + rng.randrange(k)) for k in range(1, 60)]
+    for edges in ([*path, *cycle, *star, *tree, (5, 5)], star, path, []):
+        frame = spark.createDataFrame(edges, "a long, b long")
+        got = {r.node: r.root for r in components(frame, Tables(spark)).collect()}
+        nodes = {n for a, b in edges if a != b for n in (a, b)}
+        whole = components_of(nodes, [e for e in edges if e[0] != e[1]])
+        least = {}
+        for n in nodes:
+            least[whole[n]] = min(least.get(whole[n], n), n)
+        assert got == {n: least[whole[n]] for n in nodes}
+
+
 def test_one_large_group(spark):
     rng = random.Random(5)
     base = prose(3, 150)
