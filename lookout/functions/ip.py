@@ -16,26 +16,44 @@ def is_ipv4(c: Column) -> Column:
     return F.coalesce(c.rlike(IPV4_RE), F.lit(False))
 
 
+def once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once for each row, however often ``use`` names
+    it: an expression that is written into another several times is evaluated as
+    often, and a chain of such ones as often as the product."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def ipv6_hex(c: Column) -> Column:
     """IPv6 text in any spelling -> its 128 bits as 32 hex digits; NULL when it
     isn't a valid address. A zone (``%eth0``) is left out, a dotted-quad tail
     counts as two groups."""
-    low = F.lower(F.regexp_replace(c, r"%[^%/]+$", ""))
+    return once(c, lambda x: F.when(x.contains(":"), _hex_of_groups(x)))  # anything else needs no parsing
+
+
+def _hex_of_groups(c: Column) -> Column:
+    low = once(F.lower(F.regexp_replace(c, r"%[^%/]+$", "")), _without_quad)
+    return once(F.split(low, "::"), _hex_of_sides)
+
+
+def _without_quad(low: Column) -> Column:
+    """A dotted-quad tail as two groups."""
     octet = [F.conv(F.regexp_extract(low, _V4_TAIL, k), 10, 16) for k in (2, 3, 4, 5)]
     quad = F.concat(octet[0], F.lpad(octet[1], 2, "0"), F.lit(":"), octet[2], F.lpad(octet[3], 2, "0"))
-    low = F.when(low.rlike(_V4_TAIL), F.concat(F.regexp_extract(low, _V4_TAIL, 1), F.lower(quad))).otherwise(low)
-    sides = F.split(low, "::")
+    return F.when(low.rlike(_V4_TAIL), F.concat(F.regexp_extract(low, _V4_TAIL, 1), F.lower(quad))).otherwise(low)
+
 
+def _hex_of_sides(sides: Column) -> Column:
+    """The texts before and after ``::`` (one text without it)."""
     def groups(side: Column) -> Column:
         return F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
 
     left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
     given, gap = F.size(left) + F.size(right), F.size(sides) == 2
     whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
-    valid = (low.contains(":") & (F.size(sides) <= 2) & F.when(gap, given <= 7).otherwise(given == 8)
-             & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
-    digits = F.when(valid, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
-    return F.when(c.contains(":"), digits)  # anything else needs no parsing
+    sized = (F.size(sides) <= 2) & F.when(gap, given <= 7).otherwise(given == 8)
+    return F.when(sized, once(whole, lambda w: F.when(
+        F.forall(w, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+        F.array_join(F.transform(w, lambda g: F.lpad(g, 4, "0")), ""))))
 
 
 def is_ipv6(c: Column) -> Column:
@@ -91,6 +109,10 @@ def in_ipv4_ranges(ipnum: Column, cidrs) -> Column:
 def in_ipv6_ranges(address: Column, cidrs) -> Column:
     """OR over a fixed, small list: the leading bits of ``ipv6_hex`` text are those
     of the network."""
+    return once(address, lambda x: _in_ipv6_ranges(x, cidrs))
+
+
+def _in_ipv6_ranges(address: Column, cidrs) -> Column:
     cond = F.lit(False)
     for cidr in cidrs:
         if ":" not in cidr:
@@ -110,15 +132,22 @@ def host_ipv4_to_long(c: Column) -> Column:
     """IPv4 host of a URL as resolvers read it -> BIGINT: one to four numbers,
     decimal, octal (0...) or hex (0x...), the last filling the bytes that are left;
     NULL when it isn't one."""
-    parts = F.split(F.lower(c), r"\.")
+    return once(F.split(F.lower(c), r"\."), _long_of_parts)
+
+
+def _long_of_parts(parts: Column) -> Column:
     number = F.transform(parts, lambda p: F.when(p.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substr(p, F.lit(3)), 16, 10))
                          .when(p.rlike("^0[0-7]{1,11}$"), F.conv(p, 8, 10))
                          .when(p.rlike("^(0|[1-9][0-9]{0,9})$"), p).cast("long"))
-    n = F.size(parts)
+    return F.when(F.size(parts) <= 4, once(number, _long_of_numbers))
+
+
+def _long_of_numbers(number: Column) -> Column:
+    n = F.size(number)
     last = F.element_at(number, -1)
     head = F.slice(number, 1, F.greatest(F.lit(0), n - 1))
     room = F.when(n == 1, 1 << 32).when(n == 2, 1 << 24).when(n == 3, 1 << 16).otherwise(1 << 8)
-    fits = ((n <= 4) & F.forall(number, lambda x: x.isNotNull()) & F.forall(head, lambda x: x <= 255)
+    fits = (F.forall(number, lambda x: x.isNotNull()) & F.forall(head, lambda x: x <= 255)
             & (last < room))
     lead = F.aggregate(head, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
     return F.when(fits, lead * room + last)

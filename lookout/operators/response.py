@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.ip import in_ipv4_ranges, in_ipv6_ranges, ipv4_to_long, ipv6_hex, is_ipv4
+from ..functions.ip import in_ipv4_ranges, in_ipv6_ranges, ipv4_to_long, ipv6_hex, is_ipv4, once
 from .folds import block_state, epoch_micros, rate_limit
 
 MICROS = 1_000_000
@@ -36,10 +36,8 @@ def ip_protected(target: Column, config_ips=S.CONFIG_PROTECTED_IPS) -> Column:
     unparsable -> protected."""
     single = [f"{ip}/128" if ":" in ip else f"{ip}/32" for ip in config_ips]
     networks = (*S.PROTECTED_IP_RANGES, *single)
-    six = ipv6_hex(target)
-    return F.when(is_ipv4(target), in_ipv4_ranges(ipv4_to_long(target), networks)) \
-        .when(six.isNotNull(), in_ipv6_ranges(six, networks)) \
-        .otherwise(F.lit(True))
+    return F.when(is_ipv4(target), once(ipv4_to_long(target), lambda four: in_ipv4_ranges(four, networks))) \
+        .otherwise(once(ipv6_hex(target), lambda six: six.isNull() | in_ipv6_ranges(six, networks)))
 
 
 def _forbidden(action: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions.ip import host_ipv4_to_long, in_ipv4_ranges, in_ipv6_ranges, ipv6_hex
+from ..functions.ip import host_ipv4_to_long, in_ipv4_ranges, in_ipv6_ranges, ipv6_hex, once
 
 
 def event_type(severity: Column, score: Column, action: Column) -> Column:
@@ -181,11 +181,19 @@ def webhook_url_check(df: DataFrame, url: str = "url") -> DataFrame:
     u = F.col(url)
     scheme = F.lower(F.regexp_extract(u, URL_SCHEME_RE, 1))
     host = F.lower(F.regexp_replace(F.regexp_extract(u, URL_HOST_RE, 1), r"^\[|\]$", ""))
-    four = host_ipv4_to_long(host)
-    blocked = F.when(four.isNotNull(), in_ipv4_ranges(four, S.BLOCKED_WEBHOOK_NETWORKS)) \
-        .otherwise(in_ipv6_ranges(ipv6_hex(host), S.BLOCKED_WEBHOOK_NETWORKS))
-    reason = (F.when(~scheme.isin("http", "https"), F.lit("invalid_scheme"))
-              .when(host == "", F.lit("no_hostname"))
-              .when(blocked, F.lit("blocked_address")))
-    return df.withColumn("scheme", scheme).withColumn("host", host) \
-        .withColumn("valid", reason.isNull()).withColumn("reason", reason)
+
+    def blocked(h):
+        return once(host_ipv4_to_long(h), lambda four: F.when(
+            four.isNotNull(), in_ipv4_ranges(four, S.BLOCKED_WEBHOOK_NETWORKS))
+            .otherwise(in_ipv6_ranges(ipv6_hex(h), S.BLOCKED_WEBHOOK_NETWORKS)))
+
+    def reason(scheme, host):
+        return (F.when(~scheme.isin("http", "https"), F.lit("invalid_scheme"))
+                .when(host == "", F.lit("no_hostname"))
+                .when(blocked(host), F.lit("blocked_address")))
+    # each is a column before it is used, so that its expression is evaluated once
+    return df.withColumns({"scheme": scheme, "host": host}) \
+        .withColumn("reason", reason(F.col("scheme"), F.col("host"))) \
+        .withColumn("valid", F.col("reason").isNull()) \
+        .select(*[c for c in df.columns if c not in ("scheme", "host", "valid", "reason")],
+                "scheme", "host", "valid", "reason")

@@ -126,3 +126,20 @@ def test_ip_to_interface_of_both_families(spark):
     got = H.ip_to_interface(spark.createDataFrame(rows, "host string, ip string"), spark.createDataFrame(
         routes, "host string, network string, mask_bits int, interface string, route_order int"))
     assert {(r["host"], r["ip"]): r["interface"] for r in got.collect()} == expected
+
+
+def test_address_expressions_are_evaluated_once(spark):
+    """An expression written into another several times is evaluated as often."""
+    from pyspark.sql import functions as F
+    from lookout.operators.response import ip_protected
+    urls = ["http://[fd00::1]:8080/", "http://[::ffff:10.0.0.1]/", "http://[1:2:3]/", "http://0x7f000001/", "http://127.1/",
+            "http://1.2.3.4.5/", "http://[::1%eth0]/", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    out = W.webhook_url_check(df)
+    assert out.columns == ["url", "scheme", "host", "valid", "reason"]
+    assert [r["reason"] for r in out.collect()] == ["blocked_address", None, None, "blocked_address", "blocked_address",
+                                                    None, "blocked_address", None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(url") == 2 and plan.count("split(") <= 20
+    mapped = df.select(ip_protected(F.col("url")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert mapped.count("split(") <= 20
