@@ -21,13 +21,14 @@ shared checkpoint folder, so a restart resumes where it stopped.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -38,6 +39,8 @@ from ..operators import features as FE
 from ..session import ensure_checkpoint_dir
 
 MICROS = 1_000_000
+PARTITION_BYTES = 64 << 20  # of Parquet rows for each partition of a query's state
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,6 +48,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:10]}")
 
 
+def _folder_bytes(spark: SparkSession, path: str) -> int:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(folder).getLength()
+
+
 class Replay:
     """A table played back as a file stream in event-time order.
 
@@ -56,15 +65,20 @@ class Replay:
 
     def __init__(self, df: DataFrame, path: str, ts: str = "ts", slices: int = 6):
         self.path = path
+        spark = df.sparkSession
         df.limit(0).write.mode("append").parquet(path)
-        self.stream = df.sparkSession.readStream.schema(df.schema).parquet(path)
-        st = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        self.stream = spark.readStream.schema(df.schema).parquet(path)
+        # every slice reads the rows: what makes them runs once
+        df.write.parquet(f"{path}-rows")
+        self.bytes = _folder_bytes(spark, f"{path}-rows")
+        rows = spark.read.schema(df.schema).parquet(f"{path}-rows")
+        st = rows.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
         if st["lo"] is None:
-            self.slices = [df]
+            self.slices = [rows]
             return
         edges = [st["lo"] + (st["hi"] - st["lo"]) / slices * i for i in range(1, slices)]
         at = F.coalesce(sum((F.col(ts) >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0), F.lit(0))
-        self.slices = [df.filter(at == i) for i in range(slices)]
+        self.slices = [rows.filter(at == i) for i in range(slices)]
 
     def through(self, start) -> None:
         """``start()`` starts the query (same checkpoint each time) with an
@@ -76,22 +90,28 @@ class Replay:
 
 class _StatePartitions:
     """State-store partitions are fixed by ``spark.sql.shuffle.partitions`` when a
-    query first starts; cap them at a few per core for the query's start."""
+    query first starts. Each has a store to open and to commit in every batch, so
+    there are only as many as cores, and more where ``size`` bytes of rows need them."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, size: int = 0):
+        self.spark, self.size = spark, size
 
     def __enter__(self):
-        from ..session import task_parallelism
-        conf = {"spark.sql.shuffle.partitions": str(task_parallelism(self.spark, 2)),
-                "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
-        self.old = {k: self.spark.conf.get(k) for k in conf}
+        cores = self.spark.sparkContext.defaultParallelism
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        conf = {"spark.sql.shuffle.partitions": str(max(1, min(most, max(cores, self.size // PARTITION_BYTES)))),
+                "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+        self.old = {k: self.spark.conf.get(k, None) for k in conf}
         for k, v in conf.items():
             self.spark.conf.set(k, v)
 
     def __exit__(self, *exc):
         for k, v in self.old.items():
-            self.spark.conf.set(k, v)
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
@@ -105,7 +125,7 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
         return (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
                 .option("path", out).trigger(availableNow=True).start())
 
-    with _StatePartitions(spark):
+    with _StatePartitions(spark, replay.bytes if replay else 0):
         if replay:
             replay.through(start)
         else:
@@ -133,24 +153,36 @@ class _Expiring(StatefulProcessor):
     rather than a TTL, as TTLs count the cluster's time: a replay or a backlog
     would keep or lose state by the speed at which it is read."""
 
+    kept = ""  # fields that lie beside the timer's
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "at long")
+        self.timer = handle.getValueState("timer", "at long, armed long" + self.kept)
         self.states = [self.timer]
 
-    def _expire_at(self, micros: int) -> None:
+    def _expire_at(self, micros: int, *kept, old: tuple | None = None) -> None:
+        """``old``: the timer's state, if it was read before. A timer that is armed for
+        an earlier time stays and is set anew when it fires: a key that is seen in
+        each batch costs a read and a write."""
         at = -(-micros // 1000)
-        if self.timer.exists():
-            old = self.timer.get()[0]
-            if old == at:
-                return
-            self.handle.deleteTimer(old)
-        self.timer.update((at,))
-        self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in self.states:
-            state.clear()
+        old = old or self.timer.get()
+        armed = old[1] if old else None
+        if armed is None or at < armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            self.handle.registerTimer(at)
+            armed = at
+        if not old or (at, armed, *kept) != tuple(old):
+            self.timer.update((at, armed, *kept))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        at, armed, *kept = self.timer.get()
+        if at > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(at)
+            self.timer.update((at, at, *kept))
+        else:
+            for state in self.states:
+                state.clear()
         yield from ()
 
     def close(self) -> None:
@@ -275,19 +307,19 @@ class ReversalTimer(StatefulProcessor):
         self.due = handle.getValueState("due", "at long")
 
     @staticmethod
-    def _unblock(key, due: int) -> pd.DataFrame:
-        return pd.DataFrame({"action_id": [key[1]], "target": [key[0]], "action": ["unblock_ip"], "due_at": [due]})
+    def _unblock(key, due: int) -> Row:
+        return Row(action_id=key[1], target=key[0], action="unblock_ip", due_at=due)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        for due in pd.concat(list(rows))["due_us"].astype(int):
+        for due in [int(r["due_us"]) for r in rows]:
             if due // 1000 <= now:
                 yield self._unblock(key, due)
             elif not self.due.exists():
                 self.due.update((due,))
                 self.handle.registerTimer(-(-due // 1000))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = self.due.get()[0]
         self.due.clear()
         yield self._unblock(key, due)
@@ -302,7 +334,7 @@ def stream_reversals(blocked: DataFrame) -> DataFrame:
     a watermark on ``ts``; when it passes a pending due time an ``unblock_ip``
     request is emitted. Timers live in the checkpointed state, so pending
     reversals survive a restart."""
-    return blocked.groupBy("target", "action_id").transformWithStateInPandas(
+    return blocked.groupBy("target", "action_id").transformWithState(
         ReversalTimer(), "action_id string, target string, action string, due_at long", "Append", "EventTime")
 
 
@@ -314,19 +346,21 @@ class LastSeen(_Expiring):
     def __init__(self, columns: list[str], forget: int):
         self.columns, self.forget = columns, forget
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.snap = handle.getValueState("snap", "n long")
-        self.states.append(self.snap)
+    kept = ", snap long"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, "snap")
-        snaps = sorted(set(pdf["snap"].tolist()))
-        before = dict(zip(snaps, [self.snap.get()[0] if self.snap.exists() else None, *snaps[:-1]]))
-        self.snap.update((snaps[-1],))
-        seen = pd.Series([before[n] for n in pdf["snap"]], index=pdf.index, dtype="Int64")
-        self._expire_at(int(pdf["ts"].max().value // 1000) + self.forget)
-        yield pdf[self.columns].assign(before=seen)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = sorted(rows, key=lambda r: (r["snap"] is None, r["snap"] or 0))
+        old = self.timer.get()
+        last = old[2] if old else None
+        previous = None
+        for r in seen:
+            if previous is not None and r["snap"] != previous:
+                last = previous
+            previous = r["snap"]
+            yield Row(**{c: r[c] for c in self.columns}, before=last)
+        # a row's time is the worker's local one
+        newest = max((r["ts"].astimezone(dt.timezone.utc) for r in seen if r["ts"]), default=EPOCH)
+        self._expire_at((newest - EPOCH) // dt.timedelta(microseconds=1) + self.forget, previous, old=old)
 
 
 def stream_snapshot_diff(conns: DataFrame, forget_seconds: int = 30 * 86400) -> DataFrame:
@@ -339,10 +373,10 @@ def stream_snapshot_diff(conns: DataFrame, forget_seconds: int = 30 * 86400) ->
     forget = forget_seconds * MICROS
     keyed = "host string, conn_key string, snap long, ts timestamp, remote_ip string, local_port int"
     columns = [f.split()[0] for f in keyed.split(", ")]
-    seen = conns.select(*columns).groupBy("host", "conn_key").transformWithStateInPandas(
+    seen = conns.select(*columns).groupBy("host", "conn_key").transformWithState(
         LastSeen(columns, forget), keyed + ", before long", "Append", "EventTime", eventTimeColumnName="ts")
     snaps = (conns.select("host", "snap", "ts").dropDuplicatesWithinWatermark(["host", "snap"])
-             .groupBy("host").transformWithStateInPandas(
+             .groupBy("host").transformWithState(
                  LastSeen(["host", "snap", "ts"], forget), "host string, snap long, ts timestamp, before long",
                  "Append", "EventTime", eventTimeColumnName="ts")
              .withColumnRenamed("before", "prev_snap"))
@@ -362,7 +396,7 @@ def stream_persist(stream: DataFrame, writer, spark: SparkSession, name: str,
         return (stream.writeStream.foreachBatch(lambda df, _epoch: writer(df))
                 .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
 
-    with _StatePartitions(spark):
+    with _StatePartitions(spark, replay.bytes if replay else 0):
         if replay:
             replay.through(start)
         else:

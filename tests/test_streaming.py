@@ -83,6 +83,34 @@ def test_replay_keeps_rows_without_a_time_and_slices_whole(spark):
     assert all(i in batches[0] for i in range(0, 60, 5))
 
 
+def test_replay_makes_its_rows_once(spark):
+    """However many slices read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(minutes=i)) for i in range(50)], "id long, ts timestamp_ntz")
+    replay = Z.Replay(df.mapInPandas(counted, df.schema), Z.scratch(spark, "t-once"), slices=5)
+    batches = []
+    Z.stream_persist(replay.stream, lambda b: batches.append(b.count()), spark, "t-once", replay=replay)
+    assert sum(batches) == 50 and made.value == 50
+
+
+def test_state_partitions_follow_cores_and_bytes(spark):
+    conf, cores = spark.conf, spark.sparkContext.defaultParallelism
+    old = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for size, expected in ((0, cores), (100 * Z.PARTITION_BYTES, 100), (500 * Z.PARTITION_BYTES, 200)):
+            with Z._StatePartitions(spark, size):
+                assert int(conf.get("spark.sql.shuffle.partitions")) == expected
+        assert conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_alert_state_equals_a_row_by_row_fold_and_goes_when_idle(spark):
     """Random matches of a few keys over several restarts; then only the key
     with a match in the last 300 s of event time still has state."""
