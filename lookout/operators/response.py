@@ -91,13 +91,14 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
     pid = F.trim(t).try_cast("long")
     d = d.withColumn("__pid", F.when(a == "kill_process", pid))
     if processes is not None:
-        # Only kill requests carry a pid: join those alone, so the (many) rows
-        # with a NULL key do not all hash into one partition of the join.
-        names = processes.select(F.col("pid").cast("long").alias("__pid"),
-                                 F.col("name").alias("__pname")).dropDuplicates(["__pid"])
-        kills = d.filter(F.col("__pid").isNotNull()).join(names, "__pid", "left")
-        rest = d.filter(F.col("__pid").isNull()).withColumn("__pname", F.lit(None).cast("string"))
-        d = kills.unionByName(rest)
+        # Only kill requests carry a pid. The rows with none are dealt by their tie, so
+        # that they do not all hash into one partition, and what makes them runs once.
+        names = processes.select(F.col("pid").cast("long").alias("__pid"), F.col("name").alias("__pname")) \
+            .filter("__pid IS NOT NULL").dropDuplicates(["__pid"])
+        names = names.select(F.lit(False).alias("__none"), F.col("__pid").alias("__key"), "__pname")
+        d = d.withColumn("__none", F.col("__pid").isNull()) \
+            .withColumn("__key", F.coalesce("__pid", F.xxhash64(tie))) \
+            .join(names, ["__none", "__key"], "left").drop("__none", "__key")
     else:
         d = d.withColumn("__pname", F.lit(None).cast("string"))
     dur = F.coalesce(F.col("duration_minutes"), F.lit(default_minutes))
@@ -149,7 +150,7 @@ def dispositions(requests: DataFrame, processes: DataFrame | None = None, enable
         .otherwise(F.format_string("Unknown action: %s", a))
     )
     return d.withColumn("status", status).withColumn("message", message) \
-        .withColumn("block_minutes", F.when(status == "blocked", dur)) \
+        .withColumn("block_minutes", F.when(F.col("status") == "blocked", dur)) \
         .drop("__pid", "__pname", "__t", "__until", "__protected", "outcome")
 
 

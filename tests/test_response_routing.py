@@ -143,3 +143,24 @@ def test_address_expressions_are_evaluated_once(spark):
     assert plan.count("regexp_extract(url") == 2 and plan.count("split(") <= 20
     mapped = df.select(ip_protected(F.col("url")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert mapped.count("split(") <= 20
+
+
+def test_dispositions_make_the_requests_once(spark):
+    """Also with a process table: rows with and without a pid come from one pass."""
+    from lookout.operators import response as R
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+    rows = [(1, T0, "kill_process", "7"), (2, T0, "kill_process", "8"), (3, T0, "kill_process", "x"),
+            (4, T0, "alert_only", "9.9.9.9"), (5, T0, "alert_only", None)]
+    df = spark.createDataFrame([(*r, "manual", "a", None) for r in rows], (
+        "request_id long, ts timestamp_ntz, action string, target string, triggered_by string, alert_id string, "
+        "duration_minutes long"))
+    plain = R.dispositions(df, spark.createDataFrame([(7, "worker"), (None, "none")], "pid int, name string"))
+    assert {r["request_id"]: r["status"] for r in plain.collect()} == {
+        1: "terminated", 2: "not_found", 3: "failed", 4: "alert_only"}
+    R.dispositions(df.mapInPandas(counted, df.schema), spark.createDataFrame([(7, "worker")], "pid int, name string"))
+    assert made.value <= 3 * len(rows)  # the rate limit's two passes and the join
