@@ -125,7 +125,7 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str, mode: str =
         return (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
                 .option("path", out).trigger(availableNow=True).start())
 
-    with _StatePartitions(spark, replay.bytes if replay else 0):
+    with _StatePartitions(spark, getattr(replay, "bytes", 0)):
         if replay:
             replay.through(start)
         else:
@@ -396,7 +396,7 @@ def stream_persist(stream: DataFrame, writer, spark: SparkSession, name: str,
         return (stream.writeStream.foreachBatch(lambda df, _epoch: writer(df))
                 .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
 
-    with _StatePartitions(spark, replay.bytes if replay else 0):
+    with _StatePartitions(spark, getattr(replay, "bytes", 0)):
         if replay:
             replay.through(start)
         else:
