@@ -40,6 +40,7 @@ from ..session import ensure_checkpoint_dir
 
 MICROS = 1_000_000
 PARTITION_BYTES = 64 << 20  # of Parquet rows for each partition of a query's state
+UNREAD = object()
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -153,19 +154,20 @@ class _Expiring(StatefulProcessor):
     rather than a TTL, as TTLs count the cluster's time: a replay or a backlog
     would keep or lose state by the speed at which it is read."""
 
+    name = "timer"  # of the timer's state
     kept = ""  # fields that lie beside the timer's
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "at long, armed long" + self.kept)
+        self.timer = handle.getValueState(self.name, "at long, armed long" + self.kept)
         self.states = [self.timer]
 
-    def _expire_at(self, micros: int, *kept, old: tuple | None = None) -> None:
-        """``old``: the timer's state, if it was read before. A timer that is armed for
+    def _expire_at(self, micros: int, *kept, old: tuple | None = UNREAD) -> None:
+        """``old``: the timer's state (None: there is none), if it was read before. A timer that is armed for
         an earlier time stays and is set anew when it fires: a key that is seen in
         each batch costs a read and a write."""
         at = -(-micros // 1000)
-        old = old or self.timer.get()
+        old = self.timer.get() if old is UNREAD else old
         armed = old[1] if old else None
         if armed is None or at < armed:
             if armed is not None:
@@ -268,32 +270,33 @@ def stream_alerts(matches: DataFrame, cooldown: int = S.ALERT_COOLDOWN_SECONDS,
 # ---------------------------------------------------------------- Z3
 
 class RateState(_Expiring):
-    """R5 per target: the last ``budget`` allowed times."""
+    """R5 per target: the last ``budget`` allowed times. They lie beside the timer's,
+    as most targets are asked for a few times only: a read and a write for each."""
+
+    name = "allowed"
+    kept = ", times array<bigint>"
 
     def __init__(self, budget: int, window: int):
         self.budget, self.window = budget, window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.allowed = handle.getListState("allowed", "t long")
-        self.states.append(self.allowed)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, "t_us", "request_id")
-        before = [r[0] for r in self.allowed.get()] if self.allowed.exists() else []
-        ok, after = allowed_rows(pdf["t_us"].to_numpy(np.int64), before, self.budget, self.window)
+        chunks = list(rows)
+        t_us, request_id = (np.concatenate([pdf[c].to_numpy() for pdf in chunks]) for c in ("t_us", "request_id"))
+        order = np.lexsort((request_id, t_us))
+        old = self.timer.get()
+        before = list(old[2]) if old else []
+        ok, after = allowed_rows(t_us[order].astype(np.int64), before, self.budget, self.window)
         if after != before:
-            self.allowed.put([(t,) for t in after])
-            self._expire_at(after[-1] + self.window)
-        yield pd.DataFrame({"target": key[0], "request_id": pdf["request_id"].to_numpy(), "rate_ok": ok})
+            self._expire_at(after[-1] + self.window, after, old=old)
+        yield pd.DataFrame({"target": key[0], "request_id": request_id[order], "rate_ok": ok})
 
 
 def stream_rate_limit(requests: DataFrame, budget: int = S.ACTIONS_PER_MINUTE,
                       window: int = S.RATE_WINDOW_SECONDS) -> DataFrame:
     """Z3: R5 with the last ``budget`` allowed times per target as state, which goes
     once the watermark is ``window`` past the last of them. ``requests`` carry a
-    watermark and ``t_us`` (epoch micros)."""
-    return requests.groupBy("target").transformWithStateInPandas(
+    watermark on ``ts`` and ``t_us`` (epoch micros)."""
+    return requests.select("target", "request_id", "t_us", "ts").groupBy("target").transformWithStateInPandas(
         RateState(budget, window * MICROS), "target string, request_id long, rate_ok boolean", "Append", "EventTime")
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lookout.operators.folds import epoch_micros
@@ -171,3 +172,40 @@ def test_snapshot_diff_keeps_a_state_per_connection(spark):
     replay, ckpt = Z.Replay(df, Z.scratch(spark, "t-snap"), slices=3), Z.scratch(spark, "t-snap-ckpt")
     out = Z.run_to_table(Z.stream_snapshot_diff(marked(replay.stream), 3 * 86400), spark, "t-snap", replay=replay, ckpt=ckpt)
     assert sorted((r["host"], r["snap"], r["conn_key"]) for r in out.collect()) == batch
+
+
+class _Handle:
+    """A processor's handle on one key that counts the calls to its state."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.append(at)
+
+
+def test_a_target_costs_one_read_one_write_and_one_timer():
+    handle, state = _Handle(), Z.RateState(2, 60 * Z.MICROS)
+    state.init(handle)
+    rows = pd.DataFrame({"t_us": [t * Z.MICROS for t in (30, 10, 20, 75)], "request_id": range(4)})
+    out = pd.concat(state.handleInputRows(("t",), iter([rows[:3], rows[3:]]), None))
+    assert [tuple(r) for r in out.itertuples(index=False)] == [
+        ("t", 1, True), ("t", 2, True), ("t", 0, False), ("t", 3, True)]
+    assert handle.calls == ["get", "registerTimer", "update"] and handle.timers == [135000]
+    # a refused request reads only
+    again = pd.DataFrame({"t_us": [77 * Z.MICROS, 76 * Z.MICROS], "request_id": [5, 6]})
+    del handle.calls[:]
+    assert [pdf["rate_ok"].tolist() for pdf in state.handleInputRows(("t",), iter([again]), None)] == [[False, False]]
+    assert handle.calls == ["get"]
