@@ -253,13 +253,11 @@ def _verified(edges: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             .select("a", "b", _similar_udf(s)("text_a", "text_b").alias("same")).filter("same").select("a", "b"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-
-
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One shuffle of the texts by digest, whatever their number, serves the join and
+    the removal of copies."""
     return (docs.select(_node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-            .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+            .join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _merged(roots: DataFrame, found: DataFrame, tables: Tables) -> DataFrame:
@@ -300,15 +298,17 @@ def _linked(docs: DataFrame, s: Settings, tables: Tables) -> tuple[DataFrame, Da
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = tables.put("buckets", each.join(shared, "bucket", "left_semi"))
 
+    # the texts are fetched once: whatever is verified later stands in a shared bucket
+    texts = tables.put("texts", _texts_of(docs, buckets.select("node").distinct()))
+
     tried = tables.put("tried", _stars(buckets.filter(F.col("band") < s.leading)))
-    good = tables.put("good", _verified(tried, tables.put("texts", _texts_of(docs, _ends(tried))), s))
+    good = tables.put("good", _verified(tried, texts, s))
     roots = tables.put("roots", components(good, tables))
 
     members = _standing(buckets.select("bucket", "node"), good, roots, tables)
     nodes = tables.put("nodes", members.select("node").distinct())
     bags = tables.put("bags", sketched.join(nodes, "node", "left_semi")
                       .select("node", "n", "bag", _length_class(s).alias("class")))
-    texts = tables.put("texts", _texts_of(docs, nodes))
     tables.drop("sketched", "buckets", "nodes")
     pivots_each, rounds = 1, 0
     while not members.isEmpty():

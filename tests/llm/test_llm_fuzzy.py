@@ -140,6 +140,23 @@ def test_length_classes_part_no_similar_lengths(spark):
         assert of[n] - of[least] <= 1
 
 
+def test_texts_are_fetched_once_by_a_join_that_holds_at_any_size(spark, monkeypatch):
+    """Few digests are not broadcast: the shuffle of the texts is one, and also removes copies."""
+    base = prose(71, 120)
+    rows = [(i, edited(base, random.Random(i), 0.02 * i), "en", "s", 0) for i in range(6)] + [(9, base, "en", "s", 0)]
+    put, fetched = Tables.put, []
+
+    def noted(self, name, df):
+        if name == "texts":
+            fetched.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, name, df)
+    monkeypatch.setattr(Tables, "put", noted)
+    got = neardup.classes(table(spark, rows)).collect()
+    assert len(got) == 7 and max(r["class_size"] for r in got) > 2
+    assert len(fetched) == 1
+    assert "SortMergeJoin" in fetched[0] and "BroadcastHashJoin" not in fetched[0]
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     rng = random.Random(8)
     path = [(k, k + 1) for k in range(40)]
