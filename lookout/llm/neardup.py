@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
 from operator import add
 
 import numpy as np
@@ -27,18 +26,21 @@ _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 _BLOCK = 1 << 16  # shingles that are ranked at once
 _KNOWN_CHARS = 1 << 21  # a task keeps the words of texts of about so many characters
+_MORE_PIVOTS = 8  # times as many each round
 
 @dataclass(frozen=True)
 class Settings:
     """``words``: words of a shingle; ``sketches`` of ``picks`` shingles each, of
     which the first ``leading`` are compared first; ``similarity``: least share of
     words that an alignment leaves unedited. ``bins``: words are counted by hash in
-    so many classes, whose counts bound an alignment from below."""
+    so many classes, whose counts bound an alignment from below; those of ``fine``
+    classes, up to 255 each, bound it closer."""
     words: int = 5
     sketches: int = 32
     picks: int = 3
     leading: int = 8
     bins: int = 32
+    fine: int = 256
     similarity: float = 0.8
     seed: int = 3
 
@@ -176,16 +178,30 @@ def _alike(x: list[str], x_counts: Counter, y: list[str], y_counts: Counter, s:
 
 
 def _sketch_udf(s: Settings):
-    """text -> its sketch (null without words), its words, and these by class."""
+    """text -> its sketch (null without words), its words, and these by class and by
+    fine class."""
     def sketched(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             hashed = word_hashes(text)
             v = _sketch(hashed, s)
             bag = np.bincount((hashed % _U(s.bins)).astype(np.int64), minlength=s.bins).astype(np.int32)
-            rows.append((None if v is None else v.view(np.int64), len(hashed), bag))
-        return pd.DataFrame(rows, columns=["sketch", "n", "bag"])
-    return F.pandas_udf(sketched, "sketch array<bigint>, n int, bag array<int>")
+            fine = np.bincount((hashed % _U(s.fine)).astype(np.int64), minlength=s.fine).clip(max=255)
+            rows.append((None if v is None else v.view(np.int64), len(hashed), bag, fine.astype(np.uint8).tobytes()))
+        return pd.DataFrame(rows, columns=["sketch", "n", "bag", "fine"])
+    return F.pandas_udf(sketched, "sketch array<bigint>, n int, bag array<int>, fine binary")
+
+
+def _fine_udf(s: Settings):
+    """Whether two texts may be similar by their words (n) of each fine class."""
+    def counts(fine: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(fine), np.uint8).reshape(len(fine), s.fine).astype(np.int16)
+
+    def may(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Series) -> pd.Series:
+        more = counts(fine_a) - counts(fine_b)
+        edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        return pd.Series(edits <= np.floor((1 - s.similarity) * np.maximum(n_a, n_b).to_numpy() + 1e-9))
+    return F.pandas_udf(may, "boolean")
 
 
 def _similar_udf(s: Settings):
@@ -223,9 +239,9 @@ def _stars(buckets: DataFrame) -> DataFrame:
 def _may_be_similar(s: Settings):
     """Of a member (n, bag) and a pivot (p_n, p_bag): false only if the words that
     either has more of, class by class, are edits enough to tell them apart."""
-    more = reduce(add, [F.greatest(F.get("bag", F.lit(i)) - F.get("p_bag", F.lit(i)), F.lit(0)) for i in range(s.bins)])
+    more = F.aggregate(F.zip_with("bag", "p_bag", lambda m, p: F.greatest(m - p, F.lit(0))), F.lit(0), add)
     most = F.floor((1 - s.similarity) * F.greatest("n", "p_n") + 1e-9)
-    return (F.abs(F.col("n") - F.col("p_n")) <= most) & (F.greatest(more, more - F.col("n") + F.col("p_n")) <= most)
+    return (F.abs(F.col("n") - F.col("p_n")) <= most) & (more + F.greatest(F.col("p_n") - F.col("n"), F.lit(0)) <= most)
 
 
 def _length_class(s: Settings):
@@ -234,16 +250,21 @@ def _length_class(s: Settings):
     return F.floor(F.log(F.greatest("n", F.lit(1))) / step)
 
 
-def _standing(members: DataFrame, good: DataFrame, roots: DataFrame, tables: Tables) -> DataFrame:
-    """Members of buckets in which different components meet, with ``root`` and the
-    number of their links."""
+def _standing(left: DataFrame, good: DataFrame, roots: DataFrame, words: DataFrame, tables: Tables) -> DataFrame:
+    """Of ``left`` (bucket, node), the buckets in which different components meet, as
+    one row for each text: its ``buckets``, ``root``, the number of its links, and its
+    columns of ``words``."""
     linked = good.select(F.col("a").alias("node")).unionAll(good.select(F.col("b").alias("node")))
-    linked = linked.groupBy("node").agg(F.count(F.lit(1)).alias("linked")).join(roots, "node")
-    labelled = tables.put("labelled", members.join(linked, "node", "left").select(
+    linked = roots.join(linked.groupBy("node").agg(F.count(F.lit(1)).alias("linked")), "node", "left")
+    labelled = tables.put("labelled", left.join(linked, "node", "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")))
     mixed = (labelled.select("bucket", F.xxhash64("root").alias("r")).groupBy("bucket")
              .agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo != hi").select("bucket"))
-    return tables.put("members", labelled.join(mixed, "bucket", "left_semi"))
+    # joined by text, not by text and bucket
+    standing = (labelled.join(mixed, "bucket", "left_semi").groupBy("node")
+                .agg(F.first("root").alias("root"), F.first("linked").alias("linked"),
+                     F.collect_list("bucket").alias("buckets")))
+    return tables.put("members", standing.join(words, "node"))
 
 
 def _verified(edges: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -253,6 +274,15 @@ def _verified(edges: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             .select("a", "b", _similar_udf(s)("text_a", "text_b").alias("same")).filter("same").select("a", "b"))
 
 
+def _near(pairs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """The ``pairs`` (a, b) whose words by fine class don't tell them apart: these
+    need their texts."""
+    left = members.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a"))
+    right = members.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b"))
+    return (pairs.join(left, "a").join(right, "b")
+            .filter(_fine_udf(s)("n_a", "fine_a", "n_b", "fine_b")).select("a", "b"))
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One shuffle of the texts by digest, whatever their number, serves the join and
     the removal of copies."""
@@ -282,8 +312,9 @@ def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     components are compared to them, but for those whose lengths or word counts rule
     it out, and the pivots leave the bucket. Texts with the most links come first, so an
     original to which many unlike copies belong is a pivot soon; the number of
-    pivots, drawn by hash, grows fourfold each round. In the end each pair that shares a
-    bucket has been verified, is in one component, or can't be similar."""
+    pivots, drawn by hash, grows eightfold each round. Few new links wait for more before
+    components merge by them. In the end each pair that shares a bucket has been
+    verified, is in one component, or can't be similar."""
     return _linked(docs, s, Tables(docs.sparkSession))[0]
 
 
@@ -305,34 +336,36 @@ def _linked(docs: DataFrame, s: Settings, tables: Tables) -> tuple[DataFrame, Da
     good = tables.put("good", _verified(tried, texts, s))
     roots = tables.put("roots", components(good, tables))
 
-    members = _standing(buckets.select("bucket", "node"), good, roots, tables)
-    nodes = tables.put("nodes", members.select("node").distinct())
-    bags = tables.put("bags", sketched.join(nodes, "node", "left_semi")
-                      .select("node", "n", "bag", _length_class(s).alias("class")))
-    tables.drop("sketched", "buckets", "nodes")
-    pivots_each, rounds = 1, 0
+    words = sketched.select("node", "n", "bag", "fine", _length_class(s).alias("class"))
+    members = _standing(buckets.select("bucket", "node"), good, roots, words, tables)
+    tables.drop("sketched", "buckets")
+    pivots_each, rounds, waiting = 1, 0, None
     while not members.isEmpty():
+        each = members.withColumn("bucket", F.explode("buckets"))
         salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = tables.put("pivots", members.groupBy("bucket", salt.alias("salt"))
-                            .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node", "root")).alias("p"))
-                            .select("bucket", "p.node", "p.root"))
-        others = (pivots.join(bags, "node")
-                  .select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")],
-                          F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class")))
-        fresh = (members.join(bags, "node").alias("m").join(others.alias("p"), (
+        pivots = tables.put("pivots", each.groupBy("bucket", salt.alias("salt"))
+                            .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node", "root", "n", "bag", "class"))
+                                 .alias("p"))
+                            .select("bucket", "p.node", "p.root", "p.n", "p.bag", "p.class"))
+        others = pivots.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")],
+                               F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
+        fresh = (each.alias("m").join(others.alias("p"), (
                     F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.class") == F.col("p.class"))
                     & (F.col("root") != F.col("p_root")) & _may_be_similar(s))
                  .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct())
         fresh = tables.put(f"tried{rounds}", fresh.join(tried, ["a", "b"], "left_anti"))
-        found = tables.put(f"good{rounds}", _verified(fresh, texts, s))
+        found = tables.put(f"good{rounds}", _verified(_near(fresh, members, s), texts, s))
         tried = tried.unionByName(fresh)
-        if not found.isEmpty():
-            good = good.unionByName(found)
-            roots = _merged(roots, found, tables)
-        left = members.join(pivots, ["bucket", "node"], "left_anti").select("bucket", "node")
-        members = _standing(left, good, roots, tables)
-        pivots_each *= 4
+        good = good.unionByName(found)
+        waiting = waiting.unionByName(found) if waiting else found
+        if 20 * waiting.count() > members.count():
+            roots, waiting = _merged(roots, waiting, tables), None
+        left = each.join(pivots, ["bucket", "node"], "left_anti").select("bucket", "node")
+        members = _standing(left, good, roots, members.select(*words.columns), tables)
+        pivots_each *= _MORE_PIVOTS
         rounds += 1
+    if waiting and not waiting.isEmpty():
+        roots = _merged(roots, waiting, tables)
     return good, roots
 
 

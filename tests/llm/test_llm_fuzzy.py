@@ -157,6 +157,35 @@ def test_texts_are_fetched_once_by_a_join_that_holds_at_any_size(spark, monkeypa
     assert "SortMergeJoin" in fetched[0] and "BroadcastHashJoin" not in fetched[0]
 
 
+def test_texts_that_share_a_passage_are_told_apart_by_their_words(spark, monkeypatch):
+    """A text of the standing buckets is one row, and pairs that the counts of their words tell
+    apart don't fetch their texts."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(140)), "en", "s", 0) for i in range(60)]
+    rows.append((60, rows[7][1] + " and more", "en", "s", 0))
+    verified, standing, tried = [], [], []
+    verify, put = neardup._verified, Tables.put
+
+    def verifying(edges, texts, s):
+        verified.append(edges.count())
+        return verify(edges, texts, s)
+
+    def putting(self, name, df):
+        out = put(self, name, df)
+        if name == "members":
+            standing.append((out.count(), out.select("node").distinct().count()))
+        elif name.startswith("tried"):
+            tried.append(out.count())
+        return out
+    monkeypatch.setattr(neardup, "_verified", verifying)
+    monkeypatch.setattr(Tables, "put", putting)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.classes(table(spark, rows)).collect()}
+    assert got == {i: (7, 2) if i in (7, 60) else (i, 1) for i in range(61)}
+    assert standing[0][0] > 20 and all(a == b for a, b in standing)
+    assert sum(tried[1:]) > 50 and sum(verified[1:]) < 10
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     rng = random.Random(8)
     path = [(k, k + 1) for k in range(40)]
