@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookout.llm.common import WORD_RE, fingerprint, packed, powers, prepared
@@ -25,8 +28,13 @@ _U = np.uint64
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 1 << 64)
 _BLOCK = 1 << 16  # shingles that are ranked at once
+_FEW_EDITS = 16  # are found by diagonals, more of them by bit vectors
+_BIT_WORDS = 1 << 14  # of longer sequences the words' bit vectors take too much memory
 _KNOWN_CHARS = 1 << 21  # a task keeps the words of texts of about so many characters
 _MORE_PIVOTS = 8  # times as many each round
+_TRIALS = 512  # pairs to try for each text: if buckets hold fewer, all are tried at once
+_FEW_TEXTS = 64  # buckets of no more are done in few rounds of pivots
+_TASK_TEXTS = 1 << 9  # texts of a bucket that a task compares to the others
 
 @dataclass(frozen=True)
 class Settings:
@@ -126,7 +134,8 @@ def _least(shingles: np.ndarray, s: Settings) -> np.ndarray:
 
 def aligned_distance(a: list, b: list, most: int) -> int | None:
     """Edit distance of two sequences by furthest reaching points on the diagonals
-    of a band of width ``most`` to both sides; None if it is above ``most``."""
+    of a band of width ``most`` to both sides, and beyond a few edits by bit vectors;
+    None if it is above ``most``."""
     lo, end = 0, min(len(a), len(b))
     while lo < end and a[lo] == b[lo]:
         lo += 1
@@ -140,9 +149,10 @@ def aligned_distance(a: list, b: list, most: int) -> int | None:
     # words that the other side lacks can't be matched
     if max(n, m) - sum((Counter(a) & Counter(b)).values()) > most:
         return None
+    by_bits = min(n, m) <= _BIT_WORDS
     goal = m - n
     reach = {}  # diagonal (position in b - position in a) -> furthest position in a
-    for edits in range(most + 1):
+    for edits in range((min(most, _FEW_EDITS) if by_bits else most) + 1):
         room = most - edits  # edits that are left bound how far the goal may be
         new = {}
         for d in range(max(-edits, goal - room), min(edits, goal + room) + 1):
@@ -161,7 +171,29 @@ def aligned_distance(a: list, b: list, most: int) -> int | None:
         if new.get(goal, -1) >= n:
             return edits
         reach = new
-    return None
+    return _bit_distance(a, b, most) if by_bits and most > _FEW_EDITS else None
+
+
+def _bit_distance(a: list, b: list, most: int) -> int | None:
+    """Edit distance by the columns' differences as bit vectors (Myers, Hyyro); None
+    once it must end above ``most``."""
+    a, b = sorted((a, b), key=len)
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    at: dict = {}  # word -> its places in a
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | 1 << i
+    up, down, distance = whole, 0, len(a)
+    for left, word in zip(range(len(b) - 1, -1, -1), b):
+        same = at.get(word, 0)
+        flat = (((same & up) + up) ^ up) | same
+        more, less = down | whole & ~(flat | up), up & flat
+        distance += (more & last > 0) - (less & last > 0)
+        if distance - left > most:
+            return None
+        steep = same | down
+        more, less = (more << 1 | 1) & whole, less << 1 & whole
+        up, down = less | whole & ~(steep | more), more & steep
+    return distance if distance <= most else None
 
 
 def similar(a: str, b: str, s: Settings = Settings()) -> bool:
@@ -187,15 +219,15 @@ def _sketch_udf(s: Settings):
             v = _sketch(hashed, s)
             bag = np.bincount((hashed % _U(s.bins)).astype(np.int64), minlength=s.bins).astype(np.int32)
             fine = np.bincount((hashed % _U(s.fine)).astype(np.int64), minlength=s.fine).clip(max=255)
-            rows.append((None if v is None else v.view(np.int64), len(hashed), bag, fine.astype(np.uint8).tobytes()))
+            rows.append((None if v is None else v.view(np.int64), len(hashed), bag, fine.astype(np.int16)))
         return pd.DataFrame(rows, columns=["sketch", "n", "bag", "fine"])
-    return F.pandas_udf(sketched, "sketch array<bigint>, n int, bag array<int>, fine binary")
+    return F.pandas_udf(sketched, "sketch array<bigint>, n int, bag array<int>, fine array<smallint>")
 
 
 def _fine_udf(s: Settings):
     """Whether two texts may be similar by their words (n) of each fine class."""
     def counts(fine: pd.Series) -> np.ndarray:
-        return np.frombuffer(b"".join(fine), np.uint8).reshape(len(fine), s.fine).astype(np.int16)
+        return np.concatenate([*fine, np.empty(0, np.int16)]).reshape(len(fine), s.fine)
 
     def may(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Series) -> pd.Series:
         more = counts(fine_a) - counts(fine_b)
@@ -236,10 +268,13 @@ def _stars(buckets: DataFrame) -> DataFrame:
             .select("a", F.col("node").alias("b")).distinct())
 
 
-def _may_be_similar(s: Settings):
-    """Of a member (n, bag) and a pivot (p_n, p_bag): false only if the words that
-    either has more of, class by class, are edits enough to tell them apart."""
-    more = F.aggregate(F.zip_with("bag", "p_bag", lambda m, p: F.greatest(m - p, F.lit(0))), F.lit(0), add)
+def _may_be_similar(s: Settings, counts: str = "bag"):
+    """Of a member (n, ``counts``) and a pivot (p_n, p_``counts``): false only if the words
+    that either has more of, class by class, are edits enough to tell them apart."""
+    if counts == "bag":  # tried most often: one compiled sum
+        more = reduce(add, [F.greatest(F.get("bag", F.lit(i)) - F.get("p_bag", F.lit(i)), F.lit(0)) for i in range(s.bins)])
+    else:
+        more = F.aggregate(F.zip_with(counts, f"p_{counts}", lambda m, p: F.greatest(m - p, F.lit(0))), F.lit(0), add)
     most = F.floor((1 - s.similarity) * F.greatest("n", "p_n") + 1e-9)
     return (F.abs(F.col("n") - F.col("p_n")) <= most) & (more + F.greatest(F.col("p_n") - F.col("n"), F.lit(0)) <= most)
 
@@ -297,12 +332,59 @@ def _merged(roots: DataFrame, found: DataFrame, tables: Tables) -> DataFrame:
                       .join(of.withColumnsRenamed({"node": "b", "r": "rb"}), "b", "left")
                       .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     joined = components(ends, tables)
-    every = roots.unionByName(joined.select("node", F.col("node").alias("root"))
-                              .join(roots.select("node"), "node", "left_anti"))
+    # what ``joined`` shares with ``roots`` are roots, each its own there
+    every = roots.unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
     return tables.put("roots", every.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
                       .select("node", F.coalesce("new", "root").alias("root")))
 
 
+@contextmanager
+def _splits(spark: SparkSession, on: bool) -> Iterator[None]:
+    """Without ``on``, joins whose rows are dealt in bounded parts are not split again by
+    their bytes: that makes many small tasks."""
+    name = "spark.sql.adaptive.skewJoin.enabled"
+    old = spark.conf.get(name)
+    if not on:
+        spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def _pivot_pairs(each: DataFrame, pivots: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): the pairs of a pivot and a text of its bucket that lengths and word
+    counts don't tell apart."""
+    others = pivots.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")],
+                           F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
+    return (each.alias("m").join(others.alias("p"), (
+                F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.class") == F.col("p.class"))
+                & (F.col("root") != F.col("p_root")) & _may_be_similar(s))
+            .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct())
+
+
+def _all_pairs(each: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): all pairs of a bucket that lengths and word counts, also by fine class, don't
+    tell apart, once each: in the least bucket that both stand in. The texts of a (bucket,
+    class) are dealt into parts of about ``_TASK_TEXTS``, and each part meets the others."""
+    parts = sizes.select("bucket", "class", F.ceil(F.col("texts") / _TASK_TEXTS).alias("parts"))
+    one = (each.join(parts, ["bucket", "class"])
+           .select("bucket", "class", F.pmod(F.xxhash64("node"), "parts").alias("part"),
+                   "node", "root", "n", "bag", "fine", "buckets"))
+    other = (each.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag", "fine", "buckets", "class")],
+                         F.explode(F.array("class", F.col("class") - 1)).alias("class"))
+             .join(parts, ["bucket", "class"])
+             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts"))
+    m, p = one.alias("m"), other.alias("p")
+    here = [F.col(f"m.{c}") == F.col(f"p.{c}") for c in ("bucket", "class", "part")]
+    return (m.join(p, here[0] & here[1] & here[2]
+                   & ((F.col("p_class") > F.col("m.class")) | (F.col("node") < F.col("p_node")))
+                   & (F.col("root") != F.col("p_root")) & _may_be_similar(s)
+                   & (F.array_min(F.array_intersect("buckets", "p_buckets")) == F.col("m.bucket"))
+                   & _may_be_similar(s, "fine"))
+            .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")))
+
+
 def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): pairs of different texts (by digest) that alignment found similar.
 
@@ -313,8 +395,9 @@ def links(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     it out, and the pivots leave the bucket. Texts with the most links come first, so an
     original to which many unlike copies belong is a pivot soon; the number of
     pivots, drawn by hash, grows eightfold each round. Few new links wait for more before
-    components merge by them. In the end each pair that shares a bucket has been
-    verified, is in one component, or can't be similar."""
+    components merge by them. If large buckets are left once a round finds few, or the buckets then
+    hold few pairs for the number of texts, all pairs that are left are tried at once. In the end each pair
+    that shares a bucket has been verified, is in one component, or can't be similar."""
     return _linked(docs, s, Tables(docs.sparkSession))[0]
 
 
@@ -338,27 +421,34 @@ def _linked(docs: DataFrame, s: Settings, tables: Tables) -> tuple[DataFrame, Da
 
     words = sketched.select("node", "n", "bag", "fine", _length_class(s).alias("class"))
     members = _standing(buckets.select("bucket", "node"), good, roots, words, tables)
+    n_texts = sketched.count()
     tables.drop("sketched", "buckets")
-    pivots_each, rounds, waiting = 1, 0, None
+    pivots_each, rounds, waiting, few = 1, 0, None, False
     while not members.isEmpty():
         each = members.withColumn("bucket", F.explode("buckets"))
-        salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = tables.put("pivots", each.groupBy("bucket", salt.alias("salt"))
-                            .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node", "root", "n", "bag", "class"))
-                                 .alias("p"))
-                            .select("bucket", "p.node", "p.root", "p.n", "p.bag", "p.class"))
-        others = pivots.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "n", "bag")],
-                               F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"))
-        fresh = (each.alias("m").join(others.alias("p"), (
-                    F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.class") == F.col("p.class"))
-                    & (F.col("root") != F.col("p_root")) & _may_be_similar(s))
-                 .select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct())
-        fresh = tables.put(f"tried{rounds}", fresh.join(tried, ["a", "b"], "left_anti"))
-        found = tables.put(f"good{rounds}", _verified(_near(fresh, members, s), texts, s))
-        tried = tried.unionByName(fresh)
+        sizes = tables.put("sizes", each.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("texts")))
+        most, pairs = sizes.agg(F.max("texts"), F.sum(F.col("texts") * F.col("texts"))).first()
+        # not before a round of pivots: its links keep pairs of large groups from being tried
+        last = rounds > 0 and most > _FEW_TEXTS and (few or pairs <= _TRIALS * n_texts)
+        if last:
+            fresh = _all_pairs(each, sizes, s)
+        else:
+            salt = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
+            pivots = tables.put("pivots", each.groupBy("bucket", salt.alias("salt"))
+                                .agg(F.min(F.struct((-F.col("linked")).alias("l"), "node", "root", "n", "bag", "class"))
+                                     .alias("p"))
+                                .select("bucket", "p.node", "p.root", "p.n", "p.bag", "p.class"))
+            fresh = _pivot_pairs(each, pivots, s)
+        with _splits(docs.sparkSession, not last):
+            fresh = tables.put(f"tried{rounds}", fresh.join(tried, ["a", "b"], "left_anti"))
+        found = tables.put(f"good{rounds}", _verified(fresh if last else _near(fresh, members, s), texts, s))
         good = good.unionByName(found)
         waiting = waiting.unionByName(found) if waiting else found
-        if 20 * waiting.count() > members.count():
+        if last:
+            break
+        tried = tried.unionByName(fresh)
+        few = 20 * waiting.count() <= members.count()
+        if not few:
             roots, waiting = _merged(roots, waiting, tables), None
         left = each.join(pivots, ["bucket", "node"], "left_anti").select("bucket", "node")
         members = _standing(left, good, roots, members.select(*words.columns), tables)

@@ -186,6 +186,48 @@ def test_texts_that_share_a_passage_are_told_apart_by_their_words(spark, monkeyp
     assert sum(tried[1:]) > 50 and sum(verified[1:]) < 10
 
 
+def test_all_pairs_of_large_buckets_are_tried_at_once(spark, monkeypatch):
+    """Of many unlike texts that share most of their words each pair is tried once, in two rounds."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(250))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60 if i < 4 else 66 + i % 30)), "en", "s", 0) for i in range(200)]
+    rows.append((200, rows[7][1] + " and more", "en", "s", 0))
+    tried, put = [], Tables.put
+
+    def putting(self, name, df):
+        out = put(self, name, df)
+        if name.startswith("tried"):
+            tried.append((name, [(bytes(r.a), bytes(r.b)) for r in out.collect()]))
+        return out
+    monkeypatch.setattr(Tables, "put", putting)
+    monkeypatch.setattr(neardup, "_TASK_TEXTS", 16)
+    got = {r.doc_id: r.class_id for r in neardup.classes(table(spark, rows)).collect()}
+    roots = components_of(range(201), [(i, j) for i in range(201) for j in range(i) if neardup.similar(rows[i][1], rows[j][1])])
+    least = {}
+    for i in range(201):
+        least.setdefault(roots[i], i)
+    assert got == {i: least[roots[i]] for i in range(201)} and len(set(got.values())) == 197
+    assert [name for name, _ in tried] == ["tried", "tried0", "tried1"]
+    pairs = [p for _, ps in tried for p in ps]
+    assert len(pairs) == len(set(pairs))
+
+
+def test_many_edits_are_counted_by_bit_vectors():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 80))] for _ in range(2))
+        d, most = distance(a, b), rng.randrange(70)
+        assert neardup._bit_distance(a, b, most) == (d if d <= most else None)
+        assert neardup.aligned_distance(a, b, most) == (d if d <= most else None)
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    """More edges than one task takes are shuffled."""
+    from lookout.llm import components as module
+    monkeypatch.setattr(module, "_TASK_EDGES", 0)
+    test_components_of_paths_stars_and_cycles(spark)
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     rng = random.Random(8)
     path = [(k, k + 1) for k in range(40)]
